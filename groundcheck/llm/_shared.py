@@ -46,6 +46,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes and rows of an Arrow batch: workers hold a batch and what is made of it.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that a worker's memory does not follow the texts' lengths."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = int("".join(c for c in spark.conf.get(key) if c.isdigit()) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def shuffle_count(spark: SparkSession) -> int:
     """Partitions to deal keyed rows to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
