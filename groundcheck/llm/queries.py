@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,24 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _token_digest(e) -> tuple:
+    import hashlib
+
+    spans = e.begin.astype("<u4").tobytes() + e.end.astype("<u4").tobytes()
+    return len(e.ids), hashlib.sha256(e.ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(e.decoded.encode()).hexdigest(), hashlib.sha256(spans).hexdigest()
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, their spans and the decoded text, as digests."""
+    import public_tokenizers
+    from groundcheck.llm.sentencepiece_codec import sentencepiece_encode
+
+    kinds = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentencepiece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"), derive=_token_digest, schema=kinds)
+    return found.select("row.doc_id", *kinds.names)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its group."""
     from groundcheck.llm.exact_dedup import exact_dedup
