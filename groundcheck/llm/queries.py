@@ -76,6 +76,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those that are not held out."""
+    from groundcheck.llm.language_id import fit_language_id, held_out, predict_language
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = fit_language_id(docs.where(~held_out()))
+    found = predict_language(docs.select("doc_id", "text"), net)
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written to archives and read back through their index."""
     from groundcheck.llm.warc import look_up, write_archives
