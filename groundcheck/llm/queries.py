@@ -95,6 +95,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from labels that are not held out."""
+    from groundcheck.llm.language_id import held_out
+    from groundcheck.llm.quality import fit_quality, quality_scores
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out())
+    found = quality_scores(docs, fit_quality(docs, labels))
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 _LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
