@@ -9,9 +9,11 @@ temporary folder of this machine takes its place.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes and rows of an Arrow batch: workers hold a batch and what is made of it.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -58,6 +60,18 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Fewer rows a batch for what runs inside, where rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_count(spark: SparkSession) -> int:
     """Partitions to deal keyed rows to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -27,13 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.llm._bytes import NOT_SPACE, chunks, span_hash, window_hash, word_spans
-from groundcheck.llm._shared import materialize, shuffle_count, small_batches
+from groundcheck.llm._shared import batch_rows, materialize, shuffle_count, small_batches
 
 WINDOW = 20  # words
 DEPTH = 2  # rows of the sketch
 MIN_BITS, MAX_BITS = 16, 28  # counters of a row, as a power of two
 SEGMENT = 20  # counters of a segment, as a power of two
 FLUSH = 2_000_000  # windows that a task holds before it sends them on
+BLOB_ROWS = 128  # rows of an Arrow batch where a row is a packed piece of some kB
 _BYTES_A_WINDOW = 4  # for the sketch's size only
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -134,9 +135,10 @@ def repeated_counters(docs: DataFrame, window: int, bits: int) -> np.ndarray:
     parts = docs.select("text").mapInArrow(_sketch(window, bits), "segment int, steps binary, many binary")
     sums = parts.repartition(shuffle_count(docs.sparkSession), "segment").sortWithinPartitions("segment").mapInArrow(_add_up(segment), "segment int, bits binary")
     out = np.zeros(DEPTH << (bits - 3), np.uint8)
-    for r in sums.toLocalIterator():
-        size = 1 << (segment - 3)
-        out[r.segment * size : (r.segment + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    with batch_rows(docs.sparkSession, BLOB_ROWS):
+        for r in sums.collect():
+            size = 1 << (segment - 3)
+            out[r.segment * size : (r.segment + 1) * size] = np.frombuffer(r.bits, np.uint8)
     return out.reshape(DEPTH, -1)
 
 
@@ -304,7 +306,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = spark.sparkContext.broadcast(repeated_counters(rows, window, bits))
     parts = rows.mapInArrow(_candidates(window, bits, 8 * n, sketch), _PARTS)
     found = parts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group, "id long, mark long, starts array<int>")
-    spans = materialize(found, "repeats").groupBy("id", "mark").agg(F.collect_list("starts").alias("starts"))
+    with batch_rows(spark, BLOB_ROWS):
+        spans = materialize(found, "repeats").groupBy("id", "mark").agg(F.collect_list("starts").alias("starts"))
     sketch.destroy()
     out = rows.join(spans.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "text", "starts").mapInArrow(_take_out(window), "id long, n_words long, n_removed long, text string")
     return out.withColumn("id", F.when(F.col("id") != lowest, F.col("id")))
