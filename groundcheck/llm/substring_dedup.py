@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.llm._bytes import NOT_SPACE, chunks, span_hash, window_hash, word_spans
+from groundcheck.llm._bytes import NOT_SPACE, chunks, mix, span_hash, window_hash, word_spans
 from groundcheck.llm._shared import batch_rows, materialize, shuffle_count, small_batches
 
 WINDOW = 20  # words
@@ -179,7 +179,7 @@ def _candidates(window: int, bits: int, buckets: int, sketch):
         rows = []
         known = _repeats(order, head, ids, pos)
         if len(known):  # these need no other partition; they go with their document
-            own = ((marks[known].view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            own = (mix(ids[known].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             for k in np.unique(own):
                 x = np.sort(known[own == k])
                 rows.append(_part(int(k), np.zeros(0, _ENTRY), ids[x], marks[x], pos[x]))
@@ -220,14 +220,17 @@ def _candidates(window: int, bits: int, buckets: int, sketch):
     return run
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: groups the windows of a bucket exactly; yields the repeats of each document."""
+_REPEATS = "part int, ids binary, marks binary, places binary"
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+
+def _group(parts: int):
+    """Rows sorted by bucket: groups the windows of a bucket exactly; yields repeats, packed by part of the documents."""
+
+    def solve(rows: list[tuple]) -> list[np.ndarray]:
         unzip = zstandard.ZstdDecompressor().decompress
         got, done = [], []
         for keys, ids, marks, pos in rows:
-            own = (_unpack(ids, np.int64), _unpack(marks, np.int64), _unpack(pos, np.int32))
+            own = (_unpack(ids, np.int64), _unpack(marks, np.int32), _unpack(pos, np.int32))
             keys = np.frombuffer(unzip(keys), _ENTRY)
             got.append((keys["hi"], keys["lo"], *own)) if len(keys) else done.append(own)
         if got:
@@ -235,57 +238,92 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order, head = _firsts(hi, lo, ids, pos)
             x = _repeats(order, head, ids, pos)
             done.append((ids[x], marks[x], pos[x]))
-        ids, marks, pos = (np.concatenate(x) for x in zip(*done))
-        if not len(ids):
-            return
+        return [np.concatenate(x) for x in zip(*done)]
+
+    def send(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, marks, pos = (np.concatenate(x) for x in zip(*held))
+        own = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((pos, marks, ids, own))
+        ids, marks, pos, own = ids[order], marks[order], pos[order], own[order]
+        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+        rows = [(int(own[a]), _pack(ids[a:b]), _pack(marks[a:b]), _pack(pos[a:b])) for a, b in zip(cut, np.append(cut[1:], len(own)))]
+        for a in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 256]), (pa.int32(), *[pa.binary()] * 3))], names=["part", "ids", "marks", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, held, count = None, [], [], 0
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if bucket != now and rows:
+                    held.append(solve(rows))
+                    count, rows = count + len(held[-1][0]), []
+                    if count >= FLUSH:
+                        yield from send(held)
+                        held, count = [], 0
+                now = bucket
+                rows.append(tuple(row))
+        if rows:
+            held.append(solve(rows))
+        if held:
+            yield from send(held)
+
+    return run
+
+
+def _spans(window: int):
+    """Rows sorted by part: yields for each document the first words and ends of its merged spans."""
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, marks, pos = (np.concatenate(x) for x in zip(*((_unpack(i, np.int64), _unpack(m, np.int32), _unpack(p, np.int32)) for i, m, p in rows)))
         order = np.lexsort((pos, marks, ids))
         ids, marks, pos = ids[order], marks[order], pos[order]
-        cut = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))
-        for a in range(0, len(cut), 4096):
-            heads = cut[a : a + 4096]
-            end = cut[a + 4096] if a + 4096 < len(cut) else len(ids)
-            edges = np.append(heads, end)
-            lists = pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), pa.array(pos[edges[0] : end]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(marks[heads]), lists], names=["id", "mark", "starts"])
-
-    now, held = None, []
-    for batch in batches:
-        for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if bucket != now and held:
-                yield from solve(held)
-                held = []
-            now = bucket
-            held.append(tuple(row))
-    if held:
-        yield from solve(held)
+        doc = np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]))
+        start = doc | np.append(True, pos[1:] > pos[:-1] + window)
+        begin = np.flatnonzero(start)
+        end = np.append(begin[1:], len(pos)) - 1
+        heads = np.flatnonzero(doc)
+        edges = np.append(np.searchsorted(begin, heads), len(begin)).astype(np.int32)
+        for a in range(0, len(heads), 1024):
+            e = edges[a : a + 1025]
+            lists = [pa.ListArray.from_arrays(pa.array(e - e[0]), pa.array(x[e[0] : e[-1]].astype(np.int32))) for x in (pos[begin], pos[end] + window)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[heads[a : a + 1024]]), pa.array(marks[heads[a : a + 1024]]), *lists], names=["id", "mark", "begins", "ends"])
 
-
-def _take_out(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
         for batch in batches:
-            words_n, removed, kept = [], [], []
-            for text, lists in zip(batch.column("text"), batch.column("starts")):
-                text = (text.as_py() or "").encode()
-                words = text.split()
-                gone = 0
-                if lists.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for part in lists.as_py():
-                        np.add.at(edge, part, 1)
-                        np.add.at(edge, np.add(part, window), -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    gone = int(len(words) - stay.sum())
-                    text = b" ".join(compress(words, stay.tolist()))
-                else:
-                    text = b" ".join(words)
-                words_n.append(len(words))
-                removed.append(gone)
-                kept.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "text"])
+            for part, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if part != now and rows:
+                    yield from solve(rows)
+                    rows = []
+                now = part
+                rows.append(tuple(row))
+        if rows:
+            yield from solve(rows)
 
     return run
 
 
+def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words_n, removed, kept = [], [], []
+        for text, begins, ends in zip(batch.column("text"), batch.column("begins"), batch.column("ends")):
+            text = (text.as_py() or "").encode()
+            words = text.split()
+            gone = 0
+            if begins.is_valid:
+                stay = np.ones(len(words), bool)
+                for a, b in zip(begins.as_py(), ends.as_py()):
+                    stay[a:b] = False
+                gone = int(len(words) - stay.sum())
+                text = b" ".join(compress(words, stay.tolist()))
+            else:
+                text = b" ".join(words)
+            words_n.append(len(words))
+            removed.append(gone)
+            kept.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "text"])
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``id, n_words, n_removed, text`` of every row; ``text`` is its kept words, joined by one space.
 
@@ -299,15 +337,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark, lowest = docs.sparkSession, -(2**63)
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.hash(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, int(size // _BYTES_A_WINDOW).bit_length()))
     n = shuffle_count(spark)
     sketch = spark.sparkContext.broadcast(repeated_counters(rows, window, bits))
     parts = rows.mapInArrow(_candidates(window, bits, 8 * n, sketch), _PARTS)
-    found = parts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group, "id long, mark long, starts array<int>")
+    found = parts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group(4 * n), _REPEATS)
+    spans = found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_spans(window), "id long, mark int, begins array<int>, ends array<int>")
     with batch_rows(spark, BLOB_ROWS):
-        spans = materialize(found, "repeats").groupBy("id", "mark").agg(F.collect_list("starts").alias("starts"))
+        spans = materialize(spans, "repeats")
     sketch.destroy()
-    out = rows.join(spans.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "text", "starts").mapInArrow(_take_out(window), "id long, n_words long, n_removed long, text string")
+    out = rows.join(spans.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "text", "begins", "ends").mapInArrow(_take_out, "id long, n_words long, n_removed long, text string")
     return out.withColumn("id", F.when(F.col("id") != lowest, F.col("id")))
