@@ -11,6 +11,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message's repair and piece of the rendered chat."""
+    from groundcheck.llm.chat_format import chat_format
+
+    found = chat_format(_table(spark, sf_dir, "conversations"))
+    joined = {c: F.array_join(c, ",") for c in ("inserted", "inserted_after")}
+    return found.withColumns(joined).withColumnRenamed("conv", "conv_id")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that repeat a window of an earlier place."""
     from groundcheck.llm.substring_dedup import substring_dedup
