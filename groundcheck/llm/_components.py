@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links is no hot task.  The number of rounds grows with the logarithm of the
     longest chain.  No edges give no rows; loops and repeats do no harm.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", light=True)
     mark = None
     while True:
         both = now.union(now.select("b", "a"))
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.union(low).distinct(), "edges")
+        now = materialize(small.union(low).distinct(), "edges", light=True)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == mark:
             break

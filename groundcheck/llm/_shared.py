@@ -41,9 +41,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of it."""
+def materialize(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of it; ``light`` tables hold no texts and get fewer files."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if light:
+        df = df.coalesce(light_count(spark))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,3 +77,8 @@ def batch_rows(spark: SparkSession, most: int) -> Iterator[None]:
 def shuffle_count(spark: SparkSession) -> int:
     """Partitions to deal keyed rows to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def light_count(spark: SparkSession) -> int:
+    """Partitions for rows of ids and numbers, which are some hundred times smaller than texts."""
+    return -(-shuffle_count(spark) // 8)

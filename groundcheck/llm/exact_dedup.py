@@ -129,7 +129,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # a winner is named by its id and digest: repeated ids may stand for different texts
     sizes = merged.groupBy("win", "digest").agg(F.count("*").alias("n"))
-    classes = materialize(winners.join(sizes, ["win", "digest"]), "dedup-classes")
+    classes = materialize(winners.join(sizes, ["win", "digest"]), "dedup-classes", light=True)
     totals = classes.groupBy("keep_id", "digest").agg(F.sum("n").alias("group_size"))
     final = classes.join(totals, ["keep_id", "digest"]).select("win", "digest", "keep_id", "group_size")
     back = lambda c: F.when(F.col(c) != lowest, F.col(c))

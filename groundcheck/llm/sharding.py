@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from groundcheck.llm._shared import materialize, shuffle_count, small_batches
+from groundcheck.llm._shared import light_count, materialize, small_batches
 
 #: Partial partitions that the driver combines: at most this many vectors of shard sums.
 TOP = 4096
@@ -104,7 +104,7 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     spark = groups.sparkSession
     now, first, path = groups.select("item", "bytes"), True, None
     while True:
-        done = materialize(now.mapInArrow(_level(shards, first), _LEVEL), "differencing")
+        done = materialize(now.mapInArrow(_level(shards, first), _LEVEL), "differencing", light=True)
         goes = done.where("item is not null").select("item", "piece", "goes")
         if first:
             path = goes.select("item", "piece", F.col("goes")[0].alias("at"))
@@ -125,13 +125,13 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
 
 def with_slots(rows: DataFrame, group: str, order: list[str], name: str = "slot") -> DataFrame:
     """Number the rows of each ``group`` without gaps from 0 along ``order``, without bringing a group together."""
-    n = shuffle_count(rows.sparkSession)
+    n = light_count(rows.sparkSession)
     place = F.monotonically_increasing_id()
     line = rows.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).select("*", place.alias("_place"))
-    line = materialize(line.withColumn("_part", F.shiftright("_place", 33)), "slots")
+    line = materialize(line.withColumn("_part", F.shiftright("_place", 33)), "slots", light=True)
     runs = line.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))  # partitions x groups at most
     before = runs.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return line.join(before.drop("_n"), [group, "_part"]).withColumn(name, F.col("_place") - F.col("_first") + F.col("_before")).drop("_place", "_first", "_before", "_part")
+    return line.join(before.drop("_n"), [group, "_part"]).withColumn(name, F.col("_place") - F.col("_first") + F.col("_before")).drop("_place", "_first", "_before", "_part").coalesce(n)
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
@@ -146,10 +146,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     given group may differ.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    n = shuffle_count(docs.sparkSession)
+    n = light_count(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("item"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = materialize(rows, "sizes")
     groups = rows.groupBy("item").agg(F.sum("size").alias("bytes")).repartition(n, "item").sortWithinPartitions("item")
     placed = rows.join(assign_groups(groups, shards), "item").select("id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
+    placed = materialize(placed, "placed", light=True)  # ranges are sampled: don't join twice
     return with_slots(placed, "shard", ["id", "text_crc32"])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.llm._bytes import CHUNK, LOWER, chunks
 from groundcheck.llm._components import connected_components, roots
-from groundcheck.llm._shared import materialize, shuffle_count, small_batches
+from groundcheck.llm._shared import light_count, materialize, small_batches
 
 BITS = 3  # fingerprints link at this many differing bits or fewer
 NEEDED = 8 - BITS  # positional bytes that a linked pair shares at least
@@ -184,12 +184,12 @@ def _more_positions(mask: int) -> list[int]:
 
 def fingerprint_links(reps: DataFrame) -> DataFrame:
     """Links ``a, b`` (of ``rep`` ids) among distinct fingerprints ``fp, rep`` whose closure is that of all links."""
-    n = shuffle_count(reps.sparkSession)
+    n = light_count(reps.sparkSession)
     keyed = lambda df, masks: df.select("fp", "rep", F.explode(masks).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
     posts = keyed(reps, F.array(*(F.lit(m) for m in TRIPLES)))
     masks, found = set(TRIPLES), None
     for fixed in range(3, NEEDED + 1):
-        lists = materialize(posts.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+        lists = materialize(posts.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "lists", light=True)
         posts = posts.join(lists, ["mask", "value"])
         last = fixed == NEEDED
         short = posts if last else posts.where(F.col("n") <= HOT)
@@ -216,8 +216,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = -(2**63)
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = materialize(rows.mapInArrow(_fingerprints(width), "id long, fp long"), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fp-reps")
+    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fp-reps", light=True)
     parts = connected_components(fingerprint_links(reps))
     near = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     back = lambda c: F.when(F.col(c) != lowest, F.col(c))
-    return prints.join(near, "fp").select(back("id").alias("id"), "fp", back("component_id").alias("component_id"))
+    return prints.join(near, "fp").select(back("id").alias("id"), "fp", back("component_id").alias("component_id")).coalesce(light_count(docs.sparkSession))

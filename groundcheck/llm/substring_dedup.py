@@ -346,7 +346,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = parts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_group(4 * n), _REPEATS)
     spans = found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_spans(window), "id long, mark int, begins array<int>, ends array<int>")
     with batch_rows(spark, BLOB_ROWS):
-        spans = materialize(spans, "repeats")
+        spans = materialize(spans, "repeats", light=True)
     sketch.destroy()
     out = rows.join(spans.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "text", "begins", "ends").mapInArrow(_take_out, "id long, n_words long, n_removed long, text string")
     return out.withColumn("id", F.when(F.col("id") != lowest, F.col("id")))
