@@ -17,12 +17,13 @@ def trust_scores(facts: DataFrame, consistency: DataFrame, key: list[str] = RESP
     """
     if any(w < 0 for w in weights) or abs(sum(weights) - 1) > 1e-9:
         raise ValueError("weights must not be negative and must sum to 1")
+    hundredths = {k: round(100 * v) for k, v in S.PENALTIES.items()}  # whole numbers sum the same in any order
     right = (F.col("label") == "supported").cast("double")
     parts = facts.groupBy(*key).agg(
         F.avg(right).alias("factual_score"),
         F.avg("similarity").alias("semantic_alignment"),
         F.avg(1 - F.abs(F.col("confidence") - right)).alias("confidence_calibration"),
-        F.least(F.lit(1.0), F.coalesce(F.sum(S.by_severity(F.col("severity"), S.PENALTIES)), F.lit(0.0)) / F.count("*")).alias("severity_penalty"),
+        F.least(F.lit(1.0), F.coalesce(F.sum(S.by_severity(F.col("severity"), hundredths)), F.lit(0)) / (100 * F.count("*"))).alias("severity_penalty"),
         F.count("*").alias("claim_count"),
     )
     joined = parts.join(consistency.select(*key, "consistency_score"), key)

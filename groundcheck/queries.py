@@ -21,9 +21,9 @@ def query(f: Query) -> Query:
     return f
 
 
-def six(*names: str) -> dict[str, Column]:
-    """Columns at six decimals, so that sums may be taken in any order."""
-    return {c: F.round(c, 6) for c in names}
+def nine(*names: str) -> dict[str, Column]:
+    """Columns at nine decimals, so that sums may be taken in any order."""
+    return {c: F.round(c, 9) for c in names}
 
 
 # claims and lexical baseline
@@ -51,7 +51,7 @@ def _passage_of_claim(spark, sf) -> DataFrame:
 @query
 def lexical_similarity(spark, sf):
     tokens = lambda c: F.array_distinct(X.plain_tokens(F.col(c)))
-    return _passage_of_claim(spark, sf).select(*CLAIM_KEY, "evidence_id", F.round(X.jaccard(tokens("claim_text"), tokens("passage")), 6).alias("similarity"))
+    return _passage_of_claim(spark, sf).select(*CLAIM_KEY, "evidence_id", F.round(X.jaccard(tokens("claim_text"), tokens("passage")), 9).alias("similarity"))
 
 
 def _baseline(spark, sf) -> DataFrame:
@@ -66,7 +66,7 @@ def baseline_retrieval(spark, sf):
 
 @query
 def baseline_verification(spark, sf):
-    return V.baseline_verify(_baseline(spark, sf), fx.evidence(spark, sf)).withColumns(six("similarity"))
+    return V.baseline_verify(_baseline(spark, sf), fx.evidence(spark, sf)).withColumns(nine("similarity"))
 
 
 # retrieval
@@ -75,7 +75,7 @@ def baseline_verification(spark, sf):
 @query
 def corpus_stats(spark, sf):
     passages = fx.evidence(spark, sf)
-    return retrieval.corpus_stats(passages).withColumns(six("average_length"))
+    return retrieval.corpus_stats(passages).withColumns(nine("average_length"))
 
 
 @query
@@ -85,19 +85,19 @@ def document_frequency(spark, sf):
 
 @query
 def bm25_scores(spark, sf):
-    return retrieval.bm25_scores(fx.claims(spark, sf), fx.evidence(spark, sf), CLAIM_KEY).select(*CLAIM_KEY, fx.evidence_id(F.col("pos")).alias("evidence_id"), F.round("bm25_score", 6).alias("bm25_score"))
+    return retrieval.bm25_scores(fx.claims(spark, sf), fx.evidence(spark, sf), CLAIM_KEY).select(*CLAIM_KEY, fx.evidence_id(F.col("pos")).alias("evidence_id"), F.round("bm25_score", 9).alias("bm25_score"))
 
 
 @query
 def embedding_similarity(spark, sf):
     rows = fx.with_vectors(_passage_of_claim(spark, sf).withColumnRenamed("pos", "at"), spark, sf)
     passages = fx.vectors(spark, sf).select(F.col("pos").alias("at"), F.col("vector").alias("other"))
-    return rows.join(passages, "at").select(*CLAIM_KEY, "evidence_id", F.round(S.cosine_unit(F.col("vector"), F.col("other")), 6).alias("similarity"))
+    return rows.join(passages, "at").select(*CLAIM_KEY, "evidence_id", F.round(S.cosine_unit(F.col("vector"), F.col("other")), 9).alias("similarity"))
 
 
 @query
 def hybrid_retrieval(spark, sf):
-    return retrieval.retrieved(fx.ranked(spark, sf), CLAIM_KEY).drop("pos").withColumns(six("bm25_score", "embedding_score", "combined_score"))
+    return retrieval.retrieved(fx.ranked(spark, sf), CLAIM_KEY).drop("pos").withColumns(nine("bm25_score", "embedding_score", "combined_score"))
 
 
 def _ranking(spark, sf) -> DataFrame:
@@ -109,17 +109,17 @@ def _ranking(spark, sf) -> DataFrame:
 
 @query
 def recall_at_k(spark, sf):
-    return _ranking(spark, sf).groupBy("model_name").agg(*(F.round(F.avg(f"recall_at_{k}"), 6).alias(f"recall_at_{k}") for k in (1, 3, 5)))
+    return _ranking(spark, sf).groupBy("model_name").agg(*(F.round(F.avg(f"recall_at_{k}"), 9).alias(f"recall_at_{k}") for k in (1, 3, 5)))
 
 
 @query
 def precision_at_k(spark, sf):
-    return _ranking(spark, sf).groupBy("model_name").agg(*(F.round(F.avg(f"precision_at_{k}"), 6).alias(f"precision_at_{k}") for k in (1, 3, 5)))
+    return _ranking(spark, sf).groupBy("model_name").agg(*(F.round(F.avg(f"precision_at_{k}"), 9).alias(f"precision_at_{k}") for k in (1, 3, 5)))
 
 
 @query
 def mrr(spark, sf):
-    return _ranking(spark, sf).groupBy("model_name").agg(F.count("*").alias("queries"), F.round(F.avg("reciprocal_rank"), 6).alias("mean_reciprocal_rank"))
+    return _ranking(spark, sf).groupBy("model_name").agg(F.count("*").alias("queries"), F.round(F.avg("reciprocal_rank"), 9).alias("mean_reciprocal_rank"))
 
 
 # verification, severity, trust
@@ -128,12 +128,12 @@ def mrr(spark, sf):
 @query
 def evidence_scores(spark, sf):
     rows = fx.scored(spark, sf).select(*CLAIM_KEY, F.explode("evidence_scores").alias("s")).select(*CLAIM_KEY, "s.*")
-    return rows.withColumns(six(*(c for c in rows.columns if c.endswith(("score", "similarity", "probability")))))
+    return rows.withColumns(nine(*(c for c in rows.columns if c.endswith(("score", "similarity", "probability")))))
 
 
 @query
 def verification_labels(spark, sf):
-    return fx.facts(spark, sf).select(*CLAIM_KEY, "label", "similarity", "support_score", "contradiction_score", "neutral_score").withColumns(six("similarity", "support_score", "contradiction_score", "neutral_score"))
+    return fx.facts(spark, sf).select(*CLAIM_KEY, "label", "similarity", "support_score", "contradiction_score", "neutral_score").withColumns(nine("similarity", "support_score", "contradiction_score", "neutral_score"))
 
 
 @query
@@ -168,7 +168,7 @@ def severity_rationale(spark, sf):
 @query
 def trust_scores(spark, sf):
     rows = fx.trust(spark, sf).drop("trust_rationale")
-    return rows.withColumns(six("factual_score", "semantic_alignment", "confidence_calibration", "severity_penalty", "trust_score", "consistency_score"))
+    return rows.withColumns(nine("factual_score", "semantic_alignment", "confidence_calibration", "severity_penalty", "trust_score", "consistency_score"))
 
 
 @query
@@ -183,7 +183,7 @@ def trust_rationale(spark, sf):
 def model_metrics(spark, sf):
     rows = fx.facts(spark, sf)
     out = M.model_metrics(rows, fx.responses(spark, sf), fx.gold(spark, sf), fx.trust(spark, sf, rows), fx.TOP_K)
-    return out.withColumns(six(*(c for c in out.columns if out.schema[c].dataType.simpleString() == "double")))
+    return out.withColumns(nine(*(c for c in out.columns if out.schema[c].dataType.simpleString() == "double")))
 
 
 @query
@@ -197,22 +197,22 @@ def _pairs(spark, sf) -> DataFrame:
 
 @query
 def class_metrics(spark, sf):
-    return M.class_metrics(_pairs(spark, sf), BY_MODEL).withColumns(six("precision", "recall", "f1"))
+    return M.class_metrics(_pairs(spark, sf), BY_MODEL).withColumns(nine("precision", "recall", "f1"))
 
 
 @query
 def gold_join_accuracy(spark, sf):
-    return M.accuracy(_pairs(spark, sf), BY_MODEL).withColumns(six("verification_accuracy"))
+    return M.accuracy(_pairs(spark, sf), BY_MODEL).withColumns(nine("verification_accuracy"))
 
 
 @query
 def retrieval_recall_at_k(spark, sf):
-    return M.retrieval_recall(fx.facts(spark, sf), fx.gold(spark, sf), BY_MODEL).withColumns(six("retrieval_recall_at_k"))
+    return M.retrieval_recall(fx.facts(spark, sf), fx.gold(spark, sf), BY_MODEL).withColumns(nine("retrieval_recall_at_k"))
 
 
 @query
 def confidence_calibration(spark, sf):
-    return M.confidence_calibration(fx.facts(spark, sf), fx.gold(spark, sf), BY_MODEL).withColumns(six("confidence_brier_score", "confidence_ece"))
+    return M.confidence_calibration(fx.facts(spark, sf), fx.gold(spark, sf), BY_MODEL).withColumns(nine("confidence_brier_score", "confidence_ece"))
 
 
 # comparison
@@ -224,18 +224,18 @@ def _outcomes(spark, sf) -> DataFrame:
 
 @query
 def paired_comparison(spark, sf):
-    return compare.paired_comparison(_outcomes(spark, sf)).withColumns(six("mean_difference"))
+    return compare.paired_comparison(_outcomes(spark, sf)).withColumns(nine("mean_difference"))
 
 
 @query
 def mcnemar(spark, sf):
     counts = compare.paired_comparison(_outcomes(spark, sf))
-    return counts.select("model_a", "model_b", F.round(S.mcnemar_p(F.col("model_a_error_only_items"), F.col("model_b_error_only_items")), 6).alias("mcnemar_exact_p_value"))
+    return counts.select("model_a", "model_b", F.round(S.mcnemar_p(F.col("model_a_error_only_items"), F.col("model_b_error_only_items")), 9).alias("mcnemar_exact_p_value"))
 
 
 @query
 def bootstrap_hash(spark, sf):
-    return compare.bootstrap_hash(_outcomes(spark, sf)).withColumns(six("mean_difference", "lower", "upper"))
+    return compare.bootstrap_hash(_outcomes(spark, sf)).withColumns(nine("mean_difference", "lower", "upper"))
 
 
 @query
@@ -262,22 +262,22 @@ def _observations(spark, sf) -> DataFrame:
 
 @query
 def threshold_grid(spark, sf):
-    return C.verification_grid(_observations(spark, sf)).withColumns(six("accuracy", "macro_f1", "balanced_accuracy", "coverage"))
+    return C.verification_grid(_observations(spark, sf)).withColumns(nine("accuracy", "macro_f1", "balanced_accuracy", "coverage"))
 
 
 @query
 def threshold_best(spark, sf):
-    return C.best_verification_thresholds(C.verification_grid(_observations(spark, sf))).withColumns(six("accuracy", "macro_f1", "balanced_accuracy", "coverage"))
+    return C.best_verification_thresholds(C.verification_grid(_observations(spark, sf))).withColumns(nine("accuracy", "macro_f1", "balanced_accuracy", "coverage"))
 
 
 @query
 def severity_threshold_grid(spark, sf):
-    return C.severity_grid(_observations(spark, sf)).withColumns(six("accuracy", "macro_f1", "quadratic_weighted_kappa"))
+    return C.severity_grid(_observations(spark, sf)).withColumns(nine("accuracy", "macro_f1", "quadratic_weighted_kappa"))
 
 
 @query
 def severity_threshold_best(spark, sf):
-    return C.best_severity_threshold(C.severity_grid(_observations(spark, sf))).withColumns(six("accuracy", "macro_f1", "quadratic_weighted_kappa"))
+    return C.best_severity_threshold(C.severity_grid(_observations(spark, sf))).withColumns(nine("accuracy", "macro_f1", "quadratic_weighted_kappa"))
 
 
 def _severity_pairs(spark, sf) -> DataFrame:
@@ -291,12 +291,12 @@ def severity_confusion(spark, sf):
 
 @query
 def quadratic_kappa(spark, sf):
-    return C.severity_metrics(C.confusion(_severity_pairs(spark, sf), []), []).withColumns(six("accuracy", "macro_f1", "quadratic_weighted_kappa"))
+    return C.severity_metrics(C.confusion(_severity_pairs(spark, sf), []), []).withColumns(nine("accuracy", "macro_f1", "quadratic_weighted_kappa"))
 
 
 @query
 def severity_metrics_by_model(spark, sf):
-    return C.severity_metrics(C.confusion(_severity_pairs(spark, sf), BY_MODEL), BY_MODEL).withColumns(six("accuracy", "macro_f1", "quadratic_weighted_kappa"))
+    return C.severity_metrics(C.confusion(_severity_pairs(spark, sf), BY_MODEL), BY_MODEL).withColumns(nine("accuracy", "macro_f1", "quadratic_weighted_kappa"))
 
 
 @query
@@ -383,7 +383,7 @@ def annotator_agreement(spark, sf):
 
 @query
 def cohen_kappa(spark, sf):
-    return A.agreement(A.label_pairs(*_two(spark, sf))).withColumns(six("exact_agreement", "cohen_kappa"))
+    return A.agreement(A.label_pairs(*_two(spark, sf))).withColumns(nine("exact_agreement", "cohen_kappa"))
 
 
 @query
@@ -454,13 +454,13 @@ def _report(spark, sf) -> DataFrame:
 @query
 def flatten_claims(spark, sf):
     flat = R.flatten_claims(_report(spark, sf))
-    return flat.select("model_name", "dataset_item_id", "claim_id", "claim_start", "claim_end", "claim_text", "verification_label", "severity", F.round("support_score", 6).alias("support_score"), F.round("trust_score", 6).alias("trust_score"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
+    return flat.select("model_name", "dataset_item_id", "claim_id", "claim_start", "claim_end", "claim_text", "verification_label", "severity", F.round("support_score", 9).alias("support_score"), F.round("trust_score", 9).alias("trust_score"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
 @query
 def evidence_detail(spark, sf):
     out = R.evidence_detail(R.flatten_claims(_report(spark, sf)))
-    return out.withColumns(six("combined_score", "similarity", "support_score", "contradiction_score"))
+    return out.withColumns(nine("combined_score", "similarity", "support_score", "contradiction_score"))
 
 
 @query
@@ -492,13 +492,13 @@ def severity_by_model(spark, sf):
 @query
 def rates_unpivot(spark, sf):
     rates = M.label_rates(fx.facts(spark, sf), fx.responses(spark, sf))
-    return R.melt(rates, BY_MODEL, [f"{k}_rate" for k in LABELS], "metric", "rate").withColumns(six("rate"))
+    return R.melt(rates, BY_MODEL, [f"{k}_rate" for k in LABELS], "metric", "rate").withColumns(nine("rate"))
 
 
 @query
 def trust_components(spark, sf):
     signals = ["trust_score", "factual_score", "semantic_alignment", "consistency_score", "confidence_calibration", "severity_penalty"]
-    return fx.trust(spark, sf).select(*RESPONSE_KEY, *signals).withColumns(six(*signals))
+    return fx.trust(spark, sf).select(*RESPONSE_KEY, *signals).withColumns(nine(*signals))
 
 
 @query
