@@ -117,7 +117,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _windows(table: str, key: str, pattern: str, lower: bool, size: int, short: bool) -> str:
+    """Words and windows of a table: ``key, w`` and ``key, i, win`` (words joined by a space)."""
+    text = _LOWER_ASCII if lower else "coalesce(text, '')"
+    count = f"greatest(len(w) - {size - 1}, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END)" if short else f"greatest(len(w) - {size - 1}, 0)"
+    return f"""{table}_w AS MATERIALIZED (SELECT {key}, regexp_extract_all({text}, '{pattern}') AS w FROM {table}),
+        {table}_n AS MATERIALIZED (SELECT {key}, i, array_to_string(w[i:i + {size - 1}], ' ') AS win, len(w[i:i + {size - 1}]) AS size FROM (SELECT {key}, w, unnest(range(1, {count} + 1)) AS i FROM {table}_w))"""
+
+
 SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        WITH {_windows("documents", "doc_id", _SPACED, False, 20, False)},
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM documents_n) WHERE k > 1),
+        c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r) GROUP BY doc_id),
+        o AS (SELECT doc_id, w, gone, len(w) AS n FROM documents_w LEFT JOIN c USING (doc_id)),
+        u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM documents_w),
+        g AS (SELECT DISTINCT doc_id, unnest(gone) AS p FROM c),
+        k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM u ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, n AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o LEFT JOIN k USING (doc_id)""",
+    "op7_decontaminate": f"""
+        WITH {_windows("documents", "doc_id", _ALNUM, True, 10, False)}, {_windows("benchmark", "item_id", _ALNUM, True, 10, True)},
+        q AS (SELECT DISTINCT win, size, item_id FROM benchmark_n),
+        s AS (SELECT DISTINCT size FROM q WHERE size < 10),
+        a AS (SELECT doc_id, i, win FROM documents_n UNION ALL SELECT doc_id, i, array_to_string(w[i:i + size - 1], ' ') FROM (SELECT doc_id, w, size, unnest(range(1, greatest(len(w) - size + 1, 0) + 1)) AS i FROM documents_w CROSS JOIN s)),
+        h AS (SELECT doc_id, i, size, item_id FROM a JOIN q USING (win)),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM documents_w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER_ASCII} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
