@@ -232,14 +232,15 @@ def _predict(net, temperature: float):
         for batch in batches:
             langs, scores = [], []
             for lo, hi, raw, at in chunks(batch.column(1)):
-                total, n = pooled(model, raw, at)
-                total = total / np.maximum(n, 1)[:, None] * np.minimum(n, temperature)[:, None]
-                p = np.exp(total - total.max(axis=1, keepdims=True, initial=-np.inf)) if len(model.langs) else total
-                p = p / p.sum(axis=1, keepdims=True) if len(model.langs) else p
+                if model.langs:
+                    total, n = pooled(model, raw, at)
+                    total = total / np.maximum(n, 1)[:, None] * np.minimum(n, temperature)[:, None]
+                    p = np.exp(total - total.max(axis=1, keepdims=True))
+                    p /= p.sum(axis=1, keepdims=True)
                 texts = batch.column(1).slice(lo, hi - lo)
                 for k, text in enumerate(texts):
                     text = text.as_py()
-                    if not text or not len(model.langs) or not _LETTER.search(text):
+                    if not text or not model.langs or not _LETTER.search(text):
                         langs.append(UNDETERMINED)
                         scores.append(0.0)
                     else:
