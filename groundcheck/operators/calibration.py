@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from groundcheck.functions import scores as S
-from groundcheck.schema import SEVERITIES
+from groundcheck.schema import LABELS, SEVERITIES
 
 
 def threshold_grid(step: float = 0.05) -> list[float]:
@@ -17,43 +18,80 @@ def threshold_grid(step: float = 0.05) -> list[float]:
     return sorted({*(round(i * step, 10) for i in range(int(1 / step + 1e-9) + 1)), 1.0})
 
 
-def _candidates(spark: SparkSession, values: list[float] | None, name: str) -> DataFrame:
+def _checked(values: list[float] | None) -> list[float]:
+    """Candidates in rising order."""
     values = sorted(set(threshold_grid() if values is None else values))
     if not values or any(not 0 <= v <= 1 for v in values):
         raise ValueError("candidates must be in [0, 1], and there must be one")
-    return spark.createDataFrame([(v,) for v in values], f"{name} double")
+    return values
+
+
+def _passed(strength: Column, values: list[float]) -> Column:
+    """How many of the rising candidates a strength reaches."""
+    return reduce(lambda n, v: n + (strength >= v).cast("int"), values, F.lit(0))
 
 
 def verification_grid(observations: DataFrame, values: list[float] | None = None) -> DataFrame:
     """Accuracy, macro-F1, balanced accuracy and coverage of every pair of thresholds.
 
     ``observations`` has ``support_score, contradiction_score, gold_label``.
-    Predictions of all pairs are counted by (pair, gold, predicted) in one
-    aggregation; a task sends at most nine counts a pair.  Scores are taken over
-    the labels that occur in gold.
+    Only the greater score can win, and only if it reaches its threshold, so
+    claims are counted once by (winner, candidates reached, gold): some hundred
+    rows whatever the input.  The pairs are evaluated on those counts.  Scores
+    are taken over the labels that occur in gold.
     """
-    spark = observations.sparkSession
-    s, c = _candidates(spark, values, "support_threshold"), _candidates(spark, values, "contradiction_threshold")
-    grid = F.broadcast(s.crossJoin(c))  # the square of the candidates
-    label = S.label(F.col("support_score"), F.col("contradiction_score"), F.col("support_threshold"), F.col("contradiction_threshold"))
-    key = ["support_threshold", "contradiction_threshold"]
-    counts = observations.crossJoin(grid).groupBy(*key, "gold_label", label.alias("predicted")).agg(F.count("*").alias("n"))
-    return _grid_scores(counts, key)
-
-
-def _grid_scores(counts: DataFrame, key: list[str]) -> DataFrame:
-    """From counts of (key, gold_label, predicted): the scores of each key."""
-    gold = counts.groupBy(*key, F.col("gold_label").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("predicted") == F.col("gold_label"), F.col("n")).otherwise(0)).alias("tp"))
-    seen = counts.groupBy(*key, F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted_n"))
-    labels = gold.join(seen, [*key, "label"], "left").fillna(0, ["predicted_n"])
-    scores = labels.groupBy(*key).agg(
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        F.avg(2 * F.col("tp") / (F.col("support") + F.col("predicted_n"))).alias("macro_f1"),
-        F.avg(F.col("tp") / F.col("support")).alias("balanced_accuracy"),
-        F.sum("support").alias("sample_size"),
-    )
-    coverage = counts.groupBy(*key).agg((F.sum(F.when(F.col("predicted") != "unknown", F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"))
-    return scores.join(coverage, key)
+    values = _checked(values)
+    s, c = F.col("support_score"), F.col("contradiction_score")
+    winner = F.when(s > c, "supported").when(c > s, "contradicted").otherwise("unknown")
+    counts = observations.groupBy("gold_label", winner.alias("winner"), _passed(F.greatest(s, c), values).alias("reached")).agg(F.count("*").alias("n"))
+    spark, ranks = observations.sparkSession, list(enumerate(values, 1))
+    grid = spark.createDataFrame([(a, b, i, j) for i, a in ranks for j, b in ranks], "support_threshold double, contradiction_threshold double, i int, j int")
+    needed = F.when(F.col("winner") == "supported", F.col("i")).when(F.col("winner") == "contradicted", F.col("j"))
+    label = F.when(F.col("reached") >= needed, F.col("winner")).otherwise("unknown")
+    cells = _cells(F.broadcast(grid).crossJoin(counts).withColumn("predicted", label), ["support_threshold", "contradiction_threshold"], "gold_label", "predicted", LABELS)
+    m = _Matrix(len(LABELS))
+    return cells.select("support_threshold", "contradiction_threshold", m.accuracy().alias("accuracy"), m.mean_f1(gold_only=True).alias("macro_f1"), m.mean_recall().alias("balanced_accuracy"), m.total.alias("sample_size"), (1 - m.columns[LABELS.index("unknown")] / m.total).alias("coverage"))
+
+
+def _cells(rows: DataFrame, by: list[str], gold: str, predicted: str, labels: tuple[str, ...]) -> DataFrame:
+    """A row per group with the whole confusion matrix as columns ``c_i_j``; ``n`` counts what a row stands for."""
+    cell = lambda a, b: F.sum(F.when((F.col(gold) == a) & (F.col(predicted) == b), F.col("n")).otherwise(0))
+    return rows.groupBy(*by).agg(*(cell(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(labels) for j, b in enumerate(labels)))
+
+
+class _Matrix:
+    """Column expressions on the confusion matrix ``c_i_j`` of a row (gold i, predicted j)."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.cell = [[F.col(f"c_{i}_{j}") for j in range(size)] for i in range(size)]
+        add = lambda xs: reduce(lambda a, b: a + b, xs)
+        self.rows = [add(row) for row in self.cell]
+        self.columns = [add([row[j] for row in self.cell]) for j in range(size)]
+        self.total = add(self.rows)
+        self.add = add
+
+    def accuracy(self) -> Column:
+        return self.add([self.cell[i][i] for i in range(self.size)]) / self.total
+
+    def _mean(self, value, used) -> Column:
+        on = [used(i) for i in range(self.size)]
+        return F.try_divide(self.add([F.when(o, value(i)).otherwise(0.0) for i, o in enumerate(on)]), self.add([o.cast("int") for o in on]))
+
+    def mean_f1(self, gold_only: bool) -> Column:
+        both = lambda i: self.rows[i] + self.columns[i]
+        return self._mean(lambda i: 2 * self.cell[i][i] / F.nullif(both(i), F.lit(0)), lambda i: (self.rows[i] if gold_only else both(i)) > 0)
+
+    def mean_recall(self) -> Column:
+        return self._mean(lambda i: self.cell[i][i] / F.nullif(self.rows[i], F.lit(0)), lambda i: self.rows[i] > 0)
+
+    def quadratic_kappa(self) -> Column:
+        """Null where no disagreement is expected."""
+        pairs = [(i, j) for i in range(self.size) for j in range(self.size) if i != j]
+        weight = lambda i, j: ((i - j) / (self.size - 1)) ** 2
+        observed = self.add([weight(i, j) * self.cell[i][j] for i, j in pairs])
+        expected = self.add([weight(i, j) * self.rows[i] * self.columns[j] for i, j in pairs])
+        return F.when(expected != 0, 1 - observed * self.total / F.nullif(expected, F.lit(0.0)))
 
 
 def best_verification_thresholds(grid: DataFrame, objective: str = "macro_f1") -> DataFrame:
@@ -67,25 +105,20 @@ def best_verification_thresholds(grid: DataFrame, objective: str = "macro_f1") -
 
 def confusion(pairs: DataFrame, by: list[str]) -> DataFrame:
     """``by, gold, predicted, n`` for all 16 cells of every group that occurs."""
-    levels = F.array(*(F.lit(s) for s in SEVERITIES))
-    groups = pairs.select(*by).distinct() if by else pairs.sparkSession.range(1).select()
-    cells = groups.select(*by, F.explode(levels).alias("gold")).select("*", F.explode(levels).alias("predicted"))
-    counts = pairs.groupBy(*by, "gold", "predicted").agg(F.count("*").alias("n"))
-    return cells.join(counts, [*by, "gold", "predicted"], "left").fillna(0, ["n"])
-
-
-def severity_metrics(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Accuracy, macro-F1 over labels in gold or predictions, quadratic-weighted kappa and sample size, from 16 cells a group."""
-    place = lambda c: F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.col(c))
-    weight = ((place("gold") - place("predicted")) / (len(SEVERITIES) - 1)) ** 2
-    rows = cells.groupBy(*by, F.col("gold").alias("label")).agg(F.sum("n").alias("gold_n"), F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
-    columns = cells.groupBy(*by, F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted_n"))
-    both = rows.join(columns, [*by, "label"])
-    flat = both.groupBy(*by).agg((F.sum("tp") / F.sum("gold_n")).alias("accuracy"), F.avg(F.when(F.col("gold_n") + F.col("predicted_n") > 0, 2 * F.col("tp") / F.nullif(F.col("gold_n") + F.col("predicted_n"), F.lit(0)))).alias("macro_f1"), F.sum("gold_n").alias("sample_size"))
-    margins = cells.join(rows.select(*by, F.col("label").alias("gold"), "gold_n"), [*by, "gold"]).join(columns.select(*by, F.col("label").alias("predicted"), "predicted_n"), [*by, "predicted"])
-    kappa = margins.withColumn("w", weight).groupBy(*by).agg(F.sum(F.col("w") * F.col("n")).alias("observed"), F.sum(F.col("w") * F.col("gold_n") * F.col("predicted_n")).alias("expected"), F.sum("n").alias("total"))
-    kappa = kappa.select(*by, F.when(F.col("expected") != 0, 1 - F.col("observed") * F.col("total") / F.nullif(F.col("expected"), F.lit(0.0))).alias("quadratic_weighted_kappa"))
-    return flat.join(kappa, by) if by else flat.crossJoin(kappa)  # one row each
+    flat = _cells(pairs.withColumn("n", F.lit(1)), by, "gold", "predicted", SEVERITIES)
+    cells = F.array(*(F.struct(F.lit(a).alias("gold"), F.lit(b).alias("predicted"), F.col(f"c_{i}_{j}").alias("n")) for i, a in enumerate(SEVERITIES) for j, b in enumerate(SEVERITIES)))
+    return flat.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
+
+
+def severity_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy, macro-F1 over labels in gold or predictions, quadratic-weighted kappa and sample size.
+
+    ``pairs`` has ``gold, predicted``, and ``n`` where a row stands for several claims.
+    """
+    m = _Matrix(len(SEVERITIES))
+    counted = pairs if "n" in pairs.columns else pairs.withColumn("n", F.lit(1))
+    flat = _cells(counted, by, "gold", "predicted", SEVERITIES)
+    return flat.where(m.total > 0).select(*by, m.accuracy().alias("accuracy"), m.mean_f1(gold_only=False).alias("macro_f1"), m.total.alias("sample_size"), m.quadratic_kappa().alias("quadratic_weighted_kappa"))
 
 
 def severity_pairs(facts: DataFrame, gold: DataFrame, key: list[str], strict: bool = True) -> DataFrame:
@@ -103,13 +136,16 @@ def severity_pairs(facts: DataFrame, gold: DataFrame, key: list[str], strict: bo
 def severity_grid(observations: DataFrame, values: list[float] | None = None) -> DataFrame:
     """Severity metrics for every cutoff; observations have ``claim_text, label, contradiction_score, gold_severity``.
 
-    Only the cutoff differs between candidates, so text rules run once a claim.
+    Only the cutoff differs between candidates: claims are counted once by
+    label, candidates reached, domains and advice, and those counts are judged.
     """
-    cutoffs = F.broadcast(_candidates(observations.sparkSession, values, "threshold"))
+    values = _checked(values)
     rows = observations.where(F.col("gold_severity").isNotNull() & (F.col("label") != "supported"))
-    ruled = rows.select("label", "contradiction_score", F.col("gold_severity").alias("gold"), S.risk_domains(F.col("claim_text")).alias("domains"), S.gives_advice(F.col("claim_text")).alias("advice"))
-    level, _ = S.severity(F.col("label"), F.col("contradiction_score"), F.col("domains"), F.col("advice"), 0.0, F.col("threshold"))
-    return severity_metrics(confusion(ruled.crossJoin(cutoffs).select("threshold", "gold", level.alias("predicted")), ["threshold"]), ["threshold"])
+    ruled = rows.select("label", _passed(F.col("contradiction_score"), values).alias("reached"), F.col("gold_severity").alias("gold"), S.risk_domains(F.col("claim_text")).alias("domains"), S.gives_advice(F.col("claim_text")).alias("advice"))
+    counts = ruled.groupBy("label", "reached", "gold", "domains", "advice").agg(F.count("*").alias("n"))
+    cutoffs = observations.sparkSession.createDataFrame([(v, k) for k, v in enumerate(values, 1)], "threshold double, k int")
+    level, _ = S.severity(F.col("label"), F.col("reached"), F.col("domains"), F.col("advice"), 0.0, F.col("k"))
+    return severity_metrics(F.broadcast(cutoffs).crossJoin(counts).select("threshold", "gold", "n", level.alias("predicted")), ["threshold"])
 
 
 def best_severity_threshold(grid: DataFrame) -> DataFrame:

@@ -15,9 +15,14 @@ def item_outcomes(facts: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def paired_outcomes(outcomes: DataFrame) -> DataFrame:
-    """Both models' outcomes on every item, for each pair of models in order of name."""
-    side = lambda s: outcomes.select("dataset_item_id", *(F.col(c).alias(f"{c}_{s}") for c in ("model_name", "rate", "error")))
-    return side("a").join(side("b"), "dataset_item_id").where("model_name_a < model_name_b").withColumnsRenamed({"model_name_a": "model_a", "model_name_b": "model_b"})
+    """Both models' outcomes on every item, for each pair of models in order of name.
+
+    An item's outcomes, one a model, are gathered and paired in place: no self-join.
+    """
+    line = outcomes.groupBy("dataset_item_id").agg(F.array_sort(F.collect_list(F.struct("model_name", "rate", "error"))).alias("line"))
+    pairs = F.flatten(F.transform("line", lambda a, i: F.transform(F.slice("line", i + 2, F.size("line")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    rows = line.select("dataset_item_id", F.explode(pairs).alias("p"))
+    return rows.select(F.col("p.a.model_name").alias("model_a"), F.col("p.b.model_name").alias("model_b"), "dataset_item_id", *(F.col(f"p.{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("rate", "error")))
 
 
 def paired_comparison(pairs: DataFrame) -> DataFrame:

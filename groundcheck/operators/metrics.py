@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundcheck.functions import scores as S
+from groundcheck.operators.trust import trust_formula
 from groundcheck.schema import CLAIM_KEY, LABELS, RESPONSE_KEY, SEVERITIES
 
 BUCKETS = 10
@@ -38,12 +39,10 @@ def gold_pairs(facts: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def class_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Precision, recall, F1 and support of every label; 0 where a denominator is 0."""
-    labels = F.explode(F.array(*(F.lit(k) for k in LABELS))).alias("label")
-    tall = pairs.groupBy(*by, "predicted", "gold_label").count().select("*", labels)  # 9 counts a group at most
-    hit = (F.col("predicted") == F.col("label"), F.col("gold_label") == F.col("label"))
-    total = lambda c: F.sum(F.when(c, F.col("count")).otherwise(0))
-    counts = tall.groupBy(*by, "label").agg(total(hit[0] & hit[1]).alias("tp"), total(hit[0] & ~hit[1]).alias("fp"), total(~hit[0] & hit[1]).alias("fn"))
+    """Precision, recall, F1 and support of every label; 0 where a denominator is 0.  One aggregation."""
+    hit = lambda x: (F.col("predicted") == x, F.col("gold_label") == x)
+    count = lambda x: F.struct(F.lit(x).alias("label"), F.count_if(hit(x)[0] & hit(x)[1]).alias("tp"), F.count_if(hit(x)[0] & ~hit(x)[1]).alias("fp"), F.count_if(~hit(x)[0] & hit(x)[1]).alias("fn"))
+    counts = pairs.groupBy(*by).agg(F.array(*(count(x) for x in LABELS)).alias("all")).select(*by, F.explode("all").alias("c")).select(*by, "c.*")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     precision, recall = zero(F.try_divide("tp", F.col("tp") + F.col("fp"))), zero(F.try_divide("tp", F.col("tp") + F.col("fn")))
     out = counts.withColumns({"precision": precision, "recall": recall, "support": F.col("tp") + F.col("fn")})
@@ -83,14 +82,55 @@ def confidence_calibration(facts: DataFrame, gold: DataFrame, by: list[str]) ->
     return buckets.groupBy(*by).agg((F.sum("b") / total).alias("confidence_brier_score"), (F.sum(F.col("n") * F.abs(F.col("c") - F.col("o"))) / total).alias("confidence_ece"), total.alias("calibrated_responses"))
 
 
-def model_metrics(facts: DataFrame, responses: DataFrame, gold: DataFrame | None = None, trust: DataFrame | None = None, k: int = 5) -> DataFrame:
-    """One row per model with every metric; those whose input is missing are null."""
-    by = ["model_name"]
-    out = label_rates(facts, responses).withColumn("retrieval_k", F.lit(k))
-    if trust is not None:
-        out = out.join(trust.groupBy(*by).agg(F.avg("trust_score").alias("average_trust_score")), by, "left")
+def model_metrics(facts: DataFrame, responses: DataFrame, gold: DataFrame | None = None, consistency: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """One row per model with every metric; those whose input is missing are null.
+
+    One pass: claims meet their gold labels once, are summed up per response and
+    then per model.  Models and responses without claims stay.
+    """
+    c = F.col
+    claims = facts.select(*CLAIM_KEY, "label", "severity", "similarity", "confidence", c("hits.evidence_id").alias("found"))
     if gold is not None:
-        pairs = gold_pairs(facts, gold)
-        for part in (accuracy(pairs, by).drop("gold_claims"), macro_f1(class_metrics(pairs, by), by), retrieval_recall(facts, gold, by), confidence_calibration(facts, gold, by).drop("calibrated_responses")):
-            out = out.join(part, by, "left")  # one row per model on either side
-    return out
+        claims = claims.join(gold.select(*CLAIM_KEY, "gold_label", F.array_distinct("evidence_ids").alias("relevant")), CLAIM_KEY, "left")
+    else:
+        claims = claims.withColumns({"gold_label": F.lit(None).cast("string"), "relevant": F.lit(None).cast("array<string>")})
+    right = (c("label") == "supported").cast("double")
+    hundredths = {s: round(100 * v) for s, v in S.PENALTIES.items()}
+    pairs = [(a, b) for a in LABELS for b in LABELS]
+    cell = lambda a, b: f"{a}_{b}"
+    sums = {f"{x}_count": F.count_if(c("label") == x) for x in LABELS} | {f"{x}_count": F.count_if(c("severity") == x) for x in SEVERITIES}
+    sums |= {cell(a, b): F.count_if((c("label") == a) & (c("gold_label") == b)) for a, b in pairs}
+    sums |= {
+        "claim_count": F.count("*"), "weight": F.coalesce(F.sum(S.by_severity(c("severity"), S.ERROR_WEIGHTS)), F.lit(0)), "penalty": F.coalesce(F.sum(S.by_severity(c("severity"), hundredths)), F.lit(0)),
+        "recalls": F.sum(F.when(F.size("relevant") > 0, F.size(F.array_intersect("found", "relevant")) / F.size("relevant"))), "recall_n": F.count_if(F.size("relevant") > 0),
+    }
+    parts = claims.groupBy(*RESPONSE_KEY).agg(
+        *(v.alias(n) for n, v in sums.items()), F.avg(right).alias("factual_score"), F.avg("similarity").alias("semantic_alignment"), F.avg(1 - F.abs(c("confidence") - right)).alias("confidence_calibration"),
+        F.first("confidence").alias("sure"), F.bool_and(c("gold_label").isNotNull()).alias("complete"), F.coalesce(F.bool_and(c("label") == c("gold_label")), F.lit(False)).cast("double").alias("outcome"),
+    )
+    rows = responses.select(*RESPONSE_KEY).join(parts, RESPONSE_KEY, "left")
+    if consistency is not None:
+        rows = rows.join(consistency.select(*RESPONSE_KEY, "consistency_score"), RESPONSE_KEY, "left")
+    else:
+        rows = rows.withColumn("consistency_score", F.lit(None).cast("double"))
+    rows = rows.withColumn("severity_penalty", F.least(F.lit(1.0), c("penalty") / (100 * c("claim_count"))))
+    judged = c("complete") & c("sure").isNotNull()
+    rows = rows.withColumns({"trust": F.when(c("consistency_score").isNotNull() & c("claim_count").isNotNull(), trust_formula()), "off": F.when(judged, c("sure") - c("outcome")), "bucket": bucket(c("sure"))})
+    totals = rows.groupBy("model_name").agg(
+        F.count("*").alias("response_count"), F.count_distinct("dataset_item_id").alias("dataset_item_count"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums if n != "recalls"), F.sum("recalls").alias("recalls"),
+        F.avg("trust").alias("average_trust_score"), F.avg(c("off") ** 2).alias("confidence_brier_score"), F.count("off").alias("judged"),
+        *(F.coalesce(F.abs(F.sum(F.when(c("bucket") == i, c("off")))), F.lit(0.0)).alias(f"off_{i}") for i in range(BUCKETS)),
+    )
+    rate = lambda n: F.try_divide(c(n), c("claim_count"))
+    gold_n = sum((c(cell(a, b)) for a, b in pairs), F.lit(0))
+    f1, support = [], []
+    for x in LABELS:
+        tp, said, is_ = c(cell(x, x)), sum((c(cell(x, b)) for b in LABELS), F.lit(0)), sum((c(cell(a, x)) for a in LABELS), F.lit(0))
+        f1.append(F.when(is_ > 0, 2 * tp / F.nullif(said + is_, F.lit(0))).otherwise(0.0))
+        support.append((is_ > 0).cast("int"))
+    return totals.select(
+        "model_name", "response_count", "dataset_item_count", "claim_count", *(f"{x}_count" for x in (*LABELS, *SEVERITIES)), *(rate(f"{x}_count").alias(f"{x}_rate") for x in LABELS), rate("contradicted_count").alias("hallucination_rate"),
+        F.try_divide(c("weight"), 8 * c("claim_count")).alias("severity_weighted_error_rate"), F.lit(k).alias("retrieval_k"), "average_trust_score",
+        F.try_divide(sum((c(cell(x, x)) for x in LABELS), F.lit(0)), gold_n).alias("verification_accuracy"), F.try_divide(sum(f1, F.lit(0.0)), sum(support, F.lit(0))).alias("verification_macro_f1"),
+        F.try_divide(c("recalls"), c("recall_n")).alias("retrieval_recall_at_k"), "confidence_brier_score", F.try_divide(sum((c(f"off_{i}") for i in range(BUCKETS)), F.lit(0.0)), c("judged")).alias("confidence_ece"),
+    )

@@ -23,6 +23,7 @@ from groundcheck.schema import HIT
 
 GROUP_BYTES = 64 << 20  # of passages' tokens and vectors in one broadcast
 BLOCK = 256  # passages whose scores are taken at once
+VECTOR = 1024  # numbers that a vector is taken to have when groups are cut
 CELLS = 1 << 21  # numbers of a product at most
 
 
@@ -90,10 +91,8 @@ class PassageGroup:
 
 def _groups(evidence: DataFrame, postings: DataFrame, vectors: DataFrame | None) -> Iterator[PassageGroup]:
     """Passages in groups of positions; the driver holds one group at a time."""
-    size = postings.select((F.octet_length("token") + 24).alias("n")).agg(F.sum("n")).first()[0] or 0
-    total = evidence.agg(F.count("*"), F.min("pos"), F.max("pos")).first()
-    if vectors is not None:
-        size += 8 * (vectors.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0)
+    total = evidence.agg(F.count("*"), F.min("pos"), F.max("pos"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    size = 12 * total[3] + (8 * VECTOR * total[0] if vectors is not None else 0)
     if not total[0]:
         return
     groups = -(-size // GROUP_BYTES) or 1
@@ -138,7 +137,7 @@ def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: PassageGroup = group.value
-        blocks = list(own.blocks())
+        blocks, ids = list(own.blocks()), np.array(own.ids, object)
         for batch in batches:
             n = len(batch)
             lists = batch.column(1)
@@ -151,14 +150,8 @@ def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bo
                     top = np.maximum(top, s.max(axis=1, initial=0.0))
             hits = batch.column(4)
             if mode != "max":
-                unit = None
-                if own.vectors is not None:
-                    unit = np.array(batch.column(2).to_pylist(), np.float64).reshape(n, own.vectors.shape[1])
-                    size = np.linalg.norm(unit, axis=1, keepdims=True)
-                    zero = size[:, 0] == 0
-                    unit = np.where(size > 0, unit / np.where(size > 0, size, 1), 0)
-                old = hits.to_pylist()
-                have = [[(-round(h["combined_score"], 12), h["pos"], h["bm25_score"], h["embedding_score"], h["combined_score"], h["evidence_id"]) for h in x or ()] for x in old]
+                best = _unpack_hits(hits, k)
+                unit = _unit_rows(batch.column(2), own.vectors.shape[1]) if own.vectors is not None else None
                 for block in blocks:
                     a, b = block[:2]
                     s = lexical_scores(own, token, edge, n, block)
@@ -166,20 +159,57 @@ def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bo
                     emb = np.zeros_like(s)
                     if unit is not None:
                         emb = np.clip((unit @ own.vectors[a:b].T + 1) / 2, 0, 1)
-                        emb[zero] = 0
+                        emb[~unit.any(axis=1)] = 0
                         emb[:, ~own.vectors[a:b].any(axis=1)] = 0
                     both = lexical * scaled + dense * emb
                     near = np.argsort(-np.round(both, 12), axis=1, kind="stable")[:, :k]
-                    for i in range(n):
-                        have[i] += [(-round(float(both[i, j]), 12), int(own.pos[a + j]), float(s[i, j]), float(emb[i, j]), float(both[i, j]), own.ids[a + j]) for j in near[i].tolist()]
-                        if len(have[i]) > k:
-                            have[i] = sorted(have[i])[:k]
-                hits = pa.array([[{"pos": h[1], "evidence_id": h[5], "bm25_score": h[2], "embedding_score": h[3], "combined_score": h[4], "rank": r} for r, h in enumerate(sorted(x), 1)] for x in have], hits.type)
+                    take = lambda x: np.take_along_axis(x, near, axis=1)  # noqa: B023, E731
+                    new = {"pos": own.pos[a + near], "evidence_id": ids[a + near], "bm25_score": take(s), "embedding_score": take(emb), "combined_score": take(both)}
+                    best = {c: np.concatenate([best[c], new[c]], axis=1) for c in best}
+                    order = np.argsort(-np.round(best["combined_score"], 12), axis=1, kind="stable")[:, :k]  # earlier columns are earlier passages
+                    best = {c: np.take_along_axis(x, order, axis=1) for c, x in best.items()}
+                hits = _pack_hits(best, hits.type)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), pa.array(top), hits], names=names)
 
     return run
 
 
+def _unit_rows(column: pa.Array, size: int) -> np.ndarray:
+    """Vectors as rows of length one; zero or missing ones as zeros."""
+    out = np.zeros((len(column), size))
+    have = np.flatnonzero(np.asarray(column.is_valid()))
+    out[have] = column.flatten().to_numpy(zero_copy_only=False).reshape(len(have), size)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+
+
+_FIELDS = ("pos", "evidence_id", "bm25_score", "embedding_score", "combined_score")
+
+
+def _unpack_hits(hits: pa.Array, k: int) -> dict[str, np.ndarray]:
+    """The hits so far as k columns; free places score below all."""
+    n = len(hits)
+    count = hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = hits.flatten()
+    row, place = np.repeat(np.arange(n), count), np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+    out = {}
+    for c in _FIELDS:
+        kind = {"pos": np.int64, "evidence_id": object}.get(c, np.float64)
+        out[c] = np.full((n, k), -np.inf if c == "combined_score" else 0, kind)
+        if len(flat):
+            out[c][row, place] = flat.field(c).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _pack_hits(best: dict[str, np.ndarray], kind: pa.DataType) -> pa.Array:
+    used = best["combined_score"] > -np.inf
+    count = used.sum(axis=1)
+    fields = {c: pa.array(best[c][used], kind.value_type.field(c).type) for c in _FIELDS}
+    fields["rank"] = pa.array((np.cumsum(used, axis=1)[used]).astype(np.int32))
+    values = pa.StructArray.from_arrays([fields[kind.value_type.field(i).name] for i in range(kind.value_type.num_fields)], fields=[kind.value_type.field(i) for i in range(kind.value_type.num_fields)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), values, type=kind)
+
+
 def rank_passages(
     claims: DataFrame, evidence: DataFrame, postings: DataFrame, k: int, claim_vector: Column | None = None, vectors: DataFrame | None = None,
     lexical: float = 0.5, dense: float = 0.5, normalise: bool = True, tokenise=X.tokens, text: str = "claim_text",

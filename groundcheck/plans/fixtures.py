@@ -79,10 +79,10 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 def drawn_nli(key: Column) -> Column:
     """Three probabilities from eight hex digits of md5 each."""
-    digest = F.md5(key)
-    part = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") + 1
-    e, c, n = part(0), part(1), part(2)
-    return F.struct((e / (e + c + n)).alias("entailment"), (c / (e + c + n)).alias("contradiction"), (n / (e + c + n)).alias("neutral"))
+    word = lambda d, k: F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("double") + 1
+    words = F.transform(F.array(F.md5(key)), lambda d: F.struct(word(d, 0).alias("e"), word(d, 1).alias("c"), word(d, 2).alias("n")))  # one digest
+    share = lambda w, c: w[c] / (w["e"] + w["c"] + w["n"])
+    return F.element_at(F.transform(words, lambda w: F.struct(share(w, "e").alias("entailment"), share(w, "c").alias("contradiction"), share(w, "n").alias("neutral"))), 1)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:

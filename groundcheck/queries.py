@@ -182,7 +182,7 @@ def trust_rationale(spark, sf):
 @query
 def model_metrics(spark, sf):
     rows = fx.facts(spark, sf)
-    out = M.model_metrics(rows, fx.responses(spark, sf), fx.gold(spark, sf), fx.trust(spark, sf, rows), fx.TOP_K)
+    out = M.model_metrics(rows, fx.responses(spark, sf), fx.gold(spark, sf), fx.consistency(spark, sf), fx.TOP_K)
     return out.withColumns(nine(*(c for c in out.columns if out.schema[c].dataType.simpleString() == "double")))
 
 
@@ -291,12 +291,12 @@ def severity_confusion(spark, sf):
 
 @query
 def quadratic_kappa(spark, sf):
-    return C.severity_metrics(C.confusion(_severity_pairs(spark, sf), []), []).withColumns(nine("accuracy", "macro_f1", "quadratic_weighted_kappa"))
+    return C.severity_metrics(_severity_pairs(spark, sf), []).withColumns(nine("accuracy", "macro_f1", "quadratic_weighted_kappa"))
 
 
 @query
 def severity_metrics_by_model(spark, sf):
-    return C.severity_metrics(C.confusion(_severity_pairs(spark, sf), BY_MODEL), BY_MODEL).withColumns(nine("accuracy", "macro_f1", "quadratic_weighted_kappa"))
+    return C.severity_metrics(_severity_pairs(spark, sf), BY_MODEL).withColumns(nine("accuracy", "macro_f1", "quadratic_weighted_kappa"))
 
 
 @query
