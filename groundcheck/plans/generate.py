@@ -140,7 +140,7 @@ def _exists(spark, path: str) -> bool:
 def _read_manifest(spark, path: str) -> dict[str, Any] | None:
     if not _exists(spark, path):
         return None
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def _write_manifest(spark, path: str, value: dict[str, Any]) -> None:

@@ -33,7 +33,7 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     lines = read_lines(spark, path)
     message = F.concat(F.lit(f"{path}: "), F.coalesce("error", F.lit("wrong type")), F.lit(" on line "), F.col("line").cast("string"))
     rows = lines.select("record", F.when(F.col("error").isNull(), strict(F.col("value"), schema)).alias("r"), message.alias("message"))
-    checked = rows.select("record", F.coalesce("r", F.raise_error("message").cast(schema)).alias("r"))
+    checked = rows.select("record", F.coalesce("r", F.raise_error(F.col("message")).cast(schema)).alias("r"))
     return checked.select("record", "r.*")
 
 

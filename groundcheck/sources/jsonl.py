@@ -19,19 +19,12 @@ def scan_lines(files: DataFrame, blank_is_error: bool = False) -> DataFrame:
     Blank lines are passed over, or are errors where asked.  A line must hold a
     JSON object.
     """
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("k", "value"))
-    lines = lines.select("file", (F.col("k") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"), F.size(F.split("value", "\n")).alias("_n"))
-    blank = is_blank(F.col("value"))
-    last = F.max("line").over(_by_file())
-    kept = lines.withColumn("_last", last).where(~blank | (F.lit(blank_is_error) & (F.col("line") < F.col("_last"))))
-    error = F.when(blank, "blank line").otherwise(object_error(F.col("value")))
-    return kept.withColumns({"record": F.row_number().over(_by_file().orderBy("line")), "error": error}).drop("_n", "_last")
-
-
-def _by_file():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("file")
+    cut = F.split("value", "\n")
+    lines = F.transform(cut, lambda v, i: F.struct((i + 1).alias("line"), F.regexp_replace(v, "\r$", "").alias("value")))
+    # blank lines go before rows are made of them: later steps may raise, whatever order filters run in
+    kept = F.filter(lines, lambda x: ~is_blank(x["value"]) | (F.lit(blank_is_error) & (x["line"] < F.size(cut))))
+    rows = files.select("file", F.posexplode(kept).alias("k", "x")).select("file", "x.line", (F.col("k") + 1).alias("record"), "x.value")
+    return rows.withColumn("error", F.when(is_blank(F.col("value")), "blank line").otherwise(object_error(F.col("value"))))
 
 
 def object_error(value: Column) -> Column:
@@ -42,7 +35,7 @@ def object_error(value: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str, blank_is_error: bool = False) -> DataFrame:
     """:func:`scan_lines` of the files at a path."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return scan_lines(files, blank_is_error)
 
 
