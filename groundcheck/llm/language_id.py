@@ -30,6 +30,7 @@ SAMPLE = 400  # training documents of a language, at most
 SAMPLE_WORDS = 100  # words of a training document, at most
 STEPS, BATCH, RATE = 500, 256, 0.02
 UNDETERMINED = "und"
+_RANGE = 1 << 30
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -186,8 +187,11 @@ def fit_language_id(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows without a language or text are passed over.
     """
     ranked = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ranked.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "id")
+    ranked = ranked.distinct().withColumn("h", F.pmod(F.xxhash64("id"), F.lit(_RANGE)))
+    counts = ranked.groupBy("lang").agg(F.count("*").alias("rows"))
+    few = ranked.join(counts, "lang").where(F.col("h") * F.col("rows") < 4.0 * sample * _RANGE)  # some 4 x sample a language, the lowest hashes
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "id")
     texts = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), ["lang", "id"]).select("lang", "text").mapInArrow(_sampled_words(sample_words), "lang string, word binary").collect()
     langs = sorted({r.lang for r in rows})
