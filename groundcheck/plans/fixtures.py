@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from groundcheck.functions import text as X
 from groundcheck.operators import retrieval, trust as trust_op, verification as V
 from groundcheck.schema import CLAIM_KEY, LABELS, RESPONSE_KEY, SEVERITIES
+from groundcheck.session import spread
 
 MODELS, SOURCES = 3, 20
 TOP_K = 5
@@ -27,7 +28,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     confidence = F.when(d % 7 != 0, ((d * 37) % 101) / 100)
-    return table(spark, sf, "documents").where(d % SOURCES < MODELS).select(
+    rows = table(spark, sf, "documents").where(d % SOURCES < MODELS).select("doc_id", "text")
+    return spread(rows).select(
         "doc_id", F.concat(F.lit("model-"), (d % SOURCES).cast("string")).alias("model_name"), item_id((d - d % SOURCES) / SOURCES).alias("dataset_item_id"), "text", confidence.alias("confidence")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, partitions: int | None = None, app: str = "groundcheck") -> SparkSession:
@@ -21,3 +21,9 @@ def local_session(cpus: int | None = None, partitions: int | None = None, app: s
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, as of one small file, dealt out; any other as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
