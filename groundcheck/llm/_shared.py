@@ -35,10 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that no other run uses."""
     path = f"{shared_dir(spark)}/groundcheck-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Tables of a run go when it ends, as far as their store can still be reached."""
     local = urlparse(path)
     if local.scheme in ("", "file"):
-        atexit.register(shutil.rmtree, local.path, ignore_errors=True)
-    return path
+        shutil.rmtree(local.path, ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str, light: bool = False) -> DataFrame:

@@ -35,6 +35,12 @@ _RANGE = 1 << 30
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; numerals of any kind are none."""
+    found = _LETTER.search(text or "")
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -244,7 +250,7 @@ def _predict(net, temperature: float):
                 texts = batch.column(1).slice(lo, hi - lo)
                 for k, text in enumerate(texts):
                     text = text.as_py()
-                    if not text or not model.langs or not _LETTER.search(text):
+                    if not model.langs or not has_letter(text):
                         langs.append(UNDETERMINED)
                         scores.append(0.0)
                     else:

@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from groundcheck.session import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message's repair and piece of the rendered chat."""
     from groundcheck.llm.chat_format import chat_format
@@ -24,7 +30,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that repeat a window of an earlier place."""
     from groundcheck.llm.substring_dedup import substring_dedup
 
-    found = substring_dedup(_table(spark, sf_dir, "documents"))
+    found = substring_dedup(_documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -41,7 +47,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundcheck.llm.sentencepiece_codec import sentencepiece_encode
 
     kinds = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     found = sentencepiece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"), derive=_token_digest, schema=kinds)
     return found.select("row.doc_id", *kinds.names)
 
@@ -50,14 +56,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its group."""
     from groundcheck.llm.exact_dedup import exact_dedup
 
-    return exact_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return exact_dedup(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     from groundcheck.llm.simhash import simhash_components
 
-    found = simhash_components(_table(spark, sf_dir, "documents"))
+    found = simhash_components(_documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -65,7 +71,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 24 shards of near equal bytes."""
     from groundcheck.llm.sharding import shard_by_bytes
 
-    found = shard_by_bytes(_table(spark, sf_dir, "documents"))
+    found = shard_by_bytes(_documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -73,7 +79,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that occurrences of benchmark windows cover."""
     from groundcheck.llm.decontaminate import find_contamination
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
     return found.select(
         "row.doc_id",
@@ -89,7 +95,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those that are not held out."""
     from groundcheck.llm.language_id import fit_language_id, held_out, predict_language
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _documents(spark, sf_dir, "lang")
     net = fit_language_id(docs.where(~held_out()))
     found = predict_language(docs.select("doc_id", "text"), net)
     return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
@@ -109,7 +115,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundcheck.llm.language_id import held_out
     from groundcheck.llm.quality import fit_quality, quality_scores
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     labels = _table(spark, sf_dir, "labels").where(~held_out())
     found = quality_scores(docs, fit_quality(docs, labels))
     return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from groundcheck.llm.language_id import ByteGRU, _tokens, fit_language_id, held_out, pooled, predict_language, train
+from groundcheck.llm.language_id import ByteGRU, _tokens, fit_language_id, has_letter, held_out, pooled, predict_language, train
 from groundcheck.llm.quality import fit, fit_quality, quality_scores, term_frequencies
 
 
@@ -112,3 +112,7 @@ def test_votes_are_exact():
         near = np.argsort(-cosine[k])[:25]
         w = np.maximum(cosine[k][near], 0)
         assert abs(score - (w * model.labels[near]).sum() / w.sum()) < 1e-4
+
+
+def test_letters():
+    assert [has_letter(t) for t in (None, "", "12 ²½ _!", "²é", "日", "ª", "٣", "x")] == [False, False, False, True, True, True, False, True]
