@@ -309,6 +309,19 @@ PARTS["bhit"] = f"""SELECT {_K}, pos, score, rank FROM (SELECT *, row_number() O
     FROM (SELECT {_K}, pos FROM claims CROSS JOIN evi) x LEFT JOIN (SELECT {_K}, unnest(regexp_extract_all(lower(claim_text), '[a-z0-9]+')) AS token, 1 AS n FROM claims) q USING ({_K}) LEFT JOIN (SELECT pos, token, count(*) AS n FROM (SELECT pos, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM evi) GROUP BY ALL) t USING (pos, token) GROUP BY ALL)) WHERE rank <= 3"""
 PARTS["bsim"] = f"""SELECT {_K}, max(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END) AS similarity FROM (
     SELECT {_K}, list_distinct(regexp_extract_all(lower(claim_text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(e.text), '[a-z0-9]+')) AS b FROM claims JOIN bhit USING ({_K}) JOIN evi e USING (pos)) GROUP BY ALL"""
+_MODEL_TABLE = "model_name, claim_count, supported_rate, contradicted_rate, unknown_rate, severity_weighted_error_rate, average_trust_score, verification_macro_f1, confidence_ece"
+ORACLES |= {
+    "filter_responses": f"SELECT {_R}, confidence FROM resp WHERE model_name IN ('model-1', 'model-2') AND dataset_item_id BETWEEN 'item-000003' AND 'item-000020'",
+    "filter_comparisons": "SELECT model_a, model_b, paired_item_count, round(mean_difference, 9) AS mean_difference, a AS model_a_error_only_items, b AS model_b_error_only_items FROM disc WHERE model_a = 'model-0' AND model_b = 'model-2'",
+    "model_table": f"SELECT {_MODEL_TABLE}, retrieval_recall_at_k AS recall_at_5 FROM mm",
+    "gold_tallies": "SELECT gold_label AS value, count(*) AS claims, 'label' AS kind FROM gold GROUP BY 1 UNION ALL SELECT gold_severity, count(*), 'severity' FROM gold WHERE gold_severity IS NOT NULL GROUP BY 1",
+    "topic_counts": "SELECT topic, count(*) AS prompts, count(*) = 5 AS expected FROM prompts GROUP BY topic",
+    "repeated_ids": "SELECT 'ev-' || (pos % 30) AS evidence_id, 'repeated id' AS rule FROM evi GROUP BY 1 HAVING count(*) > 1",
+    "first_seen": "SELECT model_name, row_number() OVER (ORDER BY min((doc_id * 7919) % 10007), model_name) - 1 AS k FROM resp GROUP BY model_name",
+    "response_confidence": f"SELECT {_K}, confidence FROM claims WHERE confidence IS NOT NULL",
+    "retrieval_on_dev": f"SELECT count(*) AS claims, {', '.join(f'round(avg(h{k} / n), 9) AS recall_at_{k}' for k in (1, 3, 5))} FROM relq JOIN split USING (dataset_item_id) WHERE split = 'dev'",
+    "candidate_thresholds": "SELECT t AS threshold FROM cand",
+}
 ORACLES["baseline_retrieval"] = f"SELECT {_K}, evidence_id, rank, CAST(score AS DOUBLE) AS score FROM bhit JOIN evi USING (pos)"
 ORACLES["baseline_verification"] = f"SELECT {_K}, round(similarity, 9) AS similarity, CASE WHEN similarity > 0.25 THEN 'supported' ELSE 'unknown' END AS label FROM bsim"
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from groundcheck.functions import models, scores as S
 from groundcheck.operators import calibration, compare, metrics, report, retrieval, rules, trust as trust_op, verification as V
@@ -79,9 +79,12 @@ def check_keys(keys: DataFrame, known: DataFrame, key: list[str], what: str) ->
     rules.require(keys.select(*key).join(known.select(*key), key, "left_anti").withColumn("rule", F.lit(f"{what} of no evaluated claim or response")))
 
 
-def claim_facts(responses: DataFrame, evidence: DataFrame, embedder: Callable[[], models.Embedder] | None, nli: Callable[[], models.NLIModel], settings: Settings = Settings(), claims: Callable[[DataFrame], DataFrame] = extract) -> DataFrame:
+def claim_facts(responses: DataFrame, evidence: DataFrame, embedder: Callable[[], models.Embedder] | None, nli: Callable[[], models.NLIModel], settings: Settings = Settings(), claims: Callable[[DataFrame], DataFrame] = extract, similarity: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per claim: retrieved passages, scores, label, severity.
 
+    ``similarity`` is built from a hit; by default it is the embedding score, or
+    1 where retrieval is lexical alone.
+
     Each distinct text is encoded once per occurrence on its own side; pairs are
     only made of the passages retrieved.
     """
@@ -99,7 +102,7 @@ def claim_facts(responses: DataFrame, evidence: DataFrame, embedder: Callable[[]
     judged = hits.withColumn("p", models.nli_udf(nli)("passage", "claim_text"))
     nli_by_rank = judged.groupBy(*CLAIM_KEY).agg(F.map_from_entries(F.collect_list(F.struct("h.rank", "p"))).alias("nli"))
     joined = ranked.join(nli_by_rank, CLAIM_KEY, "left")
-    similarity = (lambda h: h["embedding_score"]) if dense else (lambda h: F.lit(1.0))
+    similarity = similarity or ((lambda h: h["embedding_score"]) if dense else (lambda h: F.lit(1.0)))
     scored = joined.withColumn("evidence_scores", V.evidence_scores(F.col("hits"), similarity, lambda h: F.col("nli")[h["rank"]]))
     verified = V.verify(scored.drop("nli", "vector"), settings.support_threshold, settings.contradiction_threshold)
     return V.assess_severity(verified, settings.high_contradiction)

@@ -571,3 +571,66 @@ def report_roundtrip(spark, sf):
     back = from_json(to_json_lines(rows), rows.schema)
     return back.select("response.model_name", "response.dataset_item_id", F.size("claims").cast("long").alias("claims"), F.sha2(F.to_json("claims"), 256).alias("claims_sha256"))
 
+
+
+# smaller views
+
+
+@query
+def filter_responses(spark, sf):
+    rows = fx.responses(spark, sf)
+    return rows.where(F.col("model_name").isin("model-1", "model-2") & F.col("dataset_item_id").between("item-000003", "item-000020")).select(*RESPONSE_KEY, "confidence")
+
+
+@query
+def filter_comparisons(spark, sf):
+    chosen = ["model-0", "model-2"]
+    return paired_comparison(spark, sf).where(F.col("model_a").isin(*chosen) & F.col("model_b").isin(*chosen))
+
+
+@query
+def model_table(spark, sf):
+    names = ("model_name", "claim_count", "supported_rate", "contradicted_rate", "unknown_rate", "severity_weighted_error_rate", "average_trust_score", "verification_macro_f1", "confidence_ece")
+    return model_metrics(spark, sf).select(*names, F.col("retrieval_recall_at_k").alias(f"recall_at_{fx.TOP_K}"))
+
+
+@query
+def gold_tallies(spark, sf):
+    gold = fx.gold(spark, sf)
+    tally = lambda c, kind: gold.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("claims")).withColumn("kind", F.lit(kind))
+    return tally("gold_label", "label").unionByName(tally("gold_severity", "severity"))
+
+
+@query
+def topic_counts(spark, sf):
+    return fx.prompts(spark, sf).groupBy("topic").agg(F.count("*").alias("prompts")).withColumn("expected", F.col("prompts") == 5)
+
+
+@query
+def repeated_ids(spark, sf):
+    rows = fx.evidence(spark, sf).select(F.concat(F.lit("ev-"), (F.col("pos") % 30).cast("string")).alias("evidence_id"))
+    return rules.repeated(rows, ["evidence_id"], "repeated id")
+
+
+@query
+def first_seen(spark, sf):
+    from groundcheck.sources.benchmark import first_seen as seen
+
+    return seen(fx.responses(spark, sf).withColumn("line", (F.col("doc_id") * 7919) % 10007), "model_name", "line")
+
+
+@query
+def response_confidence(spark, sf):
+    return fx.claims(spark, sf).where(F.col("confidence").isNotNull()).select(*CLAIM_KEY, "confidence")
+
+
+@query
+def retrieval_on_dev(spark, sf):
+    dev = topic_split_hash(spark, sf).where("split = 'dev'").select("dataset_item_id")
+    rows = _ranking(spark, sf).join(dev, "dataset_item_id", "left_semi")
+    return rows.agg(F.count("*").alias("claims"), *(F.round(F.avg(f"recall_at_{k}"), 9).alias(f"recall_at_{k}") for k in (1, 3, 5)))
+
+
+@query
+def candidate_thresholds(spark, sf):
+    return spark.createDataFrame([(t,) for t in C.threshold_grid()], "threshold double")
