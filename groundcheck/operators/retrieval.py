@@ -97,8 +97,8 @@ def _groups(evidence: DataFrame, postings: DataFrame, vectors: DataFrame | None)
         return
     groups = -(-size // GROUP_BYTES) or 1
     step = -(-(total[2] - total[1] + 1) // groups)
-    for g in range(groups):
-        part = F.col("pos").between(total[1] + g * step, total[1] + (g + 1) * step - 1)
+    for low in range(total[1], total[2] + 1, step):
+        part = F.col("pos").between(low, low + step - 1)
         rows = sorted((r.pos, r.evidence_id) for r in evidence.where(part).select("pos", "evidence_id").collect())
         if not rows:
             continue
