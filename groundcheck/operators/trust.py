@@ -37,7 +37,7 @@ def trust_formula(weights: tuple[float, ...] = S.TRUST_WEIGHTS) -> Column:
 
 
 def rationale() -> Column:
-    three = lambda c: X.three(F.col(c))
+    three = lambda c: X.three(F.round(c, 12))  # the last bits of a sum depend on its order
     return F.concat(
         F.lit("Factual="), three("factual_score"), F.lit("; semantic="), three("semantic_alignment"), F.lit("; consistency="), three("consistency_score"),
         F.lit("; confidence calibration="), F.coalesce(three("confidence_calibration"), F.lit("unavailable")), F.lit("; severity penalty="), three("severity_penalty"), F.lit("."),

@@ -73,7 +73,7 @@ def _kappa(by: str) -> str:
 
 #: Named parts; a part may use any other.
 PARTS: dict[str, str] = {
-    "resp": "SELECT doc_id, 'model-' || (doc_id % 20) AS model_name, 'item-' || lpad(CAST(doc_id // 20 AS VARCHAR), 6, '0') AS dataset_item_id, text, CASE WHEN doc_id % 7 <> 0 THEN ((doc_id * 37) % 101) / 100 END AS confidence FROM documents WHERE doc_id % 20 < 3",
+    "resp": "SELECT doc_id, 'model-' || (doc_id % 20) AS model_name, 'item-' || lpad(CAST(doc_id // 20 AS VARCHAR), 6, '0') AS dataset_item_id, text, CASE WHEN doc_id % 7 <> 0 THEN ((doc_id * 37) % 101) / 100 END AS confidence FROM documents",
     "items": "SELECT DISTINCT dataset_item_id, 'topic-' || (CAST(substr(dataset_item_id, 6, 6) AS BIGINT) % 10) AS topic FROM resp",
     "evi": "SELECT item_id AS pos, 'ev-' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS evidence_id, text, 'topic-' || (item_id % 10) AS topic FROM benchmark",
     "nevi": "SELECT count(*) AS n FROM evi",
@@ -232,7 +232,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN len(domains) > 0 THEN 'Detected high-impact domain(s): ' || array_to_string(domains, ', ') || '.' END) END AS severity_reason
         FROM (SELECT *, label = 'contradicted' AND contradiction_score >= 0.3 AS strong, CASE WHEN label = 'contradicted' THEN CASE WHEN contradiction_score >= 0.3 THEN 2 ELSE 1 END ELSE 0 END AS first FROM central)""",
     "trust_scores": f"SELECT {_R}, {_round(*_SIGNALS)}, claim_count FROM trusts",
-    "trust_rationale": f"SELECT {_R}, format('Factual={{:.3f}}; semantic={{:.3f}}; consistency={{:.3f}}; confidence calibration={{}}; severity penalty={{:.3f}}.', factual_score, semantic_alignment, consistency_score, CASE WHEN confidence_calibration IS NULL THEN 'unavailable' ELSE format('{{:.3f}}', confidence_calibration) END, severity_penalty) AS trust_rationale FROM trusts",
+    "trust_rationale": f"SELECT {_R}, format('Factual={{:.3f}}; semantic={{:.3f}}; consistency={{:.3f}}; confidence calibration={{}}; severity penalty={{:.3f}}.', round(factual_score, 12), round(semantic_alignment, 12), round(consistency_score, 12), CASE WHEN confidence_calibration IS NULL THEN 'unavailable' ELSE format('{{:.3f}}', round(confidence_calibration, 12)) END, round(severity_penalty, 12)) AS trust_rationale FROM trusts",
     "model_metrics": "SELECT * FROM mm",
     "severity_distribution": f"SELECT model_name, {', '.join(f'count(*) FILTER (severity = {chr(39)}{k}{chr(39)}) AS {k}' for k in ('mild', 'moderate', 'severe', 'critical'))} FROM facts GROUP BY model_name",
     "class_metrics": f"SELECT model_name, label, {_round('precision', 'recall', 'f1')}, support FROM classf",
@@ -285,7 +285,7 @@ ORACLES: dict[str, str] = {
         t AS (SELECT *, lag(claim_end) OVER (PARTITION BY {_R} ORDER BY st, claim_end, claim_id) AS before FROM s)
         SELECT {_K}, unnest(list_filter([CASE WHEN st < 0 THEN 'invalid span' END, CASE WHEN st >= 0 AND substr(text, st + 1, claim_end - st) <> claim_text THEN 'span is not the claim' END, CASE WHEN st < before THEN 'spans overlap' END], lambda x: x IS NOT NULL)) AS rule FROM t""",
     "dashboard_highlight": f"""SELECT {_K}, sha256(CASE WHEN s < claim_end AND substr(r.text, s + 1, claim_end - s) = claim_text THEN {_ESCAPE("substr(r.text, 1, s)")} || '<mark style="background:' || CASE label WHEN 'supported' THEN '#d7f5e8' WHEN 'contradicted' THEN '#ffe0e0' WHEN 'unknown' THEN '#fff0ce' ELSE '#e8eef5' END || ';padding:.12rem .22rem;border-radius:.25rem">' || {_ESCAPE("substr(r.text, s + 1, claim_end - s)")} || '</mark>' || {_ESCAPE("substr(r.text, claim_end + 1)")} END) AS html_sha256
-        FROM (SELECT *, claim_start + CASE WHEN ordinal = 4 THEN 1 ELSE 0 END AS s FROM facts WHERE ordinal <= 5) JOIN (SELECT {_R}, text FROM resp) r USING ({_R})""",
+        FROM (SELECT *, claim_start + CASE WHEN ordinal = 4 THEN 1 ELSE 0 END AS s FROM facts) JOIN (SELECT {_R}, text FROM resp) r USING ({_R})""",
     "flatten_claims": f"SELECT {_K}, claim_start, claim_end, claim_text, label AS verification_label, severity, round(support_score, 9) AS support_score, round(trust_score, 9) AS trust_score, e AS evidence_ids FROM facts LEFT JOIN (SELECT {_R}, trust_score FROM trusts) USING ({_R}) JOIN (SELECT {_K}, string_agg(evidence_id, ',' ORDER BY rank) AS e FROM hits GROUP BY ALL) USING ({_K})",
     "evidence_detail": f"SELECT {_K}, rank - 1 AS place, evidence_id, round(combined, 9) AS combined_score, round(emb, 9) AS similarity, round(pe * combined * emb, 9) AS support_score, round(pc * combined * emb, 9) AS contradiction_score FROM scores",
     "filter_claims": f"SELECT {_K}, label, severity FROM facts WHERE model_name IN ('model-0', 'model-2') AND CAST(substr(dataset_item_id, 6, 6) AS BIGINT) < 40 AND CAST(substr(dataset_item_id, 6, 6) AS BIGINT) % 3 = 0",

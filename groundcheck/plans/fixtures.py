@@ -1,7 +1,7 @@
 """Deterministic evaluation inputs over the test tables.
 
-The tables hold no model answers, so documents of three sources play three
-models' responses, ``benchmark`` the trusted passages and ``labels`` the gold
+The tables hold no model answers, so the documents of each source play one
+model's responses, all of them, ``benchmark`` the trusted passages and ``labels`` the gold
 labels; probabilities of entailment are drawn from md5.
 """
 
@@ -14,7 +14,7 @@ from groundcheck.operators import retrieval, trust as trust_op, verification as
 from groundcheck.schema import CLAIM_KEY, LABELS, RESPONSE_KEY, SEVERITIES
 from groundcheck.session import spread
 
-MODELS, SOURCES = 3, 20
+SOURCES = 20
 TOP_K = 5
 # With the drawn probabilities these give all labels and severities.
 SUPPORT = CONTRADICTION = 0.20
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     confidence = F.when(d % 7 != 0, ((d * 37) % 101) / 100)
-    rows = table(spark, sf, "documents").where(d % SOURCES < MODELS).select("doc_id", "text")
+    rows = table(spark, sf, "documents").select("doc_id", "text")
     return spread(rows).select(
         "doc_id", F.concat(F.lit("model-"), (d % SOURCES).cast("string")).alias("model_name"), item_id((d - d % SOURCES) / SOURCES).alias("dataset_item_id"), "text", confidence.alias("confidence")
     )

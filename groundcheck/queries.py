@@ -404,7 +404,7 @@ def annotation_worksheet(spark, sf):
 def resume_pending(spark, sf):
     rows = fx.responses(spark, sf)
     done = rows.where("doc_id % 6 <> 0").select(*RESPONSE_KEY)
-    return rows.select("dataset_item_id").distinct().crossJoin(F.broadcast(rows.select("model_name").distinct().limit(100))).join(done, RESPONSE_KEY, "left_anti").select(*RESPONSE_KEY)  # models: at most 100
+    return rules.missing_pairs(done, rows, rows)
 
 
 @query
@@ -438,7 +438,7 @@ def span_overlaps(spark, sf):
 
 @query
 def dashboard_highlight(spark, sf):
-    rows = fx.facts(spark, sf).select(*RESPONSE_KEY, "claim_id", "ordinal", "claim_text", "claim_start", "claim_end", "label").where("ordinal <= 5").join(fx.responses(spark, sf).select(*RESPONSE_KEY, "text"), RESPONSE_KEY)
+    rows = fx.facts(spark, sf).select(*RESPONSE_KEY, "claim_id", "ordinal", "claim_text", "claim_start", "claim_end", "label").join(fx.responses(spark, sf).select(*RESPONSE_KEY, "text"), RESPONSE_KEY)
     start = F.col("claim_start") + F.when(F.col("ordinal") == 4, 1).otherwise(0)
     html = X.highlight(F.col("text"), F.col("claim_text"), start, F.col("claim_end"), F.col("label"))
     return rows.select(*CLAIM_KEY, F.sha2(html, 256).alias("html_sha256"))
