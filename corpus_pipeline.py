@@ -1,9 +1,10 @@
 """A training-corpus pipeline of five operators.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written and read again as the next stage's ``docs``.  All but the last return
-the columns of ``documents``.  Ids are taken to be unique; rows that share an id
-stay or go together.
+written and read again as the next stage's ``docs``.  The first four return the
+columns of ``documents``; SentencePiece takes two stages, the second of which
+decodes the ids that the first one wrote.  Ids are taken to be unique; rows that
+share an id stay or go together.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from groundcheck.llm._shared import materialize
 from groundcheck.llm.decontaminate import find_contamination
 from groundcheck.llm.exact_dedup import exact_dedup
 from groundcheck.llm.language_id import UNDETERMINED, fit_language_id, held_out, predict_language
-from groundcheck.llm.sentencepiece_codec import sentencepiece_encode
+from groundcheck.llm.sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
 from groundcheck.llm.simhash import simhash_components
 
 
@@ -58,12 +59,20 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("row.*", *kinds.names)
 
 
+def decoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ids, spans and the text that the ids decode to."""
+    import public_tokenizers
+
+    return sentencepiece_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("row.*", "decoded")
+
+
 STAGES = [
     ("language ID", language_id),
     ("exact dedup", exact_duplicates),
     ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("SentencePiece encoding", tokens),
+    ("SentencePiece decoding", decoded),
 ]
 
 #: No SQL: a trained network, fingerprints and a tokenizer decide.

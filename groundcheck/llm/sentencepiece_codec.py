@@ -232,3 +232,27 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, text_col: str = "text
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))
     out = T.StructType([rows.schema["row"], *schema.fields])
     return rows.mapInArrow(_apply(model, derive, to_arrow_schema(out), ends, decode), out)
+
+
+def _decode(model: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = sentencepiece.SentencePieceProcessor(model_proto=model)
+        for batch in batches:
+            texts = (decoder.decode(ids.as_py()) if ids.is_valid and len(ids) else "" for ids in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "decoded"])
+
+    return run
+
+
+def sentencepiece_decode(docs: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
+    """``row`` (the whole input row) and ``decoded``, the text of its list of ids.
+
+    Begin and end ids stand for no text.  A null list counts as empty and gives
+    the empty text; an id that the model lacks is an error; an empty table gives
+    an empty result.  The model file is read by the driver and sent along.
+    """
+    small_batches(docs.sparkSession)
+    with open(model_path, "rb") as f:
+        model = f.read()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[ids_col].alias("ids"))
+    return rows.mapInArrow(_decode(model), T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())]))

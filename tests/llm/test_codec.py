@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from groundcheck.llm.sentencepiece_codec import PieceCodec, _fields, sentencepiece_encode
+from groundcheck.llm.sentencepiece_codec import PieceCodec, _fields, sentencepiece_decode, sentencepiece_encode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -56,3 +56,12 @@ def test_edges(odd, empty, rows):
     assert sentencepiece_encode(odd, PATH).count() == len(rows) + 5
     (e,) = PieceCodec(open(PATH, "rb").read()).encode([b""])
     assert e.ids.tolist() == [1, 2] and e.decoded == "" and np.all(e.end == 0)
+
+
+def test_ids_decode(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    lists = [library.encode("a ﬁ b\n 漢字", add_bos=True, add_eos=True), [1, 2], [], None]
+    docs = spark.createDataFrame(list(enumerate(lists)), "row long, ids array<int>")
+    found = {r.row.row: r.decoded for r in sentencepiece_decode(docs, PATH).collect()}
+    assert found == {0: library.decode(lists[0]), 1: "", 2: "", 3: ""} and found[0]
+    assert sentencepiece_decode(docs.limit(0), PATH).collect() == []

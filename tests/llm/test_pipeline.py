@@ -56,3 +56,15 @@ def test_empty(spark, folder, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_decoded(spark, folder):
+    """The pipeline ends with ids, spans and the text that the library decodes from the ids."""
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found = corpus_pipeline.run(spark, folder)
+    assert found.columns == [*COLUMNS, "n_tokens", "ids", "begin", "end", "decoded"]
+    rows = found.collect()
+    assert rows and all(r.decoded == library.decode(r.ids) and r.ids == library.encode(r.text, add_bos=True, add_eos=True) for r in rows)
