@@ -34,17 +34,28 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def padded(number: Column, width: int) -> Column:
+    """The number with zeros before it; one of more digits than ``width`` is kept whole, which lpad would cut."""
+    digits = number.cast("long").cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0")
+
+
 def item_id(number: Column) -> Column:
-    return F.concat(F.lit("item-"), F.lpad(number.cast("long").cast("string"), 6, "0"))
+    return F.concat(F.lit("item-"), padded(number, 6))
+
+
+def item_number() -> Column:
+    """The number of ``dataset_item_id``: all that follows ``item-``."""
+    return F.col("dataset_item_id").substr(F.lit(6), F.length("dataset_item_id")).cast("long")
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    number = F.substring("dataset_item_id", 6, 6).cast("long")
+    number = item_number()
     return responses(spark, sf).select("dataset_item_id").distinct().withColumn("topic", F.concat(F.lit("topic-"), (number % 10).cast("string")))
 
 
 def evidence_id(number: Column) -> Column:
-    return F.concat(F.lit("ev-"), F.lpad(number.cast("string"), 4, "0"))
+    return F.concat(F.lit("ev-"), padded(number, 4))
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,8 +139,8 @@ def annotator_b(gold_: DataFrame) -> DataFrame:
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     """One prompt per item with two references; some refer to a passage of another topic or to none."""
-    number = F.substring("dataset_item_id", 6, 6).cast("long")
+    number = item_number()
     count = evidence(spark, sf).agg(F.count("*").alias("passages"))
     rows = items(spark, sf).crossJoin(F.broadcast(count))
-    refs = F.array(evidence_id(number % F.col("passages")), evidence_id(F.when(number % 11 == 0, F.lit(999999).cast("long")).otherwise((number * 7) % F.col("passages"))))
+    refs = F.array(evidence_id(number % F.col("passages")), evidence_id(F.when(number % 11 == 0, F.greatest(F.lit(9999), F.col("passages"))).otherwise((number * 7) % F.col("passages"))))
     return rows.select("dataset_item_id", "topic", F.concat(F.lit("Question "), number.cast("string")).alias("prompt"), refs.alias("reference_evidence_ids"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from groundcheck.functions import models
 from groundcheck.operators import rules
-from groundcheck.plans import evaluate as E, gates, generate as G
+from groundcheck import queries as Q
+from groundcheck.plans import evaluate as E, fixtures as fx, gates, generate as G
 from groundcheck.plans.fixtures import extract
 from groundcheck.schema import CLAIM_KEY
 from groundcheck.sources import benchmark as B, files, jsonl, report
@@ -264,3 +265,22 @@ def test_bad_reports(bad):
 def test_udfs(spark):
     rows = spark.createDataFrame([("water water",), (None,)], "t string").select("t", models.embedding_udf(Words)("t").alias("v")).collect()
     assert rows[0].v == [2.01, 0.01, 0.01] and rows[1].v is None
+
+
+def test_ids_of_large_tables(spark, tmp_path):
+    """Numbers with more digits than the padding keep them all."""
+    numbers = [0, 7, 1234, 9999, 10000, 12340, 12349, 123400, 1234567, 12345678]
+    rows = spark.createDataFrame([(k,) for k in numbers], "k long").select(fx.evidence_id(F.col("k")), fx.item_id(F.col("k"))).collect()
+    assert [tuple(r) for r in rows] == [(f"ev-{k:04d}", f"item-{k:06d}") for k in numbers]
+
+    n = 12000
+    spark.range(n).select(F.col("id").alias("item_id"), F.lit("text").alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(20 * k, "Text.") for k in numbers + [11]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert fx.evidence(spark, str(tmp_path)).select("evidence_id").distinct().count() == n
+    assert {r.dataset_item_id: r.topic for r in fx.items(spark, str(tmp_path)).collect()} == {f"item-{k:06d}": f"topic-{k % 10}" for k in numbers + [11]}
+    want = []
+    for k in numbers + [11]:
+        for e in (k % n, n if k % 11 == 0 else k * 7 % n):
+            rule = "unknown evidence" if e == n else "topics differ" if e % 10 != k % 10 else None
+            want += [(f"item-{k:06d}", f"ev-{e:04d}", rule)] if rule else []
+    assert sorted(map(tuple, Q.fk_violations(spark, str(tmp_path)).select("dataset_item_id", "evidence_id", "rule").collect())) == sorted(want)
