@@ -35,7 +35,7 @@ def paired_comparison(pairs: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_hash(pairs: DataFrame, repetitions: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+def bootstrap_hash(pairs: DataFrame, repetitions: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile bounds of the resampled mean difference, with draws taken from md5 of seed, repetition and place.
 
     Items are numbered per pair in order; a draw is an equi-join on the number,

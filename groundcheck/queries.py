@@ -235,7 +235,8 @@ def mcnemar(spark, sf):
 
 @query
 def bootstrap_hash(spark, sf):
-    return compare.bootstrap_hash(_outcomes(spark, sf)).withColumns(nine("mean_difference", "lower", "upper"))
+    # As many repetitions as its SQL draws; the operator's own default is 2000.
+    return compare.bootstrap_hash(_outcomes(spark, sf), repetitions=200).withColumns(nine("mean_difference", "lower", "upper"))
 
 
 @query

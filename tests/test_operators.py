@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -169,6 +170,17 @@ def test_comparison(spark):
         compare.check_bootstrap(10, 1.0)
 
 
+def test_bootstrap_hash_draws_2000(spark):
+    """Like the exact form, 2000 repetitions unless told otherwise, each as md5 says."""
+    d = [0.0, 1.0, -0.5, 0.25, 0.75]
+    rows = spark.createDataFrame([("a", "b", str(k), x, 0.0) for k, x in enumerate(d)], "model_a string, model_b string, dataset_item_id string, rate_a double, rate_b double")
+    draw = lambda rep, k: int(hashlib.md5(f"0|{rep}|{k}".encode()).hexdigest()[:8], 16) % len(d)
+    means = sorted(sum(d[draw(rep, k)] for k in range(len(d))) / len(d) for rep in range(2000))
+    h = compare.bootstrap_hash(rows).first()
+    assert h.repetitions == 2000 == compare.bootstrap_exact(rows).first().repetitions
+    assert (h.lower, h.upper) == pytest.approx((compare.percentile(means, 0.025), compare.percentile(means, 0.975)))
+
+
 def brute_grid(obs, values):
     out = {}
     for a in values:
