@@ -14,14 +14,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from groundcheck.llm._shared import materialize
 from groundcheck.llm.decontaminate import find_contamination
 from groundcheck.llm.exact_dedup import exact_dedup
-from groundcheck.llm.language_id import UNDETERMINED, fit_language_id, held_out, predict_language
+from groundcheck.llm.language_id import UNDETERMINED, fit_language_id, has_letter, held_out, predict_language
 from groundcheck.llm.sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
 from groundcheck.llm.simhash import simhash_components
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents with letters; those without text or without a letter go.
+
+    That is all that is rejected: every text with a letter is given the likeliest
+    of the languages learned, and a low score rejects nothing, so letter noise
+    and languages not learned stay.  Where no training row has a language, there
+    is no network and the same rule holds.
+    """
     net = fit_language_id(docs.where(~held_out()))
+    if not net.langs:
+        return docs.where(F.udf(lambda t: has_letter(t), T.BooleanType())("text"))
     return predict_language(docs, net).where(F.col("lang_pred") != UNDETERMINED).select("row.*")
 
 

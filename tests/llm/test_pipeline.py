@@ -1,6 +1,7 @@
 import importlib.util
 
 import pytest
+from pyspark.sql import functions as F
 
 if importlib.util.find_spec("corpus_pipeline") is None:
     pytest.skip("no pipeline here", allow_module_level=True)
@@ -68,3 +69,11 @@ def test_decoded(spark, folder):
     assert found.columns == [*COLUMNS, "n_tokens", "ids", "begin", "end", "decoded"]
     rows = found.collect()
     assert rows and all(r.decoded == library.decode(r.ids) and r.ids == library.encode(r.text, add_bos=True, add_eos=True) for r in rows)
+
+
+def test_without_labelled_rows(spark, folder):
+    """Without a language to learn from, texts with letters stay as they do with one."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    left = corpus_pipeline.language_id(spark, docs, folder)
+    assert left.columns == COLUMNS
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in left.collect()} == {92, 93, 94, 95}
