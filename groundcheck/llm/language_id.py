@@ -8,7 +8,8 @@ and counted.  A word longer than ``PIECE`` bytes is read in pieces, so every
 byte of every text is labelled.
 
 Training is backpropagation through time in numpy on a bounded sample: at most
-``SAMPLE`` documents a language and ``SAMPLE_WORDS`` words of each.
+``SAMPLE`` documents a language and ``SAMPLE_WORDS`` words of each.  There too a
+word longer than ``PIECE`` bytes counts as its pieces, all of which can be drawn.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from groundcheck.llm._shared import small_batches
 HIDDEN = 16
 PIECE = 24  # bytes of a word that the network reads at once
 SAMPLE = 400  # training documents of a language, at most
-SAMPLE_WORDS = 100  # words of a training document, at most
+SAMPLE_WORDS = 100  # words, or pieces of long ones, of a training document, at most
 STEPS, BATCH, RATE = 500, 256, 0.02
 UNDETERMINED = "und"
 _RANGE = 1 << 30
@@ -178,10 +179,10 @@ def _sampled_words(most: int):
         for batch in batches:
             langs, words = [], []
             for lang, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-                own = (text or "").encode().lower().split()
+                own = [w[k : k + PIECE] for w in (text or "").encode().lower().split() for k in range(0, len(w), PIECE)]
                 own = own[:: max(1, -(-len(own) // most))]
                 langs += [lang] * len(own)
-                words += [w[:PIECE] for w in own]
+                words += own
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary())], names=["lang", "word"])
 
     return run
@@ -190,6 +191,7 @@ def _sampled_words(most: int):
 def fit_language_id(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS, **training) -> ByteGRU:
     """Train on at most ``sample`` rows a language, chosen by a hash of the id, and ``sample_words`` words of each.
 
+    Words are cut into pieces of ``PIECE`` bytes, as in prediction, and drawn at even steps.
     Rows without a language or text are passed over.
     """
     ranked = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))

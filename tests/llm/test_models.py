@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from groundcheck.llm.language_id import ByteGRU, _tokens, fit_language_id, has_letter, held_out, pooled, predict_language, train
+from groundcheck.llm.language_id import PIECE, ByteGRU, _sampled_words, _tokens, fit_language_id, has_letter, held_out, pooled, predict_language, train
 from groundcheck.llm.quality import fit, fit_quality, quality_scores, term_frequencies
 
 
@@ -116,3 +117,13 @@ def test_votes_are_exact():
 
 def test_letters():
     assert [has_letter(t) for t in (None, "", "12 ²½ _!", "²é", "日", "ª", "٣", "x")] == [False, False, False, True, True, True, False, True]
+
+
+def test_training_reads_all_pieces():
+    """Long words are sampled from all their pieces, cut as in prediction."""
+    text = "".join(chr(0x4E00 + k) for k in range(400))  # one word of 1,200 bytes
+    batch = pa.RecordBatch.from_arrays([pa.array(["zh", "en", "en"]), pa.array([text, "One two", None])], names=["lang", "text"])
+    pieces = [text.encode()[k : k + PIECE] for k in range(0, 1200, PIECE)]
+    (all_,), (some,) = (list(_sampled_words(most)([batch])) for most in (100, 10))
+    assert all_.to_pydict() == {"lang": ["zh"] * 50 + ["en"] * 2, "word": [*pieces, b"one", b"two"]}
+    assert some.to_pydict() == {"lang": ["zh"] * 10 + ["en"] * 2, "word": [*pieces[::5], b"one", b"two"]}
