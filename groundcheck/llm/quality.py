@@ -1,7 +1,9 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are the trigrams of its characters' classes, and bands of three
-ratios: different words, words equal to the one before, different lines.  Term
+A text's terms are the trigrams of its characters' classes, bands of three
+ratios (different words, words equal to the one before, different lines) and its
+words, hashed to ``WORDS`` columns, A-Z in lower case.  As some scripts have no
+spaces, characters of three bytes or more also count as words each.  Term
 weights (log frequency times inverse document frequency) of a labelled sample
 are projected by a truncated singular value decomposition.  The sample's
 vectors, at most ``SAMPLE`` x ``RANK`` numbers, are broadcast; for every
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from groundcheck.llm._bytes import NOT_SPACE, byte_class, chunks, span_hash, word_spans
+from groundcheck.llm._bytes import ALNUM, LOWER, NOT_SPACE, byte_class, chunks, span_hash, word_spans
 from groundcheck.llm._shared import small_batches
 
 SAMPLE = 4096  # labelled rows, at most, chosen by a hash of the id
@@ -34,8 +36,11 @@ for _k, _members in enumerate(CLASSES):
 _N = len(CLASSES) + 1
 _TRIGRAMS = _N**3
 _BANDS = 16
-TERMS = _TRIGRAMS + 3 * _BANDS
+WORDS = 2048  # columns that words are hashed to
+_FIRST_WORD = _TRIGRAMS + 3 * _BANDS
+TERMS = _FIRST_WORD + WORDS
 _BAND_WEIGHT = 0.5
+_WORD_WEIGHT = 0.5  # length of the words' part; that of the trigrams is 1
 _NOT_NEWLINE = byte_class(inverse_of="\n")
 
 
@@ -52,8 +57,18 @@ def _different(raw: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.n
     return count, tally(new, text[order]), tally(again, text)
 
 
+def _word_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each text has words of each hash, a row a text."""
+    n, raw = len(at) - 1, LOWER[raw]
+    starts, ends, first = word_spans(raw, at, ALNUM)
+    lead = np.flatnonzero(raw >= 0xE0)  # characters of three or four bytes
+    text = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.searchsorted(at, lead, "right") - 1])
+    h = span_hash(raw, np.concatenate([starts, lead]), np.concatenate([ends, lead + 3 + (raw[lead] >= 0xF0)]))
+    return np.bincount(text * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
+
+
 def term_frequencies(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log frequencies of the trigrams (each text's to unit length) and weighted bands, a row a text."""
+    """Log frequencies of the trigrams and words, and bands, a row a text."""
     n = len(at) - 1
     c = _CLASS[raw]
     out = np.zeros((n, TERMS), np.float32)
@@ -70,6 +85,8 @@ def term_frequencies(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         band = np.minimum((part / np.maximum(of, 1) * _BANDS).astype(np.int64), _BANDS - 1)
         some = np.flatnonzero(of)
         out[some, _TRIGRAMS + k * _BANDS + band[some]] = 1
+    if n:
+        out[:, _FIRST_WORD:] = np.log1p(_word_counts(raw, at))
     return out
 
 
@@ -107,8 +124,8 @@ class Neighbours:
 
 def _weighted(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
     x = terms * weight
-    part = x[:, :_TRIGRAMS]
-    part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+    for part, length in ((x[:, :_TRIGRAMS], 1), (x[:, _FIRST_WORD:], _WORD_WEIGHT)):
+        part *= length / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
     return x
 
 
@@ -116,7 +133,7 @@ def fit(terms: np.ndarray, labels: np.ndarray, rank: int = RANK, seed: int = 0)
     """Weights and a truncated singular value decomposition by subspace iteration."""
     n = len(labels)
     weight = np.log((1 + n) / (1 + (terms > 0).sum(axis=0))).astype(np.float32) + 1
-    weight[_TRIGRAMS:] = _BAND_WEIGHT
+    weight[_TRIGRAMS:_FIRST_WORD] = _BAND_WEIGHT
     if not n:
         return Neighbours(weight, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     x = _weighted(terms, weight)

@@ -127,3 +127,16 @@ def test_training_reads_all_pieces():
     (all_,), (some,) = (list(_sampled_words(most)([batch])) for most in (100, 10))
     assert all_.to_pydict() == {"lang": ["zh"] * 50 + ["en"] * 2, "word": [*pieces, b"one", b"two"]}
     assert some.to_pydict() == {"lang": ["zh"] * 10 + ["en"] * 2, "word": [*pieces[::5], b"one", b"two"]}
+
+
+def test_quality_by_words():
+    """Texts of one shape are told apart by their words, with and without spaces."""
+    rng, rows = random.Random(2), []
+    vocabularies = {1: ("river stone maple cloud".split(), "山川草木"), 0: ("click prize bonus cheap".split(), "金赌奖券")}
+    for k in range(200):
+        spaced, dense = vocabularies[k % 2]
+        rows.append((" ".join(rng.choices(spaced, k=30)) if k % 4 < 2 else "".join(rng.choices(dense, k=30)), k % 2))
+    texts = [t.encode() for t, _ in rows]
+    terms = term_frequencies(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    y = np.array([q for _, q in rows], float)
+    assert np.mean((fit(terms[:100], y[:100]).scores(terms[100:]) >= 0.5) == y[100:]) >= 0.95
