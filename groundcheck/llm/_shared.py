@@ -2,30 +2,35 @@
 
 Executors may be lost at any time, so intermediate results never live on one
 machine: they are Parquet tables below ``spark.checkpoint.dir``, which the
-cluster shares.  Only where that setting is absent (tests, a laptop) a
-temporary folder of this machine takes its place.
+cluster shares.  Only where that setting is absent and the master is this one
+machine (tests, a laptop) a temporary folder takes its place; a cluster without
+it is refused.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from urllib.parse import urlparse
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or one made for this process."""
+    """The folder named by ``spark.checkpoint.dir``, with its scheme; on one machine without that setting, one made for this process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
+        place = spark._jvm.org.apache.hadoop.fs.Path(named.rstrip("/"))
+        full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+        return re.sub(r"^file:/+", "file:///", full)
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="groundcheck-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -41,9 +46,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def _remove(spark: SparkSession, path: str) -> None:
     """Tables of a run go when it ends, as far as their store can still be reached."""
-    local = urlparse(path)
-    if local.scheme in ("", "file"):
-        shutil.rmtree(local.path, ignore_errors=True)
+    if path.startswith("file://"):
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
         return
     with contextlib.suppress(Exception):
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -91,3 +95,31 @@ def shuffle_count(spark: SparkSession) -> int:
 def light_count(spark: SparkSession) -> int:
     """Partitions for rows of ids and numbers, which are some hundred times smaller than texts."""
     return -(-shuffle_count(spark) // 8)
+
+
+#: A key of more than one in so many rows is hot; there can be no more such keys than this.
+HEAVY = 1024
+#: Rows that are broadcast at most (ids or digests, some 50 bytes each).
+FEW = 1 << 18
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose ``keys`` are distinct, in which no key is gathered in one task.
+
+    ``sizes`` (``keys, n``, written out) counts the rows of each key.  Keys of
+    more than one ``HEAVY``-th of the sum of ``n`` are fewer than ``HEAVY``:
+    their lines of ``table`` are broadcast to where rows lie, and only rows of
+    other keys are dealt out.  Null keys join nothing.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.where(F.col("n") * HEAVY > total).select(*keys)
+    here = rows.join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys)
+    dealt = rows.join(F.broadcast(hot), keys, "left_anti").join(table.join(F.broadcast(hot), keys, "left_anti"), keys)
+    return here.unionByName(dealt)
+
+
+def without(docs: DataFrame, gone: DataFrame, on: Callable[[DataFrame], Column]) -> DataFrame:
+    """``docs`` less the rows that ``on(gone)`` matches; up to ``FEW`` rows of ``gone`` are broadcast, more are joined by key."""
+    gone = materialize(gone, "gone", light=True)
+    few = gone.limit(FEW + 1).count() <= FEW
+    return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), on(gone), "left_anti")

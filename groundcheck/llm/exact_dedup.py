@@ -2,37 +2,42 @@
 
 Three stages, each comparing whole contents and never trusting a digest alone:
 
-1. *local*: inside one Arrow batch, equal texts are gathered; the row with the
-   largest id is the local winner and alone carries the content onward.
-2. *salted*: rows meet others of their digest and salt, a salt being drawn from
-   the local winner, so that one group of copies is spread over ``SALTS`` tasks.
-   Rows come sorted, winners first; the stage keeps one content per distinct
-   text and streams the rest.
-3. *global*: at most ``SALTS`` salt winners of a digest meet and the largest id
-   among equal contents stays.
-
-Membership is followed back by ids only: document to salt winner to the row
-that stays.  No group is ever gathered into one task.
+1. *local*: every row is named by a representative of its content in its task, the
+   first row there that holds it; only a representative carries the content
+   onward.  A task remembers up to ``CACHE`` bytes of contents, forgetting the
+   least recently met; a forgotten text that comes again is represented again.
+2. *salted*: representatives meet others of their digest and salt, so that one
+   group of copies is spread over ``SALTS`` tasks.  The stage keeps one content per
+   distinct text and streams the rest.
+3. *global*: at most ``SALTS`` salt winners of a digest and content meet and name
+   the class.
+
+A class's size and largest id are sums over representatives.  Rows never travel
+with their class: they learn the row that stays from their representative, which
+no more rows share than one task has read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.llm._bytes import text_buffers
-from groundcheck.llm._shared import materialize, shuffle_count, small_batches
+from groundcheck.llm._shared import join_skewed, materialize, shuffle_count, small_batches
 
 #: Tasks that one group of copies is spread over.
 SALTS = 32
 
-_LOCAL = "id long, digest binary, local_win long, salt int, content binary"
-_MERGED = "id long, digest binary, win long, content binary"
+#: Bytes of distinct contents that a local task remembers.
+CACHE = 32 << 20
+
+_LOCAL = "id long, digest binary, rep long, content binary"
+_MERGED = "rep long, digest binary, win long, content binary"
 
 
 def lower_ascii(text: bytes) -> bytes:
@@ -43,96 +48,80 @@ def lower_ascii(text: bytes) -> bytes:
 def _local(normalise: Callable[[bytes], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
+        known: OrderedDict[bytes, list[tuple[bytes, int]]] = OrderedDict()  # digest to contents and their representatives
+        held = 0
         for batch in batches:
             raw, at = text_buffers(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            winner: dict[bytes, int] = {}  # normalised content to the winning row
-            digests, of = [], []
-            seen: dict[bytes, list[bytes]] = {}
-            texts: list[bytes] = []
-            for i in range(len(ids)):
-                text = normalise(raw[at[i] : at[i + 1]].tobytes())
+            digests, reps, contents = [], [], []
+            for k, i in enumerate(batch.column(0).to_pylist()):
+                text = normalise(raw[at[k] : at[k + 1]].tobytes())
                 digest = hashlib.sha256(text).digest()
-                same = seen.setdefault(digest, [])
-                text = next((t for t in same if t == text), text)
-                if text not in winner:
-                    same.append(text)
-                    winner[text] = i
-                elif ids[i] > ids[winner[text]]:
-                    winner[text] = i
+                same = known.setdefault(digest, [])
+                known.move_to_end(digest)
+                rep = next((r for t, r in same if t == text), None)
+                content = None
+                if rep is None:
+                    rep, content = i, packer.compress(text)
+                    same.append((text, i))
+                    held += len(text)
+                    while held > CACHE and len(known) > 1:
+                        held -= sum(len(t) for t, _ in known.popitem(last=False)[1])
                 digests.append(digest)
-                texts.append(text)
-            wins = np.array([winner[t] for t in texts], np.int64)
-            of = ids[wins] if len(ids) else ids
-            content = [packer.compress(t) if wins[i] == i else None for i, t in enumerate(texts)]
-            salt = (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SALTS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(of, pa.int64()), pa.array(salt.astype(np.int32)), pa.array(content, pa.binary())],
-                names=["id", "digest", "local_win", "salt", "content"],
-            )
+                reps.append(rep)
+                contents.append(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(reps, pa.int64()), pa.array(contents, pa.binary())], names=["id", "digest", "rep", "content"])
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by digest, salt, local_win (falling), winners first."""
+    """Rows (rep, digest, salt, content) sorted by digest, salt and rep: names the first of equal contents, which alone is passed on."""
     unpack = zstandard.ZstdDecompressor().decompress
     key: tuple | None = None
     variants: list[tuple[bytes, int]] = []  # packed content, winner
-    local, win = None, None
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in range(5)]
         wins, kept = [], []
-        for _, digest, own, salt, content in zip(*cols, strict=True):
+        for rep, digest, salt, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if (digest, salt) != key:
-                key, variants, local = (digest, salt), [], None
-            keep = None
-            if own != local and content is not None:
-                local = own
-                # equal bytes are equal contents; else compare the contents themselves
-                win = next((w for c, w in variants if c == content or unpack(c) == unpack(content)), None)
-                if win is None:
-                    win, keep = own, content
-                    variants.append((content, own))
+                key, variants = (digest, salt), []
+            # equal bytes are equal contents; else compare the contents themselves
+            win = next((w for c, w in variants if c == content or unpack(c) == unpack(content)), None)
+            new = win is None
+            if new:
+                win = rep
+                variants.append((content, rep))
             wins.append(win)
-            kept.append(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wins, pa.int64()), pa.array(kept, pa.binary())], names=["id", "digest", "win", "content"])
+            kept.append(content if new else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wins, pa.int64()), pa.array(kept, pa.binary())], names=["rep", "digest", "win", "content"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[bytes], bytes] = lower_ascii) -> DataFrame:
     """One row per row of ``docs``: ``id, keep_id, group_size, kept, text_sha256``.
 
-    Texts are equal when ``normalise`` makes equal bytes of them.  Of equal
-    texts the row with the largest id stays.  A null text counts as empty; a
-    null id is ranked below all others and comes back as null.  Rows repeated
-    whole (same id and text) are members of their group and count in
-    ``group_size``; each is marked kept if its id is the one that stays.  An
-    empty table gives an empty result.  Other columns are never read.
+    Texts are equal when ``normalise`` makes equal bytes of them; whole texts of
+    any length are compared.  Of equal texts the row with the largest id stays.  A
+    null text counts as empty; a null id is ranked below all others and comes
+    back as null.  Rows repeated whole (same id and text) are members of their
+    group and count in ``group_size``; each is marked kept if its id is the one
+    that stays.  An empty table gives an empty result.  Other columns, whatever
+    their names, are never read.
     """
     small_batches(docs.sparkSession)
     n = shuffle_count(docs.sparkSession)
     lowest = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_local(normalise), _LOCAL)
-    merged = (
-        rows.repartition(n, "digest", "salt")
-        .sortWithinPartitions("digest", "salt", F.desc("local_win"), F.col("content").isNull())
-        .mapInArrow(_merge, _MERGED)
-    )
-    merged = materialize(merged, "dedup")
-    winners = (
-        merged.where(F.col("content").isNotNull())
-        .select(F.col("win").alias("id"), "digest", F.col("win").alias("local_win"), F.lit(0).alias("salt"), "content")
-        .repartition(n, "digest")
-        .sortWithinPartitions("digest", F.desc("local_win"))
-        .mapInArrow(_merge, _MERGED)
-        .select(F.col("id").alias("win"), "digest", F.col("win").alias("keep_id"))
-    )
-    # a winner is named by its id and digest: repeated ids may stand for different texts
-    sizes = merged.groupBy("win", "digest").agg(F.count("*").alias("n"))
-    classes = materialize(winners.join(sizes, ["win", "digest"]), "dedup-classes", light=True)
-    totals = classes.groupBy("keep_id", "digest").agg(F.sum("n").alias("group_size"))
-    final = classes.join(totals, ["keep_id", "digest"]).select("win", "digest", "keep_id", "group_size")
+    local = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_local(normalise), _LOCAL)
+    local = materialize(local, "dedup-local")  # read again: which row represents a text hangs on the task
+    members = local.groupBy("rep", "digest").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    # a representative is named by its id and digest: repeated ids may stand for different texts
+    carriers = local.where(F.col("content").isNotNull()).select("rep", "digest", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt"), "content")
+    merged = materialize(carriers.repartition(n, "digest", "salt").sortWithinPartitions("digest", "salt", "rep").mapInArrow(_merge, _MERGED), "dedup")
+    winners = merged.where(F.col("content").isNotNull()).select("rep", "digest", F.lit(0).alias("salt"), "content")
+    named = winners.repartition(n, "digest").sortWithinPartitions("digest", "rep").mapInArrow(_merge, _MERGED).select(F.col("rep").alias("win"), "digest", F.col("win").alias("class"))
+    reps = merged.select("rep", "digest", "win").dropDuplicates(["rep", "digest"])
+    classes = materialize(reps.join(named, ["win", "digest"]).join(members, ["rep", "digest"]).select("rep", "digest", "class", "n", "most"), "dedup-classes", light=True)
+    totals = materialize(classes.groupBy("class", "digest").agg(F.sum("n").alias("group_size"), F.max("most").alias("keep_id"), F.count("*").alias("n")), "dedup-totals", light=True)
+    final = join_skewed(classes.select("rep", "digest", "class"), totals.drop("n"), ["class", "digest"], totals).drop("class")
     back = lambda c: F.when(F.col(c) != lowest, F.col(c))
-    return merged.select("id", "win", "digest").join(final, ["win", "digest"]).select(
+    return local.select("id", "rep", "digest").join(final, ["rep", "digest"]).select(
         back("id").alias("id"), back("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

@@ -1,19 +1,21 @@
-"""SimHash near-duplicates through a byte-position inverted index.
+"""SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint of 64 bits is eight positional bytes.  Two fingerprints that
 differ in at most three bits differ in at most three bytes, so they share at
-least ``NEEDED`` = 5 positional bytes; of those, three lie in one half of the
-fingerprint.  The index therefore posts every distinct fingerprint under the
-eight byte triples of its halves: no linked pair is missed and lists stay short.
-For every pair that meets in a list all eight positional bytes are tallied,
-pairs with at least ``NEEDED`` shared bytes are kept, and those are verified
-bit by bit.
-
-A list longer than ``HOT`` is never compared as it is: it is dealt out again
-under four more byte positions (one of which any linked pair shares), at most
-until five bytes are fixed.  What is left then has at most 2^24 members and is
-searched by flipping up to three of its 24 free bits.  Tasks emit a spanning
-forest of their links, never all pairs.
+least ``NEEDED`` = 5 positional bytes, the guaranteed minimum; of those, three
+lie in one half of the fingerprint.  Every distinct fingerprint is therefore
+dealt out under the eight byte triples of its halves, so that no linked pair is
+missed and no list of all holders of one byte is ever brought together.  Within
+a list, an inverted index of each remaining byte position tallies for every pair
+the positional bytes that it shares; pairs with ``NEEDED`` or more are kept and
+verified bit by bit.
+
+A list longer than ``HOT`` is not compared as it is: it is dealt out again under
+four more byte positions (one of which any linked pair shares), until five bytes
+are shared and the tally is met by all its pairs.  What is then still too long is
+dealt once more under six-bit pieces of the free bits (again one is shared), and
+links in a list of at most 2^18 members are found by flipping up to three free
+bits.  Tasks emit a spanning forest of their links, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.llm._bytes import CHUNK, LOWER, chunks
 from groundcheck.llm._components import connected_components, roots
-from groundcheck.llm._shared import light_count, materialize, small_batches
+from groundcheck.llm._shared import join_skewed, light_count, materialize, small_batches
 
 BITS = 3  # fingerprints link at this many differing bits or fewer
 NEEDED = 8 - BITS  # positional bytes that a linked pair shares at least
-HOT = 16384  # a longer posting list is dealt out again
+HOT = 16384  # a longer list is dealt out again
+SHORT = 64  # up to here all pairs of a list are tallied at once
+PIECE = 6  # bits of a piece of the last dealing
+LAST_BITS = 8 * BITS - PIECE  # free bits of a list that is dealt no more
 
 _ONES = np.uint64(0x0101010101010101)
 _SEVENS = np.uint64(0x7F7F7F7F7F7F7F7F)
@@ -88,7 +93,7 @@ def _fingerprints(width: int):
                 low = LOWER[raw].tobytes()
                 each = [shingle_hashes(low[a:b], width) for a, b in zip(at[:-1], at[1:])]
                 found[lo:hi] = majority_bits(np.array([h for x in each for h in x], np.uint64), np.array([len(x) for x in each], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["id", "fp", "text_hash"])
 
     return run
 
@@ -96,40 +101,67 @@ def _fingerprints(width: int):
 def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Flags of the pairs that share ``NEEDED`` positional bytes and differ in ``BITS`` bits at most."""
     d = x ^ y
-    differ = np.bitwise_count((((d & _SEVENS) + _SEVENS) | d) & _HIGHS)  # the tally of unequal bytes
-    keep = differ <= 8 - NEEDED
+    differ = np.bitwise_count((((d & _SEVENS) + _SEVENS) | d) & _HIGHS)  # bytes that are not shared
+    keep = 8 - differ.astype(np.int8) >= NEEDED
     keep[keep] = np.bitwise_count(d[keep]) <= BITS
     return keep
 
 
-def _long_list(fp: np.ndarray, fixed: int) -> np.ndarray:
-    """Roots within one list of distinct fingerprints that agree on ``fixed`` (a byte mask)."""
+def _free_bits(mask: int) -> list[int]:
+    return [k for k in range(64) if not mask >> k & 1]
+
+
+def _by_flipping(fp: np.ndarray, free: list[int]) -> np.ndarray:
+    """Roots within distinct fingerprints that agree but on the ``free`` bits."""
+    n = len(fp)
+    label, order = np.arange(n), np.argsort(fp)
+    ranked = fp[order]
+    for r in range(1, BITS + 1):
+        for bits in combinations(free, r):
+            want = ranked ^ np.uint64(sum(1 << k for k in bits))
+            at = np.searchsorted(ranked, want)
+            at[at == n] = 0
+            hit = np.flatnonzero(ranked[at] == want)
+            if len(hit):
+                a, b = label[order[hit]], label[order[at[hit]]]
+                label = roots(n, a, b)[label]
+    return label
+
+
+def _by_tally(fp: np.ndarray, mask: int) -> np.ndarray:
+    """Roots within distinct fingerprints that agree on ``mask``: counts shared bytes through an index of each free position."""
     n = len(fp)
-    label = np.arange(n)
-    free = [k for k in range(64) if not fixed >> k & 1]
-    if len(free) <= 24 and n > 4096:
-        order = np.argsort(fp)
-        ranked = fp[order]
-        for r in range(1, BITS + 1):
-            for bits in combinations(free, r):
-                want = ranked ^ np.uint64(sum(1 << k for k in bits))
-                at = np.searchsorted(ranked, want)
-                at[at == n] = 0
-                hit = np.flatnonzero(ranked[at] == want)
-                if len(hit):
-                    a, b = label[order[hit]], label[order[at[hit]]]
-                    label = roots(n, a, b)[label]
-        return label
+    label, free = np.arange(n), [p for p in range(8) if not mask >> (8 * p) & 0xFF]
+    need = NEEDED - (8 - len(free))
+    index = []
+    for p in free:
+        byte = (fp >> np.uint64(8 * p)).astype(np.uint8)
+        order = np.argsort(byte, kind="stable")
+        index.append((byte, order, np.searchsorted(byte[order], np.arange(257))))
     step = max(1, (1 << 20) // n)
     for lo in range(0, n, step):
-        x = fp[lo : lo + step]
-        i, j = np.divmod(np.flatnonzero(linked(np.repeat(x, n), np.tile(fp, len(x)))), n)
-        label = roots(n, label[i + lo], label[j])[label]
+        rows = np.arange(lo, min(lo + step, n))
+        tally = np.zeros(len(rows) * n, np.uint8)
+        for byte, order, first in index:  # each pair at most once a position
+            own = byte[rows].astype(np.int64)
+            count = first[own + 1] - first[own]
+            at = np.arange(count.sum()) + np.repeat(first[own] - (np.cumsum(count) - count), count)
+            tally[np.repeat((rows - lo) * n, count) + order[at]] += 1
+        i, j = np.divmod(np.flatnonzero(tally >= need), n)
+        i += lo
+        near = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[j]) <= BITS)
+        label = roots(n, label[i[near]], label[j[near]])[label]
     return label
 
 
+def _list_roots(fp: np.ndarray, mask: int) -> np.ndarray:
+    """Roots within one list of distinct fingerprints that agree on ``mask``."""
+    free = _free_bits(mask)
+    return _by_flipping(fp, free) if len(free) <= LAST_BITS else _by_tally(fp, mask)
+
+
 def _list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by posting key; yields a spanning forest of the links of each list."""
+    """Rows sorted by list; yields a spanning forest of the links of each list."""
     names = ["mask", "value", "fp", "rep"]
 
     def solve(part: list[np.ndarray]) -> pa.RecordBatch:
@@ -140,18 +172,18 @@ def _list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(starts, n))
         run = np.repeat(np.arange(len(starts)), size)
         bits = fp.view(np.uint64)
-        short = size[run] <= 64
+        short = size[run] <= SHORT
         a, b = [], []
-        for s in range(1, min(64, int(size.max(initial=0)))):
+        for s in range(1, min(SHORT, int(size.max(initial=0)))):
             i = np.flatnonzero(short[:-s] & (run[s:] == run[:-s]))
             if not len(i):
                 break
             i = i[linked(bits[i], bits[i + s])]
             a.append(i)
             b.append(i + s)
-        for k in np.flatnonzero(size > 64):
+        for k in np.flatnonzero(size > SHORT):
             lo, hi = starts[k], starts[k] + size[k]
-            label = _long_list(bits[lo:hi], int(mask[lo]) & (2**64 - 1))
+            label = _list_roots(bits[lo:hi], int(mask[lo]) & (2**64 - 1))
             own = np.flatnonzero(label != np.arange(hi - lo))
             a.append(own + lo)
             b.append(label[own] + lo)
@@ -176,10 +208,15 @@ def _list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve([np.concatenate([x[k] for x in held]) for k in range(4)])
 
 
-def _more_positions(mask: int) -> list[int]:
-    """Wider masks, one of which any linked pair of a list under ``mask`` shares."""
-    rest = [p for p in range(8) if not mask >> (8 * p) & 0xFF]
-    return [_signed((mask & (2**64 - 1)) | 0xFF << (8 * p)) for p in rest[: BITS + 1]]
+def _wider(mask: int) -> list[int]:
+    """Wider masks, one of which any linked pair of a list under ``mask`` agrees on."""
+    mask &= 2**64 - 1
+    free = _free_bits(mask)
+    if len(free) > 8 * BITS:
+        more = [0xFF << (8 * p) for p in range(8) if not mask >> (8 * p) & 0xFF][: BITS + 1]
+    else:
+        more = [sum(1 << k for k in free[a : a + PIECE]) for a in range(0, len(free), PIECE)]
+    return [_signed(mask | m) for m in more]
 
 
 def fingerprint_links(reps: DataFrame) -> DataFrame:
@@ -188,36 +225,39 @@ def fingerprint_links(reps: DataFrame) -> DataFrame:
     keyed = lambda df, masks: df.select("fp", "rep", F.explode(masks).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
     posts = keyed(reps, F.array(*(F.lit(m) for m in TRIPLES)))
     masks, found = set(TRIPLES), None
-    for fixed in range(3, NEEDED + 1):
+    while True:
         lists = materialize(posts.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "lists", light=True)
-        posts = posts.join(lists, ["mask", "value"])
-        last = fixed == NEEDED
+        posts = join_skewed(posts, lists, ["mask", "value"], lists)
+        last = len(_free_bits(min(masks) & (2**64 - 1))) <= LAST_BITS
         short = posts if last else posts.where(F.col("n") <= HOT)
         part = short.select("mask", "value", "fp", "rep").repartition(n, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(_list_links, "a long, b long")
         found = part if found is None else found.union(part)
         if last or lists.where(F.col("n") > HOT).isEmpty():
             return found
-        wider = {m: _more_positions(m) for m in masks}
+        wider = {m: _wider(m) for m in masks}
         masks = {w for ws in wider.values() for w in ws}
         table = F.create_map(*(F.lit(x) if isinstance(x, int) else F.array(*(F.lit(w) for w in x)) for kv in wider.items() for x in kv))
-        posts = keyed(posts.where(F.col("n") > HOT), table[F.col("mask")]).distinct()
-    return found
+        posts = materialize(keyed(posts.where(F.col("n") > HOT), table[F.col("mask")]).distinct(), "posts", light=True)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``id, fp, component_id`` of every row: fingerprint (a signed long) and the smallest id reachable over links.
+    """``id, fp, component_id, text_hash`` of every row: fingerprint (a signed long), the smallest id reachable over links, XXH64 of the text.
 
     A text without words, or a null one, has fingerprint zero and links like any
-    other.  Rows repeated whole, or with equal texts, share a fingerprint.  A
-    null id ranks below all others and comes back as null.  An empty table gives
-    an empty result; other columns are not read.
+    other.  A text of any length is read whole, a piece of ``CHUNK`` bytes or one
+    longer text at a time.  Rows repeated whole, or with equal texts, share a
+    fingerprint and a component; rows that share an id have a fingerprint and
+    component each.  A null id ranks below all others and comes back as null.
+    An empty table gives an empty result; other columns, whatever their names,
+    are not read.
     """
     small_batches(docs.sparkSession)
     lowest = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = materialize(rows.mapInArrow(_fingerprints(width), "id long, fp long"), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fp-reps", light=True)
+    rows = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    prints = materialize(rows.mapInArrow(_fingerprints(width), "id long, fp long, text_hash long"), "fingerprints")
+    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "fp-reps", light=True)
     parts = connected_components(fingerprint_links(reps))
     near = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    near = materialize(near, "fp-components", light=True)
     back = lambda c: F.when(F.col(c) != lowest, F.col(c))
-    return prints.join(near, "fp").select(back("id").alias("id"), "fp", back("component_id").alias("component_id")).coalesce(light_count(docs.sparkSession))
+    return join_skewed(prints, near, ["fp"], reps).select(back("id").alias("id"), "fp", back("component_id").alias("component_id"), "text_hash").coalesce(2 * light_count(docs.sparkSession))

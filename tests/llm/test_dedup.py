@@ -2,9 +2,12 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
-from groundcheck.llm import simhash
+from pyspark.sql import functions as F
+
+from groundcheck.llm import _shared, exact_dedup as exact, simhash
 from groundcheck.llm._components import connected_components, roots
 from groundcheck.llm.exact_dedup import exact_dedup
 from groundcheck.llm.simhash import simhash_components
@@ -49,9 +52,47 @@ def test_equal_digest_is_not_enough():
     from groundcheck.llm.exact_dedup import _merge
 
     pack = zstandard.ZstdCompressor(level=1).compress
-    batch = pa.RecordBatch.from_arrays([pa.array([9, 8, 7]), pa.array([b"d"] * 3), pa.array([9, 8, 7]), pa.array([0] * 3, pa.int32()), pa.array([pack(b"one"), pack(b"two"), pack(b"one")])], names=["id", "digest", "local_win", "salt", "content"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([b"d"] * 3), pa.array([0] * 3, pa.int32()), pa.array([pack(b"one"), pack(b"two"), pack(b"one")])], names=["rep", "digest", "salt", "content"])
     (out,) = _merge([batch])
-    assert out.column(2).to_pylist() == [9, 8, 9]
+    assert out.column(2).to_pylist() == [7, 8, 7] and [c is None for c in out.column(3).to_pylist()] == [False, False, True]
+
+
+@pytest.mark.parametrize("cache", [1, 200])
+def test_forgotten_texts_are_found_again(docs, rows, monkeypatch, cache):
+    """A task that can hold hardly any text still puts all copies together."""
+    monkeypatch.setattr(exact, "CACHE", cache)
+    assert found_exact(exact_dedup(docs)) == brute_exact(rows)
+
+
+def largest_shares(df):
+    """Of every shuffle of a run plan: the largest partition's share of the rows that it wrote."""
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count") / F.sum("count")).first()[0]
+
+
+def test_join_of_a_hot_key_is_spread(spark, monkeypatch):
+    """Over half of the rows have one key; they stay where they lie, and all others are joined as well."""
+    monkeypatch.setattr(_shared, "HEAVY", 4)
+    rows = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") % 5 < 3, 0).otherwise(F.col("id")).alias("k"))
+    table = _shared.materialize(rows.groupBy("k").agg(F.count("*").alias("n")), "sizes").withColumn("v", -F.col("k"))
+    out = _shared.join_skewed(rows, table.drop("n"), ["k"], table.select("k", "n"))
+    assert out.select("id", "k", "v").orderBy("id").collect() == [(i, 0 if i % 5 < 3 else i, 0 if i % 5 < 3 else -i) for i in range(4000)]
+    assert largest_shares(out) < 0.2
+
+
+def test_links_of_a_hub_are_spread(spark):
+    edges = spark.createDataFrame([(0, k) for k in range(1, 3000)] + [(5000, 5001)], "a long, b long")
+    found = {r.node: r.root for r in connected_components(edges).collect()}
+    assert found == {**{k: 0 for k in range(3000)}, 5000: 5000, 5001: 5000}
+
+
+def test_dedup_of_a_hot_text(spark):
+    """Two thirds of the rows are one text: no task of the result holds much more than its part, and all are found."""
+    rows = [(k, "hot text here" if k % 3 else f"text {k}", "en") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    out = exact_dedup(df)
+    assert found_exact(out) == brute_exact(rows)
+    near = simhash_components(df)
+    assert {r.component_id for r in near.where(F.col("id") % 3 > 0).collect()} == {1}
 
 
 def fingerprint(text, width=3):
@@ -92,10 +133,13 @@ def test_simhash_edges(odd, empty, rows):
     assert [r.component_id for r in out if r.id is None] == [None]
 
 
-def test_long_lists_are_exact():
+@pytest.mark.parametrize("free, n", [(0xFFFFFF, 3000), (0x3FFFF, 5000), (0xFF00FF00FF00FFFF, 3000), (0xFFFFFFFF, 40)])
+def test_long_lists_are_exact(free, n):
+    """Tallies of shared bytes and flipped bits find what all pairs do."""
     rng = np.random.default_rng(0)
-    x = np.unique(np.uint64(0x1234567890ABCDEF) ^ rng.integers(0, 1 << 24, 5000, dtype=np.uint64))
-    label = simhash._long_list(x, (2**64 - 1) ^ 0xFFFFFF)
+    x = np.uint64(0x1234567890ABCDEF) ^ (rng.integers(0, 2**64, n, dtype=np.uint64) & np.uint64(free))
+    x = np.unique(np.concatenate([x, *(x[: n // 2] ^ np.uint64(free & (0x80 << k)) for k in (0, 9, 17))]))
+    label = simhash._list_roots(x, (2**64 - 1) ^ free)
     a, b = [], []
     for lo in range(0, len(x), 500):
         i, j = np.nonzero(np.bitwise_count(x[lo : lo + 500, None] ^ x[None]) <= 3)

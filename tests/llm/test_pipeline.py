@@ -48,7 +48,7 @@ def test_stages(spark, folder):
     kept = [i for i, _, hit, _ in leaks([rows[i] for i in kept], [(1, " ".join(f"shared{k}" for k in range(20)))]) if not hit]
     assert ids(docs) == kept and not set(kept) & set(range(85, 92))
     docs = stages[4](spark, docs, folder)
-    assert docs.columns == [*COLUMNS, "n_tokens", "ids", "begin", "end"] and ids(docs) == kept
+    assert docs.columns == [*COLUMNS, "n_tokens", "ids", "begin", "end", "decoded"] and ids(docs) == kept and len(stages) == 5
     assert ids(corpus_pipeline.run(spark, folder)) == kept
 
 
@@ -77,3 +77,18 @@ def test_without_labelled_rows(spark, folder):
     left = corpus_pipeline.language_id(spark, docs, folder)
     assert left.columns == COLUMNS
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in left.collect()} == {92, 93, 94, 95}
+
+
+def test_odd_rows(spark, folder, tmp_path):
+    """Null ids, repeated rows, ids of several texts and columns of clashing names pass every stage."""
+    a, b = "alpha beta gamma delta " * 5, "one two three four five six " * 4
+    rows = [(1, a), (1, a), (2, b), (2, "quite another text than those, of some length"), (None, a), (None, None), (3, "12"), (4, b.upper())]
+    kinds = "doc_id long, text string, lang string, id int, row string, ids string, n_hit int, gone int, text_hash int, kept int"
+    docs = spark.createDataFrame([(*r, "en", 1, "r", "x", 2, 3, 4, 5) for r in rows], kinds)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "pieces"]
+    # a: rows 1 (repeated whole) stay, the null id goes; b: 4 stays, its copy under 2 goes, the other text of 2 stays
+    assert sorted((r.doc_id, r.text[:5]) for r in out.collect()) == [(1, "alpha"), (1, "alpha"), (2, "quite"), (4, "ONE T")]
+    assert all(r.pieces.decoded == r.text.strip(" ") or r.pieces.decoded == r.text for r in out.collect())
