@@ -1,21 +1,22 @@
 """A training-corpus pipeline of five operators.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written and read again as the next stage's ``docs``.  The first four return the
-columns of ``documents``; SentencePiece takes two stages, the second of which
-decodes the ids that the first one wrote.  Ids are taken to be unique; rows that
-share an id stay or go together.
+written and read again as the next stage's ``docs``.  All but the last return
+the columns of ``documents``, any others that the table has included.  Texts of
+any length are read whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from groundcheck.llm._shared import materialize
+from groundcheck.llm._shared import materialize, without
 from groundcheck.llm.decontaminate import find_contamination
 from groundcheck.llm.exact_dedup import exact_dedup
 from groundcheck.llm.language_id import UNDETERMINED, fit_language_id, has_letter, held_out, predict_language
-from groundcheck.llm.sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
+from groundcheck.llm.sentencepiece_codec import sentencepiece_encode
 from groundcheck.llm.simhash import simhash_components
 
 
@@ -25,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     That is all that is rejected: every text with a letter is given the likeliest
     of the languages learned, and a low score rejects nothing, so letter noise
     and languages not learned stay.  Where no training row has a language, there
-    is no network and the same rule holds.
+    is no network and the same rule holds.  Each row is judged by its text alone,
+    so equal rows, equal ids and null ids make no difference.
     """
     net = fit_language_id(docs.where(~held_out()))
     if not net.langs:
@@ -34,53 +36,63 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (A-Z in lower case) the one with the largest id."""
-    kept = exact_dedup(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Of documents with equal texts (A-Z in lower case) the one with the largest id.
+
+    A null text equals an empty one; a null id is below all others.  Of rows that
+    share an id but not the text each is judged by its text; rows repeated whole
+    are one document and stay or go together.
+    """
+    gone = exact_dedup(docs).where(~F.col("kept")).select("id", F.unhex("text_sha256").alias("digest")).distinct()
+    text = F.translate(F.coalesce(docs.text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return without(docs, gone, lambda g: docs.doc_id.eqNullSafe(g.id) & (F.unhex(F.sha2(text, 256)) == g.digest))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id."""
+    """Of each component of near duplicates the document with the smallest id, a null one before all others.
+
+    Texts without words are near duplicates of each other.  Of rows that share an
+    id but not the text each is judged by its text; rows repeated whole are one
+    document and stay or go together.
+    """
     found = simhash_components(docs)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id"))
-    return docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "text_hash").distinct()
+    return without(docs, gone, lambda g: docs.doc_id.eqNullSafe(g.id) & (F.xxhash64(docs.text) == g.text_hash))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs; each row is judged by its text alone, a null one has no words and stays."""
     return find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0").select("row.*")
 
 
 def _tokens(e) -> tuple:
     import numpy as np
 
-    return len(e.ids), e.ids.astype(np.int32), e.begin.astype(np.int32), e.end.astype(np.int32)
+    return len(e.ids), e.ids.astype(np.int32), e.begin.astype(np.int32), e.end.astype(np.int32), e.decoded
+
 
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their text, the byte span of each, and the text that the ids decode to.
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids and the byte span of each."""
+    A null text counts as empty: begin and end id and an empty decoded text.  No
+    row goes.  The new columns are in a struct ``pieces`` if ``documents`` has a
+    column of one of their names.
+    """
     import public_tokenizers
 
     ints = T.ArrayType(T.IntegerType())
-    kinds = T.StructType([T.StructField("n_tokens", T.LongType()), *(T.StructField(c, ints) for c in ("ids", "begin", "end"))])
-    found = sentencepiece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"), derive=_tokens, schema=kinds, decode=False)
+    kinds = T.StructType([T.StructField("n_tokens", T.LongType()), *(T.StructField(c, ints) for c in ("ids", "begin", "end")), T.StructField("decoded", T.StringType())])
+    found = sentencepiece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"), derive=_tokens, schema=kinds)
+    if {c.lower() for c in docs.columns} & set(kinds.names):
+        return found.select("row.*", F.struct(*kinds.names).alias("pieces"))
     return found.select("row.*", *kinds.names)
 
 
-def decoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids, spans and the text that the ids decode to."""
-    import public_tokenizers
-
-    return sentencepiece_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("row.*", "decoded")
-
-
 STAGES = [
     ("language ID", language_id),
     ("exact dedup", exact_duplicates),
     ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
-    ("SentencePiece encoding", tokens),
-    ("SentencePiece decoding", decoded),
+    ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
 #: No SQL: a trained network, fingerprints and a tokenizer decide.
