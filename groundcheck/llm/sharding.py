@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from groundcheck.llm._shared import light_count, materialize, small_batches
+from groundcheck.llm._shared import join_skewed, light_count, materialize, small_batches
 
 #: Partial partitions that the driver combines: at most this many vectors of shard sums.
 TOP = 4096
@@ -137,20 +137,22 @@ def with_slots(rows: DataFrame, group: str, order: list[str], name: str = "slot"
 def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
     """``id, size, text_crc32, shard, slot`` of every row; shard sizes in bytes are near equal.
 
-    A row's size is its text's UTF-8 bytes plus ``overhead``; rows of equal
-    texts are one group and share a shard.  A null text counts as empty (and so
-    groups with empty ones).  Slots number a shard's rows from 0 by id, null ids
-    first; rows of equal id, repeated rows too, get slots of their own.  Groups
-    are differenced in a fixed order of their digests, but how batches fall
-    depends on the cluster: the law holds for any such order, the shard of a
-    given group may differ.  An empty table gives an empty result.
+    A row's size is its text's UTF-8 bytes plus ``overhead``, however long the
+    text; rows of equal texts are one group and share a shard.  A null text counts
+    as empty (and so groups with empty ones).  Slots number a shard's rows from 0
+    by id, null ids first; rows of equal id, repeated rows too, get slots of their
+    own.  Groups are differenced in a fixed order of their digests, but how batches
+    fall depends on the cluster: the law holds for any such order, the shard of a
+    given group may differ, as between groups of equal size.  An empty table gives
+    an empty result; other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
     n = light_count(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("item"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = materialize(rows, "sizes")
-    groups = rows.groupBy("item").agg(F.sum("size").alias("bytes")).repartition(n, "item").sortWithinPartitions("item")
-    placed = rows.join(assign_groups(groups, shards), "item").select("id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
+    groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups", light=True)
+    placed = assign_groups(groups.repartition(n, "item").sortWithinPartitions("item"), shards)
+    placed = join_skewed(rows, placed, ["item"], groups).select("id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
     placed = materialize(placed, "placed", light=True)  # ranges are sampled: don't join twice
     return with_slots(placed, "shard", ["id", "text_crc32"])

@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.llm._shared import materialize, new_path, shuffle_count, small_batches
+from groundcheck.llm._shared import join_skewed, materialize, new_path, shuffle_count, small_batches
 
 BLOCK = 512  # captures of an index block
 ROLL = 1 << 30  # bytes after which a task starts another archive
@@ -235,13 +235,18 @@ class IndexReader:
         return parse_record(gzip.decompress(self._read(*line[2:5])))
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([reversed_host_key(u) for u in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["key", "page"])
+
+
 def _look_up(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(index.value)
         for batch in batches:
             rows = []
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("page").to_pylist(), strict=True):
-                for line in reader.captures(reversed_host_key(url), page):
+            for key, page in zip(batch.column("key").to_pylist(), batch.column("page").to_pylist(), strict=True):
+                for line in reader.captures(key, page):
                     r = reader.record(line)
                     rows.append((r.page, r.uri, r.kind, r.payload_bytes, r.digest, r.refers_to))
             columns = list(zip(*rows)) or [[]] * 6
@@ -254,32 +259,44 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Write archives and index of ``pages`` to ``base`` (a new shared folder by default).
 
     Of equal payloads of at least ``LEAST`` bytes the one of smallest id is a
-    response and all others revisit it; each smaller one is a response.  A null
-    payload is empty, a null url has the empty key, a null id ranks below all
-    others.  Rows repeated whole each get a record, and those with the smallest
-    id are all responses.  Without rows there are no files.
+    response and all others revisit it; each smaller one is a response.  Whole
+    payloads of any length are kept.  A null payload is empty, a null url has the
+    empty key, a null id ranks below all others.  Every row gets a record: rows
+    repeated whole, and rows of one id with several urls or payloads; those of the
+    smallest id of a payload are all responses.  Other columns, whatever their
+    names, are not read.  Without rows there are no files.
+
+    Bodies never meet by digest: which pages revisit is found with ids and digests
+    alone, and each body is joined by its own page.
     """
     spark = pages.sparkSession
     small_batches(spark)
     base, n = base or new_path(spark, "warc"), shuffle_count(spark)
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("page"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    firsts = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("page"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= LEAST)
-    firsts = firsts.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(firsts, "digest", "left").select("page", "url", "html", "digest", F.when(F.col("first") != F.col("page"), F.col("first")).alias("refers_to"))
+    html, page = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("page")
+    rows = pages.select(page, F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    seen = materialize(pages.where(F.octet_length(html) >= LEAST).select(page, F.sha2(html, 256).alias("digest")), "payloads", light=True)
+    firsts = materialize(seen.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1"), "payload-firsts", light=True)
+    again = join_skewed(seen, firsts.drop("n"), ["digest"], firsts).where("page <> first").distinct()
+    again = materialize(again.select(F.col("page").alias("own"), F.col("digest").alias("same"), "first"), "revisits", light=True)
+    rows = rows.join(again, (F.col("page") == F.col("own")) & (F.col("digest") == F.col("same")), "left").select("page", "url", "html", "digest", F.col("first").alias("refers_to"))
     captures = materialize(rows.mapInArrow(_write_archives(base, date, level), _CAPTURE), "captures")
     found = captures.repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page").mapInArrow(_write_index(base, block), "name string, key string, page long")
     return CaptureIndex(base, sorted((r.key, r.page, r.name) for r in found.collect()))  # one row per partition
 
 
 def look_up(index: CaptureIndex, wanted: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
-    """``page, uri, record_type, payload_bytes, payload_digest, refers_to`` of the captures of the ``wanted`` url and id pairs."""
+    """``page, uri, record_type, payload_bytes, payload_digest, refers_to`` of the captures of the ``wanted`` url and id pairs.
+
+    Every capture shows once however often its pair is wanted, also where two urls
+    have one key; several captures of a pair all show.  A pair without a capture
+    gives no row.
+    """
     spark = wanted.sparkSession
     small_batches(spark)
     place = spark.sparkContext.broadcast(index)
-    keys = wanted.select(F.col(url_col).alias("url"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("page"))
-    host = F.lower(F.reverse(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))  # neighbours in the index; any order gives the same rows
-    line = keys.distinct().withColumn("near", F.coalesce(host, F.lit(""))).repartitionByRange(shuffle_count(spark), "near", "url", "page").sortWithinPartitions("near", "url", "page")
-    out = line.select("url", "page").mapInArrow(_look_up(place), "page long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    pairs = wanted.select(F.col(url_col).alias("url"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("page"))
+    keys = materialize(pairs.mapInArrow(_keys, "key string, page long").distinct(), "lookups", light=True)
+    line = keys.repartitionByRange(shuffle_count(spark), "key", "page").sortWithinPartitions("key", "page")  # like the index
+    out = line.mapInArrow(_look_up(place), "page long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long")
     lowest = F.lit(-(2**63))
     return out.withColumns({c: F.when(F.col(c) != lowest, F.col(c)) for c in ("page", "refers_to")})

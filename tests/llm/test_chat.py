@@ -3,6 +3,7 @@ import re
 from functools import lru_cache
 
 import pytest
+from pyspark.sql import functions as F
 
 from groundcheck.llm.chat_format import FINAL, Automaton, Costs, chat_format, cut_states, role_number
 
@@ -83,3 +84,12 @@ def test_conversations(spark):
 
 def test_empty(spark):
     assert chat_format(chats(spark, [])).collect() == []
+
+
+def test_a_hot_conversation_is_spread(spark):
+    """One conversation holds nearly all messages, one of them very long: every task has its part."""
+    rows = [(1, k, "user" if k % 2 else "assistant", "long " * 50000 if k == 7 else f"t{k}") for k in range(4000)] + [(2, 0, "user", "hi")]
+    out = chat_format(chats(spark, rows))
+    counts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == len(rows) and len(counts) == 4 and max(counts) < 0.4 * len(rows)
+    assert len(out.where("conv = 1 and turn = 7").first().rendered) > 250000

@@ -3,6 +3,7 @@ import hashlib
 
 import pytest
 
+from groundcheck.llm import _shared
 from groundcheck.llm.warc import IndexReader, look_up, make_record, page_of, parse_record, record_id, reversed_host_key, write_archives
 
 BIG = "<p>" + "same words again " * 20 + "</p>"
@@ -59,6 +60,36 @@ def test_repeated_rows_and_null_id(spark):
     assert kinds == [(-1, "response", None), (0, "revisit", None), (0, "revisit", None), (1, "response", None), (2, "response", None)]
 
 
+def test_one_row_for_every_row(spark):
+    """Urls that differ but have one key, under one id, bring no more rows than there are."""
+    rows = [(1, "http://www.x.org/", BIG), (1, "http://x.org/", BIG), (2, "http://x.org/", BIG), (2, "http://x.org/", "other"), (3, "http://x.org/", "other")]
+    df = pages(spark, rows)
+    found = look_up(write_archives(df), df).collect()
+    assert sorted((r.page, r.record_type, r.refers_to, r.payload_bytes == 5) for r in found) == [(1, "response", None, False)] * 2 + [(2, "response", None, True), (2, "revisit", 1, False), (3, "response", None, True)]
+
+
+def test_a_hot_payload(spark):
+    """Most pages have one body: all revisit the first, wherever they lie."""
+    rows = [(k, f"http://h{k % 9}.example/{k}", BIG if k % 4 else f"<p>{k}</p>" * 20) for k in range(600)]
+    df = pages(spark, rows)
+    found = look_up(write_archives(df), df).collect()
+    assert sorted((r.page, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == brute(rows)
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    """A folder without scheme is one of Spark's file system; a cluster without a folder is refused."""
+    from types import SimpleNamespace
+
+    conf = {"spark.checkpoint.dir": f"{tmp_path}/shared/"}
+    as_if = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), _jvm=spark._jvm, _jsc=spark._jsc)
+    assert _shared.shared_dir(as_if("spark://h:7077")) == f"file://{tmp_path}/shared"
+    conf.clear()
+    for master in ("spark://h:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            _shared.shared_dir(as_if(master))
+    assert _shared.shared_dir(as_if("local[4]")).startswith("file:///")
+
+
 def test_empty(spark):
     df = pages(spark, [])
     index = write_archives(df)
