@@ -17,6 +17,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own: dict[str, str] = {}
@@ -44,6 +45,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def store_of(base: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path from :func:`new_path`, for code that runs in tasks, and the path there."""
+    return fs.FileSystem.from_uri(base)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Tables of a run go when it ends, as far as their store can still be reached."""
     if path.startswith("file://"):

@@ -30,11 +30,10 @@ from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.llm._shared import join_skewed, materialize, new_path, shuffle_count, small_batches
+from groundcheck.llm._shared import join_skewed, materialize, new_path, shuffle_count, small_batches, store_of
 
 BLOCK = 512  # captures of an index block
 ROLL = 1 << 30  # bytes after which a task starts another archive
@@ -113,10 +112,6 @@ def parse_record(data: bytes) -> Record:
     return Record(page_of(have["warc-record-id"]), kind, have["warc-target-uri"], payload if kind == "response" else None, size, digest, page_of(refers) if refers else None)
 
 
-def _files(base: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(base)
-
-
 def _task_name() -> str:
     task = TaskContext.get()
     return f"{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -127,7 +122,7 @@ _CAPTURE = "key string, page long, file string, offset long, length long"
 
 def _write_archives(base: str, date: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _files(base)
+        store, top = store_of(base)
         store.create_dir(top, recursive=True)
         name, out, number, at = "", None, 0, 0
         for batch in batches:
@@ -154,7 +149,7 @@ def _write_index(base: str, block: int):
     """Captures in order; yields one row for each index file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _files(base)
+        store, top = store_of(base)
         out, held, directory, at = None, [], [], 0
         name = f"captures-{_task_name()}"
 
@@ -197,7 +192,7 @@ class IndexReader:
 
     def __init__(self, index: CaptureIndex) -> None:
         self.index = index
-        self.store, self.top = _files(index.base)
+        self.store, self.top = store_of(index.base)
         self.firsts = [f[:2] for f in index.files]
         self.directory = lru_cache(8)(self._directory)
         self.block = lru_cache(8)(self._block)

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from groundcheck.llm import substring_dedup as S
 
@@ -39,35 +40,100 @@ def test_edges(odd, empty, rows):
     assert [r.n_removed for r in out if r.id is None] == [0]  # null ids come first
 
 
-def test_sketch_never_underestimates(docs):
-    """Every window that occurs twice has all its bits set, even in a tiny sketch."""
-    from pyspark.sql import functions as F
-
-    bits = 6
-    sketch = S.repeated_counters(docs.select(F.col("text")), 5, bits)
-    table = pa.RecordBatch.from_arrays([pa.array([r.text for r in docs.select("text").collect()])], names=["text"])
-    hashes = np.concatenate([w[1] for w in S._windows(table, 5, False)])
-    values, counts = np.unique(hashes, return_counts=True)
-    for row in range(S.DEPTH):
-        c = S._counters(values[counts > 1], row, bits)
-        assert ((sketch[row][c >> 3] >> (c & 7).astype(np.uint8)) & 1).all()
-
-
-def test_small_flushes_group_alike(monkeypatch, rows):
-    """What a task sends early is grouped the same way."""
+class Tasks:
+    """Stands for Spark's task context; ``at`` is the task that runs."""
+
+    def __init__(self, monkeypatch):
+        self.at = 0
+        monkeypatch.setattr(S.TaskContext, "get", lambda: self)
+
+    def partitionId(self):
+        return self.at
+
+    taskAttemptId = partitionId
+
+
+def table(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int64()), pa.array([r[1] for r in rows])], names=["id", "mark", "text"])
+
+
+def ask(tasks, parts, window, bits, base, files=2):
+    """The sketch of some partitions and its answers, as the operator makes them."""
+    asked, names = [], {}
+    for tasks.at, part in enumerate(parts):
+        asked += S._sketch(window, bits)(iter([part]))
+    told = pa.Table.from_batches(S._answer(S._segment_bits(bits))(pa.Table.from_batches(asked).sort_by("segment").to_batches()))
+    told = told.sort_by([("sender", "ascending"), ("flush", "ascending"), ("segment", "ascending")])
+    for tasks.at in range(files):
+        own = told.filter(pa.array([x % files == tasks.at for x in told.column("sender").to_pylist()]))
+        for out in S._write_answers(base)(own.to_batches()):
+            names[tasks.at] = out.column(1)[0].as_py()
+    return base, names, files
+
+
+def passing(tasks, parts, window, bits, answers):
+    """Of each partition all window hashes, and flags of those that pass."""
+    out = []
+    for tasks.at, part in enumerate(parts):
+        told = S.Answers(*answers, tasks.at)
+        for flush, (h, *_) in enumerate(S._flushes(iter([part]), window, True)):
+            on = np.zeros(len(h), bool)
+            on[told.passing(flush, h, bits)] = True
+            out.append((h, on))
+    return (np.concatenate(x) for x in zip(*out))
+
+
+@pytest.mark.parametrize("bits", [3, 10, 16, 21, 30])
+def test_no_window_that_occurs_twice_is_lost(rows, monkeypatch, tmp_path, bits):
+    """At any load, from a saturated sketch to an empty one of several segments."""
+    monkeypatch.setattr(S, "FLUSH", 500)
+    tasks, parts = Tasks(monkeypatch), [table(rows[k::3]) for k in range(3)]
+    h, on = passing(tasks, parts, 5, bits, ask(tasks, parts, 5, bits, f"file://{tmp_path}/a"))
+    _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
+    assert on[counts[at] > 1].all()
+    if bits >= 21:
+        assert not on[counts[at] == 1].any()
+
+
+def test_the_filter_keeps_its_strength(monkeypatch, tmp_path):
+    """The share of single windows that pass does not grow with the input: counters follow it, without an upper limit."""
+    assert [S.sketch_bits(1 << k) - k for k in (20, 30, 37, 46)] == [-1] * 4  # up to 64 TiB
+    assert S._segment_bits(S.sketch_bits(51 << 30)) == 24
+    shares = []
+    for n in (20_000, 80_000, 320_000):
+        words = np.random.default_rng(n).integers(0, 1 << 20, n).tolist()
+        part = table([(0, " ".join(f"{w:05x}" for w in words))])
+        monkeypatch.setattr(S, "MIN_BITS", 1)
+        bits = S.sketch_bits(6 * n)
+        tasks = Tasks(monkeypatch)
+        h, on = passing(tasks, [part], 20, bits, ask(tasks, [part], 20, bits, f"file://{tmp_path}/{n}"))
+        shares.append(on.mean())
+    assert max(shares) < 0.3 and max(shares) - min(shares) < 0.15, shares
+
+
+def test_small_flushes_group_alike(monkeypatch, rows, tmp_path):
+    """What a task sends early is grouped the same way, through the sketch and where answers do not fit."""
     monkeypatch.setattr(S, "FLUSH", 40)
-
-    class Sketch:
-        value = np.full((S.DEPTH, 1 << 13), 255, np.uint8)  # all windows are candidates
-
-    part = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows])], names=["id", "mark", "text"])
-    sent = pa.Table.from_batches(S._candidates(5, 16, 8, Sketch)([part])).sort_by("bucket").to_batches()
-    grouped = pa.Table.from_batches(S._group(4)(sent)).sort_by("part").to_batches()
-    spans = {}
-    for b in S._spans(5)(grouped):
-        for i, lo, hi in zip(*(b.column(c).to_pylist() for c in ("id", "begins", "ends"))):
-            spans[i] = sum(y - x for x, y in zip(lo, hi))
-    assert spans == {i: n for i, (_, n, _) in brute(rows, 5).items() if n}
+    tasks, parts = Tasks(monkeypatch), [table(rows[k::2]) for k in range(2)]
+    answers = ask(tasks, parts, 5, 16, f"file://{tmp_path}/a")
+    for told, texts in ((answers, parts), (answers, parts[::-1]), (("file:///none", {}, 2), parts)):  # parts swapped: other windows than asked for
+        sent = []
+        for tasks.at, part in enumerate(texts):
+            sent += S._candidates(5, 16, 8, told)(iter([part]))
+        sent = pa.Table.from_batches(sent).sort_by("bucket").to_batches()
+        grouped = pa.Table.from_batches(S._group(4)(sent)).sort_by("part").to_batches()
+        spans = {}
+        for b in S._spans(5)(grouped):
+            for i, lo, hi in zip(*(b.column(c).to_pylist() for c in ("id", "begins", "ends"))):
+                spans[i] = sum(y - x for x, y in zip(lo, hi))
+        assert spans == {i: n for i, (_, n, _) in brute(rows, 5).items() if n}
+
+
+def test_repeated_ids(spark):
+    """Texts under one id keep their own words; a passage of one that starts later in the other is a repeat there."""
+    body = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, body), (1, "x y z " + body), (2, body), (2, body)], "doc_id long, text string")
+    assert sorted((r.id, r.n_words, r.n_removed) for r in S.substring_dedup(df).collect()) == [(1, 30, 0), (1, 33, 30), (2, 30, 30), (2, 30, 30)]
 
 
 def test_packing():
