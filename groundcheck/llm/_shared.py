@@ -69,6 +69,30 @@ def materialize(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``docs`` with columns named by place, and the one of a given name: exactly that, else the only one that differs in case."""
+
+    def place(name: str) -> Column:
+        found = [k for k, c in enumerate(docs.columns) if c == name] or [k for k, c in enumerate(docs.columns) if c.lower() == name.lower()]
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} columns named {name}")
+        return F.col(f"c{found[0]}")
+
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), place
+
+
+def only(docs: DataFrame, *names: str) -> DataFrame:
+    """These columns of ``docs``, whatever others are called."""
+    plain, place = _named(docs)
+    return plain.select(*(place(n).alias(n) for n in names))
+
+
+def row_and_text(docs: DataFrame, text_col: str) -> DataFrame:
+    """``row``, a struct of all columns, and ``text``; columns may have any names, those that differ only in case too."""
+    plain, place = _named(docs)
+    return plain.select(F.struct(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns))).alias("row"), place(text_col).alias("text"))
+
+
 #: Bytes and rows of an Arrow batch: workers hold a batch and what is made of it.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.llm._shared import materialize, shuffle_count, small_batches
+from groundcheck.llm._shared import materialize, only, shuffle_count, small_batches
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
@@ -247,7 +247,7 @@ def chat_format(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     messages like any other.  An empty table gives an empty result; other
     columns, whatever their names, are not read.
     """
-    spark, lowest = messages.sparkSession, -(2**63)
+    spark, lowest, messages = messages.sparkSession, -(2**63), only(messages, conv_col, turn_col, role_col, text_col)
     small_batches(spark)
     n = shuffle_count(spark)
     rows = messages.select(F.coalesce(F.col(conv_col).cast("long"), F.lit(lowest)).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))

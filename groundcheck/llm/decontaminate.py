@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from groundcheck.llm._bytes import ALNUM, LOWER, chunks, span_hash, text_buffers, word_spans
-from groundcheck.llm._shared import small_batches
+from groundcheck.llm._shared import only, row_and_text, small_batches
 from groundcheck.llm.fm_index import FMIndex
 
 WINDOW = 10  # words of a test phrase; a shorter item is one phrase
@@ -138,7 +138,8 @@ def _search(block, window: int, name: list[str]):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``row, text, items, spans, n_words, n_hit`` of every row of ``docs``.
 
-    ``row`` holds the whole input row, whatever its columns are called.  Words
+    ``row`` holds the whole input row, whatever its columns are called; texts of
+    any length are searched whole.  Words
     are runs of ASCII letters and digits and of characters beyond ASCII, A-Z in
     lower case.  ``spans`` are merged byte ranges of the text that occurrences
     of test phrases cover; ``items`` are the ids (as strings, sorted) of the
@@ -148,12 +149,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
+    items = only(benchmark, item_col, item_text_col).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
     spans = "array<struct<begin:int,end:int>>"
-    now = docs.select(F.col(text_col).alias("text"), row, F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(spans).alias("spans"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
+    now = row_and_text(docs, text_col).select("text", "row", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(spans).alias("spans"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
     kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in now.schema])
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.llm._bytes import text_buffers
-from groundcheck.llm._shared import join_skewed, materialize, shuffle_count, small_batches
+from groundcheck.llm._shared import join_skewed, materialize, only, shuffle_count, small_batches
 
 #: Tasks that one group of copies is spread over.
 SALTS = 32
@@ -109,7 +109,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     n = shuffle_count(docs.sparkSession)
     lowest = -(2**63)
-    local = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_local(normalise), _LOCAL)
+    local = only(docs, id_col, text_col).select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_local(normalise), _LOCAL)
     local = materialize(local, "dedup-local")  # read again: which row represents a text hangs on the task
     members = local.groupBy("rep", "digest").agg(F.count("*").alias("n"), F.max("id").alias("most"))
     # a representative is named by its id and digest: repeated ids may stand for different texts

@@ -1,15 +1,15 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of one word at a time, in both directions, with a
-space at either end, and gives language log-odds at every position.  A
-document's probabilities pool the log-probabilities of all positions of all its
-words.  As words are read on their own, equal words of a batch are read once
-and counted.  A word longer than ``PIECE`` bytes is read in pieces, so every
-byte of every text is labelled.
+The network reads a text's bytes, A-Z in lower case and white space as blanks, in
+both directions and across words, and gives language log-odds at every position.
+A document's probabilities pool the log-probabilities of all its positions.  So
+that many run side by side, a text is cut into stretches of ``CORE`` bytes, each
+read with the ``EDGE`` bytes before and after it; only its own bytes count, so
+every byte of every text is labelled once.
 
 Training is backpropagation through time in numpy on a bounded sample: at most
-``SAMPLE`` documents a language and ``SAMPLE_WORDS`` words of each.  There too a
-word longer than ``PIECE`` bytes counts as its pieces, all of which can be drawn.
+``SAMPLE`` documents a language and ``PIECES`` pieces of ``TRAIN`` bytes of each,
+drawn at even steps from the whole text.
 """
 
 from __future__ import annotations
@@ -20,19 +20,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from groundcheck.llm._bytes import LOWER, NOT_SPACE, chunks, span_hash, word_spans
-from groundcheck.llm._shared import small_batches
+from groundcheck.llm._bytes import LOWER, chunks
+from groundcheck.llm._shared import only, row_and_text, small_batches
 
 HIDDEN = 16
-PIECE = 24  # bytes of a word that the network reads at once
+CORE, EDGE = 224, 16  # bytes of a stretch, and bytes read on either side of it
+CELLS = 1 << 20  # position scores that a block of stretches may hold
 SAMPLE = 400  # training documents of a language, at most
-SAMPLE_WORDS = 100  # words, or pieces of long ones, of a training document, at most
-STEPS, BATCH, RATE = 500, 256, 0.02
+PIECES, TRAIN = 20, 64  # pieces of a training document, at most, and their bytes
+STEPS, BATCH, RATE = 600, 96, 0.02
 UNDETERMINED = "und"
 _RANGE = 1 << 30
 
+#: A-Z to a-z, white space to blanks.
+_READ = LOWER.copy()
+_READ[9:14] = 32
+
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -46,22 +51,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _tokens(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte rows (space, word, space, zeros) and their lengths."""
-    size = np.array([len(w) for w in words], np.int64)
-    raw = np.frombuffer(b"".join(words), np.uint8)
-    return _rows(raw, np.cumsum(size) - size, size)
+def _rows(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spans as rows of bytes, zeros behind."""
+    at = np.arange(int(size.max(initial=0)))
+    inside = at < size[:, None]
+    out = np.zeros(inside.shape, np.uint8)
+    out[inside] = raw[(starts[:, None] + at)[inside]]
+    return out
 
 
-def _rows(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    most = int(size.max(initial=0))
-    out = np.zeros((len(size), most + 2), np.uint8)
-    at = starts[:, None] + np.arange(most)
-    inside = np.arange(most) < size[:, None]
-    out[:, 1:-1][inside] = raw[at[inside]]
-    out[:, 0] = 32
-    out[np.arange(len(size)), size + 1] = 32
-    return out, size + 2
+def _tokens(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte rows and their lengths."""
+    size = np.array([len(w) for w in pieces], np.int64)
+    return _rows(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size), size
 
 
 @dataclass
@@ -84,7 +86,7 @@ class ByteGRU:
         return [*self.tables, *self.recurrent, self.out, self.bias]
 
     def _run(self, x: np.ndarray, live: np.ndarray, d: int, keep: bool) -> tuple[np.ndarray, list]:
-        """States at every position of one direction; ``live``: position is inside the word."""
+        """States at every position of one direction; ``live``: position is inside the piece."""
         n, length = x.shape
         hidden = self.recurrent[d].shape[0]
         h, saved = np.zeros((n, hidden), np.float32), []
@@ -103,15 +105,53 @@ class ByteGRU:
             states[t] = h
         return states, saved
 
-    def log_probabilities(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Summed log-probabilities of every language over the positions of each word."""
-        live = np.arange(x.shape[1]) < size[:, None]
-        f, b = self._run(x, live, 0, False)[0], self._run(x, live, 1, False)[0]
-        hidden = f.shape[2]
-        score = f @ self.out[:hidden] + b @ self.out[hidden:] + self.bias
-        score -= score.max(axis=2, keepdims=True)
-        score -= np.log(np.exp(score).sum(axis=2, keepdims=True))
-        return (score * live.T[:, :, None]).sum(axis=0)
+    def _states(self, x: np.ndarray, size: np.ndarray, d: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Positions and the states there (hidden x rows, overwritten by the next step); ``x`` is positions x rows."""
+        hidden, n = self.recurrent[d].shape[0], x.shape[1]
+        gates = slice(0, 2 * hidden)
+        table, turn = self.tables[d].copy(), self.recurrent[d].T.copy()
+        table[:, gates] *= 0.5  # as sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        turn[gates] *= 0.5
+        h, c, taken = np.zeros((hidden, n), np.float32), np.empty((hidden, n), np.float32), np.empty((n, 3 * hidden), np.float32)
+        a, r = np.empty((3 * hidden, n), np.float32), np.empty((3 * hidden, n), np.float32)
+        zr, ca, cr = a[gates], a[2 * hidden :], r[2 * hidden :]
+        least = int(size.min())
+        for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+            np.take(table, x[t], axis=0, out=taken, mode="clip")
+            a[:] = taken.T
+            np.matmul(turn, h, out=r)
+            zr += r[gates]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            cr *= zr[hidden:]
+            cr += ca
+            np.tanh(cr, out=c)
+            h -= c
+            h *= zr[:hidden]
+            h += c
+            if d and t >= least:
+                h *= size > t  # rows that have not begun
+            yield t, h
+
+    def log_probabilities(self, x: np.ndarray, size: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Log-probabilities of every language, summed over positions ``lo`` to ``hi`` (all) of each row of bytes."""
+        lo, hi = np.zeros_like(size) if lo is None else lo, size if hi is None else hi
+        hidden, langs = self.recurrent[0].shape[0], len(self.langs)
+        x = np.ascontiguousarray(x.T)
+        left, right = self.out[:hidden].T.copy(), self.out[hidden:].T.copy()
+        ahead = np.empty((len(x), langs, x.shape[1]), np.float32)
+        for t, h in self._states(x, size, 0):
+            np.matmul(left, h, out=ahead[t])
+        ahead += self.bias[:, None]
+        total = np.zeros((langs, x.shape[1]))
+        for t, h in self._states(x, size, 1):
+            score = ahead[t]
+            score += right @ h
+            score -= score.max(axis=0)
+            score -= np.log(np.exp(score).sum(axis=0))
+            total += score * ((lo <= t) & (t < hi))
+        return total.T
 
     def gradients(self, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross entropy over positions, and its gradients by backpropagation through time."""
@@ -136,6 +176,7 @@ class ByteGRU:
         d_both = d_score @ self.out.T
         for d in (0, 1):
             back = np.zeros((len(y), hidden), np.float32)
+            inputs, places = [], []
             for t, h, z, g, c, rc, alive in reversed(runs[d][1]):
                 dh = back + d_both[t][:, d * hidden : (d + 1) * hidden]
                 flow = np.where(alive, dh, 0)
@@ -144,13 +185,18 @@ class ByteGRU:
                 dg = dc * rc * g * (1 - g)
                 da = np.concatenate([dz, dg, dc], axis=1)
                 dr = np.concatenate([dz, dg, dc * g], axis=1)
-                np.add.at(grads[d], x[:, t], da)
+                inputs.append(da)
+                places.append(x[:, t])
                 grads[2 + d] += h.T @ dr
                 back = np.where(alive, flow * z, dh) + dr @ self.recurrent[d].T
+            at = np.concatenate(places)
+            order = np.argsort(at, kind="stable")
+            head = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
+            grads[d][at[order][head]] = np.add.reduceat(np.concatenate(inputs)[order], head, axis=0)
         return float(loss), grads
 
 
-def train(words: list[bytes], labels: list[int], langs: list[str], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 0) -> ByteGRU:
+def train(pieces: list[bytes], labels: list[int], langs: list[str], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 0) -> ByteGRU:
     """Fit by Adam; languages are drawn evenly."""
     net, rng = ByteGRU.fresh(langs, seed=seed), np.random.default_rng(seed)
     y = np.array(labels, np.int64)
@@ -162,7 +208,7 @@ def train(words: list[bytes], labels: list[int], langs: list[str], steps: int =
     each = max(1, batch // len(by))
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(b, each) for b in by])
-        x, size = _tokens([words[i] for i in pick])
+        x, size = _tokens([pieces[i] for i in pick])
         _, grads = net.gradients(x, size, y[pick])
         scale = min(1.0, 1.0 / (1e-9 + float(np.sqrt(sum((g * g).sum() for g in grads)))))
         now = rate * (1 - 0.9 * step / steps)
@@ -174,68 +220,60 @@ def train(words: list[bytes], labels: list[int], langs: list[str], steps: int =
     return net
 
 
-def _sampled_words(most: int):
+def _sampled_pieces(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, words = [], []
+            langs, pieces = [], []
             for lang, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-                own = [w[k : k + PIECE] for w in (text or "").encode().lower().split() for k in range(0, len(w), PIECE)]
-                own = own[:: max(1, -(-len(own) // most))]
+                data = _READ[np.frombuffer((text or "").encode(), np.uint8)].tobytes()
+                count = -(-len(data) // TRAIN)
+                own = [data[k * TRAIN : (k + 1) * TRAIN] for k in range(0, count, max(1, -(-count // most)))]
                 langs += [lang] * len(own)
-                words += own
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary())], names=["lang", "word"])
+                pieces += own
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], names=["lang", "piece"])
 
     return run
 
 
-def fit_language_id(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS, **training) -> ByteGRU:
-    """Train on at most ``sample`` rows a language, chosen by a hash of the id, and ``sample_words`` words of each.
+def fit_language_id(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, pieces: int = PIECES, **training) -> ByteGRU:
+    """Train on at most ``sample`` rows a language, chosen by a hash of the id, and ``pieces`` pieces of each.
 
-    Words are cut into pieces of ``PIECE`` bytes, as in prediction, and drawn at even steps.
-    Rows without a language or text are passed over.
+    Rows without a language or text are passed over.  Of rows that share an id and
+    language one counts, that of the least text.
     """
-    ranked = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-    ranked = ranked.distinct().withColumn("h", F.pmod(F.xxhash64("id"), F.lit(_RANGE)))
+    rows = only(labelled, lang_col, id_col, text_col).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    ranked = rows.select("lang", "id").distinct().withColumn("h", F.pmod(F.xxhash64("id"), F.lit(_RANGE)))
     counts = ranked.groupBy("lang").agg(F.count("*").alias("rows"))
     few = ranked.join(counts, "lang").where(F.col("h") * F.col("rows") < 4.0 * sample * _RANGE)  # some 4 x sample a language, the lowest hashes
     order = Window.partitionBy("lang").orderBy("h", "id")
     chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "id")
-    texts = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), ["lang", "id"]).select("lang", "text").mapInArrow(_sampled_words(sample_words), "lang string, word binary").collect()
-    langs = sorted({r.lang for r in rows})
+    texts = rows.join(F.broadcast(chosen), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    small_batches(labelled.sparkSession)
+    got = texts.select("lang", "text").mapInArrow(_sampled_pieces(pieces), "lang string, piece binary").collect()
+    langs = sorted({r.lang for r in got})
     number = {k: i for i, k in enumerate(langs)}
-    rows = sorted((r.lang, bytes(r.word)) for r in rows)  # the same whatever order tasks end in
-    return train([w for _, w in rows], [number[k] for k, _ in rows], langs, **training)
+    got = sorted((r.lang, bytes(r.piece)) for r in got)  # the same whatever order tasks end in
+    return train([w for _, w in got], [number[k] for k, _ in got], langs, **training)
 
 
 def pooled(net: ByteGRU, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of each text summed over all its positions, and the number of positions."""
-    raw = LOWER[raw]
-    starts, ends, first = word_spans(raw, at, NOT_SPACE)
-    count = np.diff(first)
-    size = ends - starts
-    pieces = -(-size // PIECE)
-    if len(size) and pieces.max() > 1:  # cut long words
-        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        text = np.repeat(np.repeat(np.arange(len(count)), count), pieces)
-        starts = np.repeat(starts, pieces) + step * PIECE
-        ends = np.minimum(starts + PIECE, np.repeat(ends, pieces))
-        count, size = np.bincount(text, minlength=len(count)), ends - starts
-    text = np.repeat(np.arange(len(count)), count)
-    total = np.zeros((len(count), len(net.langs)))
-    if not len(starts):
-        return total, np.zeros(len(count))
-    _, place, same = np.unique(span_hash(raw, starts, ends), return_index=True, return_inverse=True)
-    scores = np.zeros((len(place), len(net.langs)), np.float32)
-    order = np.argsort(size[place], kind="stable")
-    for a in range(0, len(order), 2048):  # words of like length together
-        part = order[a : a + 2048]
-        scores[part] = net.log_probabilities(*_rows(raw, starts[place[part]], size[place[part]]))
-    edge = np.concatenate([[0], np.cumsum(count)])
-    for k in range(len(net.langs)):
-        run = np.concatenate([[0], np.cumsum(scores[same, k].astype(np.float64))])
-        total[:, k] = run[edge[1:]] - run[edge[:-1]]
-    return total, np.bincount(text, weights=size + 2, minlength=len(count))
+    raw, n = _READ[raw], np.diff(at)
+    count = -(-n // CORE)
+    text = np.repeat(np.arange(len(n)), count)
+    core = CORE * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    begin = np.maximum(core - EDGE, 0)
+    size = np.minimum(core + CORE + EDGE, n[text]) - begin
+    lo, hi = core - begin, np.minimum(core + CORE, n[text]) - begin
+    scores = np.zeros((len(text), len(net.langs)))
+    order, k = np.argsort(size, kind="stable"), 0
+    while k < len(order):  # stretches of like length together
+        ahead = int(size[order[min(k + 1023, len(order) - 1)]])
+        part = order[k : k + min(1024, max(16, CELLS // (ahead * len(net.langs))))]
+        scores[part] = net.log_probabilities(_rows(raw, at[text[part]] + begin[part], size[part]), size[part], lo[part], hi[part])
+        k += len(part)
+    total = np.stack([np.bincount(text, weights=scores[:, k], minlength=len(n)) for k in range(len(net.langs))], axis=1)
+    return total, n
 
 
 def _predict(net, temperature: float):
@@ -268,14 +306,15 @@ def predict_language(docs: DataFrame, net: ByteGRU, text_col: str = "text", temp
     """``row`` (the whole input row), ``lang_pred`` and ``score`` (0 to 1) of every row.
 
     The score pools mean log-probabilities over all positions, as if of
-    ``temperature`` positions at most, so that long texts are not all 1.  A text
-    that is null or has no letter is ``und`` with score 0.  Ties go to the
-    language first in order.  An empty table gives an empty result.
+    ``temperature`` positions at most, so that long texts are not all 1; texts of
+    any length are read whole.  A text that is null or has no letter is ``und``
+    with score 0.  Ties go to the language first in order.  Only the text counts,
+    so repeated rows are alike; other columns ride along in ``row`` whatever their
+    names, those that differ only in case included.  An empty table gives an empty
+    result.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))
-    from pyspark.sql import types as T
-
+    rows = row_and_text(docs, text_col)
     kinds = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(net), temperature), kinds)
 

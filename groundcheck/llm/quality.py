@@ -8,7 +8,8 @@ weights (log frequency times inverse document frequency) of a labelled sample
 are projected by a truncated singular value decomposition.  The sample's
 vectors, at most ``SAMPLE`` x ``RANK`` numbers, are broadcast; for every
 document exact cosine products with all of them are taken in blocks, and the
-``NEIGHBOURS`` most similar vote with their similarity as weight.
+``NEIGHBOURS`` most similar vote with their similarity as weight; of equally
+similar ones those of smaller id.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from groundcheck.llm._bytes import ALNUM, LOWER, NOT_SPACE, byte_class, chunks, span_hash, word_spans
-from groundcheck.llm._shared import small_batches
+from groundcheck.llm._shared import only, row_and_text, small_batches
 
 SAMPLE = 4096  # labelled rows, at most, chosen by a hash of the id
 RANK = 32
@@ -112,8 +113,11 @@ class Neighbours:
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(terms), BLOCK):
             v = self.vectors_of(terms[a : a + BLOCK])
-            cosine = v @ self.vectors.T
+            cosine = np.round(v @ self.vectors.T, 5)  # products of equal vectors are equal, in whatever order they are summed
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+            for r in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):  # ties at the edge go by the sample's order
+                near[r] = np.argsort(-cosine[r], kind="stable")[:k]
             w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
             total = w.sum(axis=1)
             vote = (w * self.labels[near]).sum(axis=1)
@@ -146,6 +150,9 @@ def fit(terms: np.ndarray, labels: np.ndarray, rank: int = RANK, seed: int = 0)
     return made
 
 
+_TERMS = (T.StructField("cols", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType())))
+
+
 def _sparse_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, raw, at in chunks(batch.column(1), 1 << 18):
@@ -153,21 +160,27 @@ def _sparse_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows, cols = np.nonzero(terms)
             edges = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (cols.astype(np.int32), terms[rows, cols])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], names=["label", "cols", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], names=["of", "cols", "values"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Neighbours:
-    """Fit on at most ``sample`` labelled rows; labels that are null or of no document are passed over."""
-    rows = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).distinct()
+    """Fit on at most ``sample`` labelled rows; labels that are null or of no document are passed over.
+
+    The sample is in the order of its ids, then labels, which decides ties between
+    equally similar neighbours.  An id with two labels counts with each; of rows
+    that share an id the least text counts.
+    """
+    rows = only(labels, id_col, label_col).where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).distinct()
     chosen = rows.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = only(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     small_batches(docs.sparkSession)
-    got = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_sparse_terms, "label double, cols array<int>, values array<float>").collect()
-    got.sort(key=lambda r: (r.label, r.cols, r.values))  # the same whatever order tasks end in
+    texts = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    got = texts.select(F.struct("id", "label").alias("of"), "text").mapInArrow(_sparse_terms, T.StructType([T.StructField("of", texts.select(F.struct("id", "label")).schema[0].dataType), *_TERMS])).collect()
+    got.sort(key=lambda r: tuple(r.of))  # the same whatever order tasks end in
     terms = np.zeros((len(got), TERMS), np.float32)
     for k, r in enumerate(got):
         terms[k, r.cols] = r.values
-    return fit(terms, np.array([r.label for r in got], np.float64))
+    return fit(terms, np.array([r.of.label for r in got], np.float64))
 
 
 def _score(model):
@@ -189,9 +202,11 @@ def quality_scores(docs: DataFrame, model: Neighbours, text_col: str = "text") -
     """``row`` (the whole input row) and ``score`` (0 to 1, higher: label 1 likelier) of every row.
 
     An empty or null text, or one like nothing in the sample, gets the sample's
-    share of label 1.  Only the text counts.  An empty table gives an empty result.
+    share of label 1; texts of any length are read whole.  Only the text counts, so
+    repeated rows are alike; other columns ride along in ``row`` whatever their
+    names.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))
+    rows = row_and_text(docs, text_col)
     kinds = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), kinds)

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from groundcheck.llm._bytes import chunks
-from groundcheck.llm._shared import small_batches
+from groundcheck.llm._shared import row_and_text, small_batches
 
 _SPACE = "▁".encode()
 # Fixed values of the model file's format: field numbers and piece types.
@@ -221,15 +221,17 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, text_col: str = "text
     ``derive`` makes those columns of an :class:`Encoded`, in the worker that
     made it; by default ids, the byte span in the text of every id, and the
     decoded text.  ``ends`` adds the begin and end ids, whose spans are empty.
-    A null text counts as empty; an empty table gives an empty result.  The
-    model file is read by the driver and sent along.
+    A null text counts as empty, one of any length is encoded whole.  Only the text
+    counts, so repeated rows are alike; other columns ride along in ``row``
+    whatever their names.  An empty table gives an empty result.  The model file
+    is read by the driver and sent along.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))
+    rows = row_and_text(docs, text_col)
     out = T.StructType([rows.schema["row"], *schema.fields])
     return rows.mapInArrow(_apply(model, derive, to_arrow_schema(out), ends, decode), out)
 
@@ -254,5 +256,5 @@ def sentencepiece_decode(docs: DataFrame, model_path: str, ids_col: str = "ids")
     small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[ids_col].alias("ids"))
+    rows = row_and_text(docs, ids_col)
     return rows.mapInArrow(_decode(model), T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())]))

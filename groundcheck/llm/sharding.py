@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from groundcheck.llm._shared import join_skewed, light_count, materialize, small_batches
+from groundcheck.llm._shared import join_skewed, light_count, materialize, only, small_batches
 
 #: Partial partitions that the driver combines: at most this many vectors of shard sums.
 TOP = 4096
@@ -149,7 +149,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     small_batches(docs.sparkSession)
     n = light_count(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("item"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("item"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = materialize(rows, "sizes")
     groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups", light=True)
     placed = assign_groups(groups.repartition(n, "item").sortWithinPartitions("item"), shards)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.llm._bytes import CHUNK, LOWER, chunks
 from groundcheck.llm._components import connected_components, roots
-from groundcheck.llm._shared import join_skewed, light_count, materialize, small_batches
+from groundcheck.llm._shared import join_skewed, light_count, materialize, only, small_batches
 
 BITS = 3  # fingerprints link at this many differing bits or fewer
 NEEDED = 8 - BITS  # positional bytes that a linked pair shares at least
@@ -253,7 +253,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     lowest = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    rows = only(docs, id_col, text_col).select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     prints = materialize(rows.mapInArrow(_fingerprints(width), "id long, fp long, text_hash long"), "fingerprints")
     reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "fp-reps", light=True)
     parts = connected_components(fingerprint_links(reps))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.llm._bytes import NOT_SPACE, chunks, mix, span_hash, window_hash, word_spans
-from groundcheck.llm._shared import batch_rows, materialize, new_path, shuffle_count, small_batches, store_of
+from groundcheck.llm._shared import batch_rows, materialize, new_path, only, shuffle_count, small_batches, store_of
 
 WINDOW = 20  # words
 DEPTH = 2  # rows of the sketch
@@ -461,7 +461,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the other.  An empty table gives an empty result; other columns, whatever
     their names, are not read.
     """
-    spark, lowest = docs.sparkSession, -(2**63)
+    spark, lowest, docs = docs.sparkSession, -(2**63), only(docs, id_col, text_col)
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     bits = sketch_bits(docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)

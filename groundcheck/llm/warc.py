@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.llm._shared import join_skewed, materialize, new_path, shuffle_count, small_batches, store_of
+from groundcheck.llm._shared import join_skewed, materialize, new_path, only, shuffle_count, small_batches, store_of
 
 BLOCK = 512  # captures of an index block
 ROLL = 1 << 30  # bytes after which a task starts another archive
@@ -264,7 +264,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Bodies never meet by digest: which pages revisit is found with ids and digests
     alone, and each body is joined by its own page.
     """
-    spark = pages.sparkSession
+    spark, pages = pages.sparkSession, only(pages, id_col, url_col, html_col)
     small_batches(spark)
     base, n = base or new_path(spark, "warc"), shuffle_count(spark)
     html, page = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("page")
@@ -286,7 +286,7 @@ def look_up(index: CaptureIndex, wanted: DataFrame, url_col: str = "url", id_col
     have one key; several captures of a pair all show.  A pair without a capture
     gives no row.
     """
-    spark = wanted.sparkSession
+    spark, wanted = wanted.sparkSession, only(wanted, url_col, id_col)
     small_batches(spark)
     place = spark.sparkContext.broadcast(index)
     pairs = wanted.select(F.col(url_col).alias("url"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("page"))

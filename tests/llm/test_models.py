@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from groundcheck.llm.language_id import PIECE, ByteGRU, _sampled_words, _tokens, fit_language_id, has_letter, held_out, pooled, predict_language, train
-from groundcheck.llm.quality import fit, fit_quality, quality_scores, term_frequencies
+from groundcheck.llm import _shared
+from groundcheck.llm.language_id import CORE, EDGE, TRAIN, ByteGRU, _sampled_pieces, _tokens, fit_language_id, has_letter, held_out, pooled, predict_language, train
+from groundcheck.llm.quality import TERMS, WORDS, fit, fit_quality, quality_scores, term_frequencies
 
 
 def test_gradients():
@@ -23,17 +24,44 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - g[at]) < 1e-2 * abs(g[at]) + 1e-4
 
 
+def naive_positions(net, text):
+    """The network's log-probabilities at every byte, written out gate by gate."""
+    sigmoid, hidden = lambda v: 1 / (1 + np.exp(-v)), net.recurrent[0].shape[0]
+    sides = []
+    for d, line in enumerate((text, text[::-1])):
+        h, states = np.zeros(hidden), []
+        for byte in line:
+            a, r = net.tables[d][byte].astype(float), h @ net.recurrent[d].astype(float)
+            z, g = sigmoid(a[:hidden] + r[:hidden]), sigmoid(a[hidden : 2 * hidden] + r[hidden : 2 * hidden])
+            h = z * h + (1 - z) * np.tanh(a[2 * hidden :] + g * r[2 * hidden :])
+            states.append(h)
+        sides.append(states if d == 0 else states[::-1])
+    score = np.array([np.concatenate(x) @ net.out + net.bias for x in zip(*sides)])
+    return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+
+
 def test_every_position_counts():
-    """Pooling over a batch equals reading each word of each text on its own."""
-    net = ByteGRU.fresh(["a", "b"], hidden=4, seed=3)
-    texts = [b"one two two", b"", b"x" * 60 + b" one"]
+    """Pooling over a batch equals reading each text, or stretch of a long one, byte by byte."""
+    net = ByteGRU.fresh(["a", "b", "c"], hidden=4, seed=3)
+    texts = [b"One two\ttwo", b"", b"\xc3\xa4b " * 200, b"x", b"long line " * 90, b"y" * CORE]
     at = np.cumsum([0, *map(len, texts)])
     total, n = pooled(net, np.frombuffer(b"".join(texts), np.uint8), at)
     for k, t in enumerate(texts):
-        pieces = [w[a : a + 24] for w in t.split() for a in range(0, len(w), 24)]
-        want = sum((net.log_probabilities(*_tokens([p]))[0] for p in pieces), np.zeros(2))
-        assert np.allclose(total[k], want, atol=1e-3)
-        assert n[k] == sum(len(p) + 2 for p in pieces)
+        t, want = t.lower().replace(b"\t", b" "), np.zeros(3)
+        for c in range(0, len(t), CORE):
+            a = max(0, c - EDGE)
+            want += naive_positions(net, t[a : c + CORE + EDGE])[c - a : c - a + CORE].sum(axis=0)
+        assert np.allclose(total[k], want, rtol=1e-4, atol=1e-3)
+        assert n[k] == len(t)
+
+
+def test_state_crosses_words():
+    net = ByteGRU.fresh(["a", "b"], hidden=4, seed=3)
+    one, other = (naive_positions(net, t) for t in (b"first word", b"other word"))
+    assert abs(one[6:] - other[6:]).max() > 1e-3
+    x, size = _tokens([b"first word", b"other word"])
+    part = net.log_probabilities(x, size, np.array([6, 6]), size)
+    assert np.allclose(part, [one[6:].sum(axis=0), other[6:].sum(axis=0)], atol=1e-3)
 
 
 def language_rows(seed=0):
@@ -120,13 +148,59 @@ def test_letters():
 
 
 def test_training_reads_all_pieces():
-    """Long words are sampled from all their pieces, cut as in prediction."""
+    """Pieces are drawn from a whole text at even steps, white space as blanks."""
     text = "".join(chr(0x4E00 + k) for k in range(400))  # one word of 1,200 bytes
-    batch = pa.RecordBatch.from_arrays([pa.array(["zh", "en", "en"]), pa.array([text, "One two", None])], names=["lang", "text"])
-    pieces = [text.encode()[k : k + PIECE] for k in range(0, 1200, PIECE)]
-    (all_,), (some,) = (list(_sampled_words(most)([batch])) for most in (100, 10))
-    assert all_.to_pydict() == {"lang": ["zh"] * 50 + ["en"] * 2, "word": [*pieces, b"one", b"two"]}
-    assert some.to_pydict() == {"lang": ["zh"] * 10 + ["en"] * 2, "word": [*pieces[::5], b"one", b"two"]}
+    batch = pa.RecordBatch.from_arrays([pa.array(["zh", "en", "en"]), pa.array([text, "One\n two", None])], names=["lang", "text"])
+    pieces = [text.encode()[k : k + TRAIN] for k in range(0, 1200, TRAIN)]
+    (all_,), (some,) = (list(_sampled_pieces(most)([batch])) for most in (100, 5))
+    assert all_.to_pydict() == {"lang": ["zh"] * 19 + ["en"], "piece": [*pieces, b"one  two"]}
+    assert some.to_pydict() == {"lang": ["zh"] * 5 + ["en"], "piece": [*pieces[::4], b"one  two"]}
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    """However many rows share the ids that are drawn, one a language counts."""
+    docs = spark.createDataFrame([(k % 3, f"text {k}", "en") for k in range(3000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int")
+    assert len(fit_quality(docs, labels).labels) == 3
+    assert fit_language_id(docs, steps=1).langs == ["en"]
+
+
+def test_names_that_differ_in_case(spark):
+    docs = spark.createDataFrame([(1, "some text", 5, "no")], "doc_id long, text string, Text_ int, more string").toDF("doc_id", "text", "DOC_ID", "Text")
+    assert _shared.only(docs, "text", "doc_id").collect() == [("some text", 1)]
+    row = quality_scores(docs, fit(np.zeros((0, TERMS), np.float32), np.zeros(0))).first().row
+    assert tuple(row) == (1, "some text", 5, "no")
+
+
+def test_ties_of_neighbours_go_by_id():
+    """More equally similar neighbours than have a vote: the first of the sample vote."""
+    texts = [b"same words here"] * 60 + [b"other things | entirely"] * 10
+    terms = term_frequencies(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    y = np.array([1.0] * 20 + [0.0] * 40 + [1.0] * 10)
+    assert abs(fit(terms, y).scores(terms[:1])[0] - 20 / 25) < 1e-9
+
+
+def test_scores_against_plain_arithmetic():
+    """Weights, projection and vote equal a full decomposition and a plain sort."""
+    rows = quality_rows()[:90]
+    texts = [t.encode() for _, t, _ in rows]
+    terms = term_frequencies(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    y = np.array([q for _, _, q in rows], float)
+    model = fit(terms[:60], y[:60], rank=8)
+    weight = np.log(61 / (1 + (terms[:60] > 0).sum(axis=0))) + 1
+    first, last = TERMS - WORDS - 3 * 16, TERMS - WORDS
+    weight[first:last] = 0.5
+    x = terms * weight
+    for part, length in ((slice(0, first), 1), (slice(last, None), 0.5)):
+        x[:, part] *= length / np.linalg.norm(x[:, part], axis=1, keepdims=True)
+    basis = np.linalg.svd(x[:60], full_matrices=False)[2][:8]
+    v = x @ basis.T
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    found = model.scores(terms[60:])
+    for k, row in enumerate(v[60:] @ v[:60].T):
+        near = sorted(range(60), key=lambda j: (-row[j], j))[:25]
+        w = [max(row[j], 0) for j in near]
+        assert abs(found[k] - sum(a * y[j] for a, j in zip(w, near)) / sum(w)) < 0.02
 
 
 def test_quality_by_words():
