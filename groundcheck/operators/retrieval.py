@@ -5,7 +5,8 @@ the claims: passages are a stated, bounded side that is broadcast in groups of
 at most ``GROUP_BYTES``; within a group a batch of claims is scored against all
 passages by matrix products, and only k hits a claim leave the task.  There is
 no shuffle, whatever the number of claims, and every passage takes part, those
-that score zero too.
+that score zero too.  Of several groups one is held at a time; between them the
+claims are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from groundcheck.functions import scores as S, text as X
 from groundcheck.schema import HIT
+from groundcheck.session import cut
 
 GROUP_BYTES = 64 << 20  # of passages' tokens and vectors in one broadcast
 BLOCK = 256  # passages whose scores are taken at once
 VECTOR = 1024  # numbers that a vector is taken to have when groups are cut
 CELLS = 1 << 21  # numbers of a product at most
+PAIRS = 1 << 15  # scored pairs of an Arrow batch
 
 
 def evidence_tokens(evidence: DataFrame, tokenise=X.tokens) -> DataFrame:
@@ -58,12 +61,6 @@ def overlap_postings(evidence: DataFrame) -> DataFrame:
     return evidence_tokens(evidence, X.plain_tokens).select("pos", "token", F.col("tf").cast("double").alias("weight"))
 
 
-def bm25_scores(claims: DataFrame, evidence: DataFrame, key: list[str], text: str = "claim_text") -> DataFrame:
-    """``key, pos, bm25_score`` for every claim and passage that share a token (any other pair scores 0)."""
-    terms = claims.select(*key, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(*key, "token").agg(F.count("*").alias("qtf"))
-    return terms.join(bm25_postings(evidence), "token").groupBy(*key, "pos").agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25_score"))
-
-
 @dataclass
 class PassageGroup:
     """Some passages: positions, ids, their token weights by block, and unit vectors."""
@@ -118,35 +115,86 @@ def _groups(evidence: DataFrame, postings: DataFrame, vectors: DataFrame | None)
         yield PassageGroup(np.array([p for p, _ in rows]), [i for _, i in rows], vocabulary, pc.index_in(tokens, vocabulary).to_numpy(zero_copy_only=False)[order].astype(np.int64), row[order], held.column("weight").to_numpy()[order], found)
 
 
+def _lexical_scores(own: PassageGroup, token: np.ndarray, edge: np.ndarray, n: int, block) -> np.ndarray:
+    """Sums of the weights of each claim's tokens in each passage of a block."""
+    a, b, weights, where = block
+    out = np.zeros((n, b - a))
+    place = where[token]
+    use = np.flatnonzero(place < len(weights) - 1)
+    if len(use):
+        claim = np.searchsorted(edge, use, "right") - 1
+        step = max(1, CELLS // (b - a))
+        for lo in range(0, len(use), step):
+            part = slice(lo, lo + step)
+            head = np.flatnonzero(np.append(True, claim[part][1:] != claim[part][:-1]))
+            out[claim[part][head]] += np.add.reduceat(weights[place[use[part]]], head, axis=0)
+    return out
+
+
+def _numbers(own: PassageGroup, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's number in the group's vocabulary, and where each claim's tokens begin."""
+    token = pc.index_in(lists.flatten(), own.vocabulary).fill_null(len(own.vocabulary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return token, np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+
+
+def _pairs(group):
+    """Every claim and passage of the group whose score is above 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: PassageGroup = group.value
+        blocks = list(own.blocks())
+        for batch in batches:
+            token, edge = _numbers(own, batch.column(1))
+            for block in blocks:
+                s = _lexical_scores(own, token, edge, len(batch), block)
+                claim, passage = np.nonzero(s)
+                for lo in range(0, len(claim), PAIRS):
+                    part = slice(lo, lo + PAIRS)
+                    columns = [batch.column(0).take(pa.array(claim[part])), pa.array(own.pos[block[0] + passage[part]]), pa.array(s[claim[part], passage[part]])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "pos", "bm25_score"])
+
+    return run
+
+
+def bm25_scores(claims: DataFrame, evidence: DataFrame, key: list[str], text: str = "claim_text") -> DataFrame:
+    """``key, pos, bm25_score`` for every claim and passage that share a token (any other pair scores 0).
+
+    One pass over the claims for each group of passages, without a shuffle: a
+    claim's scores are taken where it lies, and only pairs above 0 leave.
+    """
+    rows = claims.select(F.struct(*key).alias("row"), X.tokens(F.col(text)).alias("tokens"))
+    out, context = None, claims.sparkSession.sparkContext
+    kinds = T.StructType([rows.schema["row"], T.StructField("pos", T.LongType()), T.StructField("bm25_score", T.DoubleType())])
+    groups = _groups(evidence, bm25_postings(evidence), None)
+    single, others = next(groups, None), next(groups, None) is not None
+    if single is None:
+        out = claims.sparkSession.createDataFrame([], kinds)
+    elif not others:
+        out = rows.mapInArrow(_pairs(context.broadcast(single)), kinds)
+    else:
+        del single, groups
+        for group in _groups(evidence, bm25_postings(evidence), None):
+            held = context.broadcast(group)
+            part = cut(rows.mapInArrow(_pairs(held), kinds))
+            held.destroy()
+            out = part if out is None else out.union(part)
+    return out.select("row.*", "pos", "bm25_score")
+
+
 def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bool, names: list[str]):
     """One pass over the claims: the greatest BM25 score so far (``max``), or the k best hits so far (``rank``)."""
 
-    def lexical_scores(own: PassageGroup, token: np.ndarray, edge: np.ndarray, n: int, block) -> np.ndarray:
-        a, b, weights, where = block
-        out = np.zeros((n, b - a))
-        place = where[token]
-        use = np.flatnonzero(place < len(weights) - 1)
-        if len(use):
-            claim = np.searchsorted(edge, use, "right") - 1
-            step = max(1, CELLS // (b - a))
-            for lo in range(0, len(use), step):
-                part = slice(lo, lo + step)
-                head = np.flatnonzero(np.append(True, claim[part][1:] != claim[part][:-1]))
-                out[claim[part][head]] += np.add.reduceat(weights[place[use[part]]], head, axis=0)
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: PassageGroup = group.value
         blocks, ids = list(own.blocks()), np.array(own.ids, object)
         for batch in batches:
             n = len(batch)
             lists = batch.column(1)
-            token = pc.index_in(lists.flatten(), own.vocabulary).fill_null(len(own.vocabulary)).to_numpy(zero_copy_only=False).astype(np.int64)
-            edge = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+            token, edge = _numbers(own, lists)
             top = batch.column(3).to_numpy().copy()
             if mode != "rank":
                 for block in blocks:
-                    s = lexical_scores(own, token, edge, n, block)
+                    s = _lexical_scores(own, token, edge, n, block)
                     top = np.maximum(top, s.max(axis=1, initial=0.0))
             hits = batch.column(4)
             if mode != "max":
@@ -154,7 +202,7 @@ def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bo
                 unit = _unit_rows(batch.column(2), own.vectors.shape[1]) if own.vectors is not None else None
                 for block in blocks:
                     a, b = block[:2]
-                    s = lexical_scores(own, token, edge, n, block)
+                    s = _lexical_scores(own, token, edge, n, block)
                     scaled = np.divide(s, top[:, None], out=np.zeros_like(s), where=top[:, None] > 0) if normalise else s
                     emb = np.zeros_like(s)
                     if unit is not None:
@@ -230,11 +278,18 @@ def rank_passages(
     empty = F.array().cast(T.ArrayType(HIT))
     now = claims.select(row, tokenise(F.col(text)).alias("tokens"), vector.cast("array<double>").alias("vector"), F.lit(0.0).alias("top"), empty.alias("hits"))
     kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in now.schema])
-    context, groups = claims.sparkSession.sparkContext, list(_groups(evidence, postings, vectors))
-    held = [context.broadcast(g) for g in groups]
-    passes = [(g, "both") for g in held] if len(held) == 1 else [(g, m) for m in ("max", "rank") for g in held]
-    for g, mode in passes:
-        now = now.mapInArrow(_score(g, k, mode, lexical, dense, normalise, kinds.names), kinds)
+    context, groups = claims.sparkSession.sparkContext, _groups(evidence, postings, vectors)
+    single, others = next(groups, None), next(groups, None) is not None
+    if not others:
+        if single is not None:
+            now = now.mapInArrow(_score(context.broadcast(single), k, "both", lexical, dense, normalise, kinds.names), kinds)
+        return now.select("row.*", "hits")
+    del single, groups
+    for mode in ("max", "rank") if normalise else ("rank",):  # a group is held, sent and let go before the next
+        for group in _groups(evidence, postings, vectors):
+            held = context.broadcast(group)
+            now = cut(now.mapInArrow(_score(held, k, mode, lexical, dense, normalise, kinds.names), kinds))
+            held.destroy()
     return now.select("row.*", "hits")
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +20,7 @@ def local_session(cpus: int | None = None, partitions: int | None = None, app: s
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("GROUNDCHECK_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("GROUNDCHECK_DRIVER_MEMORY", "4g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,3 +31,15 @@ def spread(scan: DataFrame) -> DataFrame:
     """A scan with fewer partitions than there are cores, as of one small file, dealt out; any other as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` computed and kept in the folder of ``spark.checkpoint.dir``; on one machine without that setting, in one of its own."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="groundcheck-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(f"file://{folder}")
+    return rows.checkpoint()

@@ -1,11 +1,12 @@
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from groundcheck.functions import scores as S, text as X
-from groundcheck.functions.models import checked_probabilities, checked_vectors, resolve_labels
+from groundcheck.functions.models import DEFAULT_OUTPUTS, ClassifierNLI, checked_probabilities, checked_vectors, distributions, output_places
 from groundcheck.operators.calibration import threshold_grid
 
 
@@ -110,8 +111,37 @@ def test_model_checks():
         checked_vectors([[float("nan")]], 1)
     with pytest.raises(ValueError):
         checked_probabilities([(0.5, 0.5, 0.5)], 1)
-    assert resolve_labels({0: "CONTRADICTION", 1: "neutral", 2: "entailment"}) == {"contradiction": 0, "neutral": 1, "entailment": 2}
-    assert resolve_labels({0: "LABEL_0", 1: "LABEL_1", 2: "LABEL_2"}, {"label_0": "entailment", "label_1": "neutral", "label_2": "contradiction"})["contradiction"] == 2
-    for bad in ({0: "a"}, {0: "neutral", 1: "neutral", 2: "entailment"}):
+
+
+def test_classifier_outputs():
+    assert output_places({0: "CONTRADICTION", 1: "neutral", 2: "entailment"}) == (2, 0, 1)
+    assert output_places({"0": "LABEL_0", "1": "LABEL_1", "2": "LABEL_2"}, {"label_0": "Entailment", "label_1": "neutral", "label_2": "contradiction"}) == (0, 2, 1)
+    assert output_places({0: "LABEL_0"}, fallback=DEFAULT_OUTPUTS) == (2, 0, 1)
+    for bad in ({0: "a"}, {0: "neutral", 1: "neutral", 2: "entailment"}, {0: "entailment", 1: "not_entailment", 2: "neutral"}):
         with pytest.raises(ValueError):
-            resolve_labels(bad)
+            output_places(bad)
+    with pytest.raises(ValueError):
+        output_places({0: "neutral", 1: "b", 2: "c"}, fallback=DEFAULT_OUTPUTS)
+    assert distributions(np.array([[0.0, np.log(3), -1000.0]]), (1, 0, 2)).tolist() == [pytest.approx([0.75, 0.25, 0.0])]
+    for narrow in (np.zeros((2, 2)), np.zeros(3)):
+        with pytest.raises(ValueError, match="output 2"):
+            distributions(narrow, (2, 0, 1))
+
+
+def test_classifier_in_batches():
+    asked = []
+
+    def load(name):
+        def logits(premises, hypotheses):
+            asked.append(len(premises))
+            return np.array([[len(p), len(h), 0.0] for p, h in zip(premises, hypotheses)])
+
+        return {0: "entailment", 1: "contradiction", 2: "neutral"}, logits
+
+    pairs = [("a" * k, "b") for k in range(7)]
+    found = ClassifierNLI("any", batch=3, load=load).predict_many(pairs)
+    assert asked == [3, 3, 1] and checked_probabilities(found, 7).shape == (7, 3)
+    assert (np.diff(found[:, 0]) > 0).all()
+    assert len(ClassifierNLI("any", load=load).predict_many([])) == 0
+    with pytest.raises(ValueError):
+        ClassifierNLI("any", load=lambda name: ({0: "x"}, None))
