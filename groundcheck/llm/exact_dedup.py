@@ -12,9 +12,9 @@ Three stages, each comparing whole contents and never trusting a digest alone:
 3. *global*: at most ``SALTS`` salt winners of a digest and content meet and name
    the class.
 
-A class's size and largest id are sums over representatives.  Rows never travel
-with their class: they learn the row that stays from their representative, which
-no more rows share than one task has read.
+A class's size and largest id are sums over representatives.  Rows that carry no
+content never travel with their class: they are dealt out by representative, which
+no more rows share than one task has read, and learn from it the row that stays.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ SALTS = 32
 CACHE = 32 << 20
 
 _LOCAL = "id long, digest binary, rep long, content binary"
-_MERGED = "rep long, digest binary, win long, content binary"
+_MERGED = "id long, digest binary, rep long, win long, content binary"
 
 
 def lower_ascii(text: bytes) -> bytes:
@@ -75,13 +75,20 @@ def _local(normalise: Callable[[bytes], bytes]):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rep, digest, salt, content) sorted by digest, salt and rep: names the first of equal contents, which alone is passed on."""
+    """Rows (id, digest, rep, salt, content) sorted by digest, salt and rep: names the first of equal contents, which alone is passed on.
+
+    A row without content is passed on as it is, without a winner.
+    """
     unpack = zstandard.ZstdDecompressor().decompress
     key: tuple | None = None
     variants: list[tuple[bytes, int]] = []  # packed content, winner
     for batch in batches:
         wins, kept = [], []
-        for rep, digest, salt, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for digest, rep, salt, content in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            if content is None:
+                wins.append(None)
+                kept.append(None)
+                continue
             if (digest, salt) != key:
                 key, variants = (digest, salt), []
             # equal bytes are equal contents; else compare the contents themselves
@@ -92,7 +99,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 variants.append((content, rep))
             wins.append(win)
             kept.append(content if new else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wins, pa.int64()), pa.array(kept, pa.binary())], names=["rep", "digest", "win", "content"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(wins, pa.int64()), pa.array(kept, pa.binary())], names=["id", "digest", "rep", "win", "content"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[bytes], bytes] = lower_ascii) -> DataFrame:
@@ -110,18 +117,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = shuffle_count(docs.sparkSession)
     lowest = -(2**63)
     local = only(docs, id_col, text_col).select(F.coalesce(F.col(id_col), F.lit(lowest)).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_local(normalise), _LOCAL)
-    local = materialize(local, "dedup-local")  # read again: which row represents a text hangs on the task
-    members = local.groupBy("rep", "digest").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    # one pass deals out both: contents by digest and salt, other rows by their representative
+    spread = F.pmod(F.xxhash64("rep"), F.when(F.col("content").isNotNull(), SALTS).otherwise(1 << 30)) + F.when(F.col("content").isNull(), SALTS).otherwise(0)
+    dealt = local.select("id", "digest", "rep", spread.alias("salt"), "content").repartition(n, "digest", "salt").sortWithinPartitions("digest", "salt", "rep")
+    merged = materialize(dealt.mapInArrow(_merge, _MERGED), "dedup")
     # a representative is named by its id and digest: repeated ids may stand for different texts
-    carriers = local.where(F.col("content").isNotNull()).select("rep", "digest", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt"), "content")
-    merged = materialize(carriers.repartition(n, "digest", "salt").sortWithinPartitions("digest", "salt", "rep").mapInArrow(_merge, _MERGED), "dedup")
-    winners = merged.where(F.col("content").isNotNull()).select("rep", "digest", F.lit(0).alias("salt"), "content")
+    members = merged.groupBy("rep", "digest").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    winners = merged.where(F.col("content").isNotNull()).select("id", "digest", "rep", F.lit(0).alias("salt"), "content")
     named = winners.repartition(n, "digest").sortWithinPartitions("digest", "rep").mapInArrow(_merge, _MERGED).select(F.col("rep").alias("win"), "digest", F.col("win").alias("class"))
-    reps = merged.select("rep", "digest", "win").dropDuplicates(["rep", "digest"])
+    reps = merged.where(F.col("win").isNotNull()).select("rep", "digest", "win").dropDuplicates(["rep", "digest"])
     classes = materialize(reps.join(named, ["win", "digest"]).join(members, ["rep", "digest"]).select("rep", "digest", "class", "n", "most"), "dedup-classes", light=True)
     totals = materialize(classes.groupBy("class", "digest").agg(F.sum("n").alias("group_size"), F.max("most").alias("keep_id"), F.count("*").alias("n")), "dedup-totals", light=True)
     final = join_skewed(classes.select("rep", "digest", "class"), totals.drop("n"), ["class", "digest"], totals).drop("class")
     back = lambda c: F.when(F.col(c) != lowest, F.col(c))
-    return local.select("id", "rep", "digest").join(final, ["rep", "digest"]).select(
+    return merged.select("id", "rep", "digest").join(final, ["rep", "digest"]).select(
         back("id").alias("id"), back("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

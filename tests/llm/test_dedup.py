@@ -52,9 +52,9 @@ def test_equal_digest_is_not_enough():
     from groundcheck.llm.exact_dedup import _merge
 
     pack = zstandard.ZstdCompressor(level=1).compress
-    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([b"d"] * 3), pa.array([0] * 3, pa.int32()), pa.array([pack(b"one"), pack(b"two"), pack(b"one")])], names=["rep", "digest", "salt", "content"])
-    (out,) = _merge([batch])
-    assert out.column(2).to_pylist() == [7, 8, 7] and [c is None for c in out.column(3).to_pylist()] == [False, False, True]
+    columns = [pa.array([7, 8, 9, 5]), pa.array([b"d"] * 4), pa.array([7, 8, 9, 9]), pa.array([0, 0, 0, 40]), pa.array([pack(b"one"), pack(b"two"), pack(b"one"), None])]
+    (out,) = _merge([pa.RecordBatch.from_arrays(columns, names=["id", "digest", "rep", "salt", "content"])])
+    assert out.column(3).to_pylist() == [7, 8, 7, None] and [c is None for c in out.column(4).to_pylist()] == [False, False, True, True]
 
 
 @pytest.mark.parametrize("cache", [1, 200])
