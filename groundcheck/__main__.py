@@ -10,12 +10,16 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
+from groundcheck.functions.scores import SeverityPolicy
 from groundcheck.operators import retrieval, verification
+from groundcheck.operators.report import flatten_claims
 from groundcheck.plans import annotate, evaluate, gates, generate
 from groundcheck.plans.fixtures import extract
+from groundcheck.schema import REPORT
 from groundcheck.session import local_session
 from groundcheck.sources import benchmark, files
 from groundcheck.sources.jsonl import read_responses
+from groundcheck.sources.report import read_report, write_claims
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,17 +43,26 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--resume", action="store_true")
     p.add_argument("--max-items", type=int)
     p = command("evaluate", "evaluate saved responses", "prompts", "evidence", "responses", "report", "nli")
-    p.add_argument("--embedder", help="module:factory; left out, retrieval is lexical")
     p.add_argument("--split")
     p.add_argument("--dataset-split", choices=gates.SPLITS)
     p.add_argument("--annotations")
-    for name, value in (("top-k", 5), ("support-threshold", 0.55), ("contradiction-threshold", 0.55), ("severity-threshold", 0.8)):
-        p.add_argument(f"--{name}", type=type(value), default=value)
+    for name, value in (("support-threshold", 0.55), ("contradiction-threshold", 0.55), ("severity-threshold", 0.8)):
+        p.add_argument(f"--{name}", type=float, default=value)
+    models = [p]
+    p = command("calibrate", "fit thresholds on the development items of a saved report", "prompts", "evidence", "responses", "report", "annotations", "split", "output")
+    p.add_argument("--threshold-step", type=float, default=0.05)
+    p.add_argument("--objective", choices=("macro_f1", "balanced_accuracy"), default="macro_f1")
+    models.append(command("locked-test", "evaluate the test items by calibrated thresholds, if every artifact holds", "prompts", "evidence", "manifest", "split", "calibration", "responses", "annotations", "report", "nli"))
+    for p in models:
+        p.add_argument("--embedder", help="module:factory; left out, retrieval is lexical")
+        p.add_argument("--top-k", type=int, default=5)
+    p = command("claims", "the claims of a saved report as CSV", "report", "output")
+    p.add_argument("--models", nargs="*")
+    p.add_argument("--items", nargs="*")
     p = command("worksheet", "export empty annotations", "prompts", "evidence", "responses", "output", "annotator")
     p.add_argument("--allow-unfrozen-pilot", action="store_true")
     p = command("check-annotations", "agreement of two annotators, or tallies of adjudicated ones", "evidence", "responses", "annotations")
     p.add_argument("--second")
-    command("locked-test", "thresholds for the test split, if every artifact holds", "prompts", "evidence", "manifest", "split", "calibration", "responses", "annotations")
     p = command("package", "summary, tables and hashes of a report", "report", "output")
     p.add_argument("--provenance", nargs="*", default=[])
     p = command("readiness", "which release artifacts are there", "root")
@@ -70,6 +83,24 @@ def demo(spark) -> list[dict]:
     return [r.asDict() for r in verification.baseline_verify(ranked, passages).orderBy("claim_id").collect()]
 
 
+def evaluated(spark, a: argparse.Namespace, thresholds: tuple[float, float, float]) -> dict:
+    """Evaluate saved responses, of one split if asked, and write the report; returns its manifest."""
+    bench, rows = benchmark.load_benchmark(spark, a.prompts, a.evidence), read_responses(spark, a.responses)
+    gold = gates.load_gold(spark, a.annotations, rows, bench.evidence) if a.annotations else None
+    if a.split:
+        split = files.read_object(a.split)
+        gates.check_split(split, bench.prompt_sha256, bench.evidence_sha256, gates.item_ids(bench))
+        rows = evaluate.select_split(rows, split, a.dataset_split)
+        gold = gold.join(rows.select("dataset_item_id").distinct(), "dataset_item_id", "left_semi") if gold is not None else None
+    dense, (support, contradiction, severity) = 0.5 if a.embedder else 0.0, thresholds
+    settings = evaluate.Settings(a.top_k, 1 - dense, dense, support, contradiction, SeverityPolicy(severity))
+    facts = evaluate.claim_facts(rows, bench.evidence, _factory(a.embedder) if a.embedder else None, _factory(a.nli), settings).cache()
+    done = evaluate.evaluate(facts, rows, gold=gold, settings=settings)
+    manifest = evaluate.save_report(done, a.report, bench, gold, settings, {"nli_model": a.nli, "embedding_model": a.embedder})
+    done.model_metrics.orderBy(F.col("model_name")).show(truncate=False)
+    return manifest
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     show = lambda x: print(json.dumps(x, ensure_ascii=False, indent=2, default=str))
@@ -93,7 +124,19 @@ def main(argv: list[str] | None = None) -> int:
         show(found)
         return int(bool(found))
     if a.command == "locked-test":
-        show(gates.locked_thresholds(spark, a.prompts, a.evidence, a.manifest, a.split, a.calibration, a.responses, a.annotations))
+        found = gates.locked_thresholds(spark, a.prompts, a.evidence, a.manifest, a.split, a.calibration, a.responses, a.annotations)
+        a.dataset_split = "test"
+        show(found | {"report": evaluated(spark, a, tuple(found.values()))})
+        return 0
+    if a.command == "evaluate":
+        show(evaluated(spark, a, (a.support_threshold, a.contradiction_threshold, a.severity_threshold)))
+        return 0
+    if a.command == "calibrate":
+        made = gates.calibrate(spark, a.report, a.responses, a.annotations, a.prompts, a.evidence, a.split, a.output, a.threshold_step, a.objective)
+        show({k: made[k] for k in ("verification", "severity", "retrieval_recall_at_k")})
+        return 0
+    if a.command == "claims":
+        show({"claims": write_claims(flatten_claims(read_report(spark, a.report, REPORT)), a.output, a.models, a.items)})
         return 0
     if a.command == "check-annotations":
         rows, ids = read_responses(spark, a.responses), benchmark.evidence_ids(spark, a.evidence)
@@ -107,21 +150,6 @@ def main(argv: list[str] | None = None) -> int:
         show(generate.run_generation(bench.prompts.select("dataset_item_id", "prompt"), generate.load_adapters(a.adapters), a.store, hashes, a.resume))
     elif a.command == "worksheet":
         show({"claims": annotate.export_worksheet(read_responses(spark, a.responses), bench, a.output, a.annotator, a.allow_unfrozen_pilot)})
-    elif a.command == "evaluate":
-        rows = read_responses(spark, a.responses)
-        gold = gates.load_gold(spark, a.annotations, rows, bench.evidence) if a.annotations else None
-        if a.split:
-            split = files.read_object(a.split)
-            gates.check_split(split, bench.prompt_sha256, bench.evidence_sha256)
-            rows = evaluate.select_split(rows, split, a.dataset_split)
-            gold = gold.join(rows.select("dataset_item_id").distinct(), "dataset_item_id", "left_semi") if gold is not None else None
-        dense = 0.5 if a.embedder else 0.0
-        settings = evaluate.Settings(a.top_k, 1 - dense, dense, a.support_threshold, a.contradiction_threshold, a.severity_threshold)
-        facts = evaluate.claim_facts(rows, bench.evidence, _factory(a.embedder) if a.embedder else None, _factory(a.nli), settings).cache()
-        done = evaluate.evaluate(facts, rows, gold=gold, settings=settings)
-        names = {"nli_model": a.nli, "embedding_model": a.embedder}
-        show(evaluate.save_report(done, a.report, bench, gold, settings, names))
-        done.model_metrics.orderBy(F.col("model_name")).show(truncate=False)
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -31,6 +33,43 @@ ADVICE = (
 )
 
 
+@dataclass(frozen=True)
+class SeverityPolicy:
+    """When an unsupported claim's severity is raised, by which words, and what each level weighs among a model's errors."""
+
+    high_contradiction: float = HIGH_CONTRADICTION
+    central: float = CENTRAL
+    central_domain: float = CENTRAL_DOMAIN
+    domains: Mapping[str, str] = field(default_factory=lambda: dict(RISK_DOMAINS))
+    advice: str = ADVICE
+    error_weights: Mapping[str, float] = field(default_factory=lambda: dict(ERROR_WEIGHTS))
+
+    def __post_init__(self) -> None:
+        if not all(0 <= x <= 1 for x in (self.high_contradiction, self.central, self.central_domain)):
+            raise ValueError("cutoffs of a severity policy must be in [0, 1]")
+        if set(self.error_weights) != set(SEVERITIES) or any(not 0 <= w < float("inf") for w in self.error_weights.values()) or not max(self.error_weights.values()):
+            raise ValueError("every severity needs a weight that is finite and not negative, one of them above 0")
+
+
+@dataclass(frozen=True)
+class TrustPolicy:
+    """Weights of a response's signals (factual, semantic, consistency, confidence) and what each severity takes off."""
+
+    weights: tuple[float, float, float, float] = TRUST_WEIGHTS
+    penalties: Mapping[str, float] = field(default_factory=lambda: dict(PENALTIES))
+
+    def __post_init__(self) -> None:
+        if len(self.weights) != 4 or any(not 0 <= w <= 1 for w in self.weights) or abs(sum(self.weights) - 1) > 1e-9:
+            raise ValueError("four weights must not be negative and must sum to 1")
+        if set(self.penalties) != set(SEVERITIES) or any(not 0 <= p <= 1 for p in self.penalties.values()):
+            raise ValueError("every severity needs a penalty in [0, 1]")
+
+
+def checked_unit(x: Column, name: str) -> Column:
+    """``x``, which must be null or in [0, 1]."""
+    return F.when(x.isNull() | in_unit(x), x).otherwise(F.raise_error(F.concat(F.lit(f"{name} must be in [0, 1], not "), x.cast("string"))).cast("double"))
+
+
 def in_unit(x: Column) -> Column:
     """Finite and in [0, 1]; NaN ranks above all numbers and so is out."""
     return F.coalesce(x.between(0, 1), F.lit(False))
@@ -58,30 +97,32 @@ def label(support: Column, contradiction: Column, support_threshold: Column | fl
     )
 
 
-def risk_domains(text: Column) -> Column:
+def risk_domains(text: Column, domains: Mapping[str, str] = RISK_DOMAINS) -> Column:
     """The domains of high impact that a text mentions, in fixed order."""
-    return F.array_compact(F.array(*(F.when(F.regexp_like(text, F.lit(rf"(?iuU)\b(?:{words})\b")), name) for name, words in RISK_DOMAINS.items())))
+    return F.array_compact(F.array(*(F.when(F.regexp_like(text, F.lit(rf"(?iuU)\b(?:{words})\b")), name) for name, words in domains.items())))
 
 
-def gives_advice(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(rf"(?iuU)\b(?:{ADVICE})\b"))
+def gives_advice(text: Column, advice: str = ADVICE) -> Column:
+    return F.regexp_like(text, F.lit(rf"(?iuU)\b(?:{advice})\b"))
 
 
-def severity(label_: Column, contradiction: Column, domains: Column, advice: Column, centrality: Column | float = 0.0, threshold: Column | float = HIGH_CONTRADICTION) -> tuple[Column, Column]:
+def severity(label_: Column, contradiction: Column, domains: Column, advice: Column, centrality: Column | float = 0.0, threshold: Column | float = HIGH_CONTRADICTION, policy: SeverityPolicy = SeverityPolicy()) -> tuple[Column, Column]:
     """Severity (null for supported claims) and the reasons for it.
 
     Steps apply in order: base level, strong contradiction, central claim (both
     raise a level, to severe at most), central domain, advice in a domain.
+    ``threshold`` is given apart from the policy, as calibration tries many.
     """
+    # The sentences below.
     centrality = F.lit(centrality) if not isinstance(centrality, Column) else centrality
     contradicted = label_ == "contradicted"
     strong = contradicted & (contradiction >= threshold)
-    central = centrality >= CENTRAL
+    central = centrality >= policy.central
     base = F.when(contradicted, 1).otherwise(0)
     raised = F.least(F.lit(2), base + strong.cast("int"))
     again = F.least(F.lit(2), raised + central.cast("int"))
     risky = F.size(domains) > 0
-    domain_raises = risky & (centrality >= CENTRAL_DOMAIN) & (again < 2)
+    domain_raises = risky & (centrality >= policy.central_domain) & (again < 2)
     critical = risky & advice
     level = F.when(critical, 3).when(domain_raises, 2).otherwise(again)
     reasons = F.concat_ws(

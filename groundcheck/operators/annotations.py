@@ -42,11 +42,13 @@ def validate_annotations(annotations: DataFrame, claims: DataFrame, evidence: Da
     joins, so neither side has to be small.
     """
     found = claims.select(*CLAIM_KEY, F.col("claim_text").alias("found_text"), F.col("claim_start").alias("found_start"), F.col("claim_end").alias("found_end"))
-    named = annotations.select(*CLAIM_KEY, F.explode("evidence_ids").alias("evidence_id"))
-    unknown = named.join(evidence.select("evidence_id"), "evidence_id", "left_anti").groupBy(*CLAIM_KEY).agg(F.count("*").alias("unknown_ids"))
-    copies = annotations.groupBy(*CLAIM_KEY).agg(F.count("*").alias("copies"))
+    # a record's first place, or its only one without ids, counts the record
+    named = annotations.select(*CLAIM_KEY, F.posexplode_outer("evidence_ids").alias("place", "evidence_id"))
+    known = evidence.select("evidence_id").distinct().withColumn("known", F.lit(True))
+    first, unknown = F.coalesce(F.col("place") == 0, F.lit(True)), F.col("place").isNotNull() & F.col("evidence_id").isNotNull() & F.col("known").isNull()
+    tally = named.join(known, "evidence_id", "left").groupBy(*CLAIM_KEY).agg(F.count_if(first).alias("copies"), F.count_if(unknown).alias("unknown_ids"))
     annotators = annotations.agg(F.count_distinct("annotator_id").alias("annotators"))
-    rows = annotations.join(found, CLAIM_KEY, "left").join(unknown, CLAIM_KEY, "left").join(copies, CLAIM_KEY).crossJoin(annotators)
+    rows = annotations.join(tally, CLAIM_KEY).join(found, CLAIM_KEY, "left").crossJoin(F.broadcast(annotators))  # one row
     return violations(rows, annotation_rules(status), CLAIM_KEY)
 
 

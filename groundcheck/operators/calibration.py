@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundcheck.functions import scores as S
+from groundcheck.operators import rules
 from groundcheck.schema import LABELS, SEVERITIES
 
 
@@ -31,6 +32,13 @@ def _passed(strength: Column, values: list[float]) -> Column:
     return reduce(lambda n, v: n + (strength >= v).cast("int"), values, F.lit(0))
 
 
+def check_observations(observations: DataFrame, key: list[str]) -> None:
+    """Raise unless keys are unique and scores are in [0, 1]."""
+    scores = [rules.Rule(f"{c} out of range", ~S.in_unit(F.col(c))) for c in ("support_score", "contradiction_score")]
+    rules.require(rules.violations(observations, scores, key))
+    rules.require(rules.repeated(observations, key, "repeated key"))
+
+
 def verification_grid(observations: DataFrame, values: list[float] | None = None) -> DataFrame:
     """Accuracy, macro-F1, balanced accuracy and coverage of every pair of thresholds.
 

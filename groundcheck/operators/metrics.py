@@ -82,7 +82,7 @@ def confidence_calibration(facts: DataFrame, gold: DataFrame, by: list[str]) ->
     return buckets.groupBy(*by).agg((F.sum("b") / total).alias("confidence_brier_score"), (F.sum(F.col("n") * F.abs(F.col("c") - F.col("o"))) / total).alias("confidence_ece"), total.alias("calibrated_responses"))
 
 
-def model_metrics(facts: DataFrame, responses: DataFrame, gold: DataFrame | None = None, consistency: DataFrame | None = None, k: int = 5) -> DataFrame:
+def model_metrics(facts: DataFrame, responses: DataFrame, gold: DataFrame | None = None, consistency: DataFrame | None = None, k: int = 5, severity: S.SeverityPolicy = S.SeverityPolicy(), trust: S.TrustPolicy = S.TrustPolicy()) -> DataFrame:
     """One row per model with every metric; those whose input is missing are null.
 
     One pass: claims meet their gold labels once, are summed up per response and
@@ -95,13 +95,13 @@ def model_metrics(facts: DataFrame, responses: DataFrame, gold: DataFrame | None
     else:
         claims = claims.withColumns({"gold_label": F.lit(None).cast("string"), "relevant": F.lit(None).cast("array<string>")})
     right = (c("label") == "supported").cast("double")
-    hundredths = {s: round(100 * v) for s, v in S.PENALTIES.items()}
+    hundredths = {s: round(100 * v) for s, v in trust.penalties.items()}
     pairs = [(a, b) for a in LABELS for b in LABELS]
     cell = lambda a, b: f"{a}_{b}"
     sums = {f"{x}_count": F.count_if(c("label") == x) for x in LABELS} | {f"{x}_count": F.count_if(c("severity") == x) for x in SEVERITIES}
     sums |= {cell(a, b): F.count_if((c("label") == a) & (c("gold_label") == b)) for a, b in pairs}
     sums |= {
-        "claim_count": F.count("*"), "weight": F.coalesce(F.sum(S.by_severity(c("severity"), S.ERROR_WEIGHTS)), F.lit(0)), "penalty": F.coalesce(F.sum(S.by_severity(c("severity"), hundredths)), F.lit(0)),
+        "claim_count": F.count("*"), "weight": F.coalesce(F.sum(S.by_severity(c("severity"), dict(severity.error_weights))), F.lit(0)), "penalty": F.coalesce(F.sum(S.by_severity(c("severity"), hundredths)), F.lit(0)),
         "recalls": F.sum(F.when(F.size("relevant") > 0, F.size(F.array_intersect("found", "relevant")) / F.size("relevant"))), "recall_n": F.count_if(F.size("relevant") > 0),
     }
     parts = claims.groupBy(*RESPONSE_KEY).agg(
@@ -115,7 +115,7 @@ def model_metrics(facts: DataFrame, responses: DataFrame, gold: DataFrame | None
         rows = rows.withColumn("consistency_score", F.lit(None).cast("double"))
     rows = rows.withColumn("severity_penalty", F.least(F.lit(1.0), c("penalty") / (100 * c("claim_count"))))
     judged = c("complete") & c("sure").isNotNull()
-    rows = rows.withColumns({"trust": F.when(c("consistency_score").isNotNull() & c("claim_count").isNotNull(), trust_formula()), "off": F.when(judged, c("sure") - c("outcome")), "bucket": bucket(c("sure"))})
+    rows = rows.withColumns({"trust": F.when(c("consistency_score").isNotNull() & c("claim_count").isNotNull(), trust_formula(trust.weights)), "off": F.when(judged, c("sure") - c("outcome")), "bucket": bucket(c("sure"))})
     totals = rows.groupBy("model_name").agg(
         F.count("*").alias("response_count"), F.count_distinct("dataset_item_id").alias("dataset_item_count"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums if n != "recalls"), F.sum("recalls").alias("recalls"),
         F.avg("trust").alias("average_trust_score"), F.avg(c("off") ** 2).alias("confidence_brier_score"), F.count("off").alias("judged"),
@@ -130,7 +130,7 @@ def model_metrics(facts: DataFrame, responses: DataFrame, gold: DataFrame | None
         support.append((is_ > 0).cast("int"))
     return totals.select(
         "model_name", "response_count", "dataset_item_count", "claim_count", *(f"{x}_count" for x in (*LABELS, *SEVERITIES)), *(rate(f"{x}_count").alias(f"{x}_rate") for x in LABELS), rate("contradicted_count").alias("hallucination_rate"),
-        F.try_divide(c("weight"), 8 * c("claim_count")).alias("severity_weighted_error_rate"), F.lit(k).alias("retrieval_k"), "average_trust_score",
+        F.try_divide(c("weight"), max(severity.error_weights.values()) * c("claim_count")).alias("severity_weighted_error_rate"), F.lit(k).alias("retrieval_k"), "average_trust_score",
         F.try_divide(sum((c(cell(x, x)) for x in LABELS), F.lit(0)), gold_n).alias("verification_accuracy"), F.try_divide(sum(f1, F.lit(0.0)), sum(support, F.lit(0))).alias("verification_macro_f1"),
         F.try_divide(c("recalls"), c("recall_n")).alias("retrieval_recall_at_k"), "confidence_brier_score", F.try_divide(sum((c(f"off_{i}") for i in range(BUCKETS)), F.lit(0.0)), c("judged")).alias("confidence_ece"),
     )

@@ -49,6 +49,8 @@ def document_frequency(evidence: DataFrame) -> DataFrame:
 
 def bm25_postings(evidence: DataFrame, k1: float = S.K1, b: float = S.B) -> DataFrame:
     """``pos, token, weight``: what one occurrence of the token in a query adds to the passage's score."""
+    if not 0 < k1 < float("inf") or not 0 <= b <= 1:
+        raise ValueError("k1 must be above 0 and b in [0, 1]")
     tokens = evidence_tokens(evidence)
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     stats = corpus_stats(evidence)
@@ -88,7 +90,9 @@ class PassageGroup:
 
 def _groups(evidence: DataFrame, postings: DataFrame, vectors: DataFrame | None) -> Iterator[PassageGroup]:
     """Passages in groups of positions; the driver holds one group at a time."""
-    total = evidence.agg(F.count("*"), F.min("pos"), F.max("pos"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    total = evidence.agg(F.count("*"), F.min("pos"), F.max("pos"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_distinct("evidence_id"), F.count_distinct("pos")).first()
+    if total[4] < total[0] or total[5] < total[0]:
+        raise ValueError("passages need ids and positions of their own")
     size = 12 * total[3] + (8 * VECTOR * total[0] if vectors is not None else 0)
     if not total[0]:
         return
@@ -270,6 +274,8 @@ def rank_passages(
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if not all(0 <= w < float("inf") for w in (lexical, dense)) or not lexical + dense:
+        raise ValueError("retrieval weights must be finite and not negative, one of them above 0")
     if dense > 0 and vectors is None:
         raise ValueError("dense ranking needs vectors")
     vectors = vectors if dense > 0 else None
@@ -305,6 +311,8 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, key: list[str], ks: tupl
     show); ``gold`` has ``key, evidence_ids``.  Recall counts distinct relevant
     ids and is 0 without any; precision divides by k however many hits there are.
     """
+    if not ks or len(set(ks)) < len(ks) or any(isinstance(k, bool) or not isinstance(k, int) or k < 1 for k in ks):
+        raise ValueError("ks must be different whole numbers of at least 1")
     hits = ranked.join(gold.select(*key, F.array_distinct("evidence_ids").alias("relevant")), key, "left").withColumn("hit", F.coalesce(F.array_contains("relevant", F.col("evidence_id")), F.lit(False)))
     aggregates = [F.coalesce(F.try_divide(F.lit(1.0), F.min(F.when(F.col("hit"), F.col("rank")))), F.lit(0.0)).alias("reciprocal_rank")]
     for k in ks:

@@ -8,16 +8,16 @@ from groundcheck.functions import scores as S, text as X
 from groundcheck.schema import RESPONSE_KEY
 
 
-def trust_scores(facts: DataFrame, consistency: DataFrame, key: list[str] = RESPONSE_KEY, weights: tuple[float, ...] = S.TRUST_WEIGHTS) -> DataFrame:
+def trust_scores(facts: DataFrame, consistency: DataFrame, key: list[str] = RESPONSE_KEY, policy: S.TrustPolicy = S.TrustPolicy()) -> DataFrame:
     """One row per response with claims and a consistency score: the score, its parts and rationale.
 
     ``facts`` has one row per claim with ``label, similarity, severity,
     confidence``; confidence is compared with the label being supported and is
-    left out, counting 0, where there is none.
+    left out, counting 0, where there is none.  Similarities, confidences and
+    consistency scores must be in [0, 1].
     """
-    if any(w < 0 for w in weights) or abs(sum(weights) - 1) > 1e-9:
-        raise ValueError("weights must not be negative and must sum to 1")
-    hundredths = {k: round(100 * v) for k, v in S.PENALTIES.items()}  # whole numbers sum the same in any order
+    hundredths = {k: round(100 * v) for k, v in policy.penalties.items()}  # whole numbers sum the same in any order
+    facts = facts.withColumns({c: S.checked_unit(F.col(c), c) for c in ("similarity", "confidence")})
     right = (F.col("label") == "supported").cast("double")
     parts = facts.groupBy(*key).agg(
         F.avg(right).alias("factual_score"),
@@ -26,8 +26,8 @@ def trust_scores(facts: DataFrame, consistency: DataFrame, key: list[str] = RESP
         F.least(F.lit(1.0), F.coalesce(F.sum(S.by_severity(F.col("severity"), hundredths)), F.lit(0)) / (100 * F.count("*"))).alias("severity_penalty"),
         F.count("*").alias("claim_count"),
     )
-    joined = parts.join(consistency.select(*key, "consistency_score"), key)
-    return joined.withColumns({"trust_score": trust_formula(weights), "trust_rationale": rationale()})
+    joined = parts.join(consistency.select(*key, S.checked_unit(F.col("consistency_score"), "consistency_score").alias("consistency_score")), key)
+    return joined.withColumns({"trust_score": trust_formula(policy.weights), "trust_rationale": rationale()})
 
 
 def trust_formula(weights: tuple[float, ...] = S.TRUST_WEIGHTS) -> Column:

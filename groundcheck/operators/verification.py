@@ -56,13 +56,20 @@ def verify(scored: DataFrame, support_threshold: float = S.SUPPORT_THRESHOLD, co
     return out.withColumn("verification_reason", reason)
 
 
-def assess_severity(verified: DataFrame, threshold: float = S.HIGH_CONTRADICTION, centrality: Column | float = 0.0) -> DataFrame:
-    """Rows with ``claim_text, label, contradiction_score`` get ``severity, risk_domains, severity_reason``."""
+def assess_severity(verified: DataFrame, threshold: float | None = None, centrality: Column | float = 0.0, policy: S.SeverityPolicy = S.SeverityPolicy()) -> DataFrame:
+    """Rows with ``claim_text, label, contradiction_score`` get ``severity, risk_domains, severity_reason``.
+
+    ``threshold`` is the policy's unless given; it, centralities and scores must be in [0, 1].
+    """
+    threshold = policy.high_contradiction if threshold is None else threshold
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be in [0, 1]")
-    unsupported = F.col("label") != "supported"
-    out = verified.withColumns({"risk_domains": F.when(unsupported, S.risk_domains(F.col("claim_text"))).otherwise(F.array().cast("array<string>")), "_advice": S.gives_advice(F.col("claim_text"))})
-    level, reason = S.severity(F.col("label"), F.col("contradiction_score"), F.col("risk_domains"), F.col("_advice"), centrality, threshold)
+    if not isinstance(centrality, Column) and not 0 <= centrality <= 1:
+        raise ValueError("centrality must be in [0, 1]")
+    centrality = S.checked_unit(centrality, "centrality") if isinstance(centrality, Column) else centrality
+    unsupported, text = F.col("label") != "supported", F.col("claim_text")
+    out = verified.withColumns({"risk_domains": F.when(unsupported, S.risk_domains(text, policy.domains)).otherwise(F.array().cast("array<string>")), "_advice": S.gives_advice(text, policy.advice)})
+    level, reason = S.severity(F.col("label"), S.checked_unit(F.col("contradiction_score"), "contradiction_score"), F.col("risk_domains"), F.col("_advice"), centrality, threshold, policy)
     return out.withColumns({"severity": level, "severity_reason": reason}).drop("_advice")
 
 

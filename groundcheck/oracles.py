@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+# Fixed values, as in the engine's own rules: words that cut claims, mark a domain, or mark advice.
 _WORDS = "and|but|however|although|though|while|whereas|because|so|yet|or|nor"
 _CUT = rf"([.!?])\s+|\s*[;:]\s*|\s+(?:{_WORDS})\s+|\s*(?:--|—)\s*"
 _DOMAINS = {
@@ -44,6 +45,11 @@ def _advice(text: str) -> str:
     return rf"regexp_matches({_folded(text)}, '(?i)\b(?:{_ADVICE})\b')"
 
 
+def _padded(number: str, width: int) -> str:
+    """Zeros before a number of fewer digits; one of more is kept whole."""
+    return f"lpad(CAST({number} AS VARCHAR), greatest({width}, length(CAST({number} AS VARCHAR))), '0')"
+
+
 def _label(s: str, c: str, ts: str = "0.2", tc: str = "0.2") -> str:
     return f"CASE WHEN {s} >= {ts} AND {s} > {c} THEN 'supported' WHEN {c} >= {tc} AND {c} > {s} THEN 'contradicted' ELSE 'unknown' END"
 
@@ -73,9 +79,9 @@ def _kappa(by: str) -> str:
 
 #: Named parts; a part may use any other.
 PARTS: dict[str, str] = {
-    "resp": "SELECT doc_id, 'model-' || (doc_id % 20) AS model_name, 'item-' || lpad(CAST(doc_id // 20 AS VARCHAR), 6, '0') AS dataset_item_id, text, CASE WHEN doc_id % 7 <> 0 THEN ((doc_id * 37) % 101) / 100 END AS confidence FROM documents",
-    "items": "SELECT DISTINCT dataset_item_id, 'topic-' || (CAST(substr(dataset_item_id, 6, 6) AS BIGINT) % 10) AS topic FROM resp",
-    "evi": "SELECT item_id AS pos, 'ev-' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS evidence_id, text, 'topic-' || (item_id % 10) AS topic FROM benchmark",
+    "resp": f"SELECT doc_id, 'model-' || (doc_id % 20) AS model_name, 'item-' || {_padded('(doc_id // 20)', 6)} AS dataset_item_id, text, CASE WHEN doc_id % 7 <> 0 THEN ((doc_id * 37) % 101) / 100 END AS confidence FROM documents",
+    "items": "SELECT DISTINCT dataset_item_id, 'topic-' || (CAST(substr(dataset_item_id, 6) AS BIGINT) % 10) AS topic FROM resp",
+    "evi": f"SELECT item_id AS pos, 'ev-' || {_padded('item_id', 4)} AS evidence_id, text, 'topic-' || (item_id % 10) AS topic FROM benchmark",
     "nevi": "SELECT count(*) AS n FROM evi",
     "parts": rf"SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '{_CUT}', '\1' || chr(30), 'gi'), chr(30)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM resp",
     "walk": """SELECT doc_id, 1 AS ordinal, p[1] AS claim_text, CAST(instr(text, p[1]) - 1 AS BIGINT) AS claim_start, length(p[1]) AS size FROM parts WHERE len(p) > 0
@@ -96,7 +102,7 @@ PARTS: dict[str, str] = {
     "pairs": f"""SELECT {_K}, e.pos, least(1, greatest(0, (list_cosine_similarity(c.v, e.v) + 1) / 2)) AS emb, coalesce(s, 0) AS s
         FROM cvec c CROSS JOIN evec e LEFT JOIN bm25 b USING ({_K}, pos)""",
     "comb": f"SELECT *, 0.5 * (CASE WHEN max(s) OVER k > 0 THEN s / max(s) OVER k ELSE 0 END) + 0.5 * emb AS combined FROM pairs WINDOW k AS (PARTITION BY {_K})",
-    "hits": f"""SELECT {_K}, pos, 'ev-' || lpad(CAST(pos AS VARCHAR), 4, '0') AS evidence_id, s, emb, combined, rank FROM (
+    "hits": f"""SELECT {_K}, pos, 'ev-' || {_padded("pos", 4)} AS evidence_id, s, emb, combined, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY round(combined, 12) DESC, pos) AS rank FROM comb) WHERE rank <= 5""",
     "nli": f"SELECT *, {_hex('d')} + 1 AS e, {_hex('d', 9)} + 1 AS c, {_hex('d', 17)} + 1 AS u FROM (SELECT *, model_name || '|' || dataset_item_id || '|' || claim_id || '|' || evidence_id AS d FROM hits)",
     "scores": f"SELECT {_K}, evidence_id, rank, combined, emb, e / (e + c + u) AS pe, c / (e + c + u) AS pc, u / (e + c + u) AS pn FROM nli",
@@ -117,7 +123,7 @@ PARTS: dict[str, str] = {
         FROM facts GROUP BY ALL) JOIN cons USING ({_R})""",
     "gold": f"""SELECT {_K}, CASE WHEN toxic = 1 THEN 'contradicted' WHEN quality = 1 THEN 'supported' ELSE 'unknown' END AS gold_label,
         CASE WHEN toxic = 1 OR quality <> 1 THEN {_LEVELS}[1 + {_hex("model_name || '|' || dataset_item_id || '|' || claim_id")} % 4] END AS gold_severity,
-        ['ev-' || lpad(CAST(doc_id % n AS VARCHAR), 4, '0'), 'ev-' || lpad(CAST((doc_id * 3 + ordinal) % n AS VARCHAR), 4, '0')] AS ids FROM claims JOIN labels USING (doc_id) CROSS JOIN nevi""",
+        ['ev-' || {_padded("(doc_id % n)", 4)}, 'ev-' || {_padded("((doc_id * 3 + ordinal) % n)", 4)}] AS ids FROM claims JOIN labels USING (doc_id) CROSS JOIN nevi""",
     "gids": f"SELECT DISTINCT {_K}, unnest(ids) AS evidence_id FROM gold",
     "gpairs": f"SELECT {_K}, label AS predicted, gold_label FROM facts JOIN gold USING ({_K})",
     "rel": f"SELECT h.*, g.evidence_id IS NOT NULL AS hit FROM hits h SEMI JOIN gold USING ({_K}) LEFT JOIN gids g USING ({_K}, evidence_id)",
@@ -140,8 +146,8 @@ PARTS: dict[str, str] = {
     "tcells": "SELECT c.t AS threshold, g.l AS gold, p.l AS predicted, count(s.gold) AS n FROM cand c CROSS JOIN levels g CROSS JOIN levels p LEFT JOIN tpairs s ON s.threshold = c.t AND s.gold = g.l AND s.predicted = p.l GROUP BY ALL",
     "tops": "SELECT topic, row_number() OVER (ORDER BY md5('42|' || topic), topic) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT topic FROM items)",
     "split": "SELECT i.dataset_item_id, topic, CASE WHEN k <= greatest(1, round_even(n * 0.2, 0)) THEN 'test' WHEN k <= 2 * greatest(1, round_even(n * 0.2, 0)) THEN 'dev' ELSE 'train' END AS split FROM items i JOIN tops USING (topic)",
-    "prompts": """SELECT dataset_item_id, topic, 'Question ' || k AS prompt, ['ev-' || lpad(CAST(k % n AS VARCHAR), 4, '0'), 'ev-' || CASE WHEN k % 11 = 0 THEN '9999' ELSE lpad(CAST((k * 7) % n AS VARCHAR), 4, '0') END] AS refs
-        FROM (SELECT *, CAST(substr(dataset_item_id, 6, 6) AS BIGINT) AS k FROM items) CROSS JOIN nevi""",
+    "prompts": f"""SELECT dataset_item_id, topic, 'Question ' || k AS prompt, ['ev-' || {_padded("(k % n)", 4)}, 'ev-' || CASE WHEN k % 11 = 0 THEN CAST(greatest(9999, n) AS VARCHAR) ELSE {_padded("((k * 7) % n)", 4)} END] AS refs
+        FROM (SELECT *, CAST(substr(dataset_item_id, 6) AS BIGINT) AS k FROM items) CROSS JOIN nevi""",
     "prefs": "SELECT dataset_item_id, topic, r.ref AS evidence_id, r.k FROM prompts, LATERAL (SELECT unnest(refs) AS ref, generate_subscripts(refs, 1) AS k) r",
     "fk": "SELECT p.dataset_item_id, p.evidence_id, CASE WHEN e.pos IS NULL THEN 'unknown evidence' ELSE 'topics differ' END AS rule FROM prefs p LEFT JOIN evi e USING (evidence_id) WHERE e.pos IS NULL OR p.topic <> e.topic",
     "annb": f"SELECT {_K}, gold_label AS first_label, CASE WHEN {_hex("'b|' || model_name || '|' || dataset_item_id || '|' || claim_id")} % 5 = 0 THEN {_LABELS}[1 + list_position({_LABELS}, gold_label) % 3] ELSE gold_label END AS second_label FROM gold",
@@ -208,7 +214,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT {_K}, evidence_id, list_distinct(regexp_extract_all(lower(claim_text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(e.text), '[a-z0-9]+')) AS b FROM claims CROSS JOIN nevi JOIN evi e ON e.pos = ordinal % n)""",
     "corpus_stats": "SELECT documents, round(average_length, 9) AS average_length FROM stats",
     "document_frequency": "SELECT token, df FROM dfreq",
-    "bm25_scores": f"SELECT {_K}, 'ev-' || lpad(CAST(pos AS VARCHAR), 4, '0') AS evidence_id, round(s, 9) AS bm25_score FROM bm25",
+    "bm25_scores": f"SELECT {_K}, 'ev-' || {_padded('pos', 4)} AS evidence_id, round(s, 9) AS bm25_score FROM bm25",
     "embedding_similarity": f"SELECT {_K}, evidence_id, round(least(1, greatest(0, (list_cosine_similarity(c.v, e.v) + 1) / 2)), 9) AS similarity FROM cvec c JOIN claims USING ({_K}) CROSS JOIN nevi JOIN evec e ON e.pos = ordinal % n JOIN evi USING (pos)",
     "hybrid_retrieval": f"SELECT {_K}, evidence_id, round(s, 9) AS bm25_score, round(emb, 9) AS embedding_score, round(combined, 9) AS combined_score, rank FROM hits",
     "recall_at_k": f"SELECT model_name, {', '.join(f'round(avg(h{k} / n), 9) AS recall_at_{k}' for k in (1, 3, 5))} FROM relq GROUP BY model_name",
@@ -288,7 +294,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, claim_start + CASE WHEN ordinal = 4 THEN 1 ELSE 0 END AS s FROM facts) JOIN (SELECT {_R}, text FROM resp) r USING ({_R})""",
     "flatten_claims": f"SELECT {_K}, claim_start, claim_end, claim_text, label AS verification_label, severity, round(support_score, 9) AS support_score, round(trust_score, 9) AS trust_score, e AS evidence_ids FROM facts LEFT JOIN (SELECT {_R}, trust_score FROM trusts) USING ({_R}) JOIN (SELECT {_K}, string_agg(evidence_id, ',' ORDER BY rank) AS e FROM hits GROUP BY ALL) USING ({_K})",
     "evidence_detail": f"SELECT {_K}, rank - 1 AS place, evidence_id, round(combined, 9) AS combined_score, round(emb, 9) AS similarity, round(pe * combined * emb, 9) AS support_score, round(pc * combined * emb, 9) AS contradiction_score FROM scores",
-    "filter_claims": f"SELECT {_K}, label, severity FROM facts WHERE model_name IN ('model-0', 'model-2') AND CAST(substr(dataset_item_id, 6, 6) AS BIGINT) < 40 AND CAST(substr(dataset_item_id, 6, 6) AS BIGINT) % 3 = 0",
+    "filter_claims": f"SELECT {_K}, label, severity FROM facts WHERE model_name IN ('model-0', 'model-2') AND CAST(substr(dataset_item_id, 6) AS BIGINT) < 40 AND CAST(substr(dataset_item_id, 6) AS BIGINT) % 3 = 0",
     "critical_claims": f"SELECT {_K}, claim_text, label FROM central WHERE severity = 'critical'",
     "claim_picker": f"SELECT {_K}, model_name || ' / ' || dataset_item_id || ' · ' || substr(claim_text, 1, 72) AS caption FROM claims",
     "dashboard_kpis": "SELECT count(*) AS claims, count(*) FILTER (label = 'contradicted') AS contradicted, count(*) FILTER (label = 'unknown') AS unknown, count(*) FILTER (severity IN ('severe', 'critical')) AS severe_or_critical, count(DISTINCT dataset_item_id) AS dataset_items FROM facts",
@@ -300,7 +306,7 @@ ORACLES: dict[str, str] = {
     "summary_totals": "SELECT count(*) AS model_count, CAST(sum(response_count) AS BIGINT) AS total_response_count, CAST(sum(claim_count) AS BIGINT) AS total_claim_count, CAST(sum(supported_count) AS BIGINT) AS total_supported_count, CAST(sum(contradicted_count) AS BIGINT) AS total_contradicted_count, CAST(sum(unknown_count) AS BIGINT) AS total_unknown_count FROM rates",
     "percentages": "SELECT model_name, format('{:.1f}%', 100 * count(*) FILTER (label = 'supported') / count(*)) AS supported, '—' AS missing FROM facts GROUP BY model_name",
     "responses_scan": "SELECT doc_id AS line, CASE WHEN ok THEN model_name END AS model_name, CASE WHEN ok THEN dataset_item_id END AS dataset_item_id, CASE WHEN ok THEN length(text) END AS characters, CASE WHEN ok THEN confidence END AS confidence, ok AS valid FROM (SELECT *, doc_id % 60 NOT IN (1, 2) AS ok FROM resp)",
-    "scan_jsonl": "SELECT conv_id || '-' || turn AS file, unnest([1, 3]) AS line, unnest([1, 2]) AS record, unnest([NULL, CASE turn WHEN 1 THEN 'not an object' WHEN 2 THEN 'invalid JSON' END]) AS error FROM conversations",
+    "scan_jsonl": "SELECT conv_id || '-' || turn AS file, unnest([1, 3]) AS line, unnest([1, 2]) AS record, unnest([NULL, CASE turn WHEN 1 THEN 'not an object' WHEN 2 THEN 'invalid JSON' END]) AS error, unnest([NULL, CASE WHEN turn NOT IN (1, 2) THEN md5(text) END]) AS text_md5 FROM conversations",
     "content_sha256": "SELECT item_id, sha256(text) AS sha256 FROM benchmark",
     "static_generation": "SELECT 'static' AS model_name, dataset_item_id, sha256(text) AS text_sha256, confidence FROM resp JOIN items USING (dataset_item_id) WHERE model_name = 'model-1' AND topic <> 'topic-3'",
     "report_claims": f"SELECT {_K}, count(*) AS copies FROM claims GROUP BY ALL",
@@ -322,6 +328,9 @@ ORACLES |= {
     "retrieval_on_dev": f"SELECT count(*) AS claims, {', '.join(f'round(avg(h{k} / n), 9) AS recall_at_{k}' for k in (1, 3, 5))} FROM relq JOIN split USING (dataset_item_id) WHERE split = 'dev'",
     "candidate_thresholds": "SELECT t AS threshold FROM cand",
 }
+ORACLES["comparison_counts"] = f"SELECT model_a, model_b, paired_item_count, round(mean_difference, 9) AS supported_rate_difference, a AS model_a_error_only_items, b AS model_b_error_only_items, round({_MCNEMAR}, 9) AS mcnemar_exact_p_value FROM disc"
+ORACLES["report_roundtrip"] = f"""SELECT {_K}, claim_start, claim_end, claim_text, label AS verification_label, severity, verification_reason, e AS evidence_ids, md5(text) AS response_md5, {_round("similarity", "support_score", "contradiction_score", "trust_score")}
+    FROM facts JOIN ({ORACLES["verification_explanations"]}) USING ({_K}) JOIN (SELECT {_R}, text FROM resp) USING ({_R}) LEFT JOIN (SELECT {_R}, trust_score FROM trusts) USING ({_R}) JOIN (SELECT {_K}, string_agg(evidence_id, ',' ORDER BY rank) AS e FROM hits GROUP BY ALL) USING ({_K})"""
 ORACLES["baseline_retrieval"] = f"SELECT {_K}, evidence_id, rank, CAST(score AS DOUBLE) AS score FROM bhit JOIN evi USING (pos)"
 ORACLES["baseline_verification"] = f"SELECT {_K}, round(similarity, 9) AS similarity, CASE WHEN similarity > 0.25 THEN 'supported' ELSE 'unknown' END AS label FROM bsim"
 

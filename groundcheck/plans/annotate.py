@@ -31,9 +31,12 @@ def export_worksheet(responses: DataFrame, benchmark: Benchmark, path: str, anno
     claims = extract(responses.select("model_name", "dataset_item_id", "text", F.col("text").alias("response_text")))
     prompts = benchmark.prompts.select("dataset_item_id", "prompt", "domain", "topic", "task_type", "risk_level", "reference_evidence_ids")
     sheet = A.worksheet(claims, prompts, benchmark.evidence, annotator).orderBy("dataset_item_id", "model_name", "ordinal").drop("ordinal")
-    lines = [json.dumps(r.asDict(recursive=True), ensure_ascii=False) for r in sheet.toLocalIterator()]
-    files.write_atomic(path, "".join(x + "\n" for x in lines))
-    return len(lines)
+    count = 0
+    with files.atomic(path) as f:
+        for r in sheet.toLocalIterator():
+            f.write(json.dumps(r.asDict(recursive=True), ensure_ascii=False) + "\n")
+            count += 1
+    return count
 
 
 def compare_annotators(spark: SparkSession, first: str, second: str, responses: DataFrame, evidence: DataFrame) -> dict[str, Any]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -16,6 +15,7 @@ from groundcheck.plans.fixtures import extract
 from groundcheck.schema import CLAIM_KEY, RESPONSE_KEY
 from groundcheck.sources import files
 from groundcheck.sources.benchmark import Benchmark
+from groundcheck.sources.report import write_document
 
 
 @dataclass(frozen=True)
@@ -27,14 +27,19 @@ class Settings:
     dense: float = 0.5
     support_threshold: float = S.SUPPORT_THRESHOLD
     contradiction_threshold: float = S.CONTRADICTION_THRESHOLD
-    high_contradiction: float = S.HIGH_CONTRADICTION
+    severity: S.SeverityPolicy = S.SeverityPolicy()
+    trust: S.TrustPolicy = S.TrustPolicy()
     repetitions: int = 2000
     level: float = 0.95
     seed: int = 0
+    #: Items up to which a pair's interval is drawn by Python's generator, in one task; beyond, by hashes over the cluster.
+    exact_items: int = 10_000
 
     def __post_init__(self) -> None:
-        if self.top_k < 1:
-            raise ValueError("top_k must be at least 1")
+        if isinstance(self.top_k, bool) or not isinstance(self.top_k, int) or self.top_k < 1:
+            raise ValueError("top_k must be a whole number of at least 1")
+        if not all(0 <= t <= 1 for t in (self.support_threshold, self.contradiction_threshold)):
+            raise ValueError("thresholds must be in [0, 1]")
         if min(self.lexical, self.dense) < 0 or abs(self.lexical + self.dense - 1) > 1e-9:
             raise ValueError("retrieval weights must not be negative and must sum to 1")
         compare.check_bootstrap(self.repetitions, self.level)
@@ -50,16 +55,17 @@ class Evaluation:
     model_metrics: DataFrame
     comparisons: DataFrame
 
-    def report(self) -> dict[str, Any]:
-        """The nested report document; for result sets that fit a file."""
-        rows = report.nested_report(self.facts, self.responses, self.trust)
-        objects = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+    def nested(self) -> DataFrame:
+        """The report's responses, a row each; :func:`groundcheck.sources.report.to_json_lines` writes them over the cluster."""
+        return report.nested_report(self.facts, self.responses, self.trust)
+
+    def arrays(self) -> dict[str, DataFrame]:
+        """The report's arrays in order."""
         return {
-            "schema_version": 1,
-            "dataset_item_ids": [r[0] for r in self.responses.select("dataset_item_id").distinct().orderBy("dataset_item_id").collect()],
-            "responses": objects(rows.orderBy("response.dataset_item_id", "response.model_name")),
-            "model_metrics": objects(self.model_metrics.orderBy("model_name")),
-            "paired_comparisons": objects(self.comparisons.orderBy("model_a", "model_b")),
+            "dataset_item_ids": self.responses.select("dataset_item_id").distinct().orderBy("dataset_item_id"),
+            "responses": self.nested().orderBy("response.dataset_item_id", "response.model_name"),
+            "model_metrics": self.model_metrics.orderBy("model_name"),
+            "paired_comparisons": self.comparisons.orderBy("model_a", "model_b"),
         }
 
 
@@ -90,8 +96,8 @@ def claim_facts(responses: DataFrame, evidence: DataFrame, embedder: Callable[[]
     """
     rows = claims(responses)
     dense = settings.dense > 0
-    if dense and embedder is None:
-        raise ValueError("dense retrieval needs an embedder")
+    if dense != (embedder is not None):
+        raise ValueError("dense retrieval needs an embedder, and an embedder a weight above 0")
     passages = evidence.select("pos", "evidence_id", "text")
     encode = models.embedding_udf(embedder) if dense else None
     vectors = passages.select("pos", encode("text").alias("vector")) if dense else None
@@ -105,38 +111,47 @@ def claim_facts(responses: DataFrame, evidence: DataFrame, embedder: Callable[[]
     similarity = similarity or ((lambda h: h["embedding_score"]) if dense else (lambda h: F.lit(1.0)))
     scored = joined.withColumn("evidence_scores", V.evidence_scores(F.col("hits"), similarity, lambda h: F.col("nli")[h["rank"]]))
     verified = V.verify(scored.drop("nli", "vector"), settings.support_threshold, settings.contradiction_threshold)
-    return V.assess_severity(verified, settings.high_contradiction)
+    return V.assess_severity(verified, policy=settings.severity)
 
 
 def evaluate(facts: DataFrame, responses: DataFrame, consistency: DataFrame | None = None, gold: DataFrame | None = None, settings: Settings = Settings()) -> Evaluation:
-    """All tables from claim facts; matrix, consistency and gold keys are checked first."""
+    """All tables from claim facts; matrix, claims, consistency and gold keys are checked first."""
     check_matrix(responses)
+    check_keys(facts, responses, RESPONSE_KEY, "claim")
+    rules.require(rules.repeated(facts, CLAIM_KEY, "repeated claim id"))
+    rules.require(report.span_violations(facts, responses))
     if consistency is not None:
         rules.require(rules.violations(consistency, [rules.Rule("consistency out of range", ~S.in_unit(F.col("consistency_score")))], RESPONSE_KEY))
+        rules.require(rules.repeated(consistency, RESPONSE_KEY, "repeated consistency score"))
         check_keys(consistency, responses, RESPONSE_KEY, "consistency")
     if gold is not None:
         check_keys(gold, facts, CLAIM_KEY, "gold label")
-    trust = trust_op.trust_scores(facts, consistency) if consistency is not None else None
+        rules.require(rules.repeated(gold, CLAIM_KEY, "repeated gold label"))
+    trust = trust_op.trust_scores(facts, consistency, policy=settings.trust) if consistency is not None else None
     pairs = compare.paired_outcomes(compare.item_outcomes(facts, responses))
     p = S.mcnemar_p(F.col("model_a_error_only_items"), F.col("model_b_error_only_items"))
-    interval = compare.bootstrap_exact(pairs, settings.repetitions, settings.level, settings.seed)
+    few = responses.select("dataset_item_id").distinct().limit(settings.exact_items + 1).count() <= settings.exact_items
+    interval = (compare.bootstrap_exact if few else compare.bootstrap_hash)(pairs, settings.repetitions, settings.level, settings.seed).withColumn("confidence_level", F.lit(settings.level))
     interval = interval.select("model_a", "model_b", F.struct("mean_difference", "lower", "upper", "sample_size", "repetitions", "confidence_level").alias("supported_rate_difference"))
     comparisons = compare.paired_comparison(pairs).drop("mean_difference").withColumn("mcnemar_exact_p_value", p).join(interval, ["model_a", "model_b"], "left")
-    return Evaluation(facts, responses, trust, metrics.model_metrics(facts, responses, gold, consistency, settings.top_k), comparisons)
+    return Evaluation(facts, responses, trust, metrics.model_metrics(facts, responses, gold, consistency, settings.top_k, settings.severity, settings.trust), comparisons)
 
 
 def save_report(evaluation: Evaluation, path: str, benchmark: Benchmark | None = None, gold: DataFrame | None = None, settings: Settings = Settings(), names: dict[str, str] | None = None) -> dict[str, Any]:
-    """Write the report and, beside it, a manifest of what it was made with."""
-    document = evaluation.report()
-    files.write_atomic(path, json.dumps(document, ensure_ascii=False, indent=2) + "\n")
+    """Write the report and, beside it, a manifest of what it was made with.
+
+    Claims pass through the driver to the file, a partition at a time; only the
+    models' metrics and the ids of items are held.
+    """
+    write_document(path, {"schema_version": 1}, evaluation.arrays())
     against = {}
     if gold is not None:
         pairs = calibration.severity_pairs(evaluation.facts, gold, CLAIM_KEY, strict=False)
         against = {r.model_name: {k: v for k, v in r.asDict().items() if k != "model_name"} for r in calibration.severity_metrics(pairs, ["model_name"]).collect()}
     manifest = {
         "schema_version": 1, "prompt_sha256": benchmark.prompt_sha256 if benchmark else None, "evidence_sha256": benchmark.evidence_sha256 if benchmark else None, "benchmark_frozen": bool(benchmark and benchmark.is_frozen),
-        "dataset_item_ids": document["dataset_item_ids"], "models": [m["model_name"] for m in document["model_metrics"]], "top_k": settings.top_k, "support_threshold": settings.support_threshold,
-        "contradiction_threshold": settings.contradiction_threshold, "severity_contradiction_threshold": settings.high_contradiction, "severity_metrics_vs_gold": against, **(names or {}),
+        "dataset_item_ids": [r[0] for r in evaluation.arrays()["dataset_item_ids"].collect()], "models": [r[0] for r in evaluation.responses.select("model_name").distinct().orderBy("model_name").collect()], "top_k": settings.top_k, "support_threshold": settings.support_threshold,
+        "contradiction_threshold": settings.contradiction_threshold, "severity_contradiction_threshold": settings.severity.high_contradiction, "severity_metrics_vs_gold": against, **(names or {}),
     }
     files.write_object(Path(path).with_name(Path(path).name + ".manifest.json"), manifest)
     return manifest

@@ -117,16 +117,18 @@ def trust(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFr
     return trust_op.trust_scores(rows if rows is not None else facts(spark, sf), consistency(spark, sf))
 
 
-def gold(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
-    """``CLAIM_KEY, gold_label, gold_severity, evidence_ids`` of claims of labelled documents."""
-    rows = rows if rows is not None else claims(spark, sf)
+def gold(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    """``CLAIM_KEY, gold_label, gold_severity, evidence_ids`` of claims of labelled documents, and other columns of the claims.
+
+    Documents meet their labels before claims are made of them.
+    """
     count = evidence(spark, sf).agg(F.count("*").alias("passages"))
-    both = rows.select("doc_id", "ordinal", *CLAIM_KEY).join(table(spark, sf, "labels"), "doc_id").crossJoin(F.broadcast(count))
+    both = extract(responses(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")).crossJoin(F.broadcast(count))
     label = F.when(F.col("toxic") == 1, "contradicted").when(F.col("quality") == 1, "supported").otherwise("unknown")
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", *CLAIM_KEY)), 1, 8), 16, 10).cast("long") % 4
     level = F.when(label != "supported", F.element_at(F.array(*(F.lit(s) for s in SEVERITIES)), (drawn + 1).cast("int")))
     ids = F.array_distinct(F.array(evidence_id(F.col("doc_id") % F.col("passages")), evidence_id((F.col("doc_id") * 3 + F.col("ordinal")) % F.col("passages"))))
-    return both.select(*CLAIM_KEY, label.alias("gold_label"), level.alias("gold_severity"), ids.alias("evidence_ids"))
+    return both.select(*CLAIM_KEY, *keep, label.alias("gold_label"), level.alias("gold_severity"), ids.alias("evidence_ids"))
 
 
 def annotator_b(gold_: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from groundcheck.operators import annotations as A, calibration as C, retrieval,
 from groundcheck.plans.fixtures import extract
 from groundcheck.schema import ANNOTATIONS, CLAIM_KEY, LABELS, SEVERITIES
 from groundcheck.sources import files
-from groundcheck.sources.benchmark import Benchmark, evidence_ids, read_table
+from groundcheck.sources.benchmark import Benchmark, evidence_ids, load_benchmark, read_table
 from groundcheck.sources.jsonl import read_responses
-from groundcheck.sources.report import load_report
+from groundcheck.sources.report import load_report, report_facts
 
 SPLITS = ("train", "dev", "test")
 
@@ -54,9 +54,17 @@ def check_split(split: dict[str, Any], prompt_sha256: str, evidence_sha256: str,
         raise ValueError("the split manifest does not cover exactly the benchmark's items")
     if any(v not in SPLITS for v in named.values()):
         raise ValueError("the split manifest has an invalid split")
+    topics = split.get("topic_splits", {})
+    if not isinstance(topics, dict) or any(v not in SPLITS for v in topics.values()):
+        raise ValueError("the split manifest has an invalid split of topics")
     return named
 
 
+def item_ids(benchmark: Benchmark) -> set[str]:
+    """The benchmark's items, which a split manifest lists one by one as well."""
+    return {r[0] for r in benchmark.prompts.select("dataset_item_id").collect()}
+
+
 def load_gold(spark: SparkSession, path: str, responses: DataFrame, evidence: DataFrame, complete: bool = False) -> DataFrame:
     """Adjudicated annotations as a gold table; every rule must hold."""
     rows = read_table(spark, path, ANNOTATIONS)
@@ -80,6 +88,8 @@ def fit_thresholds(facts: DataFrame, gold: DataFrame, development: DataFrame, be
         raise ValueError("freeze the benchmark before fitting thresholds")
     for a, b in ((facts, gold), (gold, facts)):
         rules.require(a.select(*CLAIM_KEY).join(b.select(*CLAIM_KEY), CLAIM_KEY, "left_anti").withColumn("rule", F.lit("report and gold claims differ")))
+    C.check_observations(facts.select(*CLAIM_KEY, "support_score", "contradiction_score"), CLAIM_KEY)
+    rules.require(rules.repeated(gold, CLAIM_KEY, "repeated gold label"))
     rows = facts.join(gold, CLAIM_KEY).join(development.select("dataset_item_id"), "dataset_item_id", "left_semi")
     values = C.threshold_grid(step)
     best = C.best_verification_thresholds(C.verification_grid(rows, values), objective).first()
@@ -95,7 +105,7 @@ def fit_thresholds(facts: DataFrame, gold: DataFrame, development: DataFrame, be
     matrix = [[next(r.n for r in cells if (r.gold, r.predicted) == (a, b)) for b in SEVERITIES] for a in SEVERITIES]
     ranked = retrieval.ranking_metrics(retrieval.retrieved(rows.select(*CLAIM_KEY, "hits"), CLAIM_KEY), gold.where(F.size("evidence_ids") > 0), CLAIM_KEY, (1, 3, 5)).join(gold.where(F.size("evidence_ids") > 0).select(*CLAIM_KEY), CLAIM_KEY, "left_semi")
     recall = ranked.agg(*(F.avg(f"recall_at_{k}").alias(str(k)) for k in (1, 3, 5))).first().asDict()
-    items = sorted(r[0] for r in rows.select("dataset_item_id").distinct().collect())
+    items = sorted(r[0] for r in development.select("dataset_item_id").distinct().collect())
     artifact = {
         "schema_version": 1, "created_at_utc": _now(), "development_item_ids": items, "development_topics": sorted(t for t, s in split.get("topic_splits", {}).items() if s == "dev"), "development_claim_count": best.sample_size,
         "verification": {**best.asDict(), "objective": objective, "objective_score": best[objective], "candidates_evaluated": len(values) ** 2},
@@ -106,6 +116,26 @@ def fit_thresholds(facts: DataFrame, gold: DataFrame, development: DataFrame, be
     return artifact
 
 
+def calibrate(spark: SparkSession, report: str, responses: str, annotations: str, prompts: str, evidence: str, split: str, path: str, step: float = 0.05, objective: str = "macro_f1") -> dict[str, Any]:
+    """Fit thresholds on the development items from the scores in a saved report, and write the artifact."""
+    if Path(path).exists():
+        raise FileExistsError(path)
+    benchmark, named = load_benchmark(spark, prompts, evidence), files.read_object(split)
+    splits = check_split(named, benchmark.prompt_sha256, benchmark.evidence_sha256, item_ids(benchmark))
+    if not isinstance(named.get("topic_splits"), dict):
+        raise ValueError("the split manifest has no topic_splits")
+    items = sorted(k for k, v in splits.items() if v == "dev")
+    if not items:
+        raise ValueError("the split has no development items")
+    rows = read_responses(spark, responses)
+    if rows.isEmpty():
+        raise ValueError("there are no responses")
+    gold = load_gold(spark, annotations, rows, benchmark.evidence, complete=True)
+    development = spark.createDataFrame([(i,) for i in items], "dataset_item_id string")
+    made = {"split_manifest_sha256": files.sha256(split), "evaluation_report_sha256": files.sha256(report), "annotations_sha256": files.sha256(annotations)}
+    return fit_thresholds(report_facts(spark, report), gold, development, benchmark, named, made, path, step, objective)
+
+
 def locked_thresholds(spark: SparkSession, prompts: str, evidence: str, manifest: str, split: str, calibration: str, responses: str, annotations: str) -> dict[str, float]:
     """The calibrated thresholds, if every artifact is there and the chain from benchmark to annotations holds."""
     absent = files.missing((prompts, evidence, manifest, split, calibration, responses, annotations))
@@ -150,6 +180,7 @@ def locked_thresholds(spark: SparkSession, prompts: str, evidence: str, manifest
     return found
 
 
+# The columns of the released tables.
 MODEL_FIELDS = (
     "model_name", "response_count", "dataset_item_count", "claim_count", "supported_rate", "contradicted_rate", "unknown_rate", "hallucination_rate", "severity_weighted_error_rate", "average_trust_score",
     "verification_accuracy", "verification_macro_f1", "retrieval_recall_at_k", "confidence_brier_score", "confidence_ece",
@@ -196,7 +227,7 @@ def package_release(report: str, folder: str, provenance: Iterable[str] = ()) ->
     return manifest
 
 
-#: What a release needs, below its root.
+# What a release needs, below its root.
 RELEASE_ARTIFACTS = (
     "data/healthcare/benchmark_manifest.json", "data/healthcare/topic-split.json", "data/calibration-dev.json", "data/responses.jsonl", "data/annotations/adjudicated.jsonl", "data/test-evaluation-report.json",
 )

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from importlib import import_module
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundcheck.operators.rules import Rule, require, violations
+from groundcheck.operators.rules import Rule, repeated, require, violations
 from groundcheck.functions.scores import in_unit
 from groundcheck.functions.text import is_blank
 from groundcheck.schema import RESPONSE_KEY
 
-_OUT = "model_name string, dataset_item_id string, text string, confidence double"
+#: A row of the response store; ``error`` is the type of a failure, which has no text.
+STORED = "model_name string, dataset_item_id string, text string, confidence double, generated_at_utc string, error string"
 
 
 class Adapter:
@@ -71,78 +73,142 @@ def pending(prompts: DataFrame, names: list[str], done: DataFrame | None) -> Dat
 
 
 def generate(prompts: DataFrame, adapters: list[Adapter]) -> DataFrame:
-    """One response per prompt and adapter; materialise it once, as adapters may have side effects."""
+    """One response per prompt and adapter; materialise it once, as adapters may have side effects.  A failure fails the job."""
     check_adapters(adapters)
-    return _generate(pending(prompts, [a.name for a in adapters], None), adapters)
+    rows = answers(pending(prompts, [a.name for a in adapters], None), adapters)
+    failed = F.raise_error(F.concat(F.lit("no response: "), "error")).cast("boolean")
+    return rows.where(F.when(F.col("error").isNull(), True).otherwise(failed)).select("model_name", "dataset_item_id", "text", "confidence")
 
 
-def _generate(pairs: DataFrame, adapters: list[Adapter]) -> DataFrame:
+def _wrong(text: Any, confidence: Any) -> str | None:
+    """What makes a response improper, as the rules of :func:`response_rules` have it."""
+    if not isinstance(text, str) or not text.strip():
+        return "BlankResponse"
+    if confidence is not None and (isinstance(confidence, bool) or not isinstance(confidence, (int, float)) or not 0 <= confidence <= 1):
+        return "InvalidConfidence"
+    return None
+
+
+def answers(pairs: DataFrame, adapters: list[Adapter]) -> DataFrame:
+    """A row of :data:`STORED` for each pair: a proper response, or the type of what went wrong and nothing else."""
     by = {a.name: a for a in adapters}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(model: str, item: str, prompt: str) -> tuple:
+        try:
+            text, confidence = by[model].generate(item, prompt)
+            wrong = _wrong(text, confidence)
+        except Exception as error:  # noqa: BLE001 - other answers of the task are kept
+            wrong = type(error).__name__
+        if wrong:
+            return model, item, None, None, datetime.now(UTC).isoformat(), wrong
+        return model, item, text, confidence, datetime.now(UTC).isoformat(), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("model_name", "dataset_item_id", "prompt")
         for batch in batches:
-            rows = []
-            for model, item, prompt in zip(batch["model_name"], batch["dataset_item_id"], batch["prompt"], strict=True):
-                rows.append((model, item, *by[model].generate(item, prompt)))
-            yield pd.DataFrame(rows, columns=["model_name", "dataset_item_id", "text", "confidence"]).astype({"confidence": float})
+            rows = [answer(*pair) for pair in zip(*(batch.column(n).to_pylist() for n in names), strict=True)]
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.string()] * 3 + [pa.float64()] + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in STORED.split(", ")])
 
-    out = pairs.select("model_name", "dataset_item_id", "prompt").mapInPandas(run, _OUT)
-    return out.withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence")))
+    return pairs.select("model_name", "dataset_item_id", "prompt").mapInArrow(run, STORED)
 
 
 def response_rules() -> list[Rule]:
     return [Rule("blank text", is_blank(F.col("text"))), Rule("confidence out of range", F.col("confidence").isNotNull() & ~in_unit(F.col("confidence")))]
 
 
-def run_generation(prompts: DataFrame, adapters: list[Adapter], store: str, hashes: dict[str, str], resume: bool = False) -> dict[str, Any]:
-    """Generate what is pending and append it to the Parquet store; returns the run's manifest.
+def stored_responses(spark: SparkSession, store: str) -> DataFrame | None:
+    """All proper responses of a store, or None where nothing was ever stored."""
+    data = f"{store}/responses"
+    if not _exists(spark, data):
+        return None
+    rows = spark.read.schema(STORED).option("recursiveFileLookup", True).parquet(data)
+    return rows.where(F.col("error").isNull()).drop("error")
+
+
+class GenerationError(RuntimeError):
+    """Some pairs have no response; those that have one are stored."""
+
 
-    The manifest, beside the responses in the store, fixes prompts, hashes and
-    adapters; resuming with others is refused.  What is stored counts as done,
-    whether or not a manifest was written after it.  A failure is recorded by
-    its type alone.
+def run_generation(prompts: DataFrame, adapters: list[Adapter], store: str, hashes: dict[str, str], resume: bool = False, batch: int = 1000) -> dict[str, Any]:
+    """Generate what is pending, some ``batch`` pairs at a time, into the Parquet store; returns the run's manifest.
+
+    Each batch is a part of its own, written whole or not at all, and holds every
+    proper response of it: a pair that fails, or whose response breaks a rule,
+    costs no other its answer.  After a batch with failures the run stops; the
+    manifest and the error name one pair and the failure's type alone.  A lost
+    executor costs the answers of one batch at most.
+
+    The store is the record of what is done.  The manifest beside it fixes
+    prompts, hashes and adapters; resuming with others is refused, as is a store
+    with responses to other pairs, with repeated ones or with fewer than the
+    manifest counts.  Without its manifest a store can still be resumed.
     """
     spark = prompts.sparkSession
     check_adapters(adapters)
+    if batch < 1:
+        raise ValueError("batch must be at least 1")
     require(violations(prompts, [Rule("blank id", is_blank(F.col("dataset_item_id"))), Rule("blank prompt", is_blank(F.col("prompt")))], ["dataset_item_id"]))
-    fixed = {"schema_version": 1, **hashes, "adapters": [{"model_name": a.name, "adapter_type": type(a).__name__, "metadata": a.metadata} for a in adapters], "expected_response_count": prompts.count() * len(adapters)}
-    data, beside = f"{store}/responses", f"{store}/manifest"
-    old = _read_manifest(spark, beside)
-    if old is not None:
-        if not resume:
-            raise ValueError("the store holds a run; resume it or choose another")
-        differ = [k for k, v in fixed.items() if old.get(k) != v]
-        if differ:
-            raise ValueError(f"the run to resume differs in {', '.join(differ)}")
-    done = spark.read.schema(_OUT).parquet(data) if old is not None and _exists(spark, data) else None
+    require(repeated(prompts, ["dataset_item_id"], "repeated id"))
+    names, beside = [a.name for a in adapters], f"{store}/manifest.json"
+    items = prompts.agg(F.count("*").alias("n"), F.sum(F.xxhash64("dataset_item_id").cast("decimal(20,0)")).cast("string").alias("digest")).first()
+    if not items.n:
+        raise ValueError("there are no prompts")
+    fixed = {"schema_version": 1, **hashes, "dataset_item_digest": items.digest, "adapters": [{"model_name": a.name, "adapter_type": type(a).__name__, "metadata": a.metadata} for a in adapters], "expected_response_count": items.n * len(adapters)}
+    old, done = _read_manifest(spark, beside), stored_responses(spark, store)
+    if (old is not None or done is not None) and not resume:
+        raise ValueError("the store holds a run; resume it or choose another")
+    differ = [k for k, v in fixed.items() if old is not None and old.get(k) != v]
+    if differ:
+        raise ValueError(f"the run to resume differs in {', '.join(differ)}")
+    expected = pending(prompts, names, None)
+    count = 0
+    if done is not None:
+        require(done.join(expected.select(*RESPONSE_KEY), RESPONSE_KEY, "left_anti").select(*RESPONSE_KEY, F.lit("response outside this run").alias("rule")))
+        require(repeated(done, RESPONSE_KEY, "repeated response"))
+        count = done.count()
+        if old is not None and old.get("completed_response_count", 0) > count:
+            raise ValueError("the manifest counts responses that are not stored")
     now = lambda: datetime.now(UTC).isoformat()
     manifest = fixed | {"created_at_utc": old["created_at_utc"] if old else now()}
-    _write_manifest(spark, beside, manifest | {"complete": False, "updated_at_utc": now()})
-    try:
-        found = _generate(pending(prompts, [a.name for a in adapters], done), adapters)
-        found.write.mode("append").parquet(data)
-        stored = spark.read.schema(_OUT).parquet(data)
-        require(violations(stored, response_rules(), RESPONSE_KEY))
-        count = stored.select(*RESPONSE_KEY).distinct().count()
-    except Exception as error:
-        _write_manifest(spark, beside, manifest | {"complete": False, "last_error": type(error).__name__, "updated_at_utc": now()})
-        raise
-    manifest |= {"completed_response_count": count, "complete": count == fixed["expected_response_count"], "updated_at_utc": now()}
-    _write_manifest(spark, beside, manifest)
-    return manifest
-
-
-def _exists(spark, path: str) -> bool:
+    note = lambda **more: _write_manifest(spark, beside, manifest | {"completed_response_count": count, "complete": count == fixed["expected_response_count"], "updated_at_utc": now(), **more})
+    note()
+    left, run = fixed["expected_response_count"] - count, uuid.uuid4().hex
+    batches = -(-left // batch)
+    todo = pending(prompts, names, done).withColumn("part", F.pmod(F.xxhash64(*RESPONSE_KEY), F.lit(max(batches, 1))))
+    for k in range(batches):
+        path = f"{store}/responses/run={run}/batch={k}"
+        answers(todo.where(F.col("part") == k), adapters).write.parquet(path)
+        part = spark.read.schema(STORED).parquet(path)
+        count += part.where(F.col("error").isNull()).count()
+        failed = part.where(F.col("error").isNotNull()).orderBy(*RESPONSE_KEY).limit(1).collect()
+        if failed:
+            last = {"model_name": failed[0].model_name, "dataset_item_id": failed[0].dataset_item_id, "error_type": failed[0].error, "occurred_at_utc": failed[0].generated_at_utc}
+            note(last_error=last)
+            raise GenerationError(f"{failed[0].error} for {failed[0].model_name} on {failed[0].dataset_item_id}")
+        note()
+    return _read_manifest(spark, beside)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def _read_manifest(spark, path: str) -> dict[str, Any] | None:
-    if not _exists(spark, path):
-        return None
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
-
+def _read_manifest(spark: SparkSession, path: str) -> dict[str, Any] | None:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if _exists(spark, path) else None
 
-def _write_manifest(spark, path: str, value: dict[str, Any]) -> None:
-    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
+def _write_manifest(spark: SparkSession, path: str, value: dict[str, Any]) -> None:
+    """Written beside its place and renamed over it, so that readers see the old one or the new."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    place, part = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = place.getFileSystem(conf).create(part, True)
+    try:
+        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    over[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(place.getFileSystem(conf).getUri(), conf).rename(part, place, over)

@@ -244,6 +244,14 @@ def bootstrap_exact(spark, sf):
     return compare.bootstrap_exact(_outcomes(spark, sf))
 
 
+@query
+def comparison_counts(spark, sf):
+    """The comparison table but for its interval, which is drawn by Python's generator."""
+    p = S.mcnemar_p(F.col("model_a_error_only_items"), F.col("model_b_error_only_items"))
+    counts = compare.paired_comparison(_outcomes(spark, sf)).withColumnRenamed("mean_difference", "supported_rate_difference")
+    return counts.withColumn("mcnemar_exact_p_value", p).withColumns(nine("supported_rate_difference", "mcnemar_exact_p_value"))
+
+
 @query
 def comparison_csv(spark, sf):
     pairs = _outcomes(spark, sf)
@@ -356,8 +364,7 @@ def response_validation(spark, sf):
 
 def _annotations(spark, sf) -> DataFrame:
     """Adjudicated records of the gold claims, some of them broken on purpose."""
-    gold = fx.gold(spark, sf)
-    rows = fx.claims(spark, sf).select(*CLAIM_KEY, "ordinal", "claim_text", "claim_start", "claim_end").join(gold, CLAIM_KEY)
+    rows = fx.gold(spark, sf, "ordinal", "claim_text", "claim_start", "claim_end")
     o = F.col("ordinal")
     return rows.select(
         *CLAIM_KEY, F.lit(1).alias("schema_version"), F.lit("adjudicated").alias("annotation_status"), F.lit("annotator-1").alias("annotator_id"),
@@ -541,8 +548,9 @@ def responses_scan(spark, sf):
 def scan_jsonl(spark, sf):
     from groundcheck.sources.jsonl import scan_lines
 
-    text = fx.table(spark, sf, "conversations").select(F.concat(F.to_json(F.struct("conv_id", "turn")), F.lit("\n \n"), F.when(F.col("turn") == 1, "[1]").when(F.col("turn") == 2, "{").otherwise('{"a": 1}')).alias("value"), F.concat_ws("-", "conv_id", "turn").alias("file"))
-    return scan_lines(text).select("file", "line", "record", "error")
+    third = F.when(F.col("turn") == 1, "[1]").when(F.col("turn") == 2, "{").otherwise(F.to_json(F.struct("text"), {"ignoreNullFields": "false"}))
+    text = fx.table(spark, sf, "conversations").select(F.concat(F.to_json(F.struct("conv_id", "turn")), F.lit("\n \n"), third).alias("value"), F.concat_ws("-", "conv_id", "turn").alias("file"))
+    return scan_lines(text).select("file", "line", "record", "error", F.md5(F.get_json_object("value", "$.text")).alias("text_md5"))
 
 
 @query
@@ -568,9 +576,13 @@ def report_claims(spark, sf):
 def report_roundtrip(spark, sf):
     from groundcheck.sources.report import from_json, to_json_lines
 
-    rows = R.nested_report(fx.facts(spark, sf), fx.responses(spark, sf))
+    facts = fx.facts(spark, sf)
+    rows = R.nested_report(facts, fx.responses(spark, sf), fx.trust(spark, sf, facts))
     back = from_json(to_json_lines(rows), rows.schema)
-    return back.select("response.model_name", "response.dataset_item_id", F.size("claims").cast("long").alias("claims"), F.sha2(F.to_json("claims"), 256).alias("claims_sha256"))
+    flat = R.flatten_claims(back.select(F.array(F.struct(*back.columns)).alias("responses")))
+    scores = ("similarity", "support_score", "contradiction_score", "trust_score")
+    texts = ("claim_start", "claim_end", "claim_text", "verification_label", "severity", "verification_reason")
+    return flat.select(*CLAIM_KEY, *texts, F.array_join("evidence_ids", ",").alias("evidence_ids"), F.md5("response_text").alias("response_md5"), *scores).withColumns(nine(*scores))
 
 
 

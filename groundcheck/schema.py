@@ -26,5 +26,15 @@ ANNOTATIONS = _struct(
 #: One ranked passage of a claim.
 HIT = _struct(pos=T.LongType(), evidence_id=_S, bm25_score=_D, embedding_score=_D, combined_score=_D, rank=_I)
 
+_SCORED = _struct(evidence=_struct(id=_S), retrieval_score=_D, similarity=_D, support_score=_D, contradiction_score=_D)
+_FOUND = _struct(evidence=_struct(id=_S), bm25_score=_D, embedding_score=_D, combined_score=_D, rank=_I)
+_VERIFIED = _struct(claim=_struct(id=_S, text=_S, start=_I, end=_I), label=_S, similarity=_D, support_score=_D, contradiction_score=_D, explanation=_S, evidence_scores=T.ArrayType(_SCORED))
+_CLAIM = _struct(verification=_VERIFIED, severity=_struct(severity=_S, risk_domains=T.ArrayType(_S), rationale=_S), retrieved_evidence=T.ArrayType(_FOUND))
+#: What is read of a saved report.
+REPORT = _struct(
+    schema_version=_I, dataset_item_ids=T.ArrayType(_S), responses=T.ArrayType(_struct(response=RESPONSES, claims=T.ArrayType(_CLAIM), trust_score=_D)),
+    model_metrics=T.ArrayType(_struct(model_name=_S)), paired_comparisons=T.ArrayType(_struct(model_a=_S, model_b=_S)),
+)
+
 CLAIM_KEY = ["model_name", "dataset_item_id", "claim_id"]
 RESPONSE_KEY = ["model_name", "dataset_item_id"]

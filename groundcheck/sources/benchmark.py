@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
@@ -37,6 +38,14 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return checked.select("record", "r.*")
 
 
+def scan_table(spark: SparkSession, path: str, schema) -> tuple[DataFrame, DataFrame]:
+    """The good records of a JSON Lines file, and ``line, error`` of all others, blank lines included."""
+    lines = read_lines(spark, path, blank_is_error=True)
+    rows = lines.select("line", "record", "error", F.when(F.col("error").isNull(), strict(F.col("value"), schema)).alias("r"))
+    good = rows.where(F.col("r").isNotNull()).select("record", "r.*")
+    return good, rows.where(F.col("r").isNull()).select("line", F.coalesce("error", F.lit("wrong type")).alias("error"))
+
+
 def load_benchmark(spark: SparkSession, prompts: str, evidence: str, max_items: int | None = None) -> Benchmark:
     """Read and check everything, then keep the first ``max_items`` prompts."""
     if max_items is not None and max_items < 1:
@@ -63,9 +72,14 @@ def check_freeze(prompts: str, evidence: str, hashes: tuple[str, str]) -> bool:
 
 
 def freeze(spark: SparkSession, prompts: str, evidence: str, dataset: str, domain: str, hosts: dict[str, tuple[str, ...]], **counts: Any) -> list[dict[str, str]]:
-    """Write the freeze manifest if no rule is broken; returns what is broken."""
-    p, e = read_table(spark, prompts, PROMPTS), read_table(spark, evidence, EVIDENCE)
-    found = [r.asDict() for r in rules.freeze_violations(p, e, domain, hosts, **counts).orderBy("table", "id", "rule").collect()]
+    """Write the freeze manifest if no rule is broken; returns all that is broken, bad lines first.
+
+    No line may be blank, and each must hold an object of proper types; the other
+    rules are checked on the lines that do.
+    """
+    (p, bad_p), (e, bad_e) = scan_table(spark, prompts, PROMPTS), scan_table(spark, evidence, EVIDENCE)
+    found = [{"table": t, "id": str(r.line), "rule": r.error} for t, bad in (("prompts", bad_p), ("evidence", bad_e)) for r in bad.orderBy("line").collect()]
+    found += [r.asDict() for r in rules.freeze_violations(p, e, domain, hosts, **counts).orderBy("table", "id", "rule").collect()]
     if not found:
         n = p.agg(F.count("*").alias("prompts"), F.count_distinct("topic").alias("topics")).first()
         hashes = {Path(x).name: files.sha256(x) for x in (prompts, evidence)}
@@ -91,13 +105,13 @@ def prompt_topics(spark: SparkSession, path: str) -> DataFrame:
 def write_responses(rows: DataFrame, path: str) -> None:
     """A response store as one JSON Lines file, ASCII only, in order of item and model.
 
-    The rows pass through the driver one partition at a time; a large store is
-    written as Parquet instead (:func:`groundcheck.plans.generate.run_generation`).
+    The rows pass through the driver to the file, one partition at a time; a large
+    store is written as Parquet instead (:func:`groundcheck.plans.generate.run_generation`).
     """
-    import json
-
     ordered = rows.select("model_name", "dataset_item_id", "text", "confidence").orderBy("dataset_item_id", "model_name")
-    files.write_atomic(path, "".join(json.dumps(r.asDict(), ensure_ascii=True) + "\n" for r in ordered.toLocalIterator()))
+    with files.atomic(path) as f:
+        for r in ordered.toLocalIterator():
+            f.write(json.dumps(r.asDict(), ensure_ascii=True) + "\n")
 
 
 def first_seen(rows: DataFrame, name: str, order: str) -> DataFrame:

@@ -6,9 +6,10 @@ import csv
 import hashlib
 import json
 import os
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from pathlib import Path
-from typing import Any
+from typing import IO, Any
 
 
 def sha256(path: str | Path) -> str:
@@ -27,13 +28,23 @@ def read_object(path: str | Path) -> dict[str, Any]:
     return value
 
 
-def write_atomic(path: str | Path, text: str) -> None:
-    """Through a temporary file beside the target, so that readers see all or nothing."""
+@contextmanager
+def atomic(path: str | Path) -> Iterator[IO[str]]:
+    """A file to write to, beside the target, which takes its place at the end: readers see all or nothing."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_name(f".{path.name}.{os.getpid()}.part")
-    part.write_text(text, "utf-8")
-    part.replace(path)
+    try:
+        with part.open("w", encoding="utf-8", newline="") as f:
+            yield f
+        part.replace(path)
+    finally:
+        part.unlink(missing_ok=True)
+
+
+def write_atomic(path: str | Path, text: str) -> None:
+    with atomic(path) as f:
+        f.write(text)
 
 
 def write_object(path: str | Path, value: Mapping[str, Any]) -> None:
@@ -42,7 +53,7 @@ def write_object(path: str | Path, value: Mapping[str, Any]) -> None:
 
 def write_csv(path: str | Path, fields: Sequence[str], rows: Iterable[Mapping[str, Any]]) -> None:
     """A fixed header; other keys are left out and None is empty."""
-    with open(path, "w", encoding="utf-8", newline="") as f:
+    with atomic(path) as f:
         out = csv.DictWriter(f, fields, extrasaction="ignore")
         out.writeheader()
         out.writerows(rows)

@@ -1,12 +1,12 @@
 """JSON Lines sources with line numbers and strict typing.
 
-Files that must be numbered by physical line are read whole, one file a row;
-large stores without that need are read by line with an explicit schema.
+Files are read by line and in splits, however large; a line's number is its place
+in its split and the lines of the splits before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from groundcheck.functions.text import is_blank
 from groundcheck.schema import RESPONSES
@@ -33,10 +33,31 @@ def object_error(value: Column) -> Column:
     return F.when(kind.isNull(), "invalid JSON").when(~kind.startswith("OBJECT"), "not an object")
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, record, value, blank`` of every line of the files at a path.
+
+    Lines are counted by split, and those few counts added up along each file; only
+    where ``record`` is asked for are lines of a split brought in order.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    split = ["file", "start"]
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.withColumn("blank", F.coalesce(is_blank(F.col("value")), F.lit(True)))
+    counts = rows.groupBy(*split).agg(F.min("at").alias("first"), F.count("*").alias("lines"), F.count_if(~F.col("blank")).alias("records"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*split, "first", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "records")))
+    so_far = Window.partitionBy(*split).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    record = F.col("records_before") + F.sum((~F.col("blank")).cast("long")).over(so_far)
+    line = F.col("at") - F.col("first") + F.col("lines_before") + 1
+    return rows.join(counts, split).select("file", line.alias("line"), record.alias("record"), "value", "blank")
+
+
 def read_lines(spark: SparkSession, path: str, blank_is_error: bool = False) -> DataFrame:
-    """:func:`scan_lines` of the files at a path."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return scan_lines(files, blank_is_error)
+    """What :func:`scan_lines` gives, of the files at a path, which may be larger than a task can hold."""
+    rows = numbered(spark, path)
+    rows = rows if blank_is_error else rows.where(~F.col("blank"))
+    error = F.when(F.col("blank"), "blank line").otherwise(object_error(F.col("value")))
+    return rows.select("file", F.col("line").cast("int").alias("line"), F.col("record").cast("int").alias("record"), "value", error.alias("error"))
 
 
 def strict(value: Column, schema: T.StructType) -> Column:
@@ -71,6 +92,6 @@ def parse_responses(lines: DataFrame) -> DataFrame:
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """A response store; a bad line is an error that names it."""
-    rows = parse_responses(read_lines(spark, path))
+    rows = parse_responses(numbered(spark, path).where(~F.col("blank")))
     message = F.concat(F.lit("Invalid response record on line "), F.col("line").cast("string"))
     return rows.where(F.when(F.col("valid"), True).otherwise(F.raise_error(message).cast("boolean"))).drop("valid", "line")

@@ -1,12 +1,19 @@
-"""Evaluation reports: one nested JSON document, written and read without gathering it."""
+"""Evaluation reports: one nested JSON document, written and read without gathering it, and tables made of it."""
 
 from __future__ import annotations
 
+import csv
 import json
+from collections.abc import Iterable
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from groundcheck.operators import report, rules
+from groundcheck.schema import CLAIM_KEY, REPORT
+from groundcheck.sources import files
+
 ARRAYS = ("dataset_item_ids", "responses", "model_metrics", "paired_comparisons")
 VERSION = 1
 
@@ -49,3 +56,53 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     for name in ARRAYS:
         bad = bad & F.col(name).isNotNull()
     return rows.where(F.when(bad, True).otherwise(F.raise_error(F.lit("not an evaluation report")).cast("boolean")))
+
+
+def write_document(path: str | Path, head: dict[str, Any], arrays: dict[str, DataFrame]) -> dict[str, int]:
+    """``head`` and then arrays of objects or, of tables with one column, of values; returns their lengths.
+
+    Rows pass through the driver to the file, one partition at a time.
+    """
+    counts = {}
+    with files.atomic(path) as f:
+        f.write(json.dumps(head, ensure_ascii=False)[:-1])
+        for name, rows in arrays.items():
+            f.write(f',\n"{name}": [')
+            counts[name] = 0
+            for r in rows.toLocalIterator():
+                f.write((",\n" if counts[name] else "\n") + json.dumps(r[0] if len(rows.columns) == 1 else r.asDict(recursive=True), ensure_ascii=False))
+                counts[name] += 1
+            f.write("]")
+        f.write("}\n")
+    return counts
+
+
+def report_facts(spark: SparkSession, path: str) -> DataFrame:
+    """One row per claim of a saved report, with its scores and ``hits``; blank and repeated claim keys are errors."""
+    flat = report.flatten_claims(read_report(spark, path, REPORT))
+    rules.require(rules.violations(flat, [rules.Rule(f"{k} is blank", rules.is_blank(F.col(k))) for k in CLAIM_KEY], CLAIM_KEY))
+    rules.require(rules.repeated(flat, CLAIM_KEY, "repeated claim key"))
+    hits = F.transform("evidence_ids", lambda e, k: F.struct(e.alias("evidence_id"), (k + 1).alias("rank")))
+    return flat.select(*CLAIM_KEY, "claim_text", F.col("verification_label").alias("label"), "severity", "similarity", "support_score", "contradiction_score", hits.alias("hits"))
+
+
+# The columns of the claim table, in order.
+CLAIM_FIELDS = (
+    "model_name", "dataset_item_id", "claim_id", "claim_start", "claim_end", "response_text", "claim_text", "verification_label", "severity", "similarity", "support_score", "contradiction_score",
+    "verification_reason", "severity_reason", "evidence_ids",
+)
+
+
+def write_claims(flat: DataFrame, path: str | Path, models: Iterable[str] | None = None, items: Iterable[str] | None = None) -> int:
+    """The claims of some models and items (all) as CSV, in order of their keys; returns how many there are."""
+    for name, chosen in (("model_name", models), ("dataset_item_id", items)):
+        if chosen is not None:
+            flat = flat.where(F.col(name).isin(*chosen))
+    count = 0
+    with files.atomic(path) as f:
+        out = csv.writer(f)
+        out.writerow(CLAIM_FIELDS)
+        for r in flat.select(*CLAIM_FIELDS).orderBy(*CLAIM_KEY).toLocalIterator():
+            out.writerow([json.dumps(v, ensure_ascii=False) if isinstance(v, list) else v for v in r])
+            count += 1
+    return count

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from groundcheck.plans.generate import Adapter, _generate, check_adapters
-from groundcheck.schema import RESPONSE_KEY, PROMPTS
+from groundcheck.plans.generate import Adapter, GenerationError, STORED, answers, check_adapters, pending, stored_responses
+from groundcheck.schema import PROMPTS
 
 
 def stream_generation(spark: SparkSession, prompts: str, adapters: list[Adapter], store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Read JSON Lines prompts as they arrive and append responses to the Parquet store.
 
-    The checkpoint is the record of what is done: a restarted query goes on with
-    the files it has not finished.  Keys are finite, so repeated prompts are
-    dropped without a watermark.  Within a batch that is run again after a
-    failure, pairs that are stored already are left out.
+    The store is the record of what is done, so the query keeps no state of its
+    own: of a batch, run for the first time or again, only pairs without a stored
+    response are answered, and all proper answers are stored before a failure
+    ends the batch.
     """
     check_adapters(adapters)
     names = [a.name for a in adapters]
-    rows = spark.readStream.schema(PROMPTS).json(prompts)
-    pairs = rows.select("dataset_item_id", "prompt", F.explode(F.array(*(F.lit(n) for n in names))).alias("model_name")).dropDuplicates(RESPONSE_KEY)
+    rows = spark.readStream.schema(PROMPTS).json(prompts).select("dataset_item_id", "prompt")
 
     def append(batch: DataFrame, epoch: int) -> None:
-        part = f"{store}/batch={epoch}"
-        _generate(batch, adapters).write.mode("overwrite").parquet(part)  # the same batch again replaces its own part
-
-    writer = pairs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+        path = f"{store}/responses/batch={epoch}/try={uuid.uuid4().hex}"
+        todo = pending(batch.dropDuplicates(["dataset_item_id"]), names, stored_responses(batch.sparkSession, store))
+        answers(todo, adapters).write.parquet(path)
+        failed = batch.sparkSession.read.schema(STORED).parquet(path).where("error is not null").limit(1).collect()
+        if failed:
+            raise GenerationError(f"{failed[0].error} for {failed[0].model_name} on {failed[0].dataset_item_id}")
+
+    writer = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def stored(spark: SparkSession, store: str) -> DataFrame:
-    """The responses of all finished batches."""
-    return spark.read.schema("model_name string, dataset_item_id string, text string, confidence double, batch int").parquet(store).drop("batch")
+    """The responses of all batches so far."""
+    return stored_responses(spark, store).select("model_name", "dataset_item_id", "text", "confidence")
 
 
 def rolling_label_counts(facts: DataFrame, time: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

@@ -1,10 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from groundcheck import __main__ as command
 from groundcheck.operators.rules import RuleError
-from groundcheck.plans import annotate
+from groundcheck.plans import annotate, evaluate as E
 from groundcheck.sources import benchmark as B
 from tests.test_plans import Prefix, Words, annotations, answers, lines, make_benchmark, run_all
 
@@ -17,6 +18,12 @@ def make_prefix():
     return Prefix()
 
 
+def gold_facts(spark, evidence):
+    """Facts that annotators agree with."""
+    passages = B.read_table(spark, evidence, B.EVIDENCE).withColumn("pos", F.col("record").cast("long"))
+    return E.claim_facts(answers(spark), passages, Words, Prefix, E.Settings(support_threshold=0.3, contradiction_threshold=0.3))
+
+
 def test_worksheet_and_agreement(spark, tmp_path):
     p, e, b, rows, facts = run_all(spark, tmp_path)
     count = annotate.export_worksheet(rows, b, str(tmp_path / "sheet.jsonl"), "ann")
@@ -59,6 +66,20 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert command.main([*args, "--split", str(tmp_path / "split.json"), "--dataset-split", "dev"]) == 0
     report = json.loads((tmp_path / "rep.json").read_text())
     assert len(report["dataset_item_ids"]) == 3 and json.loads((tmp_path / "rep.json.manifest.json").read_text())["benchmark_frozen"]
+    lines(tmp_path / "gold.jsonl", annotations(gold_facts(spark, e)))
+    args += ["--annotations", str(tmp_path / "gold.jsonl")]
+    calibrate = ["calibrate", *both, "--responses", str(tmp_path / "r.jsonl"), "--annotations", str(tmp_path / "gold.jsonl"), "--split", str(tmp_path / "split.json")]
+    assert command.main([*args[:-4], *args[-2:], "--report", str(tmp_path / "all.json"), "--embedder", "tests.test_command:make_words"]) == 0
+    assert command.main([*calibrate, "--report", str(tmp_path / "all.json"), "--output", str(tmp_path / "cal.json")]) == 0
+    assert command.main(["claims", "--report", str(tmp_path / "all.json"), "--output", str(tmp_path / "claims.csv"), "--models", "model-a"]) == 0
+    assert (tmp_path / "claims.csv").read_text().count("model-a") >= 9
+    locked = ["locked-test", *calibrate[1:], "--manifest", str(tmp_path / "benchmark_manifest.json"), "--calibration", str(tmp_path / "cal.json"), "--report", str(tmp_path / "test.json"), "--nli", "tests.test_command:make_prefix", "--embedder", "tests.test_command:make_words"]
+    assert command.main(locked) == 0
+    held = json.loads((tmp_path / "test.json.manifest.json").read_text())
+    fitted = json.loads((tmp_path / "cal.json").read_text())
+    assert held["support_threshold"] == fitted["verification"]["support_threshold"] and held["severity_metrics_vs_gold"]
+    split = json.loads((tmp_path / "split.json").read_text())["item_splits"]
+    assert held["dataset_item_ids"] == sorted(k for k, v in split.items() if v == "test")
     assert command.main(["package", "--report", str(tmp_path / "rep.json"), "--output", str(tmp_path / "out")]) == 0
     assert command.main(["readiness", "--root", str(tmp_path)]) == 2
     capsys.readouterr()

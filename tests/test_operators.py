@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from groundcheck.functions import scores as S
 from groundcheck.operators import annotations as A, calibration as C, compare, metrics as M, report as R, retrieval, rules, trust as T, verification as V
 from groundcheck.schema import CLAIM_KEY, LABELS, SEVERITIES
 
@@ -113,7 +114,7 @@ def test_trust(spark):
     assert (found["b"].severity_penalty, found["b"].trust_score) == (0.6, 0.0)
     assert found["c"].confidence_calibration is None and "unavailable" in found["c"].trust_rationale
     with pytest.raises(ValueError):
-        T.trust_scores(spark.createDataFrame(rows, FACTS), cons, weights=(1, 1, 0, 0))
+        S.TrustPolicy(weights=(1, 1, 0, 0))
 
 
 def two_by_two(spark):

@@ -1,14 +1,15 @@
+import csv
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from groundcheck.functions import models
-from groundcheck.operators import rules
+from groundcheck.operators import report as report_op, rules
 from groundcheck import queries as Q
 from groundcheck.plans import evaluate as E, fixtures as fx, gates, generate as G
 from groundcheck.plans.fixtures import extract
-from groundcheck.schema import CLAIM_KEY
+from groundcheck.schema import CLAIM_KEY, REPORT
 from groundcheck.sources import benchmark as B, files, jsonl, report
 from groundcheck.streaming.generation import stored, stream_generation
 
@@ -57,6 +58,12 @@ def test_benchmark(spark, tmp_path):
     assert B.freeze(spark, p, e, "x", "d", {"S": ("s.org",)}, counts=(9, 3), per_topic=3) == []
     assert B.load_benchmark(spark, p, e).is_frozen
     assert {x["rule"] for x in B.freeze(spark, p, e, "x", "other", {"S": ("s.org",)}, counts=(9, 4), per_topic=3)} == {"domain", "row count"}
+    odd = tmp_path / "odd" / "prompts.jsonl"
+    odd.parent.mkdir()
+    odd.write_text(open(p).read() + "\n[1]\n{\n" + json.dumps({"dataset_item_id": 5}) + "\n")
+    found = B.freeze(spark, str(odd), e, "x", "other", {"S": ("s.org",)}, counts=(9, 3), per_topic=3)
+    assert [(x["table"], x["id"], x["rule"]) for x in found[:4]] == [("prompts", "10", "blank line"), ("prompts", "11", "not an object"), ("prompts", "12", "invalid JSON"), ("prompts", "13", "wrong type")]
+    assert {x["rule"] for x in found[4:]} == {"domain"} and not (odd.parent / B.MANIFEST).exists()
     with open(e, "a") as f:
         f.write("\n")
     with pytest.raises(ValueError, match="differs"):
@@ -78,6 +85,29 @@ def test_bad_lines(spark, tmp_path):
         B.read_table(spark, str(path), B.EVIDENCE).collect()
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    """Numbers go on from split to split, in files that no task reads whole."""
+    paths = []
+    for f in range(2):
+        text = "".join(("\n" if k % 7 == 3 else "") + json.dumps({"k": k, "pad": "x" * (k * 37 % 900)}) + ("\r\n" if k % 5 == 0 else "\n") for k in range(3000))
+        paths.append(tmp_path / "many" / f"{f}.jsonl")
+        paths[-1].parent.mkdir(exist_ok=True)
+        paths[-1].write_text(text, newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path / "many")).rdd.getNumPartitions() > 8
+        rows = jsonl.read_lines(spark, str(tmp_path / "many"))
+        found = sorted((r.file[-7:], r.line, r.record, json.loads(r.value)["k"]) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want, line = [], 0
+    for k in range(3000):
+        line += 2 if k % 7 == 3 else 1
+        want.append((line, k + 1, k))
+    assert found == [(f"{f}.jsonl", *x) for f in range(2) for x in want]
+
+
 def test_response_store(spark, tmp_path):
     rows = spark.createDataFrame([("b", "1", "é", None), ("a", "2", "x", 0.25), ("a", "1", "y", 1.0)], jsonl.RESPONSES)
     path = str(tmp_path / "r.jsonl")
@@ -146,7 +176,17 @@ def test_evaluation_rejects(spark):
     gold = spark.createDataFrame([("model-a", "i0", "claim-99", "unknown", [])], "model_name string, dataset_item_id string, claim_id string, gold_label string, evidence_ids array<string>")
     with pytest.raises(rules.RuleError, match="gold label"):
         E.evaluate(facts, rows, gold=gold)
-    for bad in ({"top_k": 0}, {"lexical": 0.9}, {"repetitions": 0}, {"level": 1.0}):
+    with pytest.raises(rules.RuleError, match="repeated claim id"):
+        E.evaluate(facts.unionByName(facts.limit(1)), rows)
+    with pytest.raises(rules.RuleError, match="invalid span"):
+        E.evaluate(facts.withColumn("claim_start", F.lit(-1)), rows)
+    with pytest.raises(rules.RuleError, match="claim of no"):
+        E.evaluate(facts.withColumn("model_name", F.lit("other")), rows)
+    with pytest.raises(ValueError, match="embedder"):
+        E.claim_facts(rows, rows, Words, Prefix, E.Settings(lexical=1.0, dense=0.0))
+    with pytest.raises(ValueError, match="embedder"):
+        E.claim_facts(rows, rows, None, Prefix)
+    for bad in ({"top_k": 0}, {"lexical": 0.9}, {"repetitions": 0}, {"level": 1.0}, {"support_threshold": 1.5}, {"top_k": True}):
         with pytest.raises(ValueError):
             E.Settings(**bad)
 
@@ -202,6 +242,51 @@ def test_locked_test(spark, tmp_path):
         gates.locked_thresholds(spark, *args)
     with pytest.raises(FileNotFoundError):
         gates.locked_thresholds(spark, *args[:-1], str(tmp_path / "none"))
+    lines(tmp_path / "gold.jsonl", annotations(facts))
+    calibrated_from_report(spark, tmp_path, b, rows, facts, made, dev)
+
+
+def calibrated_from_report(spark, folder, b, rows, facts, made, dev):
+    """A saved report gives the thresholds that its facts give."""
+    path = lambda name: str(folder / name)
+    E.save_report(E.evaluate(facts, rows, settings=E.Settings(repetitions=5)), path("all.json"), b)
+    args = [spark, path("all.json"), path("responses.jsonl"), path("gold.jsonl"), path("prompts.jsonl"), path("evidence.jsonl"), path("split.json")]
+    again = gates.calibrate(*args, path("cal2.json"))
+    assert {k: again[k] for k in ("verification", "severity", "retrieval_recall_at_k", "development_item_ids")} == {k: made[k] for k in ("verification", "severity", "retrieval_recall_at_k", "development_item_ids")}
+    assert again["provenance"]["evaluation_report_sha256"] == files.sha256(path("all.json"))
+    with pytest.raises(FileExistsError):
+        gates.calibrate(*args, path("cal2.json"))
+    document = json.loads(open(path("all.json")).read())
+
+    def broken(change, match):
+        value = json.loads(json.dumps(document))
+        change(value["responses"])
+        files.write_object(path("bad.json"), value)
+        with pytest.raises(ValueError, match=match):
+            gates.calibrate(spark, path("bad.json"), *args[2:], path("cal3.json"))
+
+    claim = lambda r: r[0]["claims"][0]["verification"]["claim"]
+    broken(lambda r: r.append(r[0]), "repeated claim key")
+    broken(lambda r: claim(r).update(id=" "), "blank")
+    broken(lambda r: claim(r).update(id="claim-77"), "differ")
+    broken(lambda r: r[0]["claims"][0]["verification"].update(support_score=1.5), "out of range")
+    flat = report_op.flatten_claims(report.read_report(spark, path("all.json"), REPORT))
+    assert report.write_claims(flat, path("claims.csv"), models=["model-a"], items=["i1", "i0"]) == facts.where("model_name = 'model-a' and dataset_item_id in ('i0', 'i1')").count()
+    with open(path("claims.csv"), newline="") as f:
+        got = list(csv.DictReader(f))
+    assert tuple(got[0]) == report.CLAIM_FIELDS and {r["dataset_item_id"] for r in got} == {"i0", "i1"}
+    assert json.loads(got[0]["evidence_ids"]) == [h.evidence_id for h in facts.where("model_name = 'model-a' and dataset_item_id = 'i0' and claim_id = 'claim-1'").first().hits]
+
+
+def test_intervals_of_many_items(spark):
+    """Beyond the stated number of items intervals are drawn by hashes, with the same columns."""
+    rows = answers(spark)
+    facts = extract(rows).withColumns({"label": F.when(F.col("claim_text").startswith("Supported"), "supported").otherwise("unknown"), "severity": F.lit("mild"), "similarity": F.lit(0.5)})
+    facts = facts.withColumn("hits", F.array().cast("array<struct<evidence_id:string>>"))
+    few, many = (E.evaluate(facts, rows, settings=E.Settings(repetitions=50, exact_items=n)).comparisons.first() for n in (9, 8))
+    assert few.asDict(recursive=True).keys() == many.asDict(recursive=True).keys()
+    assert few.supported_rate_difference.mean_difference == pytest.approx(many.supported_rate_difference.mean_difference)
+    assert many.supported_rate_difference.repetitions == 50 and many.supported_rate_difference.confidence_level == 0.95
 
 
 def test_readiness(tmp_path):
@@ -218,12 +303,13 @@ def prompts_table(spark, n=4):
 
 def test_generation(spark, tmp_path):
     store, hashes = str(tmp_path / "store"), {"prompt_sha256": "p", "evidence_sha256": "e"}
-    with pytest.raises(Exception):  # noqa: B017
+    with pytest.raises(G.GenerationError) as failure:
         G.run_generation(prompts_table(spark), [Echo("a"), Echo("b", fail_on="i2")], store, hashes)
-    held = G._read_manifest(spark, f"{store}/manifest")
-    assert held["complete"] is False and "secret" not in json.dumps(held)
+    held = G._read_manifest(spark, f"{store}/manifest.json")
+    assert held["complete"] is False and "secret" not in json.dumps(held) + str(failure.value)
+    assert held["completed_response_count"] == 7 and {k: held["last_error"][k] for k in ("model_name", "dataset_item_id", "error_type")} == {"model_name": "b", "dataset_item_id": "i2", "error_type": "RuntimeError"}
     done = G.run_generation(prompts_table(spark), [Echo("a"), Echo("b")], store, hashes, resume=True)
-    assert done["complete"] and done["completed_response_count"] == 8
+    assert done["complete"] and done["completed_response_count"] == 8 and "last_error" not in done
     again = G.run_generation(prompts_table(spark), [Echo("a"), Echo("b", fail_on="i2")], store, hashes, resume=True)
     assert again["complete"]  # nothing was pending
     with pytest.raises(ValueError, match="resume"):
@@ -239,6 +325,47 @@ def test_generation(spark, tmp_path):
     assert G.load_adapters("tests.test_plans:make_adapters")[0].name == "a"
 
 
+class Counted(Echo):
+    """Notes every question in a file."""
+
+    def __init__(self, name, log, wrong=()):
+        super().__init__(name)
+        self.log, self.wrong = log, dict(wrong)
+
+    def generate(self, item_id, prompt):
+        with open(self.log, "a") as f:
+            f.write(f"{item_id}\n")
+        if item_id in self.wrong:
+            return self.wrong[item_id]
+        return super().generate(item_id, prompt)
+
+
+def test_resumed_generation_asks_only_the_rest(spark, tmp_path):
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    asked = lambda: sorted(open(log).read().split())
+    improper = {"i3": (" ", None), "i5": ("x", 1.5)}
+    with pytest.raises(G.GenerationError, match="BlankResponse|InvalidConfidence"):
+        G.run_generation(prompts_table(spark, 9), [Counted("a", log, improper)], store, {})
+    assert asked() == [f"i{k}" for k in range(9)] and G.stored_responses(spark, store).count() == 7
+    open(log, "w").close()
+    (tmp_path / "store/manifest.json").unlink()  # a lost manifest repeats nothing
+    with pytest.raises(ValueError, match="resume"):
+        G.run_generation(prompts_table(spark, 9), [Counted("a", log)], store, {})
+    assert G.run_generation(prompts_table(spark, 9), [Counted("a", log)], store, {}, resume=True)["complete"]
+    assert asked() == ["i3", "i5"]
+    assert G.stored_responses(spark, store).select("generated_at_utc").where("generated_at_utc is null").isEmpty()
+    open(log, "w").close()
+    other = str(tmp_path / "other")  # small batches: those after the failed one are not asked
+    with pytest.raises(G.GenerationError):
+        G.run_generation(prompts_table(spark, 40), [Counted("a", log, {f"i{k}": ("", None) for k in range(40)})], other, {}, batch=5)
+    first = asked()
+    assert 0 < len(first) < 40
+    assert G.run_generation(prompts_table(spark, 40), [Counted("a", log)], other, {}, resume=True, batch=5)["completed_response_count"] == 40
+    (tmp_path / "other/manifest.json").unlink()
+    with pytest.raises(rules.RuleError, match="outside this run"):
+        G.run_generation(prompts_table(spark, 30), [Counted("a", log)], other, {}, resume=True)
+
+
 def make_adapters():
     return [Echo("a")]
 
@@ -256,6 +383,20 @@ def test_stream(spark, tmp_path):
     assert found.count() == 6 == found.select("model_name", "dataset_item_id").distinct().count()
 
 
+def test_stream_after_a_failure(spark, tmp_path):
+    """The batch that failed asks only for what it has not stored."""
+    (tmp_path / "in").mkdir()
+    log = str(tmp_path / "log")
+    lines(tmp_path / "in/1.jsonl", [{"dataset_item_id": f"i{k}", "prompt": "p"} for k in range(5)])
+    args = lambda a: (spark, str(tmp_path / "in"), [a], str(tmp_path / "out"), str(tmp_path / "mark"))
+    with pytest.raises(Exception, match="BlankResponse"):
+        stream_generation(*args(Counted("a", log, {"i2": ("", None)}))).awaitTermination()
+    assert stored(spark, str(tmp_path / "out")).count() == 4
+    open(log, "w").close()
+    stream_generation(*args(Counted("a", log))).awaitTermination()
+    assert open(log).read().split() == ["i2"] and stored(spark, str(tmp_path / "out")).count() == 5
+
+
 @pytest.mark.parametrize("bad", ["[]", "{", b"\xff", json.dumps({"schema_version": 2}), json.dumps({"schema_version": 1, "responses": []})])
 def test_bad_reports(bad):
     with pytest.raises(ValueError):
