@@ -7,21 +7,24 @@ Over what remains an FM-index is built; all test phrases are searched backwards
 at once, occurrences are located from sampled suffix positions, and the words
 they cover are merged into removal spans.
 
-The phrases are broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark
-text, whatever the benchmark's size; each block is one more pass over the rows,
-without a shuffle, that adds to the spans and items found before.
+The phrases are made once, on the driver, and broadcast as arrays, in blocks of at
+most ``BLOCK_BYTES`` of benchmark text, whatever the benchmark's size.  One block is
+one pass over the rows without a shuffle; each further block is one more pass that
+adds to the spans and items found before, which are written to the shared folder
+in between, so that one block is held at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from groundcheck.llm._bytes import ALNUM, LOWER, chunks, span_hash, text_buffers, word_spans
-from groundcheck.llm._shared import only, row_and_text, small_batches
+from groundcheck.llm._shared import materialize, only, row_and_text, small_batches
 from groundcheck.llm.fm_index import FMIndex
 
 WINDOW = 10  # words of a test phrase; a shorter item is one phrase
@@ -30,25 +33,47 @@ BLOCK_BYTES = 8 << 20
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
+@dataclass
 class Phrases:
-    """All distinct test phrases of some items, as rows of vocabulary numbers."""
-
-    def __init__(self, items: Sequence[tuple[str, str | None]], window: int = WINDOW) -> None:
+    """All distinct test phrases of some items, as rows of vocabulary numbers, and the items of each."""
+
+    vocabulary: np.ndarray  # hashes of words
+    check: np.ndarray  # other hashes of the same words
+    rows: np.ndarray
+    size: np.ndarray
+    names: list[str]  # of items, in order
+    first: np.ndarray  # where each phrase's items begin in ``of``
+    of: np.ndarray
+
+    @classmethod
+    def made_of(cls, items: Sequence[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
         raw, at = text_buffers(pa.array([t for _, t in items], pa.string()))
         raw = LOWER[raw]
         starts, ends, first = word_spans(raw, at, ALNUM)
         h = span_hash(raw, starts, ends)
-        self.vocabulary, place, number = np.unique(h, return_index=True, return_inverse=True)
-        self.check = span_hash(raw, starts[place], ends[place], seed=2)
-        rows: dict[tuple, set[str]] = {}
-        for (item, _), a, b in zip(items, first[:-1], first[1:]):
-            for k in range(a, max(a + 1, b - window + 1) if b > a else a):
-                rows.setdefault(tuple(number[k : min(b, k + window)].tolist()), set()).add(item or "")
-        self.items = [sorted(x) for x in rows.values()]
-        self.size = np.array([len(x) for x in rows], np.int64)
-        self.rows = np.zeros((len(rows), window), np.int64)
-        for k, x in enumerate(rows):
-            self.rows[k, : len(x)] = x
+        vocabulary, place, number = np.unique(h, return_index=True, return_inverse=True)
+        words = np.diff(first)
+        count = np.where(words, np.maximum(words - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), count)
+        begin = first[item] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(words[item], window)
+        at = begin[:, None] + np.arange(window)
+        rows = np.where(np.arange(window) < size[:, None], number[np.minimum(at, max(len(number) - 1, 0))] if len(number) else 0, 0)
+        whole, phrase = np.unique(np.concatenate([rows, size[:, None]], axis=1), axis=0, return_inverse=True)
+        names, rank = np.unique(np.array([i or "" for i, _ in items], object), return_inverse=True)
+        pairs = np.unique(phrase * max(len(names), 1) + rank[item]) if len(item) else np.zeros(0, np.int64)
+        owner, of = np.divmod(pairs, max(len(names), 1))
+        return cls(vocabulary, span_hash(raw, starts[place], ends[place], seed=2), whole[:, :-1], whole[:, -1], names.tolist(), np.searchsorted(owner, np.arange(len(whole) + 1)), of)
+
+    def items(self, doc: np.ndarray, phrase: np.ndarray) -> dict[int, list[str]]:
+        """Of every document the names of the items of its phrases, in order."""
+        doc, phrase = np.divmod(np.unique(doc * max(len(self.size), 1) + phrase), max(len(self.size), 1))
+        count = self.first[phrase + 1] - self.first[phrase]
+        at = np.arange(count.sum()) + np.repeat(self.first[phrase] - (np.cumsum(count) - count), count)
+        found: dict[int, list[str]] = {}
+        for d, i in zip(*np.divmod(np.unique(np.repeat(doc, count) * max(len(self.names), 1) + self.of[at]), max(len(self.names), 1))):
+            found.setdefault(int(d), []).append(self.names[i])
+        return found
 
     def numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each word's number in the vocabulary, from 1; 0 if it isn't there."""
@@ -92,9 +117,9 @@ class Phrases:
         return origin[index.locate(ranks)], np.repeat(hits, count)
 
 
-def _search(block, window: int, name: list[str]):
+def _search(block, name: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(block.value, window)
+        phrases: Phrases = block.value
         for batch in batches:
             text = batch.column(0)
             old_items, old_spans = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -115,13 +140,11 @@ def _search(block, window: int, name: list[str]):
                 hit = np.cumsum(edge[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 doc = np.searchsorted(first, where, "right") - 1
-                found: dict[int, set[str]] = {}
-                for d, p in set(zip(doc.tolist(), which.tolist())):
-                    found.setdefault(d, set()).update(phrases.items[p])
+                found = phrases.items(doc, which)
                 out[0] += np.diff(first).tolist()
                 out[1] += (total[first[1:]] - total[first[:-1]]).tolist()
                 for k in range(hi - lo):
-                    out[2].append(sorted(found.get(k, set()) | set(old_items[lo + k] or ())))
+                    out[2].append(sorted({*found.get(k, ()), *old_items[lo + k]}) if old_items[lo + k] else found.get(k, []))
                     a, b = first[k], first[k + 1]
                     if total[a] == total[b]:
                         out[3].append([])
@@ -157,6 +180,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in now.schema])
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])
-        now = now.mapInArrow(_search(block, window, kinds.names), kinds)
+        block = spark.sparkContext.broadcast(Phrases.made_of(sorted(((r.item, r.text) for r in part.collect()), key=str), window))
+        now = now.mapInArrow(_search(block, kinds.names), kinds)
+        if k < blocks - 1:
+            now = materialize(now, "spans")
+            block.destroy()
     return now
