@@ -47,7 +47,7 @@ def _advice(text: str) -> str:
 
 def _padded(number: str, width: int) -> str:
     """Zeros before a number of fewer digits; one of more is kept whole."""
-    return f"lpad(CAST({number} AS VARCHAR), greatest({width}, length(CAST({number} AS VARCHAR))), '0')"
+    return f"lpad(CAST({number} AS VARCHAR), CAST(greatest({width}, length(CAST({number} AS VARCHAR))) AS INTEGER), '0')"
 
 
 def _label(s: str, c: str, ts: str = "0.2", tc: str = "0.2") -> str:
