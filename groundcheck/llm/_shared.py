@@ -87,10 +87,15 @@ def only(docs: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(place(n).alias(n) for n in names))
 
 
-def row_and_text(docs: DataFrame, text_col: str) -> DataFrame:
-    """``row``, a struct of all columns, and ``text``; columns may have any names, those that differ only in case too."""
+def row_with(docs: DataFrame, **named: str) -> DataFrame:
+    """``row``, a struct of all columns, and the ``named`` ones; columns may have any names, those that differ only in case too."""
     plain, place = _named(docs)
-    return plain.select(F.struct(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns))).alias("row"), place(text_col).alias("text"))
+    return plain.select(F.struct(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns))).alias("row"), *(place(c).alias(n) for n, c in named.items()))
+
+
+def row_and_text(docs: DataFrame, text_col: str) -> DataFrame:
+    """``row``, a struct of all columns, and ``text``."""
+    return row_with(docs, text=text_col)
 
 
 #: Bytes and rows of an Arrow batch: workers hold a batch and what is made of it.

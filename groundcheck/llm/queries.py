@@ -121,6 +121,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best products of every fiftieth vector with all others."""
+    from groundcheck.llm.topk_search import exact_top_k
+
+    return exact_top_k(spread(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), lambda c: c % 50 == 0)
+
+
+def _planted(doc_id: int | None, n: int):
+    """Places of the words that stand in for those of a tenth of the documents, so that these repeat from somewhere on."""
+    import zlib
+
+    import numpy as np
+
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or not n or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return places
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, as digests, and the strongest of them."""
+    from groundcheck.llm.periodic_runs import DIGEST, digest, periodic_runs
+
+    found = periodic_runs(_documents(spark, sf_dir), derive=digest, schema=DIGEST, order=_planted)
+    return found.select("row.doc_id", *DIGEST.names)
+
+
 _LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -155,6 +186,12 @@ SQL: dict[str, str] = {
         t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM documents_w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER_ASCII} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
