@@ -79,8 +79,8 @@ def demo(spark) -> list[dict]:
     """The lexical baseline on one answer."""
     answer = spark.createDataFrame([("demo", "1", "Canberra is the capital of Australia and Sydney is its largest city.")], "model_name string, dataset_item_id string, text string")
     passages = spark.createDataFrame([(0, "e1", "Canberra is the capital city of Australia.")], "pos long, evidence_id string, text string")
-    ranked = retrieval.rank_passages(extract(answer), passages, retrieval.overlap_postings(passages), 3, lexical=1.0, dense=0.0, normalise=False, tokenise=verification.X.plain_tokens)
-    return [r.asDict() for r in verification.baseline_verify(ranked, passages).orderBy("claim_id").collect()]
+    found = verification.baseline_verify(retrieval.baseline_ranking(extract(answer), passages))
+    return [r.asDict() for r in found.select("model_name", "dataset_item_id", "claim_id", "similarity", "label").orderBy("claim_id").collect()]
 
 
 def evaluated(spark, a: argparse.Namespace, thresholds: tuple[float, float, float]) -> dict:

@@ -75,6 +75,11 @@ class PassageGroup:
     weight: np.ndarray
     vectors: np.ndarray | None
 
+    def sets(self) -> list[frozenset[int]]:
+        """The numbers of each passage's different tokens."""
+        at = np.searchsorted(self.row, np.arange(len(self.pos) + 1))
+        return [frozenset(self.token[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+
     def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Passages a to b with their tokens' weights as a dense matrix over the block's own vocabulary."""
         for a in range(0, len(self.pos), BLOCK):
@@ -185,12 +190,27 @@ def bm25_scores(claims: DataFrame, evidence: DataFrame, key: list[str], text: st
     return out.select("row.*", "pos", "bm25_score")
 
 
-def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bool, names: list[str]):
+def _add_overlap(own: PassageGroup, sets: list[frozenset[int]], lists: pa.ListArray, token: np.ndarray, edge: np.ndarray, best: dict[str, np.ndarray]) -> None:
+    """Jaccard similarity of each claim's different tokens with those of its hits in this group."""
+    words = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    place = np.searchsorted(own.pos, best["pos"])
+    mine = (best["combined_score"] > -np.inf) & (own.pos[np.minimum(place, len(own.pos) - 1)] == best["pos"])
+    for r in np.flatnonzero(mine.any(axis=1)):
+        lo, hi = edge[r], edge[r + 1]
+        known, count = set(token[lo:hi].tolist()), len(set(words[lo:hi].tolist()))
+        for c in np.flatnonzero(mine[r]):
+            other = sets[place[r, c]]
+            both = len(known & other)
+            best["overlap"][r, c] = both / (count + len(other) - both) if count and other else 0.0
+
+
+def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bool, names: list[str], overlap: bool = False):
     """One pass over the claims: the greatest BM25 score so far (``max``), or the k best hits so far (``rank``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: PassageGroup = group.value
         blocks, ids = list(own.blocks()), np.array(own.ids, object)
+        sets = own.sets() if overlap and mode != "max" else []
         for batch in batches:
             n = len(batch)
             lists = batch.column(1)
@@ -217,9 +237,13 @@ def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bo
                     near = np.argsort(-np.round(both, 12), axis=1, kind="stable")[:, :k]
                     take = lambda x: np.take_along_axis(x, near, axis=1)  # noqa: B023, E731
                     new = {"pos": own.pos[a + near], "evidence_id": ids[a + near], "bm25_score": take(s), "embedding_score": take(emb), "combined_score": take(both)}
+                    if overlap:
+                        new["overlap"] = np.zeros_like(new["combined_score"])
                     best = {c: np.concatenate([best[c], new[c]], axis=1) for c in best}
                     order = np.argsort(-np.round(best["combined_score"], 12), axis=1, kind="stable")[:, :k]  # earlier columns are earlier passages
                     best = {c: np.take_along_axis(x, order, axis=1) for c, x in best.items()}
+                if overlap:
+                    _add_overlap(own, sets, lists, token, edge, best)
                 hits = _pack_hits(best, hits.type)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), pa.array(top), hits], names=names)
 
@@ -235,7 +259,9 @@ def _unit_rows(column: pa.Array, size: int) -> np.ndarray:
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
-_FIELDS = ("pos", "evidence_id", "bm25_score", "embedding_score", "combined_score")
+def _fields(kind: pa.DataType) -> list[str]:
+    """What is carried of a hit; its rank is its place."""
+    return [f.name for f in kind.value_type if f.name != "rank"]
 
 
 def _unpack_hits(hits: pa.Array, k: int) -> dict[str, np.ndarray]:
@@ -245,7 +271,7 @@ def _unpack_hits(hits: pa.Array, k: int) -> dict[str, np.ndarray]:
     flat = hits.flatten()
     row, place = np.repeat(np.arange(n), count), np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
     out = {}
-    for c in _FIELDS:
+    for c in _fields(hits.type):
         kind = {"pos": np.int64, "evidence_id": object}.get(c, np.float64)
         out[c] = np.full((n, k), -np.inf if c == "combined_score" else 0, kind)
         if len(flat):
@@ -256,7 +282,7 @@ def _unpack_hits(hits: pa.Array, k: int) -> dict[str, np.ndarray]:
 def _pack_hits(best: dict[str, np.ndarray], kind: pa.DataType) -> pa.Array:
     used = best["combined_score"] > -np.inf
     count = used.sum(axis=1)
-    fields = {c: pa.array(best[c][used], kind.value_type.field(c).type) for c in _FIELDS}
+    fields = {c: pa.array(best[c][used], kind.value_type.field(c).type) for c in best}
     fields["rank"] = pa.array((np.cumsum(used, axis=1)[used]).astype(np.int32))
     values = pa.StructArray.from_arrays([fields[kind.value_type.field(i).name] for i in range(kind.value_type.num_fields)], fields=[kind.value_type.field(i) for i in range(kind.value_type.num_fields)])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), values, type=kind)
@@ -264,13 +290,15 @@ def _pack_hits(best: dict[str, np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def rank_passages(
     claims: DataFrame, evidence: DataFrame, postings: DataFrame, k: int, claim_vector: Column | None = None, vectors: DataFrame | None = None,
-    lexical: float = 0.5, dense: float = 0.5, normalise: bool = True, tokenise=X.tokens, text: str = "claim_text",
+    lexical: float = 0.5, dense: float = 0.5, normalise: bool = True, tokenise=X.tokens, text: str = "claim_text", overlap: bool = False,
 ) -> DataFrame:
     """``claims`` with ``hits``: its k best passages by combined score, then position; arrays of :data:`HIT`.
 
     ``evidence`` has ``pos, evidence_id``; ``vectors`` has ``pos, vector`` for
     every passage when ``dense`` is above 0.  Scores are ranked at 12 decimals,
-    so the order does not hang on the order of sums.
+    so the order does not hang on the order of sums.  With ``overlap`` a hit has
+    the Jaccard similarity of claim and passage too, over the tokens that
+    ``tokenise`` and ``postings`` are made of.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -281,24 +309,29 @@ def rank_passages(
     vectors = vectors if dense > 0 else None
     row = F.struct(*(claims[c] for c in claims.columns)).alias("row")
     vector = claim_vector if vectors is not None else F.lit(None)
-    empty = F.array().cast(T.ArrayType(HIT))
+    empty = F.array().cast(T.ArrayType(T.StructType([*HIT.fields, T.StructField("overlap", T.DoubleType())]) if overlap else HIT))
     now = claims.select(row, tokenise(F.col(text)).alias("tokens"), vector.cast("array<double>").alias("vector"), F.lit(0.0).alias("top"), empty.alias("hits"))
     kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in now.schema])
     context, groups = claims.sparkSession.sparkContext, _groups(evidence, postings, vectors)
     single, others = next(groups, None), next(groups, None) is not None
     if not others:
         if single is not None:
-            now = now.mapInArrow(_score(context.broadcast(single), k, "both", lexical, dense, normalise, kinds.names), kinds)
+            now = now.mapInArrow(_score(context.broadcast(single), k, "both", lexical, dense, normalise, kinds.names, overlap), kinds)
         return now.select("row.*", "hits")
     del single, groups
     for mode in ("max", "rank") if normalise else ("rank",):  # a group is held, sent and let go before the next
         for group in _groups(evidence, postings, vectors):
             held = context.broadcast(group)
-            now = cut(now.mapInArrow(_score(held, k, mode, lexical, dense, normalise, kinds.names), kinds))
+            now = cut(now.mapInArrow(_score(held, k, mode, lexical, dense, normalise, kinds.names, overlap), kinds))
             held.destroy()
     return now.select("row.*", "hits")
 
 
+def baseline_ranking(claims: DataFrame, evidence: DataFrame, k: int = 3) -> DataFrame:
+    """The plain baseline: hits by the number of shared word occurrences, with their overlap."""
+    return rank_passages(claims, evidence, overlap_postings(evidence), k, lexical=1.0, dense=0.0, normalise=False, tokenise=X.plain_tokens, overlap=True)
+
+
 def retrieved(ranked: DataFrame, key: list[str]) -> DataFrame:
     """One row per hit: ``key`` and the fields of :data:`HIT`."""
     return ranked.select(*key, F.explode("hits").alias("hit")).select(*key, "hit.*")

@@ -73,13 +73,12 @@ def assess_severity(verified: DataFrame, threshold: float | None = None, central
     return out.withColumns({"severity": level, "severity_reason": reason}).drop("_advice")
 
 
-def baseline_verify(ranked: DataFrame, evidence: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """The lexical baseline: claims with ``hits`` get ``similarity`` (best Jaccard of the hits) and ``label``.
+def baseline_verify(ranked: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """The lexical baseline: claims with ``hits`` get ``similarity`` (the best overlap of a hit) and ``label``.
 
     A claim is supported when its similarity is strictly above the threshold,
-    else unknown.  Passages' tokens are looked up by position.
+    else unknown.  Hits carry their overlap (``rank_passages(overlap=True)``), so
+    nothing is joined or shuffled.
     """
-    passages = evidence.select("pos", F.array_distinct(X.plain_tokens(F.col("text"))).alias("passage"))
-    rows = ranked.select("model_name", "dataset_item_id", "claim_id", F.array_distinct(X.plain_tokens(F.col("claim_text"))).alias("own"), F.explode_outer("hits.pos").alias("pos"))
-    best = rows.join(passages, "pos", "left").groupBy("model_name", "dataset_item_id", "claim_id").agg(F.coalesce(F.max(X.jaccard(F.col("own"), F.col("passage"))), F.lit(0.0)).alias("similarity"))
-    return best.withColumn("label", F.when(F.col("similarity") > threshold, "supported").otherwise("unknown"))
+    best = F.coalesce(F.array_max(F.transform("hits", lambda h: h["overlap"])), F.lit(0.0))
+    return ranked.withColumn("similarity", best).withColumn("label", F.when(F.col("similarity") > threshold, "supported").otherwise("unknown"))

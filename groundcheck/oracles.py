@@ -334,6 +334,27 @@ ORACLES["report_roundtrip"] = f"""SELECT {_K}, claim_start, claim_end, claim_tex
 ORACLES["baseline_retrieval"] = f"SELECT {_K}, evidence_id, rank, CAST(score AS DOUBLE) AS score FROM bhit JOIN evi USING (pos)"
 ORACLES["baseline_verification"] = f"SELECT {_K}, round(similarity, 9) AS similarity, CASE WHEN similarity > 0.25 THEN 'supported' ELSE 'unknown' END AS label FROM bsim"
 
+_TOKENS = "list_distinct(list_transform(regexp_extract_all({}, '(?i)[a-z0-9]+(?:''[a-z0-9]+)?'), lambda x: lower(x)))"
+PARTS["bids"] = f"SELECT {_K}, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY rank) AS evidence_ids FROM bhit GROUP BY ALL"
+PARTS["jhit"] = f"""SELECT {_K}, pos FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY round(CASE WHEN top > 0 THEN s / top ELSE 0 END, 12) DESC, pos) AS rank FROM (
+    SELECT {_K}, pos, coalesce(s, 0) AS s, max(coalesce(s, 0)) OVER (PARTITION BY {_K}) AS top FROM (SELECT {_K}, pos FROM claims CROSS JOIN evi) x LEFT JOIN bm25 USING ({_K}, pos))) WHERE rank <= 5"""
+PARTS["jsim"] = f"""SELECT {_K}, any_value(claim_text) AS claim_text, max(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END) AS similarity FROM (
+    SELECT {_K}, claim_text, {_TOKENS.format("claim_text")} AS a, {_TOKENS.format("e.text")} AS b FROM claims JOIN jhit USING ({_K}) JOIN evi e USING (pos)) GROUP BY {_K}"""
+PARTS["jlab"] = "SELECT *, CASE WHEN similarity > 0.25 THEN 'supported' ELSE 'unknown' END AS label FROM jsim"
+PARTS["jrul"] = f"SELECT *, CASE WHEN label <> 'supported' THEN {_domains('claim_text')} ELSE [] END AS domains, {_advice('claim_text')} AS advice FROM jlab"
+PARTS["jfact"] = f"SELECT *, CASE WHEN label <> 'supported' THEN {_LEVELS}[1 + {_level('label', '0', '0', '1')}] END AS severity FROM jrul"
+PARTS["jout"] = f"SELECT {_R}, avg(CASE WHEN label = 'supported' THEN 1.0 WHEN label IS NOT NULL THEN 0 END) AS rate FROM resp LEFT JOIN jfact USING ({_R}) GROUP BY ALL"
+PARTS["jduel"] = "SELECT a.model_name, b.model_name AS other, round(avg(a.rate - b.rate), 9) AS d FROM jout a JOIN jout b USING (dataset_item_id) WHERE a.model_name <> b.model_name GROUP BY ALL"
+PARTS["jgold"] = f"SELECT model_name, avg(CASE WHEN label = CASE quality WHEN 1 THEN 'supported' ELSE 'unknown' END THEN 1.0 ELSE 0 END) AS gold_accuracy FROM jfact JOIN resp USING ({_R}) JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY model_name"
+ORACLES["job1_claim_ledger"] = f"""SELECT coalesce(nullif(source, ''), 'unknown') AS model_name, CAST(doc_id AS VARCHAR) AS dataset_item_id, claim_id, claim_text, claim_start, claim_end, evidence_ids, round(similarity, 9) AS similarity,
+    CASE WHEN similarity > 0.25 THEN 'supported' ELSE 'unknown' END AS label FROM claims JOIN bsim USING ({_K}) JOIN bids USING ({_K}) JOIN (SELECT doc_id, source FROM documents) d USING (doc_id)"""
+ORACLES["job2_model_scorecards"] = f"""SELECT r.model_name, r.responses, coalesce(f.claims, 0) AS claims, coalesce(f.supported, 0) AS supported, {", ".join(f"coalesce(f.{k}, 0) AS {k}" for k in ("mild", "moderate", "severe", "critical"))},
+    coalesce(d.better_than, 0) AS better_than, coalesce(d.worse_than, 0) AS worse_than, round(f.supported / f.claims, 9) AS supported_rate, round(f.mean_similarity, 9) AS mean_similarity, round(g.gold_accuracy, 9) AS gold_accuracy
+    FROM (SELECT model_name, count(*) AS responses FROM resp GROUP BY model_name) r
+    LEFT JOIN (SELECT model_name, count(*) AS claims, count(*) FILTER (label = 'supported') AS supported, avg(similarity) AS mean_similarity, {", ".join(f"count(*) FILTER (severity = '{k}') AS {k}" for k in ("mild", "moderate", "severe", "critical"))} FROM jfact GROUP BY model_name) f USING (model_name)
+    LEFT JOIN (SELECT model_name, count(*) FILTER (d > 0) AS better_than, count(*) FILTER (d < 0) AS worse_than FROM jduel GROUP BY model_name) d USING (model_name)
+    LEFT JOIN jgold g USING (model_name)"""
+
 
 def _final(sql: str) -> str:
     """A statement with its own WITH becomes the end of the parts' list."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,6 +13,7 @@ from groundcheck.functions import scores as S, text as X
 from groundcheck.operators import annotations as A, calibration as C, compare, metrics as M, report as R, retrieval, rules, verification as V
 from groundcheck.plans import fixtures as fx
 from groundcheck.schema import CLAIM_KEY, LABELS, RESPONSE_KEY
+from groundcheck.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +60,7 @@ def lexical_similarity(spark, sf):
 
 def _baseline(spark, sf) -> DataFrame:
     passages = fx.evidence(spark, sf)
-    return retrieval.rank_passages(fx.claims(spark, sf), passages, retrieval.overlap_postings(passages), 3, lexical=1.0, dense=0.0, normalise=False, tokenise=X.plain_tokens)
+    return retrieval.baseline_ranking(fx.claims(spark, sf), passages)
 
 
 @query
@@ -66,7 +70,7 @@ def baseline_retrieval(spark, sf):
 
 @query
 def baseline_verification(spark, sf):
-    return V.baseline_verify(_baseline(spark, sf), fx.evidence(spark, sf)).withColumns(nine("similarity"))
+    return V.baseline_verify(_baseline(spark, sf)).select(*CLAIM_KEY, "similarity", "label").withColumns(nine("similarity"))
 
 
 # retrieval
@@ -647,3 +651,37 @@ def retrieval_on_dev(spark, sf):
 @query
 def candidate_thresholds(spark, sf):
     return spark.createDataFrame([(t,) for t in C.threshold_grid()], "threshold double")
+
+
+# jobs: each run twice into one new folder, which stays
+
+
+def _new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _job_config(module) -> dict:
+    return json.loads(Path(module.__file__).with_suffix(".json").read_text())
+
+
+@query
+def job1_claim_ledger(spark, sf):
+    """The ledger of all documents' claims, after a second run that finds nothing new."""
+    from jobs import claim_ledger
+
+    folder = _new_folder(spark, "job1")
+    for _ in range(2):
+        claim_ledger.run(spark, f"{sf}/documents.parquet", f"{sf}/benchmark.parquet", f"{folder}/ledger", f"{folder}/checkpoint", _job_config(claim_ledger))
+    out = claim_ledger.ledger(spark, f"{folder}/ledger")
+    return out.select(*CLAIM_KEY, "claim_text", "claim_start", "claim_end", F.array_join("evidence_ids", ",").alias("evidence_ids"), "label", F.round("similarity", 9).alias("similarity"))
+
+
+@query
+def job2_model_scorecards(spark, sf):
+    """Every model's scorecard, after a second run that computes no facts."""
+    from jobs import model_scorecards
+
+    folder = _new_folder(spark, "job2")
+    for _ in range(2):
+        model_scorecards.run(spark, f"{sf}/documents.parquet", f"{sf}/benchmark.parquet", f"{sf}/labels.parquet", folder, _job_config(model_scorecards))
+    return model_scorecards.read_scorecards(spark, folder)

@@ -33,13 +33,22 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` computed and kept in the folder of ``spark.checkpoint.dir``; on one machine without that setting, in one of its own."""
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; on one machine without that setting, one made for this process, which is set."""
+    context = spark.sparkContext
+    if context.getConf().get("spark.checkpoint.dir"):
+        return context.getConf().get("spark.checkpoint.dir").rstrip("/")
     if context.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="groundcheck-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(f"file://{folder}")
+    return context.getCheckpointDir()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` computed and kept in the shared folder."""
+    if rows.sparkSession.sparkContext.getCheckpointDir() is None:
+        rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
