@@ -3,10 +3,14 @@
 BM25 weights of every (passage, token) are relational.  Ranking is one pass over
 the claims: passages are a stated, bounded side that is broadcast in groups of
 at most ``GROUP_BYTES``; within a group a batch of claims is scored against all
-passages by matrix products, and only k hits a claim leave the task.  There is
-no shuffle, whatever the number of claims, and every passage takes part, those
-that score zero too.  Of several groups one is held at a time; between them the
-claims are written to the shared folder.
+passages by matrix products, and only k hits a claim leave the task.  With one
+group there is no shuffle, whatever the number of claims, and every passage takes
+part, those that score zero too.
+
+With several groups claims are written once and meet every group in one pass of
+its own, a task holding one group: what leaves it are the passages that can be
+among the k best for any other group's scores (:mod:`.contenders`).  These meet
+by claim, in the only shuffle, and are ranked exactly.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from groundcheck.functions import scores as S, text as X
+from groundcheck.operators.contenders import contenders
 from groundcheck.schema import HIT
 from groundcheck.session import cut
 
@@ -182,10 +188,9 @@ def bm25_scores(claims: DataFrame, evidence: DataFrame, key: list[str], text: st
         out = rows.mapInArrow(_pairs(context.broadcast(single)), kinds)
     else:
         del single, groups
+        rows = cut(rows)
         for group in _groups(evidence, bm25_postings(evidence), None):
-            held = context.broadcast(group)
-            part = cut(rows.mapInArrow(_pairs(held), kinds))
-            held.destroy()
+            part = rows.mapInArrow(_pairs(context.broadcast(group)), kinds)
             out = part if out is None else out.union(part)
     return out.select("row.*", "pos", "bm25_score")
 
@@ -204,48 +209,113 @@ def _add_overlap(own: PassageGroup, sets: list[frozenset[int]], lists: pa.ListAr
             best["overlap"][r, c] = both / (count + len(other) - both) if count and other else 0.0
 
 
-def _score(group, k: int, mode: str, lexical: float, dense: float, normalise: bool, names: list[str], overlap: bool = False):
-    """One pass over the claims: the greatest BM25 score so far (``max``), or the k best hits so far (``rank``)."""
+def _score(group, k: int, lexical: float, dense: float, normalise: bool, names: list[str], overlap: bool):
+    """The k best hits of claims among all passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: PassageGroup = group.value
         blocks, ids = list(own.blocks()), np.array(own.ids, object)
-        sets = own.sets() if overlap and mode != "max" else []
+        sets = own.sets() if overlap else []
         for batch in batches:
-            n = len(batch)
-            lists = batch.column(1)
+            n, lists = len(batch), batch.column(1)
             token, edge = _numbers(own, lists)
-            top = batch.column(3).to_numpy().copy()
-            if mode != "rank":
+            top = np.zeros(n)
+            if normalise:
                 for block in blocks:
-                    s = _lexical_scores(own, token, edge, n, block)
-                    top = np.maximum(top, s.max(axis=1, initial=0.0))
-            hits = batch.column(4)
-            if mode != "max":
-                best = _unpack_hits(hits, k)
-                unit = _unit_rows(batch.column(2), own.vectors.shape[1]) if own.vectors is not None else None
-                for block in blocks:
-                    a, b = block[:2]
-                    s = _lexical_scores(own, token, edge, n, block)
-                    scaled = np.divide(s, top[:, None], out=np.zeros_like(s), where=top[:, None] > 0) if normalise else s
-                    emb = np.zeros_like(s)
-                    if unit is not None:
-                        emb = np.clip((unit @ own.vectors[a:b].T + 1) / 2, 0, 1)
-                        emb[~unit.any(axis=1)] = 0
-                        emb[:, ~own.vectors[a:b].any(axis=1)] = 0
-                    both = lexical * scaled + dense * emb
-                    near = np.argsort(-np.round(both, 12), axis=1, kind="stable")[:, :k]
-                    take = lambda x: np.take_along_axis(x, near, axis=1)  # noqa: B023, E731
-                    new = {"pos": own.pos[a + near], "evidence_id": ids[a + near], "bm25_score": take(s), "embedding_score": take(emb), "combined_score": take(both)}
-                    if overlap:
-                        new["overlap"] = np.zeros_like(new["combined_score"])
-                    best = {c: np.concatenate([best[c], new[c]], axis=1) for c in best}
-                    order = np.argsort(-np.round(best["combined_score"], 12), axis=1, kind="stable")[:, :k]  # earlier columns are earlier passages
-                    best = {c: np.take_along_axis(x, order, axis=1) for c, x in best.items()}
+                    top = np.maximum(top, _lexical_scores(own, token, edge, n, block).max(axis=1, initial=0.0))
+            kind = batch.column(3).type
+            best = _no_hits(n, k, kind)
+            unit = _unit_rows(batch.column(2), own.vectors.shape[1]) if own.vectors is not None else None
+            for block in blocks:
+                a = block[0]
+                s = _lexical_scores(own, token, edge, n, block)
+                emb = _similarities(own, unit, block) if unit is not None else np.zeros_like(s)
+                both = _combined(s, emb, top[:, None], lexical, dense, normalise)
+                near = np.argsort(-np.round(both, 12), axis=1, kind="stable")[:, :k]
+                take = lambda x: np.take_along_axis(x, near, axis=1)  # noqa: B023, E731
+                new = {"pos": own.pos[a + near], "evidence_id": ids[a + near], "bm25_score": take(s), "embedding_score": take(emb), "combined_score": take(both)}
                 if overlap:
-                    _add_overlap(own, sets, lists, token, edge, best)
-                hits = _pack_hits(best, hits.type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), pa.array(top), hits], names=names)
+                    new["overlap"] = np.zeros_like(new["combined_score"])
+                best = {c: np.concatenate([best[c], new[c]], axis=1) for c in best}
+                order = np.argsort(-np.round(best["combined_score"], 12), axis=1, kind="stable")[:, :k]  # earlier columns are earlier passages
+                best = {c: np.take_along_axis(x, order, axis=1) for c, x in best.items()}
+            if overlap:
+                _add_overlap(own, sets, lists, token, edge, best)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), _pack_hits(best, kind)], names=names)
+
+    return run
+
+
+def _similarities(own: PassageGroup, unit: np.ndarray, block) -> np.ndarray:
+    """Cosines of claims with a block's passages, brought to 0 to 1; 0 where either vector is zero."""
+    part = own.vectors[block[0] : block[1]]
+    emb = np.clip((unit @ part.T + 1) / 2, 0, 1)
+    emb[~unit.any(axis=1)] = 0
+    emb[:, ~part.any(axis=1)] = 0
+    return emb
+
+
+def _combined(s: np.ndarray, emb: np.ndarray, top: np.ndarray, lexical: float, dense: float, normalise: bool) -> np.ndarray:
+    scaled = np.divide(s, top, out=np.zeros_like(s), where=top > 0) if normalise else s
+    return lexical * scaled + dense * emb
+
+
+def _contend(group, k: int, lexical: float, dense: float, heaviest: float, normalise: bool, kinds: pa.Schema, overlap: bool, first: bool):
+    """What of a group can be among the k best of claims; the first group's lines carry the claims themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: PassageGroup = group.value
+        blocks, ids = list(own.blocks()), np.array(own.ids, object)
+        heavy = [block[2].max(axis=1, initial=0.0) for block in blocks]
+        sets = own.sets() if overlap else []
+        for batch in batches:
+            n, lists = len(batch), batch.column(2)
+            token, edge = _numbers(own, lists)
+            claim = np.repeat(np.arange(n), np.diff(edge))
+            unit = _unit_rows(batch.column(3), own.vectors.shape[1]) if own.vectors is not None else None
+            most = np.diff(edge) * heaviest if normalise else np.ones(n)
+            of_block = {block[0]: h for block, h in zip(blocks, heavy)}
+            bound = lambda block: np.bincount(claim, weights=of_block[block[0]][block[3][token]], minlength=n)  # noqa: B023, E731
+            lexical_of = lambda block: _lexical_scores(own, token, edge, n, block)  # noqa: B023, E731
+            dense_of = (lambda block: _similarities(own, unit, block)) if unit is not None else None  # noqa: B023
+            at, passage, s, e, _ = contenders(n, blocks, bound, lexical_of, dense_of, k, (lexical, dense), most)
+            fields = {"pos": own.pos[passage], "evidence_id": ids[passage], "bm25_score": s, "embedding_score": e, "combined_score": np.zeros(len(s))}
+            if overlap:
+                one = {c: x[:, None] for c, x in fields.items()} | {"overlap": np.zeros((len(s), 1))}
+                words = lists.take(pa.array(at))
+                t, ends = _numbers(own, words)
+                _add_overlap(own, sets, words, t, ends, one)
+                fields["overlap"] = one["overlap"][:, 0]
+            kind = kinds.field("hits").type
+            fields["rank"] = np.zeros(len(s), np.int32)
+            values = pa.StructArray.from_arrays([pa.array(fields[f.name], f.type) for f in kind.value_type], fields=list(kind.value_type))
+            hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)).astype(np.int32)), values, type=kind)
+            row = batch.column(1) if first else pa.nulls(n, kinds.field("row").type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), row, hits], schema=kinds)
+
+    return run
+
+
+def _rank(k: int, lexical: float, dense: float, normalise: bool, names: list[str]):
+    """The k best of all groups' contenders; the best lexical score of all passages is among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, n = batch.column(1), len(batch)
+            size = hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, claim = hits.flatten(), np.repeat(np.arange(n), size)
+            field = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+            top = np.zeros(n)
+            np.maximum.at(top, claim, field["bm25_score"])
+            field["combined_score"] = _combined(field["bm25_score"], field["embedding_score"], top[claim], lexical, dense, normalise)
+            order = np.lexsort((field["pos"], -np.round(field["combined_score"], 12), claim))
+            place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+            order, rank = order[place < k], place[place < k] + 1
+            field = {c: x[order] for c, x in field.items()} | {"rank": rank.astype(np.int32)}
+            kind = hits.type
+            values = pa.StructArray.from_arrays([pa.array(field[f.name], f.type) for f in kind.value_type], fields=list(kind.value_type))
+            ends = np.concatenate([[0], np.cumsum(np.minimum(size, k))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, type=kind)], names=names)
 
     return run
 
@@ -264,19 +334,10 @@ def _fields(kind: pa.DataType) -> list[str]:
     return [f.name for f in kind.value_type if f.name != "rank"]
 
 
-def _unpack_hits(hits: pa.Array, k: int) -> dict[str, np.ndarray]:
-    """The hits so far as k columns; free places score below all."""
-    n = len(hits)
-    count = hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = hits.flatten()
-    row, place = np.repeat(np.arange(n), count), np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-    out = {}
-    for c in _fields(hits.type):
-        kind = {"pos": np.int64, "evidence_id": object}.get(c, np.float64)
-        out[c] = np.full((n, k), -np.inf if c == "combined_score" else 0, kind)
-        if len(flat):
-            out[c][row, place] = flat.field(c).to_numpy(zero_copy_only=False)
-    return out
+def _no_hits(n: int, k: int, kind: pa.DataType) -> dict[str, np.ndarray]:
+    """k free places a claim, which score below all."""
+    types = {"pos": np.int64, "evidence_id": object}
+    return {c: np.full((n, k), -np.inf if c == "combined_score" else 0, types.get(c, np.float64)) for c in _fields(kind)}
 
 
 def _pack_hits(best: dict[str, np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -309,22 +370,26 @@ def rank_passages(
     vectors = vectors if dense > 0 else None
     row = F.struct(*(claims[c] for c in claims.columns)).alias("row")
     vector = claim_vector if vectors is not None else F.lit(None)
-    empty = F.array().cast(T.ArrayType(T.StructType([*HIT.fields, T.StructField("overlap", T.DoubleType())]) if overlap else HIT))
-    now = claims.select(row, tokenise(F.col(text)).alias("tokens"), vector.cast("array<double>").alias("vector"), F.lit(0.0).alias("top"), empty.alias("hits"))
-    kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in now.schema])
+    tokens, vector = tokenise(F.col(text)).alias("tokens"), vector.cast("array<double>").alias("vector")
+    hits = T.ArrayType(T.StructType([*HIT.fields, T.StructField("overlap", T.DoubleType())]) if overlap else HIT)
     context, groups = claims.sparkSession.sparkContext, _groups(evidence, postings, vectors)
     single, others = next(groups, None), next(groups, None) is not None
     if not others:
+        now = claims.select(row, tokens, vector, F.array().cast(hits).alias("hits"))
+        kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in now.schema])
         if single is not None:
-            now = now.mapInArrow(_score(context.broadcast(single), k, "both", lexical, dense, normalise, kinds.names, overlap), kinds)
+            now = now.mapInArrow(_score(context.broadcast(single), k, lexical, dense, normalise, kinds.names, overlap), kinds)
         return now.select("row.*", "hits")
     del single, groups
-    for mode in ("max", "rank") if normalise else ("rank",):  # a group is held, sent and let go before the next
-        for group in _groups(evidence, postings, vectors):
-            held = context.broadcast(group)
-            now = cut(now.mapInArrow(_score(held, k, mode, lexical, dense, normalise, kinds.names, overlap), kinds))
-            held.destroy()
-    return now.select("row.*", "hits")
+    now = cut(claims.select(F.monotonically_increasing_id().alias("claim"), row, tokens, vector))
+    kinds = T.StructType([T.StructField("claim", T.LongType()), T.StructField("row", now.schema["row"].dataType), T.StructField("hits", hits)])
+    heaviest, all_ = postings.agg(F.max("weight")).first()[0] or 0.0, None
+    for number, group in enumerate(_groups(evidence, postings, vectors)):  # the driver holds one at a time
+        part = now.mapInArrow(_contend(context.broadcast(group), k, lexical, dense, heaviest, normalise, to_arrow_schema(kinds), overlap, not number), kinds)
+        all_ = part if all_ is None else all_.unionByName(part)
+    met = all_.groupBy("claim").agg(F.first("row", ignorenulls=True).alias("row"), F.flatten(F.collect_list("hits")).alias("hits"))
+    kinds = T.StructType([kinds["row"], kinds["hits"]])
+    return met.select("row", "hits").mapInArrow(_rank(k, lexical, dense, normalise, kinds.names), kinds).select("row.*", "hits")
 
 
 def baseline_ranking(claims: DataFrame, evidence: DataFrame, k: int = 3) -> DataFrame:
