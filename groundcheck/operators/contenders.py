@@ -17,8 +17,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Weights of the lexical score by which the k best so far are kept, to tell what they exceed.
-MIXES = (0.9, 0.5, 0.15)
+#: Weights of the lexical score by which the k best so far are kept, to tell what they exceed; None: by the lesser of both scores.
+MIXES = (0.9, None, 0.15)
 #: Passages up to which the skyband is taken exactly; of more, what the k best of each mix leave is kept.
 EXACT = 1024
 #: Scores are told apart at 12 decimals.
@@ -28,14 +28,15 @@ APART = 2e-12
 class Best:
     """For each mix the k best passages of every claim so far."""
 
-    def __init__(self, claims: int, k: int, mixes: tuple[float, ...], scale: np.ndarray, apart: tuple[np.ndarray, float]):
+    def __init__(self, claims: int, k: int, mixes: tuple[float | None, ...], scale: np.ndarray, apart: tuple[np.ndarray, float]):
         self.k, self.mixes, self.scale = k, mixes, scale[:, None]
         self.apart_s, self.apart_e = apart[0][:, None], apart[1]
         self.value, self.s, self.e = (np.full((len(mixes), claims, k), -np.inf) for _ in range(3))
 
     def add(self, s: np.ndarray, e: np.ndarray) -> None:
         for m, share in enumerate(self.mixes):
-            value = np.concatenate([self.value[m], share * s / self.scale + (1 - share) * e], axis=1)
+            value = np.minimum(s / self.scale, e) if share is None else share * s / self.scale + (1 - share) * e
+            value = np.concatenate([self.value[m], value], axis=1)
             near = np.argpartition(-value, self.k - 1, axis=1)[:, : self.k]
             take = lambda old, new: np.take_along_axis(np.concatenate([old, new], axis=1), near, axis=1)  # noqa: B023, E731
             self.value[m], self.s[m], self.e[m] = np.take_along_axis(value, near, axis=1), take(self.s[m], s), take(self.e[m], e)
