@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from groundcheck.operators import report, rules
 from groundcheck.schema import CLAIM_KEY, REPORT
-from groundcheck.sources import files
+from groundcheck.sources import document, files
 
 ARRAYS = ("dataset_item_ids", "responses", "model_metrics", "paired_comparisons")
 VERSION = 1
@@ -50,12 +50,20 @@ def load_report(source: str | bytes | dict[str, Any]) -> dict[str, Any]:
 
 
 def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A report file as nested rows; only the columns that are used are parsed into the plan."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    bad = F.col("schema_version").eqNullSafe(VERSION)
-    for name in ARRAYS:
-        bad = bad & F.col(name).isNotNull()
-    return rows.where(F.when(bad, True).otherwise(F.raise_error(F.lit("not an evaluation report")).cast("boolean")))
+    """The responses of a report file, each as a row with an array ``responses`` of that one.
+
+    The file is read in splits, in one line or many; only one response is ever
+    held.  Its version and arrays are checked first.
+    """
+    found = document.elements(spark, path)
+    named = F.col("name").isin("schema_version", *ARRAYS) & (F.col("place") == 0)
+    version = F.when(F.col("name") == "schema_version", F.col("value"))
+    fields = {r.name: r for r in found.where(named).select("name", "array", version.alias("value")).collect()}
+    if "schema_version" not in fields or fields["schema_version"].value != str(VERSION) or any(n not in fields or not fields[n].array for n in ARRAYS):
+        raise ValueError("not an evaluation report")
+    kind = schema["responses"].dataType
+    rows = found.where((F.col("name") == "responses") & (F.col("value") != ""))
+    return rows.select(F.array(F.from_json("value", kind.elementType, {"mode": "FAILFAST"})).cast(kind).alias("responses"))
 
 
 def write_document(path: str | Path, head: dict[str, Any], arrays: dict[str, DataFrame]) -> dict[str, int]:
