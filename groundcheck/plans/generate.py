@@ -118,27 +118,45 @@ def response_rules() -> list[Rule]:
     return [Rule("blank text", is_blank(F.col("text"))), Rule("confidence out of range", F.col("confidence").isNotNull() & ~in_unit(F.col("confidence")))]
 
 
-def stored_responses(spark: SparkSession, store: str) -> DataFrame | None:
-    """All proper responses of a store, or None where nothing was ever stored."""
-    data = f"{store}/responses"
+def stored_responses(spark: SparkSession, store: str, part: str = "") -> DataFrame | None:
+    """All proper responses of a store, or of a folder in it, or None where nothing was ever stored.
+
+    A task that was done but not known to be, as when its executor is lost, is run
+    again and may leave two answers to a pair; the earlier one of a run counts.
+    """
+    data = f"{store}/responses{part}"
     if not _exists(spark, data):
         return None
-    rows = spark.read.schema(STORED).option("recursiveFileLookup", True).parquet(data)
-    return rows.where(F.col("error").isNull()).drop("error")
+    rows = spark.read.schema(STORED).option("recursiveFileLookup", True).parquet(data).where(F.col("error").isNull())
+    own, rest = F.regexp_extract(F.col("_metadata.file_path"), "(?:run|batch)=([^/]+)", 1), ("generated_at_utc", "text", "confidence")
+    first = rows.groupBy(*RESPONSE_KEY, own.alias("run")).agg(F.min(F.struct(*rest)).alias("r"))
+    return first.select(*RESPONSE_KEY, *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
+def store_answers(pairs: DataFrame, adapters: list[Adapter], path: str, at_once: int = 1) -> None:
+    """Ask for ``pairs`` and write the answers, ``at_once`` to a task.
+
+    A task's answers stand in the store as soon as it is done (the committer's
+    second algorithm), whatever becomes of the job, so what dies costs the answers
+    of the tasks that were running.
+    """
+    tasks = max(1, -(-pairs.count() // at_once))
+    answers(pairs.repartition(tasks), adapters).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
 
 
 class GenerationError(RuntimeError):
     """Some pairs have no response; those that have one are stored."""
 
 
-def run_generation(prompts: DataFrame, adapters: list[Adapter], store: str, hashes: dict[str, str], resume: bool = False, batch: int = 1000) -> dict[str, Any]:
+def run_generation(prompts: DataFrame, adapters: list[Adapter], store: str, hashes: dict[str, str], resume: bool = False, batch: int = 1000, at_once: int = 1) -> dict[str, Any]:
     """Generate what is pending, some ``batch`` pairs at a time, into the Parquet store; returns the run's manifest.
 
-    Each batch is a part of its own, written whole or not at all, and holds every
-    proper response of it: a pair that fails, or whose response breaks a rule,
-    costs no other its answer.  After a batch with failures the run stops; the
-    manifest and the error name one pair and the failure's type alone.  A lost
-    executor costs the answers of one batch at most.
+    What is pending is found once, and kept by batch, so that a batch reads its own
+    pairs alone.  Answers are stored task by task, ``at_once`` each, so a lost
+    executor or driver costs those that were being asked; a pair that fails, or
+    whose response breaks a rule, costs no other its answer.  After a batch with
+    failures the run stops; the manifest and the error name one pair and the
+    failure's type alone.
 
     The store is the record of what is done.  The manifest beside it fixes
     prompts, hashes and adapters; resuming with others is refused, as is a store
@@ -147,8 +165,8 @@ def run_generation(prompts: DataFrame, adapters: list[Adapter], store: str, hash
     """
     spark = prompts.sparkSession
     check_adapters(adapters)
-    if batch < 1:
-        raise ValueError("batch must be at least 1")
+    if min(batch, at_once) < 1:
+        raise ValueError("batch and at_once must be at least 1")
     require(violations(prompts, [Rule("blank id", is_blank(F.col("dataset_item_id"))), Rule("blank prompt", is_blank(F.col("prompt")))], ["dataset_item_id"]))
     require(repeated(prompts, ["dataset_item_id"], "repeated id"))
     names, beside = [a.name for a in adapters], f"{store}/manifest.json"
@@ -176,12 +194,14 @@ def run_generation(prompts: DataFrame, adapters: list[Adapter], store: str, hash
     note()
     left, run = fixed["expected_response_count"] - count, uuid.uuid4().hex
     batches = -(-left // batch)
-    todo = pending(prompts, names, done).withColumn("part", F.pmod(F.xxhash64(*RESPONSE_KEY), F.lit(max(batches, 1))))
+    todo, kept = f"{store}/todo/run={run}", pending(prompts, names, done).withColumn("part", F.pmod(F.xxhash64(*RESPONSE_KEY), F.lit(max(batches, 1))).cast("int"))
+    kept.repartition("part").write.partitionBy("part").parquet(todo)
+    pairs = spark.read.schema("dataset_item_id string, model_name string, prompt string, part int").parquet(todo)
     for k in range(batches):
         path = f"{store}/responses/run={run}/batch={k}"
-        answers(todo.where(F.col("part") == k), adapters).write.parquet(path)
+        store_answers(pairs.where(F.col("part") == k), adapters, path, at_once)
         part = spark.read.schema(STORED).parquet(path)
-        count += part.where(F.col("error").isNull()).count()
+        count += part.where(F.col("error").isNull()).select(*RESPONSE_KEY).distinct().count()
         failed = part.where(F.col("error").isNotNull()).orderBy(*RESPONSE_KEY).limit(1).collect()
         if failed:
             last = {"model_name": failed[0].model_name, "dataset_item_id": failed[0].dataset_item_id, "error_type": failed[0].error, "occurred_at_utc": failed[0].generated_at_utc}

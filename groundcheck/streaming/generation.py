@@ -7,26 +7,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from groundcheck.plans.generate import Adapter, GenerationError, STORED, answers, check_adapters, pending, stored_responses
+from groundcheck.plans.generate import Adapter, GenerationError, STORED, check_adapters, pending, store_answers, stored_responses
 from groundcheck.schema import PROMPTS
 
 
 def stream_generation(spark: SparkSession, prompts: str, adapters: list[Adapter], store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Read JSON Lines prompts as they arrive and append responses to the Parquet store.
 
-    The store is the record of what is done, so the query keeps no state of its
-    own: of a batch, run for the first time or again, only pairs without a stored
-    response are answered, and all proper answers are stored before a failure
-    ends the batch.
+    Which items have come is the stream's own state, so the store is never read
+    for it: an item that comes again is not asked again.  A batch that is run again
+    after a failure reads what its own earlier tries have stored, and asks for the
+    rest; all proper answers are stored before a failure ends the batch.
     """
     check_adapters(adapters)
     names = [a.name for a in adapters]
-    rows = spark.readStream.schema(PROMPTS).json(prompts).select("dataset_item_id", "prompt")
+    rows = spark.readStream.schema(PROMPTS).json(prompts).select("dataset_item_id", "prompt").dropDuplicates(["dataset_item_id"])
 
     def append(batch: DataFrame, epoch: int) -> None:
-        path = f"{store}/responses/batch={epoch}/try={uuid.uuid4().hex}"
-        todo = pending(batch.dropDuplicates(["dataset_item_id"]), names, stored_responses(batch.sparkSession, store))
-        answers(todo, adapters).write.parquet(path)
+        own = f"/batch={epoch}"
+        path = f"{store}/responses{own}/try={uuid.uuid4().hex}"
+        store_answers(pending(batch, names, stored_responses(batch.sparkSession, store, own)).persist(), adapters, path)
         failed = batch.sparkSession.read.schema(STORED).parquet(path).where("error is not null").limit(1).collect()
         if failed:
             raise GenerationError(f"{failed[0].error} for {failed[0].model_name} on {failed[0].dataset_item_id}")

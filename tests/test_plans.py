@@ -1,5 +1,9 @@
 import csv
+import glob
 import json
+import os
+import signal
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -366,6 +370,57 @@ def test_resumed_generation_asks_only_the_rest(spark, tmp_path):
         G.run_generation(prompts_table(spark, 30), [Counted("a", log)], other, {}, resume=True)
 
 
+class Dies(Counted):
+    """Its worker is killed at one item, once others have been answered."""
+
+    def __init__(self, name, log, item):
+        super().__init__(name, log)
+        self.item = item
+
+    def generate(self, item_id, prompt):
+        if item_id == self.item:
+            for _ in range(600):
+                if os.path.exists(self.log) and len(open(self.log).read().split()) >= 20:
+                    os.kill(os.getpid(), signal.SIGKILL)
+                time.sleep(0.1)
+        return super().generate(item_id, prompt)
+
+
+def test_killed_worker_costs_what_it_was_asked(spark, tmp_path):
+    """Answers stand as soon as their task is done; those that stand are never asked again."""
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    with pytest.raises(Exception):  # noqa: B017 - Spark's own
+        G.run_generation(prompts_table(spark, 40), [Dies("a", log, "i7")], store, {})
+    kept = {r.dataset_item_id for r in G.stored_responses(spark, store).collect()}
+    assert len(kept) >= 20 - 8  # but for what eight tasks were asked
+    open(log, "w").close()
+    assert G.run_generation(prompts_table(spark, 40), [Dies("a", log, None)], store, {}, resume=True)["complete"]
+    assert sorted(open(log).read().split()) == sorted({f"i{k}" for k in range(40)} - kept)
+
+
+def test_answer_left_twice_by_a_lost_task_counts_once(spark, tmp_path):
+    store = str(tmp_path / "store")
+    G.run_generation(prompts_table(spark, 3), [Echo("a")], store, {})
+    (run,) = glob.glob(f"{store}/responses/run=*/batch=0")
+    again = spark.read.schema(G.STORED).parquet(run).where("dataset_item_id = 'i1'").withColumn("generated_at_utc", F.lit("9999")).withColumn("text", F.lit("late"))
+    spark.createDataFrame(again.collect(), again.schema).write.mode("append").parquet(run)
+    found = {r.dataset_item_id: r.text for r in G.stored_responses(spark, store).collect()}
+    assert len(found) == 3 and found["i1"] != "late"
+    assert G.run_generation(prompts_table(spark, 3), [Echo("a")], store, {}, resume=True)["complete"]
+
+
+def test_stream_does_not_read_its_store(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    args = (spark, str(tmp_path / "in"), [Echo("a")], str(tmp_path / "out"), str(tmp_path / "mark"))
+    lines(tmp_path / "in/1.jsonl", [{"dataset_item_id": "i0", "prompt": "p"}])
+    stream_generation(*args).awaitTermination()
+    for f in glob.glob(f"{tmp_path}/out/responses/batch=0/**/*.parquet", recursive=True):
+        open(f, "w").write("no Parquet")  # a batch that read older answers would fail
+    lines(tmp_path / "in/2.jsonl", [{"dataset_item_id": k, "prompt": "p"} for k in ("i0", "i1")])
+    stream_generation(*args).awaitTermination()
+    assert [r.dataset_item_id for r in G.stored_responses(spark, args[3], "/batch=1").collect()] == ["i1"]
+
+
 def make_adapters():
     return [Echo("a")]
 
