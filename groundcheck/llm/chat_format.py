@@ -240,8 +240,8 @@ def chat_format(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """One row per message: its place in the conversation, repair, cost and piece of the rendered chat.
 
     Pieces joined along ``position`` are the conversation's text in ChatML.
-    Messages go by turn (nulls first), then role, then text; equal ones are
-    alike, so their order makes no difference.  A null or other role is
+    Messages go by turn (nulls first), then role, then the text's SHA-256; equal
+    ones are alike, so their order makes no difference.  A null or other role is
     relabelled; a null text is empty, one of any length is rendered whole; null
     conversation ids are one conversation and stay null.  Repeated rows are
     messages like any other.  An empty table gives an empty result; other
@@ -251,9 +251,10 @@ def chat_format(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     small_batches(spark)
     n = shuffle_count(spark)
     rows = messages.select(F.coalesce(F.col(conv_col).cast("long"), F.lit(lowest)).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    order = ["conv", "turn", "role", "text"]
+    rows = rows.withColumn("tie", F.unhex(F.sha2("text", 256)))  # range keys are sampled to the driver: no texts among them
+    order = ["conv", "turn", "role", "tie"]
     line = materialize(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "turns")  # ranges are sampled: cut once
-    line = line.repartitionById(n, "part").sortWithinPartitions("part", *order)
+    line = line.repartitionById(n, "part").sortWithinPartitions("part", *order).drop("tie")
     pieces = [(r.part, r.conv, r.matrix, r.n) for r in line.mapInArrow(_ends(costs), "part int, conv long, matrix array<long>, n long").collect()]  # two a partition at most
     cuts = spark.sparkContext.broadcast(cut_states(pieces, Automaton(costs), final))
     out = line.mapInArrow(_repair(costs, final, cuts), _OUT)
