@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from groundcheck.functions import scores as S
 from groundcheck.operators import rules
+from groundcheck.operators.ranks import numbered
 from groundcheck.schema import LABELS, SEVERITIES
 
 
@@ -193,9 +194,8 @@ def topic_split(items: DataFrame, development: float = 0.2, test: float = 0.2, s
 
 def topic_split_hash(items: DataFrame, development: float = 0.2, test: float = 0.2, seed: int = 42) -> DataFrame:
     """The same sizes with topics ordered by md5 of seed and topic: another assignment, all in the plan."""
-    from pyspark.sql import Window
-
-    topics = items.select("topic").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("topic"))), "topic")))
+    topics = items.select("topic").distinct().withColumn("drawn", F.md5(F.concat(F.lit(f"{seed}|"), F.col("topic"))))
+    topics = numbered(topics, ["drawn", "topic"]).withColumn("k", F.col("k") + 1)
     n = items.agg(F.count_distinct("topic").alias("n"))
     size = lambda f: F.greatest(F.lit(1), F.bround(F.col("n") * f)).cast("int")
     split = F.when(F.col("k") <= size(test), "test").when(F.col("k") <= size(test) + size(development), "dev").otherwise("train")

@@ -6,6 +6,9 @@ import random
 
 from pyspark.sql import DataFrame, functions as F
 
+from groundcheck.operators.ranks import numbered
+from groundcheck.session import cut
+
 
 def item_outcomes(facts: DataFrame, responses: DataFrame) -> DataFrame:
     """Per model and item: supported rate (null without claims) and whether a claim is contradicted."""
@@ -35,25 +38,34 @@ def paired_comparison(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _draws(sizes: DataFrame, repetitions: int, seed: int) -> DataFrame:
+    """``n, place, reps``: for each size and place the repetitions that draw it, as often as they do."""
+    word = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
+    draws = sizes.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("draw")).repartition("n", "draw")
+    drawn = draws.select("n", "draw", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")).select("n", "rep", (word % F.col("n")).alias("place"))
+    return drawn.groupBy("n", "place").agg(F.collect_list("rep").alias("reps"))
+
+
 def bootstrap_hash(pairs: DataFrame, repetitions: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile bounds of the resampled mean difference, with draws taken from md5 of seed, repetition and place.
 
-    Items are numbered per pair in order; a draw is an equi-join on the number,
-    so repetitions are spread over the cluster.
+    Items are numbered in order within a pair.  A repetition's draws are those of
+    all pairs with as many items, so they are made once for each such number, as
+    lists of the repetitions that draw a place; an item's difference is added up
+    where it meets its list, and a row leaves a task for each pair and repetition.
     """
-    from pyspark.sql import Window
-
     check_bootstrap(repetitions, level)
     key = ["model_a", "model_b"]
     rows = pairs.where(F.col("rate_a").isNotNull() & F.col("rate_b").isNotNull()).select(*key, "dataset_item_id", (F.col("rate_a") - F.col("rate_b")).alias("d"))
-    numbered = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("dataset_item_id")) - 1)
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    word = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("place").cast("string"))), 1, 8), 16, 10).cast("long")
-    draws = numbered.select(*key, "place").join(F.broadcast(sizes), key).select("*", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")).select(*key, "n", "rep", (word % F.col("n")).alias("place"))
-    means = draws.join(numbered.select(*key, F.col("place").cast("long").alias("place"), "d"), [*key, "place"]).groupBy(*key, "rep").agg(F.avg("d").alias("m"))
+    rows = numbered(rows, ["dataset_item_id"], key, "place")  # kept
+    summary = rows.groupBy(*key).agg(F.avg("d").alias("mean_difference"), F.count("*").alias("sample_size"))
+    sizes = cut(summary.select(*key, F.col("sample_size").alias("n")))
+    places = rows.select(*key, "place", "d").join(F.broadcast(sizes), key)  # a line for each pair
+    sums = places.join(_draws(sizes, repetitions, seed), ["n", "place"]).select(*key, "n", "d", F.explode("reps").alias("rep")).groupBy(*key, "n", "rep").agg(F.sum("d").alias("s"))
+    means = sums.select(*key, (F.col("s") / F.col("n")).alias("m"))
     tail = (1 - level) / 2
     bounds = means.groupBy(*key).agg(F.percentile("m", tail).alias("lower"), F.percentile("m", 1 - tail).alias("upper"), F.count("*").alias("repetitions"))
-    return rows.groupBy(*key).agg(F.avg("d").alias("mean_difference"), F.count("*").alias("sample_size")).join(bounds, key)
+    return summary.join(bounds, key)
 
 
 def check_bootstrap(repetitions: int, level: float) -> None:

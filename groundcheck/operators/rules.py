@@ -68,8 +68,16 @@ def reference_violations(prompts: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def missing_pairs(responses: DataFrame, models: DataFrame, items: DataFrame) -> DataFrame:
-    """Model and item pairs without a response; models are few and checked by the caller's broadcast limit."""
-    return items.select("dataset_item_id").distinct().crossJoin(models.select("model_name").distinct()).join(responses.select("model_name", "dataset_item_id"), ["model_name", "dataset_item_id"], "left_anti")
+    """Model and item pairs without a response.
+
+    An item's models meet in one row, and only those that it lacks become rows:
+    pairs that are there are never made.  All models' names are in one row.
+    """
+    have = responses.groupBy("dataset_item_id").agg(F.collect_set("model_name").alias("have"))
+    names = models.agg(F.collect_set("model_name").alias("names"))  # one row
+    rows = items.select("dataset_item_id").distinct().join(have, "dataset_item_id", "left").crossJoin(F.broadcast(names))
+    lacking = F.array_except("names", F.coalesce("have", F.array().cast("array<string>")))
+    return rows.select("dataset_item_id", F.explode(lacking).alias("model_name"))
 
 
 def response_violations(responses: DataFrame) -> DataFrame:

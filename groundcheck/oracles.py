@@ -132,6 +132,7 @@ PARTS: dict[str, str] = {
     "outc": f"SELECT {_R}, avg(CASE WHEN label = 'supported' THEN 1.0 WHEN label IS NOT NULL THEN 0 END) AS rate, coalesce(bool_or(label = 'contradicted'), false) AS error FROM resp LEFT JOIN facts f USING ({_R}) GROUP BY ALL",
     "mpairs": "SELECT a.model_name AS model_a, b.model_name AS model_b, dataset_item_id, a.rate AS ra, b.rate AS rb, a.error AS ea, b.error AS eb FROM outc a JOIN outc b USING (dataset_item_id) WHERE a.model_name < b.model_name",
     "disc": "SELECT model_a, model_b, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS paired_item_count, avg(ra - rb) AS mean_difference, count(*) FILTER (ea AND NOT eb) AS a, count(*) FILTER (eb AND NOT ea) AS b FROM mpairs GROUP BY ALL",
+    "bplace": "SELECT model_a, model_b, ra - rb AS d, row_number() OVER (PARTITION BY model_a, model_b ORDER BY dataset_item_id) - 1 AS place, count(*) OVER (PARTITION BY model_a, model_b) AS n FROM mpairs WHERE ra IS NOT NULL AND rb IS NOT NULL",
     "obs": f"SELECT {_K}, claim_text, label, support_score, contradiction_score, gold_label, gold_severity, domains, advice FROM ruled JOIN gold USING ({_K})",
     "cand": "SELECT i / 20 AS t FROM range(21) r(i)",
     "gcnt": f"SELECT s.t AS support_threshold, c.t AS contradiction_threshold, gold_label, {_label('support_score', 'contradiction_score', 's.t', 'c.t')} AS predicted, count(*) AS n FROM obs CROSS JOIN cand s CROSS JOIN cand c GROUP BY ALL",
@@ -248,9 +249,9 @@ ORACLES: dict[str, str] = {
     "paired_comparison": "SELECT model_a, model_b, paired_item_count, round(mean_difference, 9) AS mean_difference, a AS model_a_error_only_items, b AS model_b_error_only_items FROM disc",
     "mcnemar": f"SELECT model_a, model_b, round({_MCNEMAR}, 9) AS mcnemar_exact_p_value FROM disc",
     "bootstrap_hash": f"""SELECT model_a, model_b, round(any_value(mean_difference), 9) AS mean_difference, any_value(n) AS sample_size, round(quantile_cont(m, 0.025), 9) AS lower, round(quantile_cont(m, 0.975), 9) AS upper, count(*) AS repetitions
-        FROM (SELECT x.model_a, x.model_b, rep, avg(y.d) AS m, any_value(x.n) AS n FROM (SELECT model_a, model_b, row_number() OVER (PARTITION BY model_a, model_b ORDER BY dataset_item_id) - 1 AS place, count(*) OVER (PARTITION BY model_a, model_b) AS n FROM mpairs WHERE ra IS NOT NULL AND rb IS NOT NULL) x
-        CROSS JOIN range(200) r(rep) JOIN (SELECT model_a, model_b, row_number() OVER (PARTITION BY model_a, model_b ORDER BY dataset_item_id) - 1 AS place, ra - rb AS d FROM mpairs WHERE ra IS NOT NULL AND rb IS NOT NULL) y
-        ON x.model_a = y.model_a AND x.model_b = y.model_b AND y.place = {_hex("'0|' || rep || '|' || x.place")} % x.n GROUP BY ALL) JOIN disc USING (model_a, model_b) GROUP BY model_a, model_b""",
+        FROM (SELECT model_a, model_b, rep, sum(d * times) / any_value(n) AS m, any_value(n) AS n FROM bplace JOIN (
+            SELECT n, rep, {_hex("'0|' || rep || '|' || draw")} % n AS place, count(*) AS times FROM (SELECT n, unnest(range(n)) AS draw FROM (SELECT DISTINCT n FROM bplace)) CROSS JOIN range(2000) r(rep) GROUP BY ALL) USING (n, place)
+        GROUP BY ALL) JOIN disc USING (model_a, model_b) GROUP BY model_a, model_b""",
     "threshold_grid": f"SELECT support_threshold, contradiction_threshold, {_round('accuracy', 'macro_f1', 'balanced_accuracy', 'coverage')}, sample_size FROM grid",
     "threshold_best": f"SELECT support_threshold, contradiction_threshold, {_round('accuracy', 'macro_f1', 'balanced_accuracy', 'coverage')}, sample_size FROM grid ORDER BY round(grid.macro_f1, 12) DESC, round(grid.accuracy, 12) DESC, round(grid.coverage, 12) DESC, round(abs(support_threshold - 0.55) + abs(contradiction_threshold - 0.55), 12), support_threshold, contradiction_threshold LIMIT 1",
     "severity_threshold_grid": "WITH cells AS (SELECT * FROM tcells)" + _kappa("threshold,"),

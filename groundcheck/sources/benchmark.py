@@ -8,9 +8,10 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundcheck.operators import rules
+from groundcheck.operators.ranks import numbered
 from groundcheck.schema import EVIDENCE, PROMPTS
 from groundcheck.sources import files
 from groundcheck.sources.jsonl import read_lines, strict
@@ -116,4 +117,4 @@ def write_responses(rows: DataFrame, path: str) -> None:
 
 def first_seen(rows: DataFrame, name: str, order: str) -> DataFrame:
     """Distinct values in the order of their first row."""
-    return rows.groupBy(name).agg(F.min(order).alias("first")).withColumn("k", F.row_number().over(Window.orderBy("first", name)) - 1).drop("first")
+    return numbered(rows.groupBy(name).agg(F.min(order).alias("first")), ["first", name]).drop("first")
