@@ -18,7 +18,6 @@ from groundcheck.plans.fixtures import extract
 from groundcheck.schema import REPORT
 from groundcheck.session import local_session
 from groundcheck.sources import benchmark, files
-from groundcheck.sources.jsonl import read_responses
 from groundcheck.sources.report import read_report, write_claims
 
 
@@ -85,7 +84,7 @@ def demo(spark) -> list[dict]:
 
 def evaluated(spark, a: argparse.Namespace, thresholds: tuple[float, float, float]) -> dict:
     """Evaluate saved responses, of one split if asked, and write the report; returns its manifest."""
-    bench, rows = benchmark.load_benchmark(spark, a.prompts, a.evidence), read_responses(spark, a.responses)
+    bench, rows = benchmark.load_benchmark(spark, a.prompts, a.evidence), generate.saved_responses(spark, a.responses)
     gold = gates.load_gold(spark, a.annotations, rows, bench.evidence) if a.annotations else None
     if a.split:
         split = files.read_object(a.split)
@@ -139,7 +138,7 @@ def main(argv: list[str] | None = None) -> int:
         show({"claims": write_claims(flatten_claims(read_report(spark, a.report, REPORT)), a.output, a.models, a.items)})
         return 0
     if a.command == "check-annotations":
-        rows, ids = read_responses(spark, a.responses), benchmark.evidence_ids(spark, a.evidence)
+        rows, ids = generate.saved_responses(spark, a.responses), benchmark.evidence_ids(spark, a.evidence)
         show(annotate.compare_annotators(spark, a.annotations, a.second, rows, ids) if a.second else annotate.gold_summary(spark, a.annotations, rows, ids))
         return 0
     bench = benchmark.load_benchmark(spark, a.prompts, a.evidence, getattr(a, "max_items", None))
@@ -149,7 +148,7 @@ def main(argv: list[str] | None = None) -> int:
         hashes = {"prompt_sha256": bench.prompt_sha256, "evidence_sha256": bench.evidence_sha256}
         show(generate.run_generation(bench.prompts.select("dataset_item_id", "prompt"), generate.load_adapters(a.adapters), a.store, hashes, a.resume))
     elif a.command == "worksheet":
-        show({"claims": annotate.export_worksheet(read_responses(spark, a.responses), bench, a.output, a.annotator, a.allow_unfrozen_pilot)})
+        show({"claims": annotate.export_worksheet(generate.saved_responses(spark, a.responses), bench, a.output, a.annotator, a.allow_unfrozen_pilot)})
     return 0
 
 

@@ -256,6 +256,7 @@ ORACLES: dict[str, str] = {
     "threshold_best": f"SELECT support_threshold, contradiction_threshold, {_round('accuracy', 'macro_f1', 'balanced_accuracy', 'coverage')}, sample_size FROM grid ORDER BY round(grid.macro_f1, 12) DESC, round(grid.accuracy, 12) DESC, round(grid.coverage, 12) DESC, round(abs(support_threshold - 0.55) + abs(contradiction_threshold - 0.55), 12), support_threshold, contradiction_threshold LIMIT 1",
     "severity_threshold_grid": "WITH cells AS (SELECT * FROM tcells)" + _kappa("threshold,"),
     "severity_threshold_best": "WITH cells AS (SELECT * FROM tcells)" + _kappa("threshold,") + " ORDER BY round(macro_f1, 12) DESC, round(accuracy, 12) DESC, round(coalesce(q, -1), 12) DESC, round(abs(threshold - 0.8), 12), threshold LIMIT 1",
+    "severity_pairs_strict": "SELECT gold, predicted, count(*) AS claims FROM spairs GROUP BY ALL",
     "severity_confusion": "SELECT model_name, gold, predicted, n FROM mcells",
     "quadratic_kappa": "WITH cells AS (SELECT gold, predicted, sum(n) AS n FROM mcells GROUP BY ALL)" + _kappa(""),
     "severity_metrics_by_model": "WITH cells AS (SELECT * FROM mcells)" + _kappa("model_name,"),

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundcheck.operators.rules import Rule, repeated, require, violations
 from groundcheck.functions.scores import in_unit
 from groundcheck.functions.text import is_blank
-from groundcheck.schema import RESPONSE_KEY
+from groundcheck.schema import RESPONSE_KEY, RESPONSES
+from groundcheck.sources.jsonl import read_responses
 
 #: A row of the response store; ``error`` is the type of a failure, which has no text.
 STORED = "model_name string, dataset_item_id string, text string, confidence double, generated_at_utc string, error string"
@@ -133,6 +134,13 @@ def stored_responses(spark: SparkSession, store: str, part: str = "") -> DataFra
     return first.select(*RESPONSE_KEY, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
+def saved_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The responses of a store of :func:`run_generation`, or of JSON Lines files, with the same columns."""
+    if not _exists(spark, f"{path}/responses"):
+        return read_responses(spark, path)
+    return stored_responses(spark, path).select(*RESPONSES.names)
+
+
 def store_answers(pairs: DataFrame, adapters: list[Adapter], path: str, at_once: int = 1) -> None:
     """Ask for ``pairs`` and write the answers, ``at_once`` to a task.
 

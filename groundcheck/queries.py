@@ -296,6 +296,13 @@ def _severity_pairs(spark, sf) -> DataFrame:
     return C.severity_pairs(fx.facts(spark, sf), fx.gold(spark, sf), CLAIM_KEY, strict=False)
 
 
+@query
+def severity_pairs_strict(spark, sf):
+    """Counts of gold and predicted severities of the claims that are judged unsupported: each has a prediction, or the query fails."""
+    judged = fx.facts(spark, sf).where("label <> 'supported'")
+    return C.severity_pairs(judged, fx.gold(spark, sf).join(judged.select(*CLAIM_KEY), CLAIM_KEY, "left_semi"), CLAIM_KEY).groupBy("gold", "predicted").agg(F.count("*").alias("claims"))
+
+
 @query
 def severity_confusion(spark, sf):
     return C.confusion(_severity_pairs(spark, sf), BY_MODEL)

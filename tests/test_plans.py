@@ -398,6 +398,14 @@ def test_killed_worker_costs_what_it_was_asked(spark, tmp_path):
     assert sorted(open(log).read().split()) == sorted({f"i{k}" for k in range(40)} - kept)
 
 
+def test_store_is_read_as_saved_responses_are(spark, tmp_path):
+    store = str(tmp_path / "store")
+    G.run_generation(prompts_table(spark, 3), [Echo("a"), Echo("b")], store, {})
+    B.write_responses(G.saved_responses(spark, store), str(tmp_path / "saved.jsonl"))
+    both = [G.saved_responses(spark, p) for p in (store, str(tmp_path / "saved.jsonl"))]
+    assert both[0].columns == both[1].columns and sorted(both[0].collect()) == sorted(both[1].collect()) and both[0].count() == 6
+
+
 def test_answer_left_twice_by_a_lost_task_counts_once(spark, tmp_path):
     store = str(tmp_path / "store")
     G.run_generation(prompts_table(spark, 3), [Echo("a")], store, {})
