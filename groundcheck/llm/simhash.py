@@ -35,13 +35,11 @@ from groundcheck.llm._shared import join_skewed, light_count, materialize, only,
 BITS = 3  # fingerprints link at this many differing bits or fewer
 NEEDED = 8 - BITS  # positional bytes that a linked pair shares at least
 HOT = 16384  # a longer list is dealt out again
-SHORT = 64  # up to here all pairs of a list are tallied at once
+SHORT = 64  # lists up to here are tallied together, a longer one by itself, in blocks
 PIECE = 6  # bits of a piece of the last dealing
 LAST_BITS = 8 * BITS - PIECE  # free bits of a list that is dealt no more
 
 _ONES = np.uint64(0x0101010101010101)
-_SEVENS = np.uint64(0x7F7F7F7F7F7F7F7F)
-_HIGHS = np.uint64(0x8080808080808080)
 
 
 def _signed(x: int) -> int:
@@ -98,13 +96,32 @@ def _fingerprints(width: int):
     return run
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Flags of the pairs that share ``NEEDED`` positional bytes and differ in ``BITS`` bits at most."""
-    d = x ^ y
-    differ = np.bitwise_count((((d & _SEVENS) + _SEVENS) | d) & _HIGHS)  # bytes that are not shared
-    keep = 8 - differ.astype(np.int8) >= NEEDED
-    keep[keep] = np.bitwise_count(d[keep]) <= BITS
-    return keep
+def tallied(run: np.ndarray, bits: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one list (``run``) that share ``NEEDED`` positional bytes, of many short lists at once.
+
+    The bytes that a list's mask fixes are shared by all its pairs.  For the others an
+    inverted index of list, position and byte tallies the pairs in each of its postings.
+    Where the mask alone fixes ``NEEDED`` bytes, every pair of the list meets the tally.
+    """
+    n = len(run)
+    byte = lambda x, p: (x >> np.uint64(8 * p) & np.uint64(0xFF)).astype(np.int64)
+    fixed = sum((byte(mask, p) == 0xFF).astype(np.int64) for p in range(8))
+    met = np.flatnonzero(fixed >= NEEDED)
+    postings = [(met, run[met])]
+    for p in range(8):
+        rows = np.flatnonzero((fixed < NEEDED) & (byte(mask, p) != 0xFF))
+        postings.append((rows, run[rows] * 256 + byte(bits[rows], p)))
+    pairs = [np.zeros(0, np.int64)]
+    for rows, key in postings:
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        for s in range(1, len(rows)):
+            i = np.flatnonzero(key[s:] == key[:-s])
+            if not len(i):
+                break
+            pairs.append(rows[i] * n + rows[i + s])
+    pair, count = np.unique(np.concatenate(pairs), return_counts=True)
+    return np.divmod(pair[count + fixed[pair // n] >= NEEDED], n) if n else (pair, pair)
 
 
 def _free_bits(mask: int) -> list[int]:
@@ -172,15 +189,10 @@ def _list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(starts, n))
         run = np.repeat(np.arange(len(starts)), size)
         bits = fp.view(np.uint64)
-        short = size[run] <= SHORT
-        a, b = [], []
-        for s in range(1, min(SHORT, int(size.max(initial=0)))):
-            i = np.flatnonzero(short[:-s] & (run[s:] == run[:-s]))
-            if not len(i):
-                break
-            i = i[linked(bits[i], bits[i + s])]
-            a.append(i)
-            b.append(i + s)
+        short = np.flatnonzero((size[run] > 1) & (size[run] <= SHORT))
+        i, j = tallied(run[short], bits[short], mask[short].view(np.uint64))
+        near = np.bitwise_count(bits[short[i]] ^ bits[short[j]]) <= BITS
+        a, b = [short[i[near]]], [short[j[near]]]
         for k in np.flatnonzero(size > SHORT):
             lo, hi = starts[k], starts[k] + size[k]
             label = _list_roots(bits[lo:hi], int(mask[lo]) & (2**64 - 1))

@@ -148,6 +148,24 @@ def test_long_lists_are_exact(free, n):
     assert np.array_equal(label, roots(len(x), np.concatenate(a), np.concatenate(b)))
 
 
+def test_short_lists_are_tallied():
+    """Of many short lists the pairs with five shared bytes come back, and no others, whatever their masks fix."""
+    rng = np.random.default_rng(2)
+    masks = np.array([0xFFFFFF, 0xFFFFFF, 0xFF00FF00FF, 0xFFFFFFFFFF, 0x3FFFFFFFFFFF], np.uint64)
+    run = np.repeat(np.arange(40), rng.integers(2, 20, 40))
+    mask = masks[run % len(masks)]
+    base = rng.integers(0, 2**64, 40, dtype=np.uint64)[run]
+    few = rng.integers(0, 2**64, (8, len(run)), dtype=np.uint64)
+    bits = base ^ (few[0] & few[1] & few[2] & few[3] & few[4] & few[5] & ~mask)
+    shared = ((bits[:, None] ^ bits[None]).view(np.uint8).reshape(len(run), len(run), 8) == 0).sum(axis=2)
+    together = np.triu(run[:, None] == run[None], 1)
+    want = set(zip(*(x.tolist() for x in np.nonzero(together & (shared >= simhash.NEEDED)))))
+    i, j = simhash.tallied(run, bits, mask)
+    assert set(zip(i.tolist(), j.tolist())) == want and 0 < len(i) == len(want) < together.sum()
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in simhash.tallied(none, none.view(np.uint64), none.view(np.uint64))] == [0, 0]
+
+
 def test_hot_lists_are_dealt_again(spark, monkeypatch):
     """With a low limit lists go through every level and links stay the same."""
     rng = np.random.default_rng(1)
