@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -13,7 +14,8 @@ from groundcheck.functions import models, scores as S
 from groundcheck.operators import calibration, compare, metrics, report, retrieval, rules, trust as trust_op, verification as V
 from groundcheck.plans.fixtures import extract
 from groundcheck.schema import CLAIM_KEY, RESPONSE_KEY
-from groundcheck.sources import files
+from groundcheck.session import kept, shared_folder
+from groundcheck.sources import files, vectors
 from groundcheck.sources.benchmark import Benchmark
 from groundcheck.sources.report import write_document
 
@@ -85,38 +87,64 @@ def check_keys(keys: DataFrame, known: DataFrame, key: list[str], what: str) ->
     rules.require(keys.select(*key).join(known.select(*key), key, "left_anti").withColumn("rule", F.lit(f"{what} of no evaluated claim or response")))
 
 
-def claim_facts(responses: DataFrame, evidence: DataFrame, embedder: Callable[[], models.Embedder] | None, nli: Callable[[], models.NLIModel], settings: Settings = Settings(), claims: Callable[[DataFrame], DataFrame] = extract, similarity: Callable[[Column], Column] | None = None) -> DataFrame:
+#: A text of more than this share of the claims is joined by broadcast; there are fewer such texts than ``HOT``.
+HOT = 1024
+
+
+def _by_text(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """``rows`` with what was judged of their ``claim_text``; texts of many claims do not meet in one task."""
+    total = judged.agg(F.sum("n")).first()[0] or 0
+    rows = rows.withColumn("digest", vectors.digest(F.col("claim_text")))
+    many, few = (judged.where(c).drop("claim_text", "n") for c in (F.col("n") * HOT > total, F.col("n") * HOT <= total))
+    rest = rows.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(few, "digest")
+    return rows.join(F.broadcast(many), "digest").unionByName(rest).drop("digest")
+
+
+def claim_facts(
+    responses: DataFrame, evidence: DataFrame, embedder: Callable[[], models.Embedder] | None, nli: Callable[[], models.NLIModel], settings: Settings = Settings(),
+    claims: Callable[[DataFrame], DataFrame] = extract, similarity: Callable[[Column], Column] | None = None, store: str | None = None, model: str = "embedder",
+) -> DataFrame:
     """One row per claim: retrieved passages, scores, label, severity.
 
     ``similarity`` is built from a hit; by default it is the embedding score, or
     1 where retrieval is lexical alone.
 
-    Each distinct text is encoded once per occurrence on its own side; pairs are
-    only made of the passages retrieved.
+    All of it depends on a claim's text alone, so each distinct text is encoded,
+    ranked and judged once and its claims take the result; the distinct texts and
+    what was judged of them are written to the shared folder.  ``store`` is a folder
+    that keeps vectors by ``model`` for later runs (:mod:`groundcheck.sources.vectors`);
+    without it they last for this call.
     """
-    rows = claims(responses)
     dense = settings.dense > 0
     if dense != (embedder is not None):
         raise ValueError("dense retrieval needs an embedder, and an embedder a weight above 0")
-    passages = evidence.select("pos", "evidence_id", "text")
-    encode = models.embedding_udf(embedder) if dense else None
-    vectors = passages.select("pos", encode("text").alias("vector")) if dense else None
+    rows, passages = claims(responses), evidence.select("pos", "evidence_id", "text")
+    spark = rows.sparkSession
+    texts = kept(rows.where(F.col("claim_text").isNotNull()).groupBy(vectors.digest(F.col("claim_text")).alias("digest")).agg(F.first("claim_text").alias("claim_text"), F.count("*").alias("n")), "claim-texts")
+    found = None
     if dense:
-        rows = rows.withColumn("vector", encode("claim_text"))
-    ranked = retrieval.rank_passages(rows, passages, retrieval.bm25_postings(passages), settings.top_k, F.col("vector") if dense else None, vectors, settings.lexical, settings.dense)
-    hits = ranked.select(*CLAIM_KEY, "claim_text", F.explode("hits").alias("h")).join(passages.select(F.col("pos").alias("at"), F.col("text").alias("passage")), F.col("h.pos") == F.col("at"))
-    judged = hits.withColumn("p", models.nli_udf(nli)("passage", "claim_text"))
-    nli_by_rank = judged.groupBy(*CLAIM_KEY).agg(F.map_from_entries(F.collect_list(F.struct("h.rank", "p"))).alias("nli"))
-    joined = ranked.join(nli_by_rank, CLAIM_KEY, "left")
+        store = store or f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+        both = vectors.encode_missing(texts.select(F.col("claim_text").alias("text")).union(passages.select("text")), embedder, store, model)
+        found = passages.select("pos", vectors.digest(F.col("text")).alias("digest")).join(both, "digest").select("pos", "vector")
+        texts = texts.join(both, "digest")
+    ranked = retrieval.rank_passages(texts, passages, retrieval.bm25_postings(passages), settings.top_k, F.col("vector") if dense else None, found, settings.lexical, settings.dense).drop("vector")
+    ranked = kept(ranked, "claim-hits")
+    hits = ranked.select("digest", "claim_text", F.explode("hits").alias("h")).join(passages.select(F.col("pos").alias("at"), F.col("text").alias("passage")), F.col("h.pos") == F.col("at"))
+    pairs = hits.select("digest", "h.rank", "claim_text", "passage").repartition(spark.sparkContext.defaultParallelism)  # judging is dear
+    given = pairs.withColumn("p", models.nli_udf(nli)("passage", "claim_text")).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("rank", "p"))).alias("nli"))
     similarity = similarity or ((lambda h: h["embedding_score"]) if dense else (lambda h: F.lit(1.0)))
-    scored = joined.withColumn("evidence_scores", V.evidence_scores(F.col("hits"), similarity, lambda h: F.col("nli")[h["rank"]]))
-    verified = V.verify(scored.drop("nli", "vector"), settings.support_threshold, settings.contradiction_threshold)
-    return V.assess_severity(verified, policy=settings.severity)
+    scored = ranked.join(given, "digest", "left").withColumn("evidence_scores", V.evidence_scores(F.col("hits"), similarity, lambda h: F.col("nli")[h["rank"]])).drop("nli")
+    verified = V.verify(scored, settings.support_threshold, settings.contradiction_threshold)
+    return _by_text(rows, kept(V.assess_severity(verified, policy=settings.severity), "claims-judged"))
 
 
 def evaluate(facts: DataFrame, responses: DataFrame, consistency: DataFrame | None = None, gold: DataFrame | None = None, settings: Settings = Settings()) -> Evaluation:
-    """All tables from claim facts; matrix, claims, consistency and gold keys are checked first."""
+    """All tables from claim facts; matrix, claims, consistency and gold keys are checked first.
+
+    The facts are written once, and checks and tables read the columns that they need.
+    """
     check_matrix(responses)
+    facts = kept(facts, "facts")
     check_keys(facts, responses, RESPONSE_KEY, "claim")
     rules.require(rules.repeated(facts, CLAIM_KEY, "repeated claim id"))
     rules.require(report.span_violations(facts, responses))

@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,10 @@ def cut(rows: DataFrame) -> DataFrame:
     if rows.sparkSession.sparkContext.getCheckpointDir() is None:
         rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to a new Parquet table in the shared folder and read back, so that no later plan computes them again."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

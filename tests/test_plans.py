@@ -4,6 +4,8 @@ import json
 import os
 import signal
 import time
+import uuid
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +35,29 @@ class Prefix:
         return [rows.get(c.split()[0].lower(), (0.0, 0.0, 1.0)) for _, c in pairs]
 
 
+class Noted:
+    """A model that writes down, a file a call, what it is asked."""
+
+    def __init__(self, model, folder):
+        self.model, self.folder = model, folder
+
+    def _note(self, rows):
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            json.dump([list(r) if isinstance(r, tuple) else r for r in rows], f)
+
+    def encode(self, texts):
+        self._note(texts)
+        return self.model.encode(texts)
+
+    def predict_many(self, pairs):
+        self._note(pairs)
+        return self.model.predict_many(pairs)
+
+
+def noted(folder):
+    return sorted(x for f in folder.iterdir() for x in json.loads(f.read_text()))
+
+
 class Echo(G.Adapter):
     def __init__(self, name, fail_on=None):
         self.name, self.fail_on, self.metadata = name, fail_on, {"kind": "echo"}
@@ -166,6 +191,41 @@ def test_evaluation(spark, tmp_path):
         gates.package_release(str(tmp_path / "report.json"), str(tmp_path / "other"), [str(tmp_path / "none")])
 
 
+def test_models_are_asked_once(spark, tmp_path):
+    """Over facts, checks, metrics and report each text is encoded and each pair judged once; a later run encodes new texts alone."""
+    p, e = make_benchmark(tmp_path)
+    b, rows = B.load_benchmark(spark, p, e), answers(spark)
+    texts, pairs, again = (tmp_path / n for n in ("texts", "pairs", "again"))
+    for folder in (texts, pairs, again):
+        folder.mkdir()
+    settings, store = E.Settings(support_threshold=0.3, contradiction_threshold=0.3, repetitions=5), f"file://{tmp_path}/vectors"
+    facts = E.claim_facts(rows, b.evidence, partial(Noted, Words(), texts), partial(Noted, Prefix(), pairs), settings, store=store, model="words:1")
+    E.save_report(E.evaluate(facts, rows, settings=settings), str(tmp_path / "report.json"), b)
+    claims_ = sorted({r.claim_text for r in extract(rows).collect()})
+    passages = sorted(f"Water and moon {k}." for k in range(3))
+    assert noted(texts) == sorted([*claims_, *passages]) and noted(pairs) == sorted([q, c] for q in passages for c in claims_)
+    more = rows.unionByName(rows.limit(1).withColumn("text", F.lit("Gold is new.")))
+    E.claim_facts(more, b.evidence, partial(Noted, Words(), again), Prefix, settings, store=store, model="words:1")
+    assert noted(again) == ["Gold is new."]
+    for f in again.iterdir():
+        f.unlink()
+    E.claim_facts(rows, b.evidence, partial(Noted, Words(), again), Prefix, settings, store=store, model="words:1")
+    assert noted(again) == []
+    E.claim_facts(rows, b.evidence, partial(Noted, Words(), again), Prefix, settings, store=store, model="words:2")
+    assert noted(again) == sorted([*claims_, *passages])
+
+
+def test_hot_claim_texts(spark, tmp_path, monkeypatch):
+    """Texts of many claims and of few meet what was judged of them by different joins, with the same result."""
+    p, e = make_benchmark(tmp_path)
+    b, rows = B.load_benchmark(spark, p, e), answers(spark).unionByName(answers(spark, ("model-c",), 1).withColumn("text", F.lit("Rare gold claim.")))
+    found = []
+    for hot in (1024, 3, 0):
+        monkeypatch.setattr(E, "HOT", hot)
+        found.append(sorted(map(str, E.claim_facts(rows, b.evidence, Words, Prefix).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == extract(rows).count()
+
+
 def test_evaluation_rejects(spark):
     rows = answers(spark)
     facts = extract(rows).withColumns({"label": F.lit("unknown"), "severity": F.lit("mild")})
