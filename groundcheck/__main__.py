@@ -10,6 +10,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
+from groundcheck.functions.extractors import claims_by
 from groundcheck.functions.scores import SeverityPolicy
 from groundcheck.operators import retrieval, verification
 from groundcheck.operators.report import flatten_claims
@@ -55,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
     for p in models:
         p.add_argument("--embedder", help="module:factory; left out, retrieval is lexical")
         p.add_argument("--top-k", type=int, default=5)
+        p.add_argument("--claims", help="module:factory of a claim extractor in place of the engine's own")
         p.add_argument("--vectors", help="a folder that keeps the embedder's vectors, so that later runs encode new texts alone")
     p = command("claims", "the claims of a saved report as CSV", "report", "output")
     p.add_argument("--models", nargs="*")
@@ -94,7 +96,7 @@ def evaluated(spark, a: argparse.Namespace, thresholds: tuple[float, float, floa
         gold = gold.join(rows.select("dataset_item_id").distinct(), "dataset_item_id", "left_semi") if gold is not None else None
     dense, (support, contradiction, severity) = 0.5 if a.embedder else 0.0, thresholds
     settings = evaluate.Settings(a.top_k, 1 - dense, dense, support, contradiction, SeverityPolicy(severity))
-    facts = evaluate.claim_facts(rows, bench.evidence, _factory(a.embedder) if a.embedder else None, _factory(a.nli), settings, store=a.vectors, model=a.embedder or "")
+    facts = evaluate.claim_facts(rows, bench.evidence, _factory(a.embedder) if a.embedder else None, _factory(a.nli), settings, claims_by(_factory(a.claims)) if a.claims else extract, store=a.vectors, model=a.embedder or "")
     done = evaluate.evaluate(facts, rows, gold=gold, settings=settings)
     manifest = evaluate.save_report(done, a.report, bench, gold, settings, {"nli_model": a.nli, "embedding_model": a.embedder})
     done.model_metrics.orderBy(F.col("model_name")).show(truncate=False)

@@ -210,6 +210,9 @@ _KEYTEXT = "model_name || '|' || dataset_item_id || '|' || claim_id"
 
 ORACLES: dict[str, str] = {
     "extract_claims": f"SELECT {_K}, claim_text, claim_start, claim_end FROM claims",
+    "custom_claims": f"""WITH l AS (SELECT {_R}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM resp),
+        s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY {_R} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) - length(ltrim(line, ' ')) AS st, trim(line, ' ') AS c FROM l)
+        SELECT {_R}, 'claim-' || row_number() OVER (PARTITION BY {_R} ORDER BY k) AS claim_id, c AS claim_text, CAST(st AS INTEGER) AS claim_start, CAST(st + length(c) AS INTEGER) AS claim_end FROM s WHERE c <> ''""",
     "tokenize": f"SELECT {_K}, array_to_string(t, ' ') AS tokens, len(t) AS token_count FROM (SELECT {_K}, list_transform(regexp_extract_all(claim_text, '(?i)[a-z0-9]+(?:''[a-z0-9]+)?'), lambda x: lower(x)) AS t FROM claims)",
     "lexical_similarity": f"""SELECT {_K}, evidence_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS similarity
         FROM (SELECT {_K}, evidence_id, list_distinct(regexp_extract_all(lower(claim_text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(e.text), '[a-z0-9]+')) AS b FROM claims CROSS JOIN nevi JOIN evi e ON e.pos = ordinal % n)""",

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from groundcheck.functions import scores as S, text as X
+from groundcheck.functions import extractors, scores as S, text as X
 from groundcheck.operators import annotations as A, calibration as C, compare, metrics as M, report as R, retrieval, rules, verification as V
 from groundcheck.plans import fixtures as fx
 from groundcheck.schema import CLAIM_KEY, LABELS, RESPONSE_KEY
@@ -38,6 +38,12 @@ def extract_claims(spark, sf):
     return fx.claims(spark, sf).select(*CLAIM_KEY, "claim_text", "claim_start", "claim_end")
 
 
+@query
+def custom_claims(spark, sf):
+    """Claims by an extractor of one's own, here lines, as a table function."""
+    return extractors.claims_by(extractors.Lines)(fx.responses(spark, sf)).select(*CLAIM_KEY, "claim_text", "claim_start", "claim_end")
+
+
 @query
 def tokenize(spark, sf):
     own = X.tokens(F.col("claim_text"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundcheck.functions import models
+from groundcheck.functions.extractors import Lines, claims_by
 from groundcheck.operators import report as report_op, rules
 from groundcheck import queries as Q
 from groundcheck.plans import evaluate as E, fixtures as fx, gates, generate as G
@@ -215,6 +216,31 @@ def test_models_are_asked_once(spark, tmp_path):
     assert noted(again) == sorted([*claims_, *passages])
 
 
+class Whole:
+    """An extractor that makes what it is told."""
+
+    def __init__(self, made):
+        self.made = made
+
+    def __call__(self, text):
+        return self.made
+
+
+def test_extractor_of_ones_own(spark, tmp_path):
+    p, e = make_benchmark(tmp_path)
+    b = B.load_benchmark(spark, p, e)
+    rows = spark.createDataFrame([("m", "i0", "Supported \U0001f30a water\n\n  unknown é ", 0.5), ("m", "i1", "\n \n", 0.5), ("m", "i2", None, 0.5)], jsonl.RESPONSES)
+    found = claims_by(Lines)(rows)
+    assert found.columns == extract(rows).columns
+    assert [(r.dataset_item_id, r.claim_id, r.claim_text, r.claim_start, r.claim_end) for r in found.orderBy("ordinal").collect()] == [("i0", "claim-1", "Supported \U0001f30a water", 0, 17), ("i0", "claim-2", "unknown é", 21, 30)]
+    assert report_op.span_violations(found, rows).count() == 0
+    facts = E.claim_facts(rows, b.evidence, Words, Prefix, E.Settings(support_threshold=0.3), claims_by(Lines))
+    assert {r.claim_id: r.label for r in facts.collect()} == {"claim-1": "supported", "claim-2": "unknown"}
+    for made, why in (([("water", 0, 5)], "offsets"), ([("S", 0, 1), ("u", 1, 2), ("up", 1, 3)], "overlaps"), ([(" ", 9, 10)], "blank"), ([("x", 0, 99)], "offsets")):
+        with pytest.raises(Exception, match=why):
+            claims_by(partial(Whole, made))(rows.where("dataset_item_id = 'i0'")).collect()
+
+
 def test_hot_claim_texts(spark, tmp_path, monkeypatch):
     """Texts of many claims and of few meet what was judged of them by different joins, with the same result."""
     p, e = make_benchmark(tmp_path)
