@@ -46,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--split")
     p.add_argument("--dataset-split", choices=gates.SPLITS)
     p.add_argument("--annotations")
+    # The thresholds' defaults.
     for name, value in (("support-threshold", 0.55), ("contradiction-threshold", 0.55), ("severity-threshold", 0.8)):
         p.add_argument(f"--{name}", type=float, default=value)
     models = [p]

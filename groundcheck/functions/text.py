@@ -9,6 +9,7 @@ CONJUNCTIONS = ("and", "but", "however", "although", "though", "while", "whereas
 CLAIM_CUT = r"(?iuU)(?<=[.!?])\s+|\s*[;:]\s*|\s+(?:" + "|".join(CONJUNCTIONS) + r")\s+|\s*(?:--|—)\s*"
 TOKEN = r"(?i)[a-z0-9]+(?:'[a-z0-9]+)?"  # apostrophes inside a word stay
 PLAIN_TOKEN = r"[a-z0-9]+"
+# The colours of labels.
 LABEL_COLOURS = {"supported": "#d7f5e8", "contradicted": "#ffe0e0", "unknown": "#fff0ce"}
 OTHER_COLOUR = "#e8eef5"
 

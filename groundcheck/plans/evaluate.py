@@ -176,9 +176,10 @@ def save_report(evaluation: Evaluation, path: str, benchmark: Benchmark | None =
     if gold is not None:
         pairs = calibration.severity_pairs(evaluation.facts, gold, CLAIM_KEY, strict=False)
         against = {r.model_name: {k: v for k, v in r.asDict().items() if k != "model_name"} for r in calibration.severity_metrics(pairs, ["model_name"]).collect()}
+    ids = [r[0] for r in evaluation.arrays()["dataset_item_ids"].collect()]
     manifest = {
-        "schema_version": 1, "prompt_sha256": benchmark.prompt_sha256 if benchmark else None, "evidence_sha256": benchmark.evidence_sha256 if benchmark else None, "benchmark_frozen": bool(benchmark and benchmark.is_frozen),
-        "dataset_item_ids": [r[0] for r in evaluation.arrays()["dataset_item_ids"].collect()], "models": [r[0] for r in evaluation.responses.select("model_name").distinct().orderBy("model_name").collect()], "top_k": settings.top_k, "support_threshold": settings.support_threshold,
+        "schema_version": 1, "bootstrap_draws": "generator" if len(ids) <= settings.exact_items else "hash", "prompt_sha256": benchmark.prompt_sha256 if benchmark else None, "evidence_sha256": benchmark.evidence_sha256 if benchmark else None, "benchmark_frozen": bool(benchmark and benchmark.is_frozen),
+        "dataset_item_ids": ids, "models": [r[0] for r in evaluation.responses.select("model_name").distinct().orderBy("model_name").collect()], "top_k": settings.top_k, "support_threshold": settings.support_threshold,
         "contradiction_threshold": settings.contradiction_threshold, "severity_contradiction_threshold": settings.severity.high_contradiction, "severity_metrics_vs_gold": against, **(names or {}),
     }
     files.write_object(Path(path).with_name(Path(path).name + ".manifest.json"), manifest)

@@ -178,6 +178,7 @@ def test_evaluation(spark, tmp_path):
     m = {r.model_name: r for r in done.model_metrics.collect()}
     assert m["model-a"].verification_accuracy == 1.0 and m["model-a"].retrieval_recall_at_k == 1.0 and m["model-a"].average_trust_score > 0
     manifest = E.save_report(done, str(tmp_path / "report.json"), b, gold)
+    assert manifest["bootstrap_draws"] == "generator"
     assert manifest["benchmark_frozen"] and manifest["severity_metrics_vs_gold"]["model-a"]["accuracy"] == 1.0
     document = report.load_report((tmp_path / "report.json").read_bytes())
     assert len(document["responses"]) == 18 and document["paired_comparisons"][0]["supported_rate_difference"]["repetitions"] == 20
