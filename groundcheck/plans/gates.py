@@ -14,6 +14,7 @@ from groundcheck.functions import scores as S
 from groundcheck.operators import annotations as A, calibration as C, retrieval, rules
 from groundcheck.plans.fixtures import extract
 from groundcheck.schema import ANNOTATIONS, CLAIM_KEY, LABELS, SEVERITIES
+from groundcheck.session import cut, kept
 from groundcheck.sources import files
 from groundcheck.sources.benchmark import Benchmark, evidence_ids, load_benchmark, read_table
 from groundcheck.sources.jsonl import read_responses
@@ -66,9 +67,12 @@ def item_ids(benchmark: Benchmark) -> set[str]:
 
 
 def load_gold(spark: SparkSession, path: str, responses: DataFrame, evidence: DataFrame, complete: bool = False) -> DataFrame:
-    """Adjudicated annotations as a gold table; every rule must hold."""
-    rows = read_table(spark, path, ANNOTATIONS)
-    claims = extract(responses)
+    """Adjudicated annotations as a gold table; every rule must hold.
+
+    Lines are parsed and claims extracted once, before the checks, which read what was kept.
+    """
+    rows = cut(read_table(spark, path, ANNOTATIONS))
+    claims = kept(extract(responses).select(*CLAIM_KEY, "claim_text", "claim_start", "claim_end"), "claims")
     rules.require(A.validate_annotations(rows, claims, evidence))
     if complete:
         rules.require(A.incomplete(rows, claims).withColumn("rule", F.lit("no annotation")))
@@ -97,10 +101,10 @@ def fit_thresholds(facts: DataFrame, gold: DataFrame, development: DataFrame, be
         raise ValueError("no development claims")
     relabelled = rows.withColumn("label", S.label(F.col("support_score"), F.col("contradiction_score"), best.support_threshold, best.contradiction_threshold))
     rules.require(relabelled.where(F.col("gold_severity").isNotNull() & (F.col("label") == "supported")).select(*CLAIM_KEY, F.lit("no predicted severity").alias("rule")))
-    cut = C.best_severity_threshold(C.severity_grid(relabelled, values)).first()
-    if cut is None:
+    high = C.best_severity_threshold(C.severity_grid(relabelled, values)).first()
+    if high is None:
         raise ValueError("no development claims with a severity")
-    level, _ = S.severity(F.col("label"), F.col("contradiction_score"), S.risk_domains(F.col("claim_text")), S.gives_advice(F.col("claim_text")), 0.0, cut.threshold)
+    level, _ = S.severity(F.col("label"), F.col("contradiction_score"), S.risk_domains(F.col("claim_text")), S.gives_advice(F.col("claim_text")), 0.0, high.threshold)
     cells = C.confusion(relabelled.where(F.col("gold_severity").isNotNull()).select(F.col("gold_severity").alias("gold"), level.alias("predicted")), []).collect()
     matrix = [[next(r.n for r in cells if (r.gold, r.predicted) == (a, b)) for b in SEVERITIES] for a in SEVERITIES]
     ranked = retrieval.ranking_metrics(retrieval.retrieved(rows.select(*CLAIM_KEY, "hits"), CLAIM_KEY), gold.where(F.size("evidence_ids") > 0), CLAIM_KEY, (1, 3, 5)).join(gold.where(F.size("evidence_ids") > 0).select(*CLAIM_KEY), CLAIM_KEY, "left_semi")
@@ -109,7 +113,7 @@ def fit_thresholds(facts: DataFrame, gold: DataFrame, development: DataFrame, be
     artifact = {
         "schema_version": 1, "created_at_utc": _now(), "development_item_ids": items, "development_topics": sorted(t for t, s in split.get("topic_splits", {}).items() if s == "dev"), "development_claim_count": best.sample_size,
         "verification": {**best.asDict(), "objective": objective, "objective_score": best[objective], "candidates_evaluated": len(values) ** 2},
-        "severity": {"high_contradiction_threshold": cut.threshold, "accuracy": cut.accuracy, "macro_f1": cut.macro_f1, "quadratic_weighted_kappa": cut.quadratic_weighted_kappa, "sample_size": cut.sample_size, "labels": list(SEVERITIES), "confusion_matrix": matrix},
+        "severity": {"high_contradiction_threshold": high.threshold, "accuracy": high.accuracy, "macro_f1": high.macro_f1, "quadratic_weighted_kappa": high.quadratic_weighted_kappa, "sample_size": high.sample_size, "labels": list(SEVERITIES), "confusion_matrix": matrix},
         "retrieval_recall_at_k": recall, "provenance": {"prompt_sha256": benchmark.prompt_sha256, "evidence_sha256": benchmark.evidence_sha256, **provenance},
     }
     files.write_object(path, artifact)
@@ -127,7 +131,7 @@ def calibrate(spark: SparkSession, report: str, responses: str, annotations: str
     items = sorted(k for k, v in splits.items() if v == "dev")
     if not items:
         raise ValueError("the split has no development items")
-    rows = read_responses(spark, responses)
+    rows = cut(read_responses(spark, responses))
     if rows.isEmpty():
         raise ValueError("there are no responses")
     gold = load_gold(spark, annotations, rows, benchmark.evidence, complete=True)
@@ -171,7 +175,7 @@ def locked_thresholds(spark: SparkSession, prompts: str, evidence: str, manifest
         if not math.isfinite(value) or not 0 <= value <= 1:
             raise ValueError(f"{name} is outside [0, 1]")
         found[name] = float(value)
-    rows = read_responses(spark, responses)
+    rows = cut(read_responses(spark, responses))
     items = spark.createDataFrame([(i,) for i in sorted(test)], "dataset_item_id string")
     rules.require(items.join(rows, "dataset_item_id", "left_anti").withColumn("rule", F.lit("test item without response")))
     gold = load_gold(spark, annotations, rows, evidence_ids(spark, evidence), complete=True)

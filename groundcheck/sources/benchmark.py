@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundcheck.operators import rules
 from groundcheck.operators.ranks import numbered
 from groundcheck.schema import EVIDENCE, PROMPTS
+from groundcheck.session import cut
 from groundcheck.sources import files
 from groundcheck.sources.jsonl import read_lines, strict
 
@@ -51,7 +52,7 @@ def load_benchmark(spark: SparkSession, prompts: str, evidence: str, max_items:
     """Read and check everything, then keep the first ``max_items`` prompts."""
     if max_items is not None and max_items < 1:
         raise ValueError("max_items must be at least 1")
-    p, e = read_table(spark, prompts, PROMPTS), read_table(spark, evidence, EVIDENCE)
+    p, e = cut(read_table(spark, prompts, PROMPTS)), cut(read_table(spark, evidence, EVIDENCE))  # parsed once for all checks
     rules.require(rules.benchmark_violations(p, e))
     hashes = files.sha256(prompts), files.sha256(evidence)
     frozen = check_freeze(prompts, evidence, hashes)
@@ -90,10 +91,10 @@ def freeze(spark: SparkSession, prompts: str, evidence: str, dataset: str, domai
 
 def evidence_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of passages; blank or repeated ones are errors."""
-    rows = read_table(spark, path, EVIDENCE)
+    rows = cut(read_table(spark, path, EVIDENCE).select("evidence_id"))
     rules.require(rules.violations(rows, [rules.Rule("evidence_id is blank", rules.is_blank(F.col("evidence_id")))], ["evidence_id"]))
     rules.require(rules.repeated(rows, ["evidence_id"], "repeated id"))
-    return rows.select("evidence_id")
+    return rows
 
 
 def prompt_topics(spark: SparkSession, path: str) -> DataFrame:
