@@ -137,7 +137,7 @@ def calibrate(spark: SparkSession, report: str, responses: str, annotations: str
     gold = load_gold(spark, annotations, rows, benchmark.evidence, complete=True)
     development = spark.createDataFrame([(i,) for i in items], "dataset_item_id string")
     made = {"split_manifest_sha256": files.sha256(split), "evaluation_report_sha256": files.sha256(report), "annotations_sha256": files.sha256(annotations)}
-    return fit_thresholds(report_facts(spark, report), gold, development, benchmark, named, made, path, step, objective)
+    return fit_thresholds(kept(report_facts(spark, report), "report-facts"), gold, development, benchmark, named, made, path, step, objective)
 
 
 def locked_thresholds(spark: SparkSession, prompts: str, evidence: str, manifest: str, split: str, calibration: str, responses: str, annotations: str) -> dict[str, float]:
