@@ -12,7 +12,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundcheck.operators.rules import Rule, repeated, require, violations
+from groundcheck.operators.rules import Rule, pending_pairs, repeated, require, violations
 from groundcheck.functions.scores import in_unit
 from groundcheck.functions.text import is_blank
 from groundcheck.schema import RESPONSE_KEY, RESPONSES
@@ -70,7 +70,7 @@ def pending(prompts: DataFrame, names: list[str], done: DataFrame | None) -> Dat
     """Item and model pairs that have no response yet; the models' names are the caller's list."""
     models = F.explode(F.array(*(F.lit(n) for n in names))).alias("model_name")
     pairs = prompts.select("dataset_item_id", "prompt", models)
-    return pairs if done is None else pairs.join(done.select(*RESPONSE_KEY), RESPONSE_KEY, "left_anti")
+    return pairs if done is None else pending_pairs(pairs, done)
 
 
 def generate(prompts: DataFrame, adapters: list[Adapter]) -> DataFrame:
