@@ -184,6 +184,23 @@ def test_bootstrap_hash_draws_2000(spark):
     assert (h.lower, h.upper) == pytest.approx((compare.percentile(means, 0.025), compare.percentile(means, 0.975)))
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_drawn_means_are_those_of_the_generator(n):
+    """To the last bit, whatever the number of items."""
+    values = [random.Random(n).choice([0.1, 1 / 3, -0.7, 1e9, -1e9, 0.0]) * k for k in range(1, n + 1)]
+    draw = random.Random(5)
+    assert compare._drawn_means(values, 40, 5) == [sum(draw.choice(values) for _ in values) / n for _ in range(40)]
+
+
+def test_bootstrap_hash_in_blocks(spark, monkeypatch):
+    """Items in several lists and pairs of different sizes give what one list gives."""
+    rows = spark.createDataFrame([("a", m, f"{k:03d}", (k * 37 % 11) / 7, 0.1) for m, n in (("b", 40), ("c", 23)) for k in range(n)], "model_a string, model_b string, dataset_item_id string, rate_a double, rate_b double")
+    want = {r.model_b: r for r in compare.bootstrap_hash(rows, repetitions=50).collect()}
+    monkeypatch.setattr(compare, "PLACES", 7)
+    for r in compare.bootstrap_hash(rows, repetitions=50).collect():
+        assert (r.lower, r.upper, r.repetitions, r.sample_size) == pytest.approx((want[r.model_b].lower, want[r.model_b].upper, 50, 40 if r.model_b == "b" else 23))
+
+
 def brute_grid(obs, values):
     out = {}
     for a in values:
