@@ -145,3 +145,28 @@ def test_classifier_in_batches():
     assert len(ClassifierNLI("any", load=load).predict_many([])) == 0
     with pytest.raises(ValueError):
         ClassifierNLI("any", load=lambda name: ({0: "x"}, None))
+
+
+def test_digests_of_highlights(spark):
+    """The hashes are those of the pages, which are not made."""
+    text = "a <b> & é \"c\" 😀 'd'"
+    spans = [("<b>", 2, 5, "supported"), ("é", 8, 9, "contradicted"), ("😀 'd'", 14, 19, "unknown"), ("a", 0, 1, "other"), ("<b> &", 2, 7, "unknown"), ("x", 0, 1, "unknown"), ("", 3, 3, "unknown"), ("'d'", 16, 20, "unknown"), ("a", -1, 1, "unknown")]
+    rows = spark.createDataFrame([(f"c{k}", *s, text) for k, s in enumerate(spans)], "claim_id string, claim_text string, claim_start int, claim_end int, label string, text string")
+    wanted = {r[0]: r[1] for r in rows.select("claim_id", F.sha2(X.highlight(*(F.col(c) for c in ("text", "claim_text", "claim_start", "claim_end", "label"))), 256)).collect()}
+    line = rows.groupBy("text").agg(F.collect_list(F.struct("claim_id", "claim_text", "claim_start", "claim_end", "label")).alias("line"))
+    assert dict(line.select(F.explode(X.highlight_digests(F.col("text"), F.col("line"))).alias("d")).select("d.*").collect()) == wanted
+    assert sum(d is not None for d in wanted.values()) == 5
+
+
+def test_words_begin_behind_no_letter(spark):
+    """The faster pattern for words that begin with letters finds what a word boundary finds; others keep the plain one."""
+    assert S._word("tax(?:es|ation)?|loan").startswith("(?<!") and not S._word("-x|loan").startswith("(?<!") and not S._word("x?-y").startswith("(?<!")
+    rows = spark.createDataFrame([(t,) for t in ("loan", "a loan.", "aloan", "1loan", "_loan loan", "éloan", "ſtock", "LOAN-x", "")], "t string")
+    plain = F.regexp_like("t", F.lit(r"(?iuU)\b(?:loan|stock)\b"))
+    assert [a for a, in rows.select(F.regexp_like("t", F.lit(S._word("loan|stock")))).collect()] == [a for a, in rows.select(plain).collect()]
+
+
+def test_claims_of_odd_letters(spark):
+    """Letters that fold to a conjunction's cut, separators that Unicode does not count as white space do not."""
+    found = claims_of(spark, ["x ſo y", "a whİle b whıle c", "a\x1c;\x1cb", "a;　b", "\x1f and \x1f"])
+    assert [[c for c, _, _ in found[k]] for k in range(5)] == [["x", "y"], ["a", "b", "c"], ["a\x1c", "\x1cb"], ["a", "b"], ["\x1f", "\x1f"]]
