@@ -1,4 +1,5 @@
 import random
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,46 @@ def test_state_crosses_words():
     assert np.allclose(part, [one[6:].sum(axis=0), other[6:].sum(axis=0)], atol=1e-3)
 
 
+def odd_rows(net):
+    """Rows in no order of size, the positions that count of each, and what they should give."""
+    rows = [b"some longer row " * 3, b"ab", b"one more of middle size", b"x"]
+    lo, hi = np.array([6, 0, 6, 0]), np.array([40, 2, 20, 1])
+    return *_tokens(rows), lo, hi, [naive_positions(net, t)[a:b].sum(axis=0) for t, a, b in zip(rows, lo, hi)]
+
+
+def test_rows_of_any_order_and_part():
+    net = ByteGRU.fresh(["a", "b", "c"], hidden=4, seed=3)
+    *given, want = odd_rows(net)
+    assert np.allclose(net.log_probabilities(*given), want, rtol=1e-4, atol=1e-3)
+
+
+def test_no_state_beyond_what_counts(monkeypatch):
+    """Neither what lies behind a row or the last position that counts is read, nor, from behind, what lies before the first."""
+    net, states, count = ByteGRU.fresh(["a", "b"], hidden=4, seed=3), ByteGRU._states, []
+
+    def spy(self, *args):
+        for step in states(self, *args):
+            count.append(step[-1].size // 4)
+            yield step
+
+    monkeypatch.setattr(ByteGRU, "_states", spy)
+    x, size = _tokens([b"12345678", b"1234567890", b"123"])
+    net.log_probabilities(x, size, np.array([2, 2, 2]), np.array([7, 6, 3]))
+    assert sum(count) == (7 + 7 + 3) + (6 + 8 + 1)
+
+
+def test_shut_gates():
+    """Weights so large that exponentials overflow give what they should, without a warning."""
+    net = ByteGRU.fresh(["a", "b", "c"], hidden=4, seed=3)
+    for w in (*net.tables, *net.recurrent):
+        w *= 400
+    *given, want = odd_rows(net)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        found = net.log_probabilities(*given)
+    assert np.allclose(found, want, rtol=1e-3, atol=1e-2)
+
+
 def language_rows(seed=0):
     rng = random.Random(seed)
     parts = {"aa": ["ka", "to", "ri", "mo"], "bb": ["str", "sch", "ing", "eln"]}
