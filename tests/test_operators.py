@@ -324,3 +324,19 @@ def test_freeze_rules(spark):
     evidence = spark.createDataFrame([("e1", "t", "x", "WHO", "https://www.who.int/a", "2024-02-30"), ("e2", "t", "x", "WHO", "http://who.int.evil/", "2024-02-28")], "evidence_id string, topic string, text string, source string, source_url string, publication_date string")
     found = {(r.id, r.rule) for r in rules.freeze_violations(prompts, evidence, "d", {"WHO": ("who.int",)}, (2, 2), 2).collect()}
     assert found == {("2", "domain"), ("2", "task_type"), ("2", "risk_level"), ("e1", "publication_date"), ("e2", "url is not https"), ("e2", "url host is not the source's"), ("e2", "url is generic")}
+
+
+def test_evidence_detail(spark):
+    """A passage without scores keeps nulls; of repeated scores the last counts; a claim's own row decides, also where its key comes again."""
+    hit, score = "struct<evidence:struct<id:string>,combined_score:double>", "struct<evidence:struct<id:string>,similarity:double,support_score:double,contradiction_score:double>"
+    s = lambda i, x: ((i,), x, x, x)
+    rows = [
+        ("m", "i", "claim-1", [(("a",), 0.9), (("b",), 0.8), ((None,), 0.7)], [s("a", 0.1), s("c", 0.2), s("a", 0.3), s(None, 0.4)]),
+        ("m", "i", "claim-1", [(("b",), 0.6)], [s("b", 0.5)]),
+        ("m", "i", "claim-2", [(("a",), 0.5)], None),
+        ("m", "i", "claim-3", [], [s("a", 0.1)]),
+        ("m", "i", "claim-4", None, [s("a", 0.1)]),
+    ]
+    flat = spark.createDataFrame(rows, f"model_name string, dataset_item_id string, claim_id string, evidence array<{hit}>, evidence_scores array<{score}>")
+    found = sorted(((r.claim_id, r.place, r.evidence_id, r.combined_score, r.support_score) for r in R.evidence_detail(flat).collect()), key=str)
+    assert found == [("claim-1", 0, "a", 0.9, 0.3), ("claim-1", 0, "b", 0.6, 0.5), ("claim-1", 1, "b", 0.8, None), ("claim-1", 2, None, 0.7, None), ("claim-2", 0, "a", 0.5, None)]
